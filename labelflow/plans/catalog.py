@@ -199,3 +199,212 @@ FROM documents
 def seeded_shuffle_q(spark, sf):
     d = T.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"))
     return seeded_shuffle(d, "id").select("id", "pos")
+
+
+# ---------------------------------------------------------------- exemplars
+
+from labelflow.functions import chat as C  # noqa: E402
+from labelflow.functions import tokens as TK  # noqa: E402
+from labelflow.functions.labels import class_name_col  # noqa: E402
+from labelflow.operators import batches as B  # noqa: E402
+from labelflow.operators import exemplars as X  # noqa: E402
+
+FEW_K = 4
+
+
+def exemplar_ids(it: DataFrame) -> DataFrame:
+    """Stand-in for the fixed exemplar lists: per dataset, the first 8 labelled training ids by
+    ``md5('ex:' || id)`` (a top-k report), numbered 0..7 in that order."""
+    pool = R.labelled(R.train_split(it)).withColumn("_k", F.md5(F.concat(F.lit("ex:"), "id")))
+    top = X.top_k_per_dataset(pool.select("dataset", "id", "_k"), [F.col("_k"), F.col("id")], 8)
+    return X.number_in_order(top, [F.col("_k"), F.col("id")]).select("dataset", "pos", "id")
+
+
+def description_pool(it: DataFrame) -> DataFrame:
+    """Stand-in for the description files: ``dataset, id, label (class name), description,
+    text``."""
+    return it.select("dataset", "id", class_name_col("dataset", "label").alias("label"),
+                     F.concat(F.lit("frames of item "), F.col("id")).alias("description"), "text")
+
+
+_EX_IDS_SQL = """ex_ids AS (
+  SELECT dataset, id, CAST(row_number() OVER (PARTITION BY dataset ORDER BY md5('ex:' || id), id) - 1 AS INTEGER) AS pos
+  FROM items WHERE type IS DISTINCT FROM 'test' AND label IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5('ex:' || id), id) <= 8
+)"""
+
+_BLOCK_SQL = f"""block AS (
+  SELECT e.dataset,
+         string_agg({S.demo_line_sql("'frames of item ' || i.id", 'i.text', S.class_name_sql('i.dataset', 'i.label'), 'i.dataset', "'video'")}, '' ORDER BY e.pos)
+           || {S.lit(__import__('labelflow.constants', fromlist=['x']).DEMO_CLOSING)} AS demo
+  FROM ex_ids e JOIN items i ON i.id = e.id AND i.dataset = e.dataset
+  WHERE e.pos < {FEW_K}
+  GROUP BY e.dataset
+)"""
+
+
+def exemplar_block_df(it: DataFrame, k: int = FEW_K) -> DataFrame:
+    ex = X.ordered_exemplars(exemplar_ids(it), description_pool(it), k)
+    return X.demo_block(ex, k, mode="video")
+
+
+@query("exemplar_block", T.with_items(f", {_EX_IDS_SQL}, {_BLOCK_SQL}\nSELECT dataset, demo FROM block"))
+def exemplar_block(spark, sf):
+    return exemplar_block_df(T.items(spark, sf))
+
+
+@query("fewshot_prompts", T.with_items(f""", {_EX_IDS_SQL}, {_BLOCK_SQL}
+SELECT t.id, t.dataset, coalesce(b.demo, '') || {S.prompt_sql('t.text', 't.dataset', "'video'")} AS prompt
+FROM items t LEFT JOIN block b ON b.dataset = t.dataset
+WHERE t.type = 'test' AND t.label IS NOT NULL
+"""))
+def fewshot_prompts(spark, sf):
+    it = T.items(spark, sf)
+    scored = R.labelled(R.test_split(it))
+    j = X.attach_block(scored, exemplar_block_df(it))
+    return j.select("id", "dataset", X.fewshot_prompt_col("demo", "text", "dataset", "video")
+                    .alias("prompt"))
+
+
+def fewshot_messages_df(it: DataFrame, k: int = FEW_K) -> DataFrame:
+    """Multi-turn path: exemplar rows are the items whose id is in the list (P4), the first k in
+    file order (O2; file order = numeric id here); their message pairs form a history (A4) put
+    before each scored row's own user turn (F4)."""
+    ids = exemplar_ids(it)
+    rows = R.exemplar_rows(it, ids.select("id"))
+    first = X.top_k_per_dataset(rows, [F.col("id").cast("bigint")], k)
+    ex = X.number_in_order(first, [F.col("id").cast("bigint")])
+    hist = X.history(ex, k)
+    scored = R.labelled(R.test_split(it))
+    own = C.user_message(F.col("image"), prompt_col("text", "dataset", "image"), "image")
+    return X.attach_block(scored, hist).select(
+        "id", F.concat(F.coalesce(F.col("history"), F.array().cast(
+            "array<struct<role:string,content:array<struct<type:string,value:string>>>>")),
+            F.array(own)).alias("messages"))
+
+
+@query("fewshot_history", T.with_items(f""", {_EX_IDS_SQL},
+ex AS (
+  SELECT i.*, CAST(row_number() OVER (PARTITION BY i.dataset ORDER BY CAST(i.id AS BIGINT)) - 1 AS INTEGER) AS pos
+  FROM items i WHERE i.id IN (SELECT id FROM ex_ids)
+  QUALIFY row_number() OVER (PARTITION BY i.dataset ORDER BY CAST(i.id AS BIGINT)) <= {FEW_K}
+), t AS (SELECT * FROM items WHERE type = 'test' AND label IS NOT NULL)
+SELECT t.id, CAST(2 * e.pos AS INTEGER) AS msg_pos, 0 AS part_pos, 'user' AS role, 'image' AS type, md5(e.image) AS value_md5
+FROM t JOIN ex e ON e.dataset = t.dataset
+UNION ALL
+SELECT t.id, CAST(2 * e.pos AS INTEGER), 1, 'user', 'text', md5({S.prompt_sql('e.text', 'e.dataset', "'image'")})
+FROM t JOIN ex e ON e.dataset = t.dataset
+UNION ALL
+SELECT t.id, CAST(2 * e.pos + 1 AS INTEGER), 0, 'assistant', 'text', md5({S.class_name_sql('e.dataset', 'e.label')})
+FROM t JOIN ex e ON e.dataset = t.dataset
+UNION ALL
+SELECT t.id, CAST(2 * (SELECT count(*) FROM ex e WHERE e.dataset = t.dataset) AS INTEGER), 0, 'user', 'image', md5(t.image) FROM t
+UNION ALL
+SELECT t.id, CAST(2 * (SELECT count(*) FROM ex e WHERE e.dataset = t.dataset) AS INTEGER), 1, 'user', 'text', md5({S.prompt_sql('t.text', 't.dataset', "'image'")}) FROM t
+"""))
+def fewshot_history(spark, sf):
+    m = fewshot_messages_df(T.items(spark, sf))
+    msgs = m.select("id", F.posexplode("messages").alias("msg_pos", "msg"))
+    parts = msgs.select("id", "msg_pos", F.col("msg.role").alias("role"),
+                        F.posexplode("msg.content").alias("part_pos", "p"))
+    return parts.select("id", F.col("msg_pos").cast("int").alias("msg_pos"),
+                        F.col("part_pos").cast("int").alias("part_pos"), "role",
+                        F.col("p.type").alias("type"), F.md5(F.col("p.value")).alias("value_md5"))
+
+
+# ---------------------------------------------------------------- chat rendering
+
+@query("chat_render", """
+SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS segment
+FROM conversations
+""")
+def chat_render(spark, sf):
+    c = T.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", "role", C.render_turn("role", "text").alias("segment"))
+
+
+# ---------------------------------------------------------------- tokens
+
+def _ids_sql(text: str) -> str:
+    return (f"list_transform(list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \\t\\n\\r]+'), "
+            f"lambda w: w <> ''), lambda w: ((('0x' || substr(md5(w), 1, 7))::BIGINT % 32000) + 2))")
+
+
+def _token_rows_sql(table: str, key: str, n: int) -> str:
+    return f"""
+WITH t AS (SELECT {key}, {_ids_sql('text')} AS ids FROM {table}),
+p AS (SELECT {key}, ids, list_resize(ids, {n}, 0) AS input_ids FROM t)
+SELECT {key}, CAST(len(ids) AS BIGINT) AS n_tokens,
+       md5(array_to_string(input_ids, ' ')) AS input_ids_md5,
+       md5(array_to_string(list_transform(input_ids, lambda i: CASE WHEN i IN (0, 1) THEN -100 ELSE i END), ' ')) AS labels_md5,
+       CAST(list_sum(list_transform(input_ids, lambda i: CASE WHEN i = 0 THEN 0 ELSE 1 END)) AS BIGINT) AS n_attended
+FROM p"""
+
+
+def token_rows_df(df: DataFrame, key: str, n: int) -> DataFrame:
+    ids = df.select(key, TK.token_ids("text").alias("ids"))
+    rows = ids.select(key, "ids", TK.pad_truncate("ids", n).alias("input_ids"))
+    rows = rows.select(key, "ids", "input_ids", TK.mask_labels("input_ids").alias("labels"),
+                       TK.attention_mask("input_ids").alias("attention_mask"))
+    return rows.select(key, F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.md5(F.array_join("input_ids", " ")).alias("input_ids_md5"),
+                       F.md5(F.array_join("labels", " ")).alias("labels_md5"),
+                       F.aggregate("attention_mask", F.lit(0).cast("bigint"),
+                                   lambda a, x: a + x).alias("n_attended"))
+
+
+@query("token_rows", _token_rows_sql("benchmark", "item_id", 64))
+def token_rows(spark, sf):
+    return token_rows_df(T.table(spark, sf, "benchmark"), "item_id", 64)
+
+
+@query("token_rows_documents", _token_rows_sql("documents", "doc_id", 512))
+def token_rows_documents(spark, sf):
+    return token_rows_df(T.table(spark, sf, "documents"), "doc_id", 512)
+
+
+_BENCH_RESP_SQL = V.RULE_RESPONSE_SQL.format(t="text", pos="'hateful'", neg="'non-hateful'")
+
+
+@query("strip_prompt", f"""
+WITH g AS (
+  SELECT item_id, {_ids_sql('text')} AS prompt_ids,
+         {_ids_sql(_BENCH_RESP_SQL)} AS resp_ids
+  FROM benchmark
+), s AS (
+  SELECT item_id, len(prompt_ids) AS n_prompt,
+         list_concat(list_concat(prompt_ids, [1]), list_concat(resp_ids, [0, 0])) AS generated
+  FROM g
+)
+SELECT item_id, CAST(n_prompt AS BIGINT) AS n_prompt,
+       array_to_string(list_filter(generated[n_prompt + 1:], lambda i: i NOT IN (0, 1)), ' ') AS response_ids
+FROM s
+""")
+def strip_prompt(spark, sf):
+    b = T.table(spark, sf, "benchmark").withColumn("dataset", F.lit("hatemm"))
+    g = b.select("item_id", TK.token_ids("text").alias("prompt_ids"),
+                 TK.token_ids(V.rule_response("text", "dataset")).alias("resp_ids"))
+    gen = F.concat("prompt_ids", F.array(F.lit(1).cast("bigint")), "resp_ids",
+                   F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
+    s = g.select("item_id", F.size("prompt_ids").cast("bigint").alias("n_prompt"),
+                 gen.alias("generated"))
+    return s.select("item_id", "n_prompt",
+                    F.array_join(TK.strip_prompt("generated", F.col("n_prompt")), " ")
+                    .alias("response_ids"))
+
+
+# ---------------------------------------------------------------- batches
+
+@query("batches", T.with_items("""
+, r AS (
+  SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS pos
+  FROM items WHERE type IS DISTINCT FROM 'test' AND label IS NOT NULL
+)
+SELECT CAST(pos // 4 AS BIGINT) AS batch_id, CAST(pos // 32 AS BIGINT) AS step_id,
+       CAST(count(*) AS INTEGER) AS n_rows, string_agg(id, ' ' ORDER BY pos) AS ids
+FROM r GROUP BY pos // 4, pos // 32
+"""))
+def batches(spark, sf):
+    tr = R.labelled(R.train_split(T.items(spark, sf)))
+    b = B.collate(B.assign_batches(tr.select("id")), ["id"])
+    return b.select("batch_id", "step_id", "n_rows", F.array_join("id", " ").alias("ids"))
