@@ -49,16 +49,19 @@ def align_votes(**sources: DataFrame) -> DataFrame:
     return out
 
 
-def majority_vote(votes: DataFrame, tie: str = "null", tie_source: str = "original") -> DataFrame:
+def majority_vote(votes: DataFrame, tie: str = "null", tie_source: str = "original",
+                  sources: tuple[str, ...] = ()) -> DataFrame:
     """A2: per id, 1 if more than half of the non-NULL votes are 1, 0 if fewer, else a tie.
 
     ``tie='null'`` leaves ties NULL with ``needs_review = 1``; ``tie='original'`` takes the vote
     of ``tie_source``. ``groupBy(id)`` with count/sum is partially aggregated before the
-    shuffle, so an id with a third of all votes costs one row per task."""
+    shuffle, so an id with a third of all votes costs one row per task. ``sources`` adds one
+    column per named source with its vote (pivoted inside the same aggregate)."""
     g = votes.groupBy("id").agg(
         F.count("vote").alias("n_votes"),
         F.coalesce(F.sum("vote"), F.lit(0)).cast("bigint").alias("n_positive"),
         F.max(F.when(F.col("source") == tie_source, F.col("vote"))).alias("_tie_vote"),
+        *[F.max(F.when(F.col("source") == s, F.col("vote"))).alias(s) for s in sources],
     )
     two_p = F.col("n_positive") * 2
     decided = F.when(F.col("n_votes") == 0, F.lit(None).cast("int")) \
@@ -70,7 +73,7 @@ def majority_vote(votes: DataFrame, tie: str = "null", tie_source: str = "origin
         final = decided
     else:
         raise ValueError(f"unknown tie rule {tie!r}")
-    return g.select("id", F.col("n_votes").cast("bigint").alias("n_votes"), "n_positive",
+    return g.select("id", *sources, F.col("n_votes").cast("bigint").alias("n_votes"), "n_positive",
                     final.cast("int").alias("final_label"),
                     F.when(final.isNull(), F.lit(1)).otherwise(F.lit(0)).alias("needs_review"))
 
@@ -105,3 +108,25 @@ RULE_RESPONSE_SQL = """CASE WHEN substr(md5(coalesce({t}, '')), 1, 1) IN ('0','1
      WHEN substr(md5(coalesce({t}, '')), 1, 1) = 'd' THEN 'I think it is ' || {pos}
      WHEN substr(md5(coalesce({t}, '')), 1, 1) = 'e' THEN ''
      ELSE NULL END"""
+
+
+def reannotate(memes: DataFrame, predictor, human: DataFrame | None = None,
+               tie: str = "null", mode: str = "image") -> DataFrame:
+    """M5: re-annotation end to end. Each meme gets an unlabelled scoring prompt and message
+    list (F2, F4); ``predictor`` (DataFrame → DataFrame adding ``response``; a model via
+    :func:`labelflow.operators.predict.predict` or any rule) answers; the answer is parsed (M6)
+    and voted (J6, A2) with the original label and the human annotation (``id, vote``).
+
+    Output per id: ``original, model, human, n_votes, n_positive, final_label, needs_review``.
+    """
+    from labelflow.functions.chat import messages_col
+    from labelflow.functions.prompts import prompt_col
+    asked = memes.withColumn("prompt", prompt_col("text", "dataset", mode)) \
+                 .withColumn("messages", messages_col(F.col("image"), F.col("prompt"), None, mode))
+    answered = parse_response(predictor(asked), "response", "dataset", "pred")
+    parts = {"original": memes.select("id", F.col("label").alias("vote")),
+             "model": answered.select("id", F.col("pred").alias("vote"))}
+    if human is not None:
+        parts["human"] = human.select("id", "vote").join(memes.select("id"), "id", "left_semi")
+    votes = align_votes(**parts)
+    return majority_vote(votes, tie=tie, sources=("original", "model", "human"))

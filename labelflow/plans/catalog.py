@@ -408,3 +408,223 @@ def batches(spark, sf):
     tr = R.labelled(R.train_split(T.items(spark, sf)))
     b = B.collate(B.assign_batches(tr.select("id")), ["id"])
     return b.select("batch_id", "step_id", "n_rows", F.array_join("id", " ").alias("ids"))
+
+
+# ---------------------------------------------------------------- votes
+
+from labelflow.functions import augment as AU  # noqa: E402
+from labelflow.operators import predict as P  # noqa: E402
+from labelflow.operators import regimes as RG  # noqa: E402
+
+
+def rule_predictor(df: DataFrame) -> DataFrame:
+    """The stand-in model: adds ``response`` from :func:`votes.rule_response`."""
+    return df.withColumn("response", V.rule_response("text", "dataset"))
+
+
+def human_votes(spark, sf) -> DataFrame:
+    """Second annotator: ``1 - quality`` from ``labels``."""
+    return T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"),
+                                               (1 - F.col("quality")).alias("vote"))
+
+
+_VOTES_SQL = f"""votes AS (
+  SELECT id, 'original' AS source, label AS vote FROM items WHERE {{where}}
+  UNION ALL SELECT id, 'model', {S.parse_sql('(' + _RESP_SQL + ')')} FROM items WHERE {{where}}
+  UNION ALL SELECT CAST(l.doc_id AS VARCHAR), 'human', 1 - l.quality FROM labels l
+    WHERE CAST(l.doc_id AS VARCHAR) IN (SELECT id FROM items WHERE {{where}})
+), g AS (
+  SELECT id, count(vote) AS n, coalesce(sum(vote), 0) AS p,
+         max(vote) FILTER (WHERE source = 'original') AS original,
+         max(vote) FILTER (WHERE source = 'model') AS model,
+         max(vote) FILTER (WHERE source = 'human') AS human
+  FROM votes GROUP BY id
+), final AS (
+  SELECT id, original, model, human, CAST(n AS BIGINT) AS n_votes, CAST(p AS BIGINT) AS n_positive,
+         CASE WHEN n = 0 THEN NULL WHEN 2 * p > n THEN 1 WHEN 2 * p < n THEN 0 END AS final_label
+  FROM g
+)"""
+
+
+def reannotated(spark, sf, where=None) -> DataFrame:
+    it = T.items(spark, sf)
+    if where is not None:
+        it = it.filter(where)
+    return V.reannotate(it, rule_predictor, human_votes(spark, sf))
+
+
+@query("majority_vote", T.with_items(f", {_VOTES_SQL.format(where='TRUE')}" + """
+SELECT id, n_votes, n_positive, final_label, CASE WHEN final_label IS NULL THEN 1 ELSE 0 END AS needs_review
+FROM final"""))
+def majority_vote(spark, sf):
+    return reannotated(spark, sf).select("id", "n_votes", "n_positive", "final_label",
+                                         "needs_review")
+
+
+@query("reannotate", T.with_items(f", {_VOTES_SQL.format(where=chr(39) + 'meme' + chr(39) + ' = domain')}" + """
+SELECT id, original, model, human, n_votes, n_positive, final_label,
+       CASE WHEN final_label IS NULL THEN 1 ELSE 0 END AS needs_review
+FROM final"""))
+def reannotate_q(spark, sf):
+    return reannotated(spark, sf, F.col("domain") == "meme")
+
+
+@query("label_transitions", T.with_items(f", {_VOTES_SQL.format(where='TRUE')}" + """
+SELECT i.label AS orig_label, f.final_label, CAST(count(*) AS BIGINT) AS n
+FROM items i JOIN final f ON f.id = i.id GROUP BY i.label, f.final_label"""))
+def label_transitions(spark, sf):
+    return V.label_transitions(T.items(spark, sf), reannotated(spark, sf))
+
+
+@query("parse_response", T.with_items(f"""
+SELECT id, {_RESP_SQL} AS response, {S.parse_sql('(' + _RESP_SQL + ')')} AS pred FROM items"""))
+def parse_response_q(spark, sf):
+    r = rule_predictor(T.items(spark, sf))
+    return V.parse_response(r).select("id", "response", "pred")
+
+
+@query("classification_report", "WITH lab AS (SELECT toxic AS label, 1 - quality AS pred FROM labels)"
+       + M.report_sql("lab"))
+def classification_report(spark, sf):
+    lab = T.table(spark, sf, "labels").select(F.col("toxic").alias("label"),
+                                              (1 - F.col("quality")).alias("pred"))
+    return M.classification_report(lab)
+
+
+# ---------------------------------------------------------------- media
+
+@query("media_route", """
+SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '.mp4' ELSE '.png' END AS path,
+       CASE WHEN right(url || CASE WHEN page_id % 3 = 0 THEN '.mp4' ELSE '.png' END, 3) = 'mp4' THEN 'video' ELSE 'image' END AS kind,
+       CASE WHEN right(url, 3) = 'mp4' THEN 1 ELSE 0 END AS url_is_mp4,
+       CASE WHEN url LIKE '%mhc%' THEN 'mhc' WHEN url LIKE '%hatemm%' THEN 'hatemm' ELSE 'none' END AS profile
+FROM pages""")
+def media_route(spark, sf):
+    pg = T.table(spark, sf, "pages")
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, F.lit(".mp4")).otherwise(F.lit(".png")))
+    routed = R.media_kind(pg.select("page_id", "url", path.alias("video")), "video", "kind")
+    # S6 per row; the strict resolver raises on no match, so route unmatched pages to 'none'
+    prof = F.when(F.col("url").contains("mhc") | F.col("url").contains("hatemm"),
+                  __import__("labelflow.functions.labels", fromlist=["x"]).resolve_profile("url")) \
+            .otherwise(F.lit("none"))
+    return routed.select("page_id", F.col("video").alias("path"), "kind",
+                         F.when(R.is_mp4("url"), 1).otherwise(0).alias("url_is_mp4"),
+                         prof.alias("profile"))
+
+
+_W1_SQL = f"""{_GAPPED_SQL.strip()},
+run AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY frame_idx) - 1 = frame_idx AS in_run
+  FROM gapped
+), pick AS (
+  SELECT item_id,
+         max(CASE WHEN frame_idx = 0 THEN 1 ELSE 0 END) AS has0,
+         coalesce(min(frame_idx) FILTER (WHERE in_run AND readable AND variance > 100),
+                  max(frame_idx) FILTER (WHERE in_run)) AS chosen,
+         min(frame_idx) FILTER (WHERE NOT readable) AS first_bad
+  FROM run GROUP BY item_id
+), w1 AS (
+  SELECT item_id,
+         CAST(CASE WHEN has0 = 1 THEN chosen END AS INTEGER) AS frame_idx,
+         CASE WHEN has0 = 0 THEN 'frame 0 missing'
+              WHEN first_bad IS NOT NULL AND first_bad <= chosen THEN 'unreadable frame at or before the choice'
+              ELSE 'ok' END AS status
+  FROM pick
+), resolved AS (
+  SELECT i.id,
+         CASE WHEN i.frames IS NOT NULL AND w.frame_idx IS NOT NULL
+              THEN i.frames || '/' || CAST(w.frame_idx AS VARCHAR) || '.png' ELSE i.image END AS image,
+         CASE WHEN i.frames IS NULL THEN 'ok' WHEN w.item_id IS NULL THEN 'frame 0 missing' ELSE w.status END AS status
+  FROM items i LEFT JOIN w1 w ON w.item_id = i.frames
+)"""
+
+
+def resolved_items(spark, sf) -> DataFrame:
+    chosen = FR.first_informative(gapped_frames(spark, sf), threshold=100.0)
+    return R.resolve_media(T.items(spark, sf), chosen)
+
+
+@query("media_fallback", T.with_items_frames(f", {_W1_SQL}" + """
+SELECT id, image, image AS video, status,
+       CASE WHEN right(image, 3) = 'mp4' THEN 'video' ELSE 'image' END AS kind
+FROM resolved"""))
+def media_fallback(spark, sf):
+    r = R.media_kind(resolved_items(spark, sf), "video", "kind")
+    return r.select("id", "image", "video", "status", "kind")
+
+
+@query("quarantine", T.with_items_frames(f", {_W1_SQL}" + """
+SELECT id, CASE WHEN status <> 'ok' THEN status
+                WHEN substr(md5('img:' || id), 1, 1) = 'f' THEN 'unreadable image'
+                ELSE 'good' END AS outcome
+FROM resolved"""))
+def quarantine_q(spark, sf):
+    r = resolved_items(spark, sf)
+    reason = F.when(F.col("status") != "ok", F.col("status")) \
+              .when(F.substring(F.md5(F.concat(F.lit("img:"), "id")), 1, 1) == "f",
+                    F.lit("unreadable image"))
+    good, bad = R.quarantine(r, reason)
+    return good.select("id", F.lit("good").alias("outcome")) \
+        .unionByName(bad.select("id", F.col("reason").alias("outcome")))
+
+
+# ---------------------------------------------------------------- augmentation plan
+
+@query("augmentation_plan", AU.plan_sql("labels", "doc_id"))
+def augmentation_plan(spark, sf):
+    lab = T.table(spark, sf, "labels").select("doc_id")
+    return AU.augmentation_plan(lab, "doc_id", digits=6).withColumn(
+        "aug_k", F.col("aug_k").cast("int"))
+
+
+# ---------------------------------------------------------------- regimes
+
+@query("augment_union", T.with_items("""
+SELECT id, domain, label FROM items WHERE type IS DISTINCT FROM 'test'"""))
+def augment_union(spark, sf):
+    it = T.items(spark, sf)
+    u = RG.augment(it.filter(F.col("domain") == "video").drop("domain"),
+                   it.filter(F.col("domain") == "meme").drop("domain"))
+    return u.select("id", "domain", "label")
+
+
+def regime_items(spark, sf) -> DataFrame:
+    it = T.items(spark, sf)
+    return RG.with_reannotated(it, reannotated(spark, sf, F.col("domain") == "meme"))
+
+
+@query("regime_counts", T.with_items(f", {_VOTES_SQL.format(where=chr(39) + 'meme' + chr(39) + ' = domain')}" + """,
+r AS (SELECT i.*, f.final_label AS rm_label FROM items i LEFT JOIN final f ON f.id = i.id
+      WHERE i.type IS DISTINCT FROM 'test')
+SELECT 'no_ft' AS regime, CAST(0 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_positive
+UNION ALL SELECT 'om_ft', count(*), coalesce(sum(label), 0) FROM r WHERE domain = 'meme' AND label IS NOT NULL
+UNION ALL SELECT 'rm_ft', count(*), coalesce(sum(rm_label), 0) FROM r WHERE domain = 'meme' AND rm_label IS NOT NULL
+UNION ALL SELECT 'vid_ft', count(*), coalesce(sum(label), 0) FROM r WHERE domain = 'video' AND label IS NOT NULL
+UNION ALL SELECT 'vid_rm', count(*), coalesce(sum(l), 0) FROM (
+  SELECT label AS l FROM r WHERE domain = 'video' AND label IS NOT NULL
+  UNION ALL SELECT rm_label FROM r WHERE domain = 'meme' AND rm_label IS NOT NULL)"""))
+def regime_counts(spark, sf):
+    return RG.regime_counts(regime_items(spark, sf))
+
+
+@query("compare_regimes")
+def compare_regimes(spark, sf):
+    def base(df):
+        return V.parse_response(rule_predictor(df), "response", "dataset", "pred")
+    return RG.compare_regimes(regime_items(spark, sf), base_predictor=base)
+
+
+# ---------------------------------------------------------------- prediction (M1 M2)
+
+@query("predict_embeddings", """
+SELECT vec_id,
+       round(list_sum(list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS DOUBLE) ELSE -CAST(x AS DOUBLE) END)), 6) AS score,
+       CASE WHEN list_sum(list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS DOUBLE) ELSE -CAST(x AS DOUBLE) END)) > 0 THEN 1 ELSE 0 END AS pred
+FROM embeddings""")
+def predict_embeddings(spark, sf):
+    e = T.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    make = P.choose_model(None, load_fn=lambda p: None,
+                          base_fn=P.linear_rule(P.alternating_weights(64)))
+    scored = P.predict(e, make, "embedding", out="raw", input_tensor_shapes=[[64]])
+    return scored.select("vec_id", F.round("raw", 6).alias("score"),
+                         P.score_to_label(F.col("raw")).alias("pred"))
