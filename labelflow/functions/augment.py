@@ -131,7 +131,9 @@ def apply_augmentation(plan: DataFrame, height: str = "height", width: str = "wi
     """Render every plan row: input columns ``height, width, data`` (RGB bytes, row-major) plus
     the plan; output adds ``aug_data`` (binary, same size)."""
     names = ["flip", *PARAMS]
-    schema = plan.schema.add("aug_data", "binary")
+    from pyspark.sql import types as T
+    # a new StructType: .add() would mutate the plan's cached schema
+    schema = T.StructType(list(plan.schema.fields) + [T.StructField("aug_data", T.BinaryType())])
 
     def run(batches):
         for pdf in batches:

@@ -26,23 +26,38 @@ def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.withColumn("weight", w)
 
 
-def fit_classifier(train: DataFrame, text: str = "text", label: str = "label",
-                   num_features: int = 1 << 18, max_iter: int = 10 * EPOCHS,
-                   reg: float = 0.01) -> PipelineModel:
-    """Fit on ``(text, label)`` rows; returns a ``PipelineModel`` (``PipelineModel.save`` to
-    keep it)."""
-    data = class_weights(train.select(F.coalesce(F.col(text), F.lit("")).alias("text"),
-                                      F.col(label).cast("double").alias("label")), "label")
-    stages = [RegexTokenizer(inputCol="text", outputCol="_tok", pattern="\\W+", toLowercase=True),
-              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-              IDF(inputCol="_tf", outputCol="features"),
+def featurize(df: DataFrame, text: str = "text", num_features: int = 1 << 16) -> DataFrame:
+    """Tokenize and hash ``text`` into term-frequency vectors ``_tf`` (pure transformers: no
+    fitting, no vocabulary, one narrow pass)."""
+    tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="\\W+", toLowercase=True)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    d = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    return tf.transform(tok.transform(d)).drop("_text", "_tok")
+
+
+def fit_on_features(train: DataFrame, label: str = "label", max_iter: int = 4 * EPOCHS,
+                    reg: float = 0.01) -> PipelineModel:
+    """Fit ``IDF → LogisticRegression`` on featurized rows (``_tf``, ``label``)."""
+    data = class_weights(train.select("_tf", F.col(label).cast("double").alias("label")), "label")
+    stages = [IDF(inputCol="_tf", outputCol="features"),
               LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                                  maxIter=max_iter, regParam=reg)]
     return Pipeline(stages=stages).fit(data)
 
 
-def classify(model: PipelineModel, df: DataFrame, text: str = "text",
-             out: str = "pred") -> DataFrame:
-    scored = model.transform(df.withColumn("text", F.coalesce(F.col(text), F.lit(""))))
+def fit_classifier(train: DataFrame, text: str = "text", label: str = "label",
+                   num_features: int = 1 << 16, max_iter: int = 4 * EPOCHS,
+                   reg: float = 0.01) -> PipelineModel:
+    """M3: fit on ``(text, label)`` rows; returns a ``PipelineModel`` over featurized rows
+    (use :func:`classify`, which featurizes the same way)."""
+    return fit_on_features(featurize(train, text, num_features), label, max_iter, reg)
+
+
+def classify(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "pred",
+             num_features: int = 1 << 16) -> DataFrame:
+    """Predict with a model from :func:`fit_classifier` (featurizes ``df`` unless it already
+    has ``_tf``)."""
+    d = df if "_tf" in df.columns else featurize(df, text, num_features)
+    scored = model.transform(d)
     return scored.withColumn(out, F.col("prediction").cast("int")) \
-                 .drop("_tok", "_tf", "features", "rawPrediction", "probability", "prediction")
+                 .drop("_tf", "features", "rawPrediction", "probability", "prediction")

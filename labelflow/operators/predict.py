@@ -8,7 +8,9 @@ linear model, anything that maps a NumPy batch to a NumPy batch.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +47,8 @@ def text_predictor(make_fn: Callable[[], Callable[[list[str]], list[str]]],
                    batch_size: int = 64):
     """M1 for text in, text out (prompts → responses): an iterator ``pandas_udf`` that builds
     the model once per task and answers one Arrow batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
-    def _answer(batches):
+    def _answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_fn()
         for s in batches:
             out = []

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.operators import metrics as M
-from labelflow.operators.classifier import classify, fit_classifier
+from labelflow.operators.classifier import classify, featurize, fit_on_features
+from labelflow.session import ensure_checkpoint_dir
 from labelflow.operators.rows import labelled, test_split, train_split
 
 REGIMES = ("no_ft", "om_ft", "rm_ft", "vid_ft", "vid_rm")
@@ -40,8 +41,10 @@ def regime_rows(items: DataFrame, regime: str) -> DataFrame:
     tr = train_split(items)
     meme, video = tr.filter(F.col("domain") == "meme"), tr.filter(F.col("domain") == "video")
 
+    extra = [c for c in ("_tf",) if c in items.columns]
+
     def pick(df, col):
-        return labelled(df.select("id", "text", F.col(col).alias("label"), "domain"))
+        return labelled(df.select("id", "text", F.col(col).alias("label"), "domain", *extra))
     if regime == "no_ft":
         return pick(tr, "label").filter(F.lit(False))  # no training rows: the base model as is
     if regime == "om_ft":
@@ -68,7 +71,14 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
                     target_domain: str = "video") -> DataFrame:
     """M4: one classifier per regime, all scored on the target's labelled test rows; one
     metrics row per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if
-    None, predicts the negative class."""
+    None, predicts the negative class.
+
+    Texts are featurized once and the result is checkpointed to the shared checkpoint folder,
+    so the fits (each several passes) reread that instead of recomputing the lineage."""
+    ensure_checkpoint_dir(items.sparkSession)
+    cols = [c for c in ("id", "text", "label", "rm_label", "domain", "type", "dataset")
+            if c in items.columns]
+    items = featurize(items.select(*cols)).checkpoint()
     target = labelled(test_split(items.filter(F.col("domain") == target_domain)))
     reports = []
     for r in regimes:
@@ -76,7 +86,7 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
             scored = base_predictor(target) if base_predictor else target.withColumn("pred",
                                                                                       F.lit(0))
         else:
-            model = fit_classifier(regime_rows(items, r))
+            model = fit_on_features(regime_rows(items, r))
             scored = classify(model, target)
         reports.append(M.classification_report(scored.select("label", "pred"))
                        .select(F.lit(r).alias("regime"), "*"))

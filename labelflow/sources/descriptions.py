@@ -33,7 +33,7 @@ def _parse(batches):
 
 def read_description_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All rows of the description file(s), with ``file`` and ``pos``; duplicates kept."""
-    raw = spark.read.option("wholetext", "true").text(path) \
+    raw = spark.read.text(path, wholetext=True) \
         .select(F.input_file_name().alias("path"), "value")
     return raw.mapInPandas(_parse, DESCRIPTION_SCHEMA)
 
