@@ -22,29 +22,37 @@ def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "fra
     (``variance > threshold`` is false) and frame ``i+1`` exists. So the answer is the smallest
     informative index inside the gap-free run that starts at 0, else the last index of that run.
 
-    Plan: one self-join on ``(group, idx + 1)`` flags the frames whose successor is missing; a
-    single partial (map-side combined) aggregate per group then yields
+    Plan (one scan, no join, no window over a group): every frame emits two rows, itself at
+    ``idx`` and a successor marker at ``idx - 1``. An aggregate on ``(group, idx)`` — a
+    composite key, so a hot group spreads over all tasks — tells for each present frame whether
+    its successor exists. A second, map-side combined aggregate per group then yields
       ``e`` = first frame without successor (end of the run from 0),
       ``f`` = first informative readable frame, ``u`` = first unreadable frame;
-    answer = ``f`` if ``f <= e`` else ``e``. No window over a group: a video with a third of all
-    frames is aggregated by every task in parallel, and the join key includes the index.
+    answer = ``f`` if ``f <= e`` else ``e``. The frames (and their pixel variance, for real
+    images) are computed once.
 
     Output: ``group, frame_idx, status`` with status ``ok``, ``frame 0 missing`` or
     ``unreadable frame at or before the choice`` (the reference raises for the last two; with
     ``strict`` so do we).
     """
     ok_read = F.col(readable) if readable else F.lit(True)
-    base = frames.select(F.col(group).alias("_g"), F.col(idx).cast("bigint").alias("_i"),
-                         F.col(variance).alias("_v"), ok_read.alias("_ok"))
-    succ = frames.select(F.col(group).alias("_g"), (F.col(idx).cast("bigint") - 1).alias("_i"),
-                         F.lit(True).alias("_has_next")).distinct()
-    flagged = base.join(succ, ["_g", "_i"], "left")
-    informative = F.col("_ok") & (F.col("_v") > F.lit(threshold))
-    agg = flagged.groupBy("_g").agg(
+    i = F.col(idx).cast("bigint")
+    informative = ok_read & (F.col(variance) > F.lit(threshold))
+    me = F.struct(i.alias("i"), F.lit(1).alias("self"), F.lit(0).alias("nxt"),
+                  F.when(informative, 1).otherwise(0).alias("inf"),
+                  F.when(ok_read, 0).otherwise(1).alias("bad"))
+    marker = F.struct((i - 1).alias("i"), F.lit(0).alias("self"), F.lit(1).alias("nxt"),
+                      F.lit(0).alias("inf"), F.lit(0).alias("bad"))
+    both = frames.select(F.col(group).alias("_g"), F.explode(F.array(me, marker)).alias("r"))
+    per_frame = both.groupBy("_g", F.col("r.i").alias("_i")).agg(
+        F.max("r.self").alias("_self"), F.max("r.nxt").alias("_nxt"),
+        F.max("r.inf").alias("_inf"), F.max("r.bad").alias("_bad")) \
+        .filter(F.col("_self") == 1)
+    agg = per_frame.groupBy("_g").agg(
         F.max(F.when(F.col("_i") == 0, F.lit(1)).otherwise(F.lit(0))).alias("_has0"),
-        F.min(F.when(F.col("_has_next").isNull(), F.col("_i"))).alias("_e"),
-        F.min(F.when(informative, F.col("_i"))).alias("_f"),
-        F.min(F.when(~F.col("_ok"), F.col("_i"))).alias("_u"),
+        F.min(F.when(F.col("_nxt") == 0, F.col("_i"))).alias("_e"),
+        F.min(F.when(F.col("_inf") == 1, F.col("_i"))).alias("_f"),
+        F.min(F.when(F.col("_bad") == 1, F.col("_i"))).alias("_u"),
     )
     chosen = F.when(F.col("_has0") == 0, F.lit(None).cast("bigint")) \
               .when(F.col("_f").isNotNull() & (F.col("_f") <= F.col("_e")), F.col("_f")) \
