@@ -49,20 +49,37 @@ def align_votes(**sources: DataFrame) -> DataFrame:
     return out
 
 
+def votes_from_columns(df: DataFrame, columns: dict[str, str], id_col: str = "id") -> DataFrame:
+    """J6 for sources that live on the same rows: one pass emits ``(id, source, vote)`` per
+    named column (``explode`` of a small array; no union of two scans)."""
+    arr = F.array(*[F.struct(F.lit(s).alias("source"), F.col(c).cast("int").alias("vote"))
+                    for s, c in columns.items()])
+    return df.select(F.col(id_col).cast("string").alias("id"), F.explode(arr).alias("v")) \
+             .select("id", "v.source", "v.vote")
+
+
 def majority_vote(votes: DataFrame, tie: str = "null", tie_source: str = "original",
-                  sources: tuple[str, ...] = ()) -> DataFrame:
+                  sources: tuple[str, ...] = (), require_source: str | None = None) -> DataFrame:
     """A2: per id, 1 if more than half of the non-NULL votes are 1, 0 if fewer, else a tie.
 
     ``tie='null'`` leaves ties NULL with ``needs_review = 1``; ``tie='original'`` takes the vote
     of ``tie_source``. ``groupBy(id)`` with count/sum is partially aggregated before the
     shuffle, so an id with a third of all votes costs one row per task. ``sources`` adds one
-    column per named source with its vote (pivoted inside the same aggregate)."""
-    g = votes.groupBy("id").agg(
+    column per named source with its vote (pivoted inside the same aggregate).
+    ``require_source`` keeps only ids with a row from that source (e.g. restrict extra human
+    votes to the items being re-annotated without a join)."""
+    extra = []
+    if require_source is not None:
+        extra.append(F.max(F.when(F.col("source") == require_source, 1).otherwise(0))
+                     .alias("_required"))
+    g = votes.groupBy("id").agg(*extra,
         F.count("vote").alias("n_votes"),
         F.coalesce(F.sum("vote"), F.lit(0)).cast("bigint").alias("n_positive"),
         F.max(F.when(F.col("source") == tie_source, F.col("vote"))).alias("_tie_vote"),
         *[F.max(F.when(F.col("source") == s, F.col("vote"))).alias(s) for s in sources],
     )
+    if require_source is not None:
+        g = g.filter(F.col("_required") == 1)
     two_p = F.col("n_positive") * 2
     decided = F.when(F.col("n_votes") == 0, F.lit(None).cast("int")) \
                .when(two_p > F.col("n_votes"), F.lit(1)) \
@@ -124,9 +141,9 @@ def reannotate(memes: DataFrame, predictor, human: DataFrame | None = None,
     asked = memes.withColumn("prompt", prompt_col("text", "dataset", mode)) \
                  .withColumn("messages", messages_col(F.col("image"), F.col("prompt"), None, mode))
     answered = parse_response(predictor(asked), "response", "dataset", "pred")
-    parts = {"original": memes.select("id", F.col("label").alias("vote")),
-             "model": answered.select("id", F.col("pred").alias("vote"))}
+    votes = votes_from_columns(answered, {"original": "label", "model": "pred"})
     if human is not None:
-        parts["human"] = human.select("id", "vote").join(memes.select("id"), "id", "left_semi")
-    votes = align_votes(**parts)
-    return majority_vote(votes, tie=tie, sources=("original", "model", "human"))
+        votes = votes.unionByName(align_votes(human=human))
+    # human votes for ids outside ``memes`` are dropped after the aggregate, not by a join
+    return majority_vote(votes, tie=tie, sources=("original", "model", "human"),
+                         require_source="original")
