@@ -628,3 +628,55 @@ def predict_embeddings(spark, sf):
     scored = P.predict(e, make, "embedding", out="raw", input_tensor_shapes=[[64]])
     return scored.select("vec_id", F.round("raw", 6).alias("score"),
                          P.score_to_label(F.col("raw")).alias("pred"))
+
+
+# ---------------------------------------------------------------- training rows
+
+from labelflow.sources.sinks import prediction_rows  # noqa: E402
+
+
+def training_rows_df(it: DataFrame, max_length: int = 512) -> DataFrame:
+    """The fine-tuning collate path: labelled training items → user(image, prompt) +
+    assistant(class name) messages → rendered text (no generation suffix) → token ids over the
+    whole text → truncate/pad to ``max_length`` → masked labels → seeded batch and step ids."""
+    tr = class_name(R.labelled(R.train_split(it)), out="answer")
+    msgs = tr.select("id", C.messages_col(F.col("image"), prompt_col("text", "dataset", "image"),
+                                          F.col("answer"), "image").alias("messages"))
+    ids = msgs.select("id", TK.token_ids(C.render_chat("messages")).alias("ids"))
+    rows = ids.select("id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      TK.pad_truncate("ids", max_length).alias("input_ids"))
+    rows = B.assign_batches(rows)
+    return rows.select("id", "batch_id", "step_id", "n_tokens",
+                       F.md5(F.array_join("input_ids", " ")).alias("input_ids_md5"),
+                       F.md5(F.array_join(TK.mask_labels("input_ids"), " ")).alias("labels_md5"))
+
+
+_RENDER_TRAIN_SQL = ("'<|user|>' || chr(10) || '<|image|>' || " + S.prompt_sql('text', 'dataset', "'image'")
+                     + " || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) || "
+                     + S.class_name_sql() + " || '<|end|>' || chr(10)")
+
+
+@query("training_rows", T.with_items(f"""
+, t AS (
+  SELECT id, {_ids_sql(_RENDER_TRAIN_SQL)} AS ids
+  FROM items WHERE type IS DISTINCT FROM 'test' AND label IS NOT NULL
+), p AS (
+  SELECT id, ids, list_resize(ids, 512, 0) AS input_ids,
+         row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS pos
+  FROM t
+)
+SELECT id, CAST(pos // 4 AS BIGINT) AS batch_id, CAST(pos // 32 AS BIGINT) AS step_id,
+       CAST(len(ids) AS BIGINT) AS n_tokens,
+       md5(array_to_string(input_ids, ' ')) AS input_ids_md5,
+       md5(array_to_string(list_transform(input_ids, lambda i: CASE WHEN i IN (0, 1) THEN -100 ELSE i END), ' ')) AS labels_md5
+FROM p"""))
+def training_rows(spark, sf):
+    return training_rows_df(T.items(spark, sf))
+
+
+@query("predictions", T.with_items(f"""
+SELECT id, {_RESP_SQL} AS response, {S.class_name_sql()} AS label
+FROM items WHERE type = 'test' AND label IS NOT NULL"""))
+def predictions(spark, sf):
+    scored = rule_predictor(class_name(R.labelled(R.test_split(T.items(spark, sf)))))
+    return prediction_rows(scored)
