@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelflow.constants import SHUFFLE_SEED
 
@@ -26,23 +27,46 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _running_total(col: str, part: list, order: list) -> Column:
+    """Sum of ``col`` over the rows strictly before this one (0 for the first)."""
+    w = (Window.partitionBy(*part) if part else Window).orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(col).over(w), F.lit(0)).cast("bigint")
+
+
 def index_within_group(df: DataFrame, order, bucket: Column, group=None, out: str = "idx",
-                       base: int = 0, bucket_bound: int | None = None) -> DataFrame:
+                       base: int = 0, bucket_bound: int | None = None,
+                       fine: Column | None = None) -> DataFrame:
     """Dense position of each row in ``order`` (a total order) within ``group`` (or the whole
     table when ``group`` is None), starting at ``base``.
 
     ``bucket`` must be non-decreasing along ``order`` inside a group. ``bucket_bound`` is a
     proven upper bound on the number of distinct ``(group, bucket)`` pairs; when given and at
     most 1M the offset table is broadcast, otherwise AQE chooses the join from runtime sizes.
+
+    ``fine`` (optional) refines ``bucket`` and is also non-decreasing along ``order`` (an hour
+    and its second, say). Rows are then ranked per ``(group, bucket, fine)``; the fine counts
+    get their offsets inside their ``(group, bucket)`` and the buckets theirs inside the group,
+    so no step sees more than one bucket's fine counts or one group's bucket counts, and a row
+    set concentrated in one bucket is still spread over its fine buckets.
     """
     gcols = _cols(group)
     gnames = [f"_g{i}" for i in range(len(gcols))]
-    b = df.select("*", *[c.alias(n) for c, n in zip(gcols, gnames)], bucket.alias("_bk"))
+    extra = [fine.alias("_fb")] if fine is not None else []
+    b = df.select("*", *[c.alias(n) for c, n in zip(gcols, gnames)], bucket.alias("_bk"),
+                  *extra)
     keys = gnames + ["_bk"]
-    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*gnames).orderBy("_bk") if gnames else Window.orderBy("_bk")
-    offsets = counts.select(*keys, (F.coalesce(F.sum("_n").over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
+    if fine is None:
+        counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        offsets = counts.select(*keys, _running_total("_n", gnames, ["_bk"]).alias("_off"))
+    else:
+        fcounts = b.groupBy(*keys, "_fb").agg(F.count(F.lit(1)).alias("_n"))
+        foff = fcounts.select(*keys, "_fb", _running_total("_n", keys, ["_fb"]).alias("_offf"))
+        ccounts = fcounts.groupBy(*keys).agg(F.sum("_n").alias("_nc"))
+        coff = ccounts.select(*keys, _running_total("_nc", gnames, ["_bk"]).alias("_offc"))
+        offsets = foff.join(coff, keys, "inner") \
+            .select(*keys, "_fb", (F.col("_offc") + F.col("_offf")).alias("_off"))
+        keys = keys + ["_fb"]
     if bucket_bound is not None and bucket_bound <= 1_000_000:
         offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*keys).orderBy(*_cols(order))
@@ -58,19 +82,91 @@ def shuffle_key(id_col="id", seed: int = SHUFFLE_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+def _has_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.MapType):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _has_map(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_has_map(f.dataType) for f in dt.fields)
+    return False
+
+
 def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
-                   out: str = "pos", prefix_len: int = 4) -> DataFrame:
+                   out: str = "pos", prefix_len: int = 4, hot_min_rows: int = 1_000_000,
+                   hot_factor: float = 4.0, chunk: int = 1 << 16) -> DataFrame:
     """O1 + O4: give every row its position in a seeded permutation, ordered by
-    ``md5(seed:id)`` then ``id``. Not ``rand(seed)``: that depends on the partitioning.
-
-    Buckets are the first ``prefix_len`` hex digits of the key (16**prefix_len buckets, a
-    proven bound, so their offsets are broadcast)."""
-    key = shuffle_key(id_col, seed)
-    keyed = df.withColumn("_sk", key)
-    res = index_within_group(keyed, order=[F.col("_sk"), F.col(id_col)],
-                             bucket=F.substring("_sk", 1, prefix_len), out=out,
-                             bucket_bound=16 ** prefix_len)
-    return res.drop("_sk")
+    ``md5(seed:id)``, then ``id``, then the row's content (so rows sharing an id get a fixed
+    order too). Not ``rand(seed)``: that depends on the partitioning. Every step is
+    deterministic, so a task recomputed after an executor loss yields the same positions.
+
+    Rows are bucketed by the first ``prefix_len`` hex digits of the key (at most
+    ``16**prefix_len`` buckets, a proven bound: the per-bucket count and offset table is
+    broadcast). A bucket is *hot* when it holds more than
+    ``max(hot_min_rows, hot_factor × mean bucket size)`` rows — with a uniform hash that only
+    happens when one id (or a few) carries a large share of the rows.
+
+    * cold buckets: one window per bucket, ordered by ``(key, id, content)``.
+    * hot buckets: identical rows are interchangeable, so they are first counted
+      (``groupBy`` on the whole row: partial aggregation before the shuffle, so a row copied a
+      billion times costs one row per map task). Distinct rows sharing an id are spread over
+      ``16**3`` sub-buckets by the first digits of a content hash and ordered by that hash
+      inside the id; sub-bucket sizes give offsets; each distinct row then expands to its
+      copies' positions — in chunks of ``chunk`` rows that are repartitioned before the final
+      expansion, so a hot copy group is written by many tasks.
+    """
+    cols = df.columns
+    content = [c for c in cols if c != id_col]
+    # rows sharing an id are ordered by their content; maps are not orderable, so their JSON
+    tie = [F.to_json(F.col(c)) if _has_map(df.schema[c].dataType) else F.col(c)
+           for c in content]
+    n_buckets = 16 ** prefix_len
+    keyed = df.withColumn("_sk", shuffle_key(id_col, seed)) \
+              .withColumn("_b1", F.substring("_sk", 1, prefix_len))
+
+    counts = keyed.groupBy("_b1").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    limit = F.greatest(F.lit(float(hot_min_rows)), F.lit(hot_factor) * total / F.lit(n_buckets))
+    stats = counts.select("_b1", _running_total("_n", [], ["_b1"]).alias("_off"),
+                          (F.col("_n") > limit).alias("_hot"))
+    tagged = keyed.join(F.broadcast(stats), "_b1", "inner")
+
+    # cold buckets: a plain window per bucket
+    cold = tagged.filter(~F.col("_hot"))
+    w = Window.partitionBy("_b1").orderBy("_sk", F.col(id_col), *tie)
+    cold_pos = cold.select(*cols, (F.col("_off") + F.row_number().over(w) - 1)
+                           .cast("bigint").alias(out))
+
+    # hot buckets: count identical rows, offsets per content-hash sub-bucket, expand
+    hot = tagged.filter(F.col("_hot"))
+    maps = [c for c in cols if _has_map(df.schema[c].dataType)]
+    group_cols = [F.to_json(F.col(c)).alias(f"_j_{c}") if c in maps else F.col(c) for c in cols]
+    keep_maps = [F.any_value(c).alias(c) for c in maps]
+    grouped = hot.groupBy(*group_cols, "_sk", "_b1", "_off").agg(
+        F.count(F.lit(1)).alias("_c"), *keep_maps)
+    grouped = grouped.withColumn(
+        "_tb", F.md5(F.to_json(F.struct(*[F.col(c) for c in cols]))))
+    grouped = grouped.withColumn("_f", F.substring("_tb", 1, 3))
+    sub = ["_b1", "_sk", id_col, "_f"]
+    fine = grouped.groupBy(*sub).agg(F.sum("_c").alias("_nf"))
+    fine_off = fine.select(*sub, _running_total("_nf", ["_b1"], ["_sk", id_col, "_f"])
+                           .alias("_offf"))
+    starts = grouped.join(fine_off, sub, "inner").withColumn(
+        "_s", F.col("_off") + F.col("_offf")
+        + _running_total("_c", sub, [F.col("_tb"), *tie]))
+    last = F.col("_s") + F.col("_c") - 1
+    small = starts.filter(F.col("_c") <= chunk) \
+        .select(*cols, F.explode(F.sequence(F.col("_s"), last)).alias(out))
+    big = starts.filter(F.col("_c") > chunk) \
+        .select(*cols, "_s", "_c", "_tb",
+                F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                     F.floor((F.col("_c") - 1) / chunk).cast("bigint")))
+                .alias("_k")) \
+        .repartition("_tb", "_k")
+    lo = F.col("_s") + F.col("_k") * chunk
+    hi = F.least(last, lo + chunk - 1)
+    big = big.select(*cols, F.explode(F.sequence(lo, hi)).alias(out))
+    return cold_pos.unionByName(small).unionByName(big)
 
 
 def first_k(df: DataFrame, order, k: int) -> DataFrame:

@@ -66,11 +66,12 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame table from ``events``. Numbering is split by (user, hour) so a user holding a third
-    of all events is still spread over many tasks."""
+    """Frame table from ``events``. Numbering is split by (user, hour, second) so a user holding
+    a third of all events, even within one hour, is still spread over many tasks."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     numbered = index_within_group(ev, order=["ts", "event_id"],
                                   bucket=F.date_trunc("hour", F.col("ts")),
+                                  fine=F.date_trunc("second", F.col("ts")),
                                   group="user_id", out="frame_idx")
     return numbered.select(
         F.concat(F.lit("frames/"), F.col("user_id").cast("string")).alias("item_id"),

@@ -44,3 +44,69 @@ def test_index_within_group_hot_group(spark):
     got = {(r.g, r.t): r.idx for r in out.collect()}
     assert all(got[("hot", i)] == i for i in range(3000))
     assert all(got[("cold", i)] == i for i in range(10))
+
+
+def _key(i, seed=42):
+    import hashlib
+    return (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i)
+
+
+def _check_dense(rows):
+    """Positions form 0..n-1 and rows of one id sit in one run, ids in (md5, id) order."""
+    pos = sorted(r[2] for r in rows)
+    assert pos == list(range(len(rows)))
+    by_pos = [r[0] for r in sorted(rows, key=lambda r: r[2])]
+    runs = [i for j, i in enumerate(by_pos) if j == 0 or by_pos[j - 1] != i]
+    assert len(runs) == len(set(runs)), "an id is split into two runs"
+    assert runs == sorted(set(by_pos), key=_key)
+
+
+def _skewed(spark, parts):
+    rows = [("hot", "same copy")] * 3000 \
+        + [("wide", f"text {i}") for i in range(400)] \
+        + [(str(i), f"doc {i}") for i in range(500)]
+    return spark.createDataFrame(rows, "id string, text string").repartition(parts)
+
+
+@pytest.mark.parametrize("opts", [
+    dict(hot_min_rows=100, chunk=64),          # hot copies expand in chunks
+    dict(hot_min_rows=100),                    # hot copies expand in one step
+    dict(hot_min_rows=0, hot_factor=0.0),      # every bucket takes the hot path
+    dict(),                                    # defaults: all cold at this size
+])
+def test_seeded_shuffle_hot_id(spark, opts):
+    results = []
+    for parts in (1, 4, 16):
+        out = seeded_shuffle(_skewed(spark, parts), "id", **opts).collect()
+        rows = [(r.id, r.text, r.pos) for r in out]
+        assert len(rows) == 3900
+        _check_dense(rows)
+        results.append(sorted(rows))
+    assert results[0] == results[1] == results[2]
+
+
+def test_seeded_shuffle_hot_path_equals_cold_on_unique_ids(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"),
+                                 (F.col("id") * 7).alias("v"))
+    cold = {(r.id, r.pos) for r in seeded_shuffle(df, "id").collect()}
+    hot = {(r.id, r.pos) for r in seeded_shuffle(df, "id", hot_min_rows=0,
+                                                 hot_factor=0.0).collect()}
+    assert cold == hot == {(k, p) for k, p in brute(300).items()}
+
+
+def test_seeded_shuffle_map_column(spark):
+    df = spark.createDataFrame([("a", {"k": 1})] * 5 + [("b", {"k": 2})],
+                               "id string, m map<string,int>")
+    out = seeded_shuffle(df, "id", hot_min_rows=0, hot_factor=0.0).collect()
+    assert sorted(r.pos for r in out) == list(range(6))
+    assert sorted(r.m["k"] for r in out) == [1] * 5 + [2]
+
+
+def test_index_within_group_fine_buckets(spark):
+    rows = [("hot", i) for i in range(2000)] + [("cold", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, t int").repartition(5)
+    out = index_within_group(df, order=["t"], bucket=F.floor(F.col("t") / 1000),
+                             fine=F.floor(F.col("t") / 10), group="g", out="idx")
+    got = {(r.g, r.t): r.idx for r in out.collect()}
+    assert all(got[("hot", i)] == i for i in range(2000))
+    assert all(got[("cold", i)] == i for i in range(10))
