@@ -1,14 +1,16 @@
 """M3: fit a text classifier on training rows (stand-in for adapter fine-tuning).
 
-``RegexTokenizer → HashingTF → IDF → LogisticRegression`` from ``pyspark.ml``: every stage is
-distributed (hashing needs no vocabulary pass; IDF and the optimizer aggregate partial sums).
+``RegexTokenizer → HashingTF → IDF → NaiveBayes`` (multinomial) from ``pyspark.ml`` by
+default: hashing needs no vocabulary pass, and IDF and naive Bayes are each one aggregation of
+per-partition partial sums, so a fit is two passes over the rows whatever their number.
+``algorithm="logistic"`` swaps in ``LogisticRegression`` (one pass per optimizer iteration).
 Classes are weighted by inverse frequency (``weightCol``) since positives are rare.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +38,29 @@ def featurize(df: DataFrame, text: str = "text", num_features: int = 1 << 16) ->
 
 
 def fit_on_features(train: DataFrame, label: str = "label", max_iter: int = 4 * EPOCHS,
-                    reg: float = 0.01) -> PipelineModel:
-    """Fit ``IDF → LogisticRegression`` on featurized rows (``_tf``, ``label``)."""
+                    reg: float = 0.01, algorithm: str = "bayes") -> PipelineModel:
+    """Fit ``IDF → NaiveBayes`` (or ``LogisticRegression``) on featurized rows (``_tf``,
+    ``label``). ``max_iter`` and ``reg`` apply to the logistic model only; naive Bayes uses
+    Laplace smoothing 1."""
     data = class_weights(train.select("_tf", F.col(label).cast("double").alias("label")), "label")
-    stages = [IDF(inputCol="_tf", outputCol="features"),
-              LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                                 maxIter=max_iter, regParam=reg)]
-    return Pipeline(stages=stages).fit(data)
+    if algorithm == "bayes":
+        model = NaiveBayes(featuresCol="features", labelCol="label", weightCol="weight",
+                           modelType="multinomial", smoothing=1.0)
+    elif algorithm == "logistic":
+        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                                   maxIter=max_iter, regParam=reg)
+    else:
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    return Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), model]).fit(data)
 
 
 def fit_classifier(train: DataFrame, text: str = "text", label: str = "label",
                    num_features: int = 1 << 16, max_iter: int = 4 * EPOCHS,
-                   reg: float = 0.01) -> PipelineModel:
+                   reg: float = 0.01, algorithm: str = "bayes") -> PipelineModel:
     """M3: fit on ``(text, label)`` rows; returns a ``PipelineModel`` over featurized rows
     (use :func:`classify`, which featurizes the same way)."""
-    return fit_on_features(featurize(train, text, num_features), label, max_iter, reg)
+    return fit_on_features(featurize(train, text, num_features), label, max_iter, reg,
+                           algorithm)
 
 
 def classify(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "pred",

@@ -34,51 +34,68 @@ def with_reannotated(items: DataFrame, final: DataFrame) -> DataFrame:
     return items.join(f, "id", "left")
 
 
+# Each regime trains on parts of the training split: (domain, label column) pairs.
+REGIME_PARTS: dict[str, tuple[tuple[str, str], ...]] = {
+    "no_ft": (),                                            # the base model as is
+    "om_ft": (("meme", "label"),),
+    "rm_ft": (("meme", "rm_label"),),
+    "vid_ft": (("video", "label"),),
+    "vid_rm": (("video", "label"), ("meme", "rm_label")),
+}
+
+
 def regime_rows(items: DataFrame, regime: str) -> DataFrame:
     """The labelled training rows of one regime as ``(id, text, label, domain)``.
 
     ``items`` needs ``domain`` and, for the re-annotated regimes, ``rm_label``."""
+    if regime not in REGIME_PARTS:
+        raise ValueError(f"unknown regime {regime!r}")
     tr = train_split(items)
-    meme, video = tr.filter(F.col("domain") == "meme"), tr.filter(F.col("domain") == "video")
-
     extra = [c for c in ("_tf",) if c in items.columns]
 
-    def pick(df, col):
-        return labelled(df.select("id", "text", F.col(col).alias("label"), "domain", *extra))
-    if regime == "no_ft":
-        return pick(tr, "label").filter(F.lit(False))  # no training rows: the base model as is
-    if regime == "om_ft":
-        return pick(meme, "label")
-    if regime == "rm_ft":
-        return pick(meme, "rm_label")
-    if regime == "vid_ft":
-        return pick(video, "label")
-    if regime == "vid_rm":
-        return pick(video, "label").unionByName(pick(meme, "rm_label"))
-    raise ValueError(f"unknown regime {regime!r}")
+    def pick(domain, col):
+        return labelled(tr.filter(F.col("domain") == domain)
+                        .select("id", "text", F.col(col).alias("label"), "domain", *extra))
+    parts = [pick(d, c) for d, c in REGIME_PARTS[regime]]
+    if not parts:
+        return labelled(tr.select("id", "text", "label", "domain", *extra)).filter(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def regime_counts(items: DataFrame, regimes=REGIMES) -> DataFrame:
-    """Rows and positives per regime."""
-    parts = [regime_rows(items, r).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                                       F.coalesce(F.sum("label"), F.lit(0)).cast("bigint")
-                                       .alias("n_positive"))
-             .select(F.lit(r).alias("regime"), "n_rows", "n_positive") for r in regimes]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows and positives per regime, all regimes in one pass: conditional sums in one
+    global partial aggregate over the training split, then one row per regime."""
+    tr = train_split(items)
+    aggs, out = [], []
+    for i, r in enumerate(regimes):
+        n, pos = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+        for d, c in REGIME_PARTS[r]:
+            inside = (F.col("domain") == d) & F.col(c).isNotNull()
+            n = n + F.sum(F.when(inside, 1).otherwise(0)).cast("bigint")
+            pos = pos + F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)).cast("bigint")
+        aggs += [n.alias(f"_n{i}"), pos.alias(f"_p{i}")]
+        out.append(F.struct(F.lit(r).alias("regime"), F.col(f"_n{i}").alias("n_rows"),
+                            F.col(f"_p{i}").alias("n_positive")))
+    return tr.agg(*aggs).select(F.explode(F.array(*out)).alias("r")).select("r.*")
 
 
 def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
-                    target_domain: str = "video") -> DataFrame:
+                    target_domain: str = "video", algorithm: str = "bayes") -> DataFrame:
     """M4: one classifier per regime, all scored on the target's labelled test rows; one
     metrics row per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if
-    None, predicts the negative class.
+    None, predicts the negative class. ``algorithm`` is the classifier of
+    :func:`labelflow.operators.classifier.fit_on_features`.
 
     Texts are featurized once and the result is checkpointed to the shared checkpoint folder,
     so the fits (each several passes) reread that instead of recomputing the lineage."""
     ensure_checkpoint_dir(items.sparkSession)
     cols = [c for c in ("id", "text", "label", "rm_label", "domain", "type", "dataset")
             if c in items.columns]
-    items = featurize(items.select(*cols)).checkpoint()
+    # only rows with a label (original or voted) can train or be scored: featurize just those
+    has_label = F.col("label").isNotNull()
+    if "rm_label" in cols:
+        has_label = has_label | F.col("rm_label").isNotNull()
+    items = featurize(items.select(*cols).filter(has_label)).checkpoint()
     target = labelled(test_split(items.filter(F.col("domain") == target_domain)))
     reports = []
     for r in regimes:
@@ -86,7 +103,7 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
             scored = base_predictor(target) if base_predictor else target.withColumn("pred",
                                                                                       F.lit(0))
         else:
-            model = fit_on_features(regime_rows(items, r))
+            model = fit_on_features(regime_rows(items, r), algorithm=algorithm)
             scored = classify(model, target)
         reports.append(M.classification_report(scored.select("label", "pred"))
                        .select(F.lit(r).alias("regime"), "*"))
