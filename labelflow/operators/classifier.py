@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.constants import EPOCHS
@@ -51,7 +51,21 @@ def fit_on_features(train: DataFrame, label: str = "label", max_iter: int = 4 *
                                    maxIter=max_iter, regParam=reg)
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    return Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), model]).fit(data)
+    fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), model]).fit(data)
+    return _without_summary(fitted) if algorithm == "logistic" else fitted
+
+
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """A logistic model keeps its training summary, which holds the session; once the session
+    has registered an ``Observation`` that can no longer be serialized into tasks, so scoring
+    fails. A save/load round trip through the shared checkpoint folder drops the summary."""
+    import os
+    import uuid
+    from labelflow.session import ensure_checkpoint_dir
+    spark = SparkSession.getActiveSession()
+    path = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def fit_classifier(train: DataFrame, text: str = "text", label: str = "label",

@@ -57,10 +57,17 @@ def conform_items(df: DataFrame, dataset: str | None = None) -> DataFrame:
     )
 
 
-def read_items(spark: SparkSession, path: str | list[str], dataset: str | None = None) -> DataFrame:
+def read_items(spark: SparkSession, path: str | list[str], dataset: str | None = None,
+               multi_line: bool = True) -> DataFrame:
     """Header CSV(s) → item schema. ``dataset`` defaults to the profile named in each
-    file's path (S6)."""
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    file's path (S6).
+
+    ``multi_line`` keeps newlines inside quoted fields right, but a multi-line CSV file cannot
+    be split, so each file is read by one task: keep item files many and moderate in size.
+    Files known to have no newline inside a field read splittably with ``multi_line=False``
+    (one task per ``spark.sql.files.maxPartitionBytes`` block)."""
+    opts = dict(CSV_OPTIONS, multiLine=str(bool(multi_line)).lower())
+    df = spark.read.options(**opts).csv(path)
     return conform_items(df, dataset)
 
 
