@@ -597,10 +597,10 @@ def regime_items(spark, sf) -> DataFrame:
 r AS (SELECT i.*, f.final_label AS rm_label FROM items i LEFT JOIN final f ON f.id = i.id
       WHERE i.type IS DISTINCT FROM 'test')
 SELECT 'no_ft' AS regime, CAST(0 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_positive
-UNION ALL SELECT 'om_ft', count(*), coalesce(sum(label), 0) FROM r WHERE domain = 'meme' AND label IS NOT NULL
-UNION ALL SELECT 'rm_ft', count(*), coalesce(sum(rm_label), 0) FROM r WHERE domain = 'meme' AND rm_label IS NOT NULL
-UNION ALL SELECT 'vid_ft', count(*), coalesce(sum(label), 0) FROM r WHERE domain = 'video' AND label IS NOT NULL
-UNION ALL SELECT 'vid_rm', count(*), coalesce(sum(l), 0) FROM (
+UNION ALL SELECT 'om_ft', count(*), CAST(coalesce(sum(label), 0) AS BIGINT) FROM r WHERE domain = 'meme' AND label IS NOT NULL
+UNION ALL SELECT 'rm_ft', count(*), CAST(coalesce(sum(rm_label), 0) AS BIGINT) FROM r WHERE domain = 'meme' AND rm_label IS NOT NULL
+UNION ALL SELECT 'vid_ft', count(*), CAST(coalesce(sum(label), 0) AS BIGINT) FROM r WHERE domain = 'video' AND label IS NOT NULL
+UNION ALL SELECT 'vid_rm', count(*), CAST(coalesce(sum(l), 0) AS BIGINT) FROM (
   SELECT label AS l FROM r WHERE domain = 'video' AND label IS NOT NULL
   UNION ALL SELECT rm_label FROM r WHERE domain = 'meme' AND rm_label IS NOT NULL)"""))
 def regime_counts(spark, sf):
