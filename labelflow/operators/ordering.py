@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelflow.constants import SHUFFLE_SEED
+from labelflow.session import ensure_checkpoint_dir
 
 
 def _cols(xs) -> list[Column]:
@@ -76,6 +77,13 @@ def index_within_group(df: DataFrame, order, bucket: Column, group=None, out: st
               .drop(*keys, "_n", "_off", "_r")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared ``spark.checkpoint.dir`` (never a machine-local
+    one, never ``localCheckpoint``): survives executor loss without recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shuffle_key(id_col="id", seed: int = SHUFFLE_SEED) -> Column:
     """md5 of ``seed:id``: a seeded, partitioning-independent permutation key."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -93,66 +101,87 @@ def _has_map(dt: T.DataType) -> bool:
 
 
 def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
-                   out: str = "pos", prefix_len: int = 4, hot_min_rows: int = 1_000_000,
-                   hot_factor: float = 4.0, chunk: int = 1 << 16) -> DataFrame:
+                   out: str = "pos", coarse_len: int = 4, fine_len: int = 8,
+                   hot_min_rows: int = 1_000_000, max_hot: int = 100_000,
+                   chunk: int = 1 << 16) -> DataFrame:
     """O1 + O4: give every row its position in a seeded permutation, ordered by
     ``md5(seed:id)``, then ``id``, then the row's content (so rows sharing an id get a fixed
     order too). Not ``rand(seed)``: that depends on the partitioning. Every step is
     deterministic, so a task recomputed after an executor loss yields the same positions.
 
-    Rows are bucketed by the first ``prefix_len`` hex digits of the key (at most
-    ``16**prefix_len`` buckets, a proven bound: the per-bucket count and offset table is
-    broadcast). A bucket is *hot* when it holds more than
-    ``max(hot_min_rows, hot_factor × mean bucket size)`` rows — with a uniform hash that only
-    happens when one id (or a few) carries a large share of the rows.
-
-    * cold buckets: one window per bucket, ordered by ``(key, id, content)``.
-    * hot buckets: identical rows are interchangeable, so they are first counted
-      (``groupBy`` on the whole row: partial aggregation before the shuffle, so a row copied a
-      billion times costs one row per map task). Distinct rows sharing an id are spread over
-      ``16**3`` sub-buckets by the first digits of a content hash and ordered by that hash
-      inside the id; sub-bucket sizes give offsets; each distinct row then expands to its
-      copies' positions — in chunks of ``chunk`` rows that are repartitioned before the final
-      expansion, so a hot copy group is written by many tasks.
+    Buckets are prefixes of the key: *fine* ones (``fine_len`` hex digits, ~4·10⁹) inside
+    *coarse* ones (``coarse_len`` digits, 65,536). Fine bucket sizes are a partial aggregate
+    over the key alone; their offsets are running sums inside each coarse bucket (≤ 16⁴ fine
+    buckets each) plus the coarse offsets (≤ 16⁴ rows in all: one small window). So a window
+    over rows never spans more than one fine bucket — a few hundred rows at 10¹² rows.
+
+    A fine bucket is *hot* when it holds more than ``max(hot_min_rows, total / max_hot)``
+    rows: with a uniform hash that only happens when one id carries many rows. The rule
+    bounds the hot list by ``max_hot`` entries, so it is broadcast to tag rows map-side.
+    The offset table (one row per non-empty fine bucket) is checkpointed once — the one eager
+    job of this operator — since all branches below read it.
+
+    * cold buckets: rows join their bucket's offset on the fine key (a shuffle on that key,
+      which the window below reuses) and are numbered by a window per fine bucket.
+    * hot buckets: identical rows are interchangeable, so they are counted first
+      (``groupBy`` on the whole row: partial aggregation before the shuffle, so a row copied
+      a billion times costs one row per map task). Distinct rows sharing an id are spread
+      over ``16**3`` sub-buckets by the first digits of a content hash, and ordered by that
+      hash inside the id; sub-bucket sizes give offsets; each distinct row then expands to
+      its copies' positions — in chunks of ``chunk`` rows that are repartitioned before the
+      final expansion, so a hot copy group is written by many tasks.
     """
     cols = df.columns
     content = [c for c in cols if c != id_col]
     # rows sharing an id are ordered by their content; maps are not orderable, so their JSON
     tie = [F.to_json(F.col(c)) if _has_map(df.schema[c].dataType) else F.col(c)
            for c in content]
-    n_buckets = 16 ** prefix_len
     keyed = df.withColumn("_sk", shuffle_key(id_col, seed)) \
-              .withColumn("_b1", F.substring("_sk", 1, prefix_len))
-
-    counts = keyed.groupBy("_b1").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    limit = F.greatest(F.lit(float(hot_min_rows)), F.lit(hot_factor) * total / F.lit(n_buckets))
-    stats = counts.select("_b1", _running_total("_n", [], ["_b1"]).alias("_off"),
-                          (F.col("_n") > limit).alias("_hot"))
-    tagged = keyed.join(F.broadcast(stats), "_b1", "inner")
-
-    # cold buckets: a plain window per bucket
-    cold = tagged.filter(~F.col("_hot"))
-    w = Window.partitionBy("_b1").orderBy("_sk", F.col(id_col), *tie)
+              .withColumn("_b2", F.substring("_sk", 1, fine_len))
+
+    # bucket sizes and offsets: over the key only, never over rows
+    fine = keyed.groupBy("_b2").agg(F.count(F.lit(1)).alias("_n")) \
+                .withColumn("_b1", F.substring("_b2", 1, coarse_len))
+    coarse = fine.groupBy("_b1").agg(F.sum("_n").alias("_nc"))        # ≤ 16**coarse_len rows
+    total = F.sum("_nc").over(Window.partitionBy())
+    coarse_off = coarse.select(
+        "_b1", _running_total("_nc", [], ["_b1"]).alias("_offc"),
+        F.greatest(F.lit(float(hot_min_rows)), total / F.lit(float(max_hot))).alias("_limit"))
+    offsets = fine.select("_b1", "_b2", "_n", _running_total("_n", ["_b1"], ["_b2"])
+                          .alias("_offf")) \
+                  .join(F.broadcast(coarse_off), "_b1", "inner") \
+                  .select("_b2", (F.col("_offc") + F.col("_offf")).alias("_off"),
+                          (F.col("_n") > F.col("_limit")).alias("_hot"))
+    # the table feeds the hot tags, the cold offsets and the hot offsets: compute it once
+    # (a reliable checkpoint in the shared folder, not a recomputation per branch)
+    offsets = checkpointed(offsets)
+    hot_list = F.broadcast(offsets.filter(F.col("_hot")).select("_b2", "_off"))  # ≤ max_hot
+    tagged = keyed.join(hot_list.select("_b2", F.lit(True).alias("_is_hot")), "_b2", "left")
+
+    # cold buckets: join the offset on the fine key, one window per fine bucket
+    cold = tagged.filter(F.col("_is_hot").isNull()) \
+        .join(offsets.filter(~F.col("_hot")).select("_b2", "_off"), "_b2", "inner")
+    w = Window.partitionBy("_b2").orderBy("_sk", F.col(id_col), *tie)
     cold_pos = cold.select(*cols, (F.col("_off") + F.row_number().over(w) - 1)
                            .cast("bigint").alias(out))
 
     # hot buckets: count identical rows, offsets per content-hash sub-bucket, expand
-    hot = tagged.filter(F.col("_hot"))
+    hot = tagged.filter(F.col("_is_hot").isNotNull())
     maps = [c for c in cols if _has_map(df.schema[c].dataType)]
     group_cols = [F.to_json(F.col(c)).alias(f"_j_{c}") if c in maps else F.col(c) for c in cols]
     keep_maps = [F.any_value(c).alias(c) for c in maps]
-    grouped = hot.groupBy(*group_cols, "_sk", "_b1", "_off").agg(
-        F.count(F.lit(1)).alias("_c"), *keep_maps)
+    grouped = hot.groupBy(*group_cols, "_sk", "_b2").agg(F.count(F.lit(1)).alias("_c"),
+                                                         *keep_maps) \
+        .join(hot_list, "_b2", "inner")
     grouped = grouped.withColumn(
         "_tb", F.md5(F.to_json(F.struct(*[F.col(c) for c in cols]))))
     grouped = grouped.withColumn("_f", F.substring("_tb", 1, 3))
-    sub = ["_b1", "_sk", id_col, "_f"]
-    fine = grouped.groupBy(*sub).agg(F.sum("_c").alias("_nf"))
-    fine_off = fine.select(*sub, _running_total("_nf", ["_b1"], ["_sk", id_col, "_f"])
-                           .alias("_offf"))
-    starts = grouped.join(fine_off, sub, "inner").withColumn(
-        "_s", F.col("_off") + F.col("_offf")
+    sub = ["_b2", "_sk", id_col, "_f"]
+    subs = grouped.groupBy(*sub).agg(F.sum("_c").alias("_ns"))
+    sub_off = subs.select(*sub, _running_total("_ns", ["_b2"], ["_sk", id_col, "_f"])
+                          .alias("_offs"))
+    starts = grouped.join(sub_off, sub, "inner").withColumn(
+        "_s", F.col("_off") + F.col("_offs")
         + _running_total("_c", sub, [F.col("_tb"), *tie]))
     last = F.col("_s") + F.col("_c") - 1
     small = starts.filter(F.col("_c") <= chunk) \

@@ -71,7 +71,9 @@ def _skewed(spark, parts):
 @pytest.mark.parametrize("opts", [
     dict(hot_min_rows=100, chunk=64),          # hot copies expand in chunks
     dict(hot_min_rows=100),                    # hot copies expand in one step
-    dict(hot_min_rows=0, hot_factor=0.0),      # every bucket takes the hot path
+    dict(hot_min_rows=0, max_hot=10 ** 9),     # every bucket takes the hot path
+    dict(coarse_len=1, fine_len=2),            # few, crowded buckets
+    dict(hot_min_rows=0, max_hot=2),           # limit = total / 2: only the copy group is hot
     dict(),                                    # defaults: all cold at this size
 ])
 def test_seeded_shuffle_hot_id(spark, opts):
@@ -90,14 +92,14 @@ def test_seeded_shuffle_hot_path_equals_cold_on_unique_ids(spark):
                                  (F.col("id") * 7).alias("v"))
     cold = {(r.id, r.pos) for r in seeded_shuffle(df, "id").collect()}
     hot = {(r.id, r.pos) for r in seeded_shuffle(df, "id", hot_min_rows=0,
-                                                 hot_factor=0.0).collect()}
+                                                 max_hot=10 ** 9).collect()}
     assert cold == hot == {(k, p) for k, p in brute(300).items()}
 
 
 def test_seeded_shuffle_map_column(spark):
     df = spark.createDataFrame([("a", {"k": 1})] * 5 + [("b", {"k": 2})],
                                "id string, m map<string,int>")
-    out = seeded_shuffle(df, "id", hot_min_rows=0, hot_factor=0.0).collect()
+    out = seeded_shuffle(df, "id", hot_min_rows=0, max_hot=10 ** 9).collect()
     assert sorted(r.pos for r in out) == list(range(6))
     assert sorted(r.m["k"] for r in out) == [1] * 5 + [2]
 
