@@ -81,13 +81,20 @@ def sample_predicate(idx: Column, n: Column, k: int = FRAMES_PER_VIDEO) -> Colum
 
 
 def uniform_sample(frames: DataFrame, group: str = "item_id", idx: str = "frame_idx",
-                   k: int = FRAMES_PER_VIDEO, out_pos: str | None = "sample_pos") -> DataFrame:
+                   k: int = FRAMES_PER_VIDEO, out_pos: str | None = "sample_pos",
+                   counts: DataFrame | None = None) -> DataFrame:
     """W2 + W3 + J5: keep the frames at ``numpy.arange(0, n, n / k).astype(int)``; every
     frame at most once, so ``n < k`` keeps all ``n`` frames; ``n = 0`` keeps nothing.
 
     ``n`` per group comes from a partial aggregate joined back on the group key; AQE's
-    skew-join handling splits a hot group's side of that join."""
-    n = frames.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    skew-join handling splits a hot group's side of that join. ``counts`` (``group, n``)
+    replaces the aggregate when the counts are cheaper elsewhere — for image frames, from the
+    file listing (:func:`labelflow.sources.frames.frame_counts`), so the frame table (and its
+    decoding) is read once."""
+    if counts is not None:
+        n = counts.select(F.col(group).alias("_g"), F.col("n").alias("_n"))
+    else:
+        n = frames.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     j = frames.join(n, frames[group] == n["_g"], "inner")
     i = F.col(idx).cast("bigint")
     kept = j.filter(sample_predicate(i, F.col("_n"), k))

@@ -37,3 +37,22 @@ def read_frames(spark: SparkSession, root: str | list[str]) -> DataFrame:
         pixel_variance("image").alias("variance"),
         readable("image").alias("readable"),
     )
+
+
+def list_frames(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """S3 without decoding: ``item_id, frame_idx, path`` of every numbered PNG under ``root``,
+    from a ``binaryFile`` listing whose ``content`` column is never selected (so no file is
+    opened)."""
+    ls = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "*.png").load(root) \
+        .select(_strip_scheme(F.col("path")).alias("path"))
+    ls = ls.filter(F.col("path").rlike(FRAME_PATTERN))
+    return ls.select(F.regexp_extract("path", FRAME_PATTERN, 1).alias("item_id"),
+                     F.regexp_extract("path", FRAME_PATTERN, 2).cast("int").alias("frame_idx"),
+                     "path")
+
+
+def frame_counts(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Frames per directory (``item_id, n``) from the listing: the counts the uniform sample
+    (W2) needs, without decoding the images a second time."""
+    return list_frames(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))

@@ -83,3 +83,22 @@ def test_augmentation_plan_and_render(spark, tmp_path):
     assert plan.collect() == augmentation_plan(im.drop("data_rev").repartition(3), "id").collect()
     out = apply_augmentation(plan).collect()
     assert all(len(r.aug_data) == 8 * 8 * 3 for r in out)
+
+
+def test_uniform_sample_with_listing_counts(spark, tmp_path):
+    from labelflow.operators.frames import uniform_sample
+    from labelflow.sources.frames import frame_counts, list_frames
+    root = str(tmp_path)
+    for i in range(20):
+        write_png(f"{root}/v20/{i}.png", flat(i))
+    for i in range(3):
+        write_png(f"{root}/v3/{i}.png", flat(i))
+    listed = sorted((r.item_id.split("/")[-1], r.frame_idx) for r in list_frames(spark, root).collect())
+    assert listed == sorted([("v20", i) for i in range(20)] + [("v3", i) for i in range(3)])
+    fr = read_frames(spark, root)
+    a = sorted(tuple(r) for r in uniform_sample(fr, counts=frame_counts(spark, root))
+               .select("item_id", "frame_idx", "sample_pos").collect())
+    b = sorted(tuple(r) for r in uniform_sample(fr).select("item_id", "frame_idx", "sample_pos")
+               .collect())
+    assert a == b
+    assert [x[1] for x in a if x[0].endswith("v20")] == [0, 1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 18]
