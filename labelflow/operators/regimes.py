@@ -2,7 +2,8 @@
 
 Regimes as described in the reference's prose: no tuning, original memes, re-annotated memes,
 video, video + re-annotated memes. The comparison fits one classifier per regime on its rows
-and scores the target's test rows with each.
+and scores the target's test rows with each: as DataFrame aggregations for all regimes at once
+(:func:`compare_regimes`), or with ``pyspark.ml`` pipelines (:func:`compare_regimes_ml`).
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.operators import metrics as M
+from labelflow.operators.bayes import (NUM_FEATURES, fit_naive_bayes, score_naive_bayes,
+                                        word_features)
 from labelflow.operators.classifier import classify, featurize, fit_on_features
 from labelflow.session import ensure_checkpoint_dir
+from labelflow.operators.ordering import checkpointed
 from labelflow.operators.rows import labelled, test_split, train_split
 
 REGIMES = ("no_ft", "om_ft", "rm_ft", "vid_ft", "vid_rm")
@@ -79,10 +83,60 @@ def regime_counts(items: DataFrame, regimes=REGIMES) -> DataFrame:
     return tr.agg(*aggs).select(F.explode(F.array(*out)).alias("r")).select("r.*")
 
 
+def regime_memberships(items: DataFrame, regimes=REGIMES, text: str = "text") -> DataFrame:
+    """Training rows with their regime and that regime's label: ``(regime, label, text)``, one
+    row per (row, regime) it trains. One pass: an ``explode`` of the row's memberships."""
+    tr = train_split(items)
+    members = [F.when((F.col("domain") == d) & F.col(c).isNotNull(),
+                      F.struct(F.lit(r).alias("regime"), F.col(c).cast("int").alias("label")))
+               for r in regimes for d, c in REGIME_PARTS[r]]
+    if not members:
+        return tr.select(F.lit(None).cast("string").alias("regime"),
+                         F.lit(None).cast("int").alias("label"), text).filter(F.lit(False))
+    m = tr.select(F.col(text).alias("text"), F.explode(F.array(*members)).alias("_m"))
+    return m.filter(F.col("_m").isNotNull()).select("_m.regime", "_m.label", "text")
+
+
 def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
+                    target_domain: str = "video",
+                    num_features: int = NUM_FEATURES) -> DataFrame:
+    """M4: per regime, a naive Bayes text classifier (:mod:`labelflow.operators.bayes`) trained
+    on the regime's rows; all are scored on the target's labelled test rows; one metrics row
+    per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if None, predicts
+    the negative class.
+
+    All regimes train in one pass (regime memberships exploded, one partial aggregate on
+    ``(regime, feature)``) and score in one pass (each distinct target text against the
+    broadcast feature table of all regimes); the metrics are one aggregate by regime. No
+    driver loop over fits, no iteration."""
+    trained = [r for r in regimes if r != "no_ft"]
+    # the rows (with their voted labels) feed several aggregates below: compute them once
+    cols = [c for c in ("id", "text", "label", "rm_label", "domain", "type", "dataset")
+            if c in items.columns]
+    has_label = F.col("label").isNotNull()
+    if "rm_label" in cols:
+        has_label = has_label | F.col("rm_label").isNotNull()
+    items = checkpointed(items.select(*cols).filter(has_label))
+    target = labelled(test_split(items.filter(F.col("domain") == target_domain)))
+    parts = []
+    if trained:
+        mem = regime_memberships(items, trained)
+        mem = checkpointed(mem.select("regime", "label",
+                                      word_features("text", num_features).alias("x")))
+        model = fit_naive_bayes(mem, group="regime", features="x", num_features=num_features)
+        scored = score_naive_bayes(target.select("label", "text"), model, trained,
+                                   group="regime")
+        parts.append(scored.select("regime", "label", "pred"))
+    if "no_ft" in regimes:
+        base = base_predictor(target) if base_predictor else target.withColumn("pred", F.lit(0))
+        parts.append(base.select(F.lit("no_ft").alias("regime"), "label", "pred"))
+    return M.classification_report(reduce(DataFrame.unionByName, parts), by="regime")
+
+
+def compare_regimes_ml(items: DataFrame, base_predictor=None, regimes=REGIMES,
                     target_domain: str = "video", algorithm: str = "bayes") -> DataFrame:
-    """M4: one classifier per regime, all scored on the target's labelled test rows; one
-    metrics row per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if
+    """M4 with ``pyspark.ml`` estimators: one fitted pipeline per regime (a driver loop of
+    fits), all scored on the target's labelled test rows; one metrics row per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if
     None, predicts the negative class. ``algorithm`` is the classifier of
     :func:`labelflow.operators.classifier.fit_on_features`.
 

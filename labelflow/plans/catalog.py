@@ -607,7 +607,75 @@ def regime_counts(spark, sf):
     return RG.regime_counts(regime_items(spark, sf))
 
 
-@query("compare_regimes")
+def _features_sql(text: str, d: int) -> str:
+    return (f"list_transform(list_filter(regexp_split_to_array(coalesce({text}, ''), '\\W+'), "
+            f"lambda w: w <> ''), lambda w: (('0x' || substr(md5(lower(w)), 1, 7))::BIGINT % {d}))")
+
+
+def _compare_regimes_sql() -> str:
+    from labelflow.operators.bayes import NUM_FEATURES as D
+    trained = [r for r in RG.REGIMES if r != "no_ft"]
+    mem = "\n  UNION ALL ".join(
+        f"SELECT '{r}' AS g, {c} AS y, text FROM r WHERE type IS DISTINCT FROM 'test' "
+        f"AND domain = '{d}' AND {c} IS NOT NULL"
+        for r in trained for d, c in RG.REGIME_PARTS[r])
+    regs = ", ".join(f"('{r}')" for r in trained)
+    return T.with_items(f", {_VOTES_SQL.format(where=chr(39) + 'meme' + chr(39) + ' = domain')}" + f""",
+r AS (SELECT i.*, f.final_label AS rm_label FROM items i LEFT JOIN final f ON f.id = i.id),
+mem AS (
+  {mem}
+), sizes AS (SELECT g, count(*) AS m, sum(y) AS p FROM mem GROUP BY g),
+rw AS (
+  SELECT mem.g, mem.y,
+         CASE WHEN mem.y = 1 THEN CAST(sizes.m AS DOUBLE) / (2.0::DOUBLE * CAST(greatest(sizes.p, 1) AS DOUBLE))
+              ELSE CAST(sizes.m AS DOUBLE) / (2.0::DOUBLE * CAST(greatest(sizes.m - sizes.p, 1) AS DOUBLE)) END AS w,
+         {_features_sql('mem.text', D)} AS x
+  FROM mem JOIN sizes ON sizes.g = mem.g
+), stats AS (
+  SELECT g, f, sum(s1) AS s1, sum(s0) AS s0, sum(d) AS df FROM (
+    SELECT g, unnest(x) AS f, CASE WHEN y = 1 THEN w ELSE 0.0::DOUBLE END AS s1,
+           CASE WHEN y = 0 THEN w ELSE 0.0::DOUBLE END AS s0, 0 AS d FROM rw
+    UNION ALL SELECT g, unnest(list_distinct(x)) AS f, 0.0::DOUBLE, 0.0::DOUBLE, 1 FROM rw
+  ) GROUP BY g, f
+), prior AS (
+  SELECT g, count(*) AS m, sum(CASE WHEN y = 1 THEN w ELSE 0.0::DOUBLE END) AS w1,
+         sum(CASE WHEN y = 0 THEN w ELSE 0.0::DOUBLE END) AS w0
+  FROM rw GROUP BY g
+), t AS (
+  SELECT s.g, s.f, ln((CAST(p.m AS DOUBLE) + 1.0::DOUBLE) / (CAST(s.df AS DOUBLE) + 1.0::DOUBLE)) AS idf, s.s1, s.s0
+  FROM stats s JOIN prior p ON p.g = s.g
+), t2 AS (SELECT g, f, idf, idf * s1 AS n1, idf * s0 AS n0 FROM t),
+totals AS (SELECT g, sum(n1) + {float(D)}::DOUBLE AS t1, sum(n0) + {float(D)}::DOUBLE AS t0 FROM t2 GROUP BY g),
+model AS (
+  SELECT t2.g, t2.f, t2.idf * ((ln(t2.n1 + 1.0::DOUBLE) - ln(tt.t1)) - (ln(t2.n0 + 1.0::DOUBLE) - ln(tt.t0))) AS d
+  FROM t2 JOIN totals tt ON tt.g = t2.g
+), grp AS (
+  SELECT p.g, ln(p.w1 + 1.0::DOUBLE) - ln(p.w0 + 1.0::DOUBLE) AS prior,
+         ln(CAST(p.m AS DOUBLE) + 1.0::DOUBLE) * (ln(tt.t0) - ln(tt.t1)) AS unseen
+  FROM prior p JOIN totals tt ON tt.g = p.g
+), target AS (
+  SELECT label, text, dataset, md5(coalesce(text, '')) AS k FROM r
+  WHERE domain = 'video' AND type = 'test' AND label IS NOT NULL
+), uniq AS (SELECT k, min(text) AS t FROM target GROUP BY k),
+feats AS (SELECT k, {_features_sql('t', D)} AS x FROM uniq),
+occ AS (SELECT k, unnest(x) AS f FROM feats),
+sums AS (SELECT o.k, m.g, sum(m.d) AS sd, count(*) AS nh FROM occ o JOIN model m ON m.f = o.f GROUP BY o.k, m.g),
+regs AS (SELECT * FROM (VALUES {regs}) v(g)),
+per AS (SELECT fe.k, rg.g, len(fe.x) AS nt FROM feats fe, regs rg),
+margins AS (
+  SELECT per.k, per.g,
+         coalesce(grp.prior, 0.0::DOUBLE) + coalesce(s.sd, 0.0::DOUBLE)
+           + coalesce(grp.unseen, 0.0::DOUBLE) * (per.nt - coalesce(s.nh, 0)) AS margin
+  FROM per LEFT JOIN sums s ON s.k = per.k AND s.g = per.g LEFT JOIN grp ON grp.g = per.g
+), preds AS (
+  SELECT m.g AS regime, tg.label, CASE WHEN m.margin > 0 THEN 1 ELSE 0 END AS pred
+  FROM target tg JOIN margins m ON m.k = tg.k
+  UNION ALL
+  SELECT 'no_ft', label, {S.parse_sql('(' + _RESP_SQL + ')')} FROM target
+)""" + M.report_sql("preds", by="regime"))
+
+
+@query("compare_regimes", _compare_regimes_sql())
 def compare_regimes(spark, sf):
     def base(df):
         return V.parse_response(rule_predictor(df), "response", "dataset", "pred")

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 
 from .conftest import SF001
 
-NON_SQL = {"compare_regimes"}
+NON_SQL: set[str] = set()
 
 
 def test_entry_runs(spark):
