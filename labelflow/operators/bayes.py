@@ -5,10 +5,11 @@ Model, per group ``g``, class ``c`` in {0, 1} and feature ``j < D`` (``D = num_f
 
 * ``m_g`` rows in ``g``; ``df_gj`` rows of ``g`` containing ``j``;
   ``idf_gj = ln((m_g + 1) / (df_gj + 1))``
-* ``S_gcj`` = sum, over the occurrences of ``j`` in rows of class ``c``, of the row's weight;
+* ``w_gc = m_g / (2 · max(n_gc, 1))`` the weight of a class-``c`` row (``n_gc`` rows of class
+  ``c``); ``S_gcj = w_gc · (occurrences of j in rows of class c)``;
   ``N_gcj = idf_gj · S_gcj``; ``T_gc = Σ_j N_gcj + D·α``
-* ``θ_gcj = ln(N_gcj + α) − ln(T_gc)``; ``π_gc = ln(W_gc + α) − ln(W_g + 2α)`` with ``W`` the
-  summed row weights.
+* ``θ_gcj = ln(N_gcj + α) − ln(T_gc)``; ``π_gc = ln(W_gc + α) − ln(W_g + 2α)`` with
+  ``W_gc = w_gc · n_gc`` the summed row weights.
 
 A row whose features occur as ``f_1 … f_n`` gets
 ``margin = π_g1 − π_g0 + Σ_k idf_gf_k · (θ_g1f_k − θ_g0f_k)`` and ``pred = 1`` iff
@@ -56,33 +57,36 @@ def fit_naive_bayes(rows: DataFrame, group: str = "group", label: str = "label",
                     features: str = "features", num_features: int = NUM_FEATURES,
                     alpha: float = ALPHA) -> NaiveBayesModel:
     """Fit one model per ``group`` on ``(group, label 0/1, features array<bigint>)`` rows.
-    Rows are weighted by inverse class frequency within their group (``n / (2 · n_class)``)."""
+    Rows are weighted by inverse class frequency within their group (``n / (2 · n_class)``).
+
+    A row's weight is constant per (group, class), so ``S_gcj = w_gc · (occurrences of j in
+    class c)``: the training pass is one ``explode`` and one count aggregate on
+    ``(group, feature)``, and the weights come from a second, row-level count per group. The
+    per-feature table (≤ groups × D rows) is checkpointed — the fit's only eager job — and
+    both model tables derive from it, so scoring never refits."""
     r = rows.select(F.col(group).alias("_g"), F.col(label).cast("int").alias("_y"),
                     F.col(features).alias("_x"))
-    sizes = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_m"),
-                                F.sum("_y").alias("_p"))
-    w = F.when(F.col("_y") == 1, F.col("_m") / (2.0 * F.greatest(F.col("_p"), F.lit(1)))) \
-         .otherwise(F.col("_m") / (2.0 * F.greatest(F.col("_m") - F.col("_p"), F.lit(1))))
-    rw = r.join(sizes, "_g", "inner").select("_g", "_y", "_x", "_m", w.alias("_w"))
-
-    occ = rw.select("_g", "_y", "_w", F.explode("_x").alias("_f")).select(
-        "_g", "_f", F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0).alias("_s1"),
-        F.when(F.col("_y") == 0, F.col("_w")).otherwise(0.0).alias("_s0"),
+    occ = r.select("_g", "_y", F.explode("_x").alias("_f")).select(
+        "_g", "_f", F.when(F.col("_y") == 1, 1).otherwise(0).cast("bigint").alias("_c1"),
+        F.when(F.col("_y") == 0, 1).otherwise(0).cast("bigint").alias("_c0"),
         F.lit(0).cast("bigint").alias("_d"))
-    dist = rw.select("_g", F.explode(F.array_distinct("_x")).alias("_f")).select(
-        "_g", "_f", F.lit(0.0).alias("_s1"), F.lit(0.0).alias("_s0"),
+    dist = r.select("_g", F.explode(F.array_distinct("_x")).alias("_f")).select(
+        "_g", "_f", F.lit(0).cast("bigint").alias("_c1"), F.lit(0).cast("bigint").alias("_c0"),
         F.lit(1).cast("bigint").alias("_d"))
     stats = occ.unionByName(dist).groupBy("_g", "_f").agg(
-        F.sum("_s1").alias("_s1"), F.sum("_s0").alias("_s0"), F.sum("_d").alias("_df"))
-
-    prior = rw.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_m"),
-        F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0.0)).alias("_w1"),
-        F.sum(F.when(F.col("_y") == 0, F.col("_w")).otherwise(0.0)).alias("_w0"))
-    idf = F.log((F.col("_m") + 1.0) / (F.col("_df") + 1.0))
-    t = stats.join(prior.select("_g", "_m"), "_g", "inner").select(
-        "_g", "_f", idf.alias("_idf"), (idf * F.col("_s1")).alias("_n1"),
-        (idf * F.col("_s0")).alias("_n0"))
+        F.sum("_c1").alias("_c1"), F.sum("_c0").alias("_c0"), F.sum("_d").alias("_df"))
+
+    m, p = F.col("_m"), F.col("_p")
+    sizes = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_p")) \
+        .select("_g", "_m", "_p", (m / (2.0 * F.greatest(p, F.lit(1)))).alias("_w1"),
+                (m / (2.0 * F.greatest(m - p, F.lit(1)))).alias("_w0"))
+    idf = F.log((m + 1.0) / (F.col("_df") + 1.0))
+    from labelflow.operators.ordering import checkpointed
+    # ≤ groups × D rows; both model tables derive from it, so it is computed (and written) once
+    t = checkpointed(stats.join(sizes, "_g", "inner").select(
+        "_g", "_f", idf.alias("_idf"),
+        (idf * (F.col("_w1") * F.col("_c1"))).alias("_n1"),
+        (idf * (F.col("_w0") * F.col("_c0"))).alias("_n0")))
     totals = t.groupBy("_g").agg(
         (F.sum("_n1") + F.lit(num_features * alpha)).alias("_t1"),
         (F.sum("_n0") + F.lit(num_features * alpha)).alias("_t0"))
@@ -90,9 +94,13 @@ def fit_naive_bayes(rows: DataFrame, group: str = "group", label: str = "label",
     theta0 = F.log(F.col("_n0") + alpha) - F.log("_t0")
     feats = t.join(totals, "_g", "inner").select(
         "_g", "_f", (F.col("_idf") * (theta1 - theta0)).alias("_d"))
-    groups = prior.join(totals, "_g", "inner").select(
-        "_g", (F.log(F.col("_w1") + alpha) - F.log(F.col("_w0") + alpha)).alias("_prior"),
-        (F.log(F.col("_m") + 1.0) * (F.log("_t0") - F.log("_t1"))).alias("_unseen"))
+    w1, w0 = F.col("_w1") * p, F.col("_w0") * (m - p)
+    # a group whose rows have no features at all has no totals row: its sums are 0
+    empty = F.lit(num_features * alpha)
+    t1, t0 = F.coalesce(F.col("_t1"), empty), F.coalesce(F.col("_t0"), empty)
+    groups = sizes.join(totals, "_g", "left").select(
+        "_g", (F.log(w1 + alpha) - F.log(w0 + alpha)).alias("_prior"),
+        (F.log(m + 1.0) * (F.log(t0) - F.log(t1))).alias("_unseen"))
     return NaiveBayesModel(feats, groups, num_features)
 
 

@@ -110,16 +110,10 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
     broadcast feature table of all regimes); the metrics are one aggregate by regime. No
     driver loop over fits, no iteration."""
     trained = [r for r in regimes if r != "no_ft"]
-    # the rows (with their voted labels) feed several aggregates below: compute them once
-    cols = [c for c in ("id", "text", "label", "rm_label", "domain", "type", "dataset")
-            if c in items.columns]
-    has_label = F.col("label").isNotNull()
-    if "rm_label" in cols:
-        has_label = has_label | F.col("rm_label").isNotNull()
-    items = checkpointed(items.select(*cols).filter(has_label))
     target = labelled(test_split(items.filter(F.col("domain") == target_domain)))
     parts = []
     if trained:
+        # the training features feed three aggregates of the fit: compute them once
         mem = regime_memberships(items, trained)
         mem = checkpointed(mem.select("regime", "label",
                                       word_features("text", num_features).alias("x")))

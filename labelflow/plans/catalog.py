@@ -624,35 +624,30 @@ def _compare_regimes_sql() -> str:
 r AS (SELECT i.*, f.final_label AS rm_label FROM items i LEFT JOIN final f ON f.id = i.id),
 mem AS (
   {mem}
-), sizes AS (SELECT g, count(*) AS m, sum(y) AS p FROM mem GROUP BY g),
-rw AS (
-  SELECT mem.g, mem.y,
-         CASE WHEN mem.y = 1 THEN CAST(sizes.m AS DOUBLE) / (2.0::DOUBLE * CAST(greatest(sizes.p, 1) AS DOUBLE))
-              ELSE CAST(sizes.m AS DOUBLE) / (2.0::DOUBLE * CAST(greatest(sizes.m - sizes.p, 1) AS DOUBLE)) END AS w,
-         {_features_sql('mem.text', D)} AS x
-  FROM mem JOIN sizes ON sizes.g = mem.g
-), stats AS (
-  SELECT g, f, sum(s1) AS s1, sum(s0) AS s0, sum(d) AS df FROM (
-    SELECT g, unnest(x) AS f, CASE WHEN y = 1 THEN w ELSE 0.0::DOUBLE END AS s1,
-           CASE WHEN y = 0 THEN w ELSE 0.0::DOUBLE END AS s0, 0 AS d FROM rw
-    UNION ALL SELECT g, unnest(list_distinct(x)) AS f, 0.0::DOUBLE, 0.0::DOUBLE, 1 FROM rw
+), sizes AS (
+  SELECT g, m, p, CAST(m AS DOUBLE) / (2.0::DOUBLE * CAST(greatest(p, 1) AS DOUBLE)) AS w1,
+         CAST(m AS DOUBLE) / (2.0::DOUBLE * CAST(greatest(m - p, 1) AS DOUBLE)) AS w0
+  FROM (SELECT g, count(*) AS m, sum(y) AS p FROM mem GROUP BY g)
+), rw AS (SELECT g, y, {_features_sql('text', D)} AS x FROM mem),
+stats AS (
+  SELECT g, f, sum(c1) AS c1, sum(c0) AS c0, sum(d) AS df FROM (
+    SELECT g, unnest(x) AS f, CASE WHEN y = 1 THEN 1 ELSE 0 END AS c1,
+           CASE WHEN y = 0 THEN 1 ELSE 0 END AS c0, 0 AS d FROM rw
+    UNION ALL SELECT g, unnest(list_distinct(x)) AS f, 0, 0, 1 FROM rw
   ) GROUP BY g, f
-), prior AS (
-  SELECT g, count(*) AS m, sum(CASE WHEN y = 1 THEN w ELSE 0.0::DOUBLE END) AS w1,
-         sum(CASE WHEN y = 0 THEN w ELSE 0.0::DOUBLE END) AS w0
-  FROM rw GROUP BY g
 ), t AS (
-  SELECT s.g, s.f, ln((CAST(p.m AS DOUBLE) + 1.0::DOUBLE) / (CAST(s.df AS DOUBLE) + 1.0::DOUBLE)) AS idf, s.s1, s.s0
-  FROM stats s JOIN prior p ON p.g = s.g
+  SELECT s.g, s.f, ln((CAST(z.m AS DOUBLE) + 1.0::DOUBLE) / (CAST(s.df AS DOUBLE) + 1.0::DOUBLE)) AS idf,
+         z.w1 * CAST(s.c1 AS DOUBLE) AS s1, z.w0 * CAST(s.c0 AS DOUBLE) AS s0
+  FROM stats s JOIN sizes z ON z.g = s.g
 ), t2 AS (SELECT g, f, idf, idf * s1 AS n1, idf * s0 AS n0 FROM t),
 totals AS (SELECT g, sum(n1) + {float(D)}::DOUBLE AS t1, sum(n0) + {float(D)}::DOUBLE AS t0 FROM t2 GROUP BY g),
 model AS (
   SELECT t2.g, t2.f, t2.idf * ((ln(t2.n1 + 1.0::DOUBLE) - ln(tt.t1)) - (ln(t2.n0 + 1.0::DOUBLE) - ln(tt.t0))) AS d
   FROM t2 JOIN totals tt ON tt.g = t2.g
 ), grp AS (
-  SELECT p.g, ln(p.w1 + 1.0::DOUBLE) - ln(p.w0 + 1.0::DOUBLE) AS prior,
-         ln(CAST(p.m AS DOUBLE) + 1.0::DOUBLE) * (ln(tt.t0) - ln(tt.t1)) AS unseen
-  FROM prior p JOIN totals tt ON tt.g = p.g
+  SELECT z.g, ln(z.w1 * CAST(z.p AS DOUBLE) + 1.0::DOUBLE) - ln(z.w0 * CAST(z.m - z.p AS DOUBLE) + 1.0::DOUBLE) AS prior,
+         ln(CAST(z.m AS DOUBLE) + 1.0::DOUBLE) * (ln(coalesce(tt.t0, {float(D)}::DOUBLE)) - ln(coalesce(tt.t1, {float(D)}::DOUBLE))) AS unseen
+  FROM sizes z LEFT JOIN totals tt ON tt.g = z.g
 ), target AS (
   SELECT label, text, dataset, md5(coalesce(text, '')) AS k FROM r
   WHERE domain = 'video' AND type = 'test' AND label IS NOT NULL

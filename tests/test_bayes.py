@@ -42,6 +42,7 @@ TRAIN = {
     "a": [(1, "Bad, awful words!"), (1, "awful awful thing"), (0, "nice day"), (0, "a nice, kind note"),
           (0, "kind words")],
     "b": [(1, "ugly"), (0, "lovely lovely"), (0, "")],
+    "c": [(1, ""), (0, None), (0, "!!")],      # no word at all: only the priors count
 }
 SCORE = ["awful day", "nice", "", None, "unseen-token here", "awful awful awful kind"]
 
@@ -58,8 +59,8 @@ def test_margins_equal_brute_force(spark):
         .select("g", "y", word_features("t", D).alias("x"))
     model = fit_naive_bayes(train, group="g", label="y", features="x", num_features=D)
     target = spark.createDataFrame([(i, t) for i, t in enumerate(SCORE)], "i int, text string")
-    out = score_naive_bayes(target, model, ["a", "b", "none"]).collect()
-    assert len(out) == 3 * len(SCORE)
+    out = score_naive_bayes(target, model, ["a", "b", "c", "none"]).collect()
+    assert len(out) == 4 * len(SCORE)
     for r in out:
         if r.group == "none":   # no training rows: margin 0, negative class
             assert r.margin == 0.0 and r.pred == 0
