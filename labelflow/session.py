@@ -37,6 +37,22 @@ def get_spark(app: str = "labelflow", master: str | None = None,
     return spark
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Settings sized to the input: scan splits of ``target_partition_bytes`` and an initial
+    shuffle partition count of one per such split (AQE coalesces small ones at run time and
+    splits skewed ones), so a shuffle task never holds much more than one split's worth of
+    rows. 100 TB → ~400k splits, capped at ``max_shuffle_partitions`` shuffle partitions."""
+    parts = max(200, min(max_shuffle_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 _SHIPPED: set[int] = set()
 
 

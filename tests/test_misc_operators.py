@@ -58,3 +58,11 @@ def test_read_items_splittable_mode(spark, tmp_path):
         got = sorted((r.id, r.text, r.label, r.type, r.dataset)
                      for r in read_items(spark, p, multi_line=ml).collect())
         assert got == [("1", 'a "quoted" text', 1, "test", "mhc"), ("2", "plain", 0, None, "mhc")]
+
+
+def test_scale_conf_sizes_partitions():
+    from labelflow.session import scale_conf
+    small, big = scale_conf(1 << 30), scale_conf(100 * (1 << 40))
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert big["spark.sql.shuffle.partitions"] == "200000"
+    assert int(scale_conf(10 * (1 << 40))["spark.sql.shuffle.partitions"]) == 40960
