@@ -66,3 +66,12 @@ def test_scale_conf_sizes_partitions():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert big["spark.sql.shuffle.partitions"] == "200000"
     assert int(scale_conf(10 * (1 << 40))["spark.sql.shuffle.partitions"]) == 40960
+
+
+def test_compare_regimes_ml_runs(spark):
+    from labelflow.operators import regimes as RG
+    from labelflow.plans import catalog as C
+    from .conftest import SF001
+    rows = RG.compare_regimes_ml(C.regime_items(spark, SF001)).collect()
+    assert sorted(r.regime for r in rows) == sorted(RG.REGIMES)
+    assert all(0.0 <= r.accuracy <= 1.0 and r.n == rows[0].n for r in rows)
