@@ -62,8 +62,11 @@ def index_within_group(df: DataFrame, order, bucket: Column, group=None, out: st
         offsets = counts.select(*keys, _running_total("_n", gnames, ["_bk"]).alias("_off"))
     else:
         fcounts = b.groupBy(*keys, "_fb").agg(F.count(F.lit(1)).alias("_n"))
-        foff = fcounts.select(*keys, "_fb", _running_total("_n", keys, ["_fb"]).alias("_offf"))
-        ccounts = fcounts.groupBy(*keys).agg(F.sum("_n").alias("_nc"))
+        # one window pass gives each fine bucket its offset and its coarse bucket's size; the
+        # per-bucket sizes then group without a new shuffle (already clustered by the keys)
+        foff = fcounts.select(*keys, "_fb", _running_total("_n", keys, ["_fb"]).alias("_offf"),
+                              F.sum("_n").over(Window.partitionBy(*keys)).alias("_nc"))
+        ccounts = foff.groupBy(*keys).agg(F.max("_nc").alias("_nc"))
         coff = ccounts.select(*keys, _running_total("_nc", gnames, ["_bk"]).alias("_offc"))
         offsets = foff.join(coff, keys, "inner") \
             .select(*keys, "_fb", (F.col("_offc") + F.col("_offf")).alias("_off"))
