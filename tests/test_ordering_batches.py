@@ -112,3 +112,19 @@ def test_index_within_group_fine_buckets(spark):
     got = {(r.g, r.t): r.idx for r in out.collect()}
     assert all(got[("hot", i)] == i for i in range(2000))
     assert all(got[("cold", i)] == i for i in range(10))
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "7", "x9"]),
+                          st.sampled_from(["t", "u", "v"])), min_size=1, max_size=60),
+       st.sampled_from([0, 2, 5]))
+def test_seeded_shuffle_property(spark, rows, hot_min_rows):
+    df = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    out = [(r.id, r.text, r.pos) for r in
+           seeded_shuffle(df, "id", hot_min_rows=hot_min_rows, chunk=4).collect()]
+    assert sorted((i, t) for i, t, _ in out) == sorted(rows)
+    _check_dense(out)
