@@ -15,7 +15,8 @@ from labelflow.constants import FRAMES_PER_VIDEO, VARIANCE_THRESHOLD
 
 def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "frame_idx",
                       variance: str = "variance", readable: str | None = "readable",
-                      threshold: float = VARIANCE_THRESHOLD, strict: bool = False) -> DataFrame:
+                      threshold: float = VARIANCE_THRESHOLD, strict: bool = False,
+                      details: bool = False) -> DataFrame:
     """Per group, the frame the reference's loop stops at.
 
     The loop starts at frame 0 and advances while the frame is not informative
@@ -33,7 +34,8 @@ def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "fra
 
     Output: ``group, frame_idx, status`` with status ``ok``, ``frame 0 missing`` or
     ``unreadable frame at or before the choice`` (the reference raises for the last two; with
-    ``strict`` so do we).
+    ``strict`` so do we). ``details`` adds ``run_end`` (last index of the run from 0) and
+    ``first_hit`` (first informative index, anywhere).
     """
     ok_read = F.col(readable) if readable else F.lit(True)
     i = F.col(idx).cast("bigint")
@@ -58,7 +60,8 @@ def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "fra
               .when(F.col("_f").isNotNull() & (F.col("_f") <= F.col("_e")), F.col("_f")) \
               .otherwise(F.col("_e"))
     out = agg.select(F.col("_g").alias(group), chosen.cast("int").alias("frame_idx"),
-                     F.col("_has0"), F.col("_u"))
+                     F.col("_has0"), F.col("_u"), F.col("_e").alias("run_end"),
+                     F.col("_f").alias("first_hit"))
     status = F.when(F.col("_has0") == 0, F.lit("frame 0 missing")) \
               .when(F.col("_u").isNotNull() & (F.col("_u") <= F.col("frame_idx")),
                     F.lit("unreadable frame at or before the choice")) \
@@ -68,7 +71,8 @@ def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "fra
                         F.raise_error(F.concat(F.lit("Image could not be loaded: "),
                                                F.col(group).cast("string"))).cast("string")) \
                   .otherwise(status)
-    return out.select(group, "frame_idx", status.alias("status"))
+    extra = ["run_end", "first_hit"] if details else []
+    return out.select(group, "frame_idx", status.alias("status"), *extra)
 
 
 def sample_predicate(idx: Column, n: Column, k: int = FRAMES_PER_VIDEO) -> Column:

@@ -19,17 +19,22 @@ def _strip_scheme(c):
     return F.regexp_replace(c, r"^file:(//)?", "")
 
 
-def read_images(spark: SparkSession, path: str | list[str], recursive: bool = True) -> DataFrame:
-    """One row per image file: ``path, image`` (unreadable files kept, height −1)."""
-    df = spark.read.format("image").option("dropInvalid", "false") \
-        .option("recursiveFileLookup", str(recursive).lower()).load(path)
+def read_images(spark: SparkSession, path: str | list[str], recursive: bool = True,
+                glob: str | None = None) -> DataFrame:
+    """One row per image file: ``path, image`` (unreadable files kept, height −1).
+    ``glob`` filters file names before any file is opened (``pathGlobFilter``)."""
+    r = spark.read.format("image").option("dropInvalid", "false") \
+        .option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    df = r.load(path)
     return df.select(_strip_scheme(F.col("image.origin")).alias("path"), "image")
 
 
-def read_frames(spark: SparkSession, root: str | list[str]) -> DataFrame:
+def read_frames(spark: SparkSession, root: str | list[str], glob: str | None = None) -> DataFrame:
     """S3: ``item_id (frames dir), frame_idx int, variance, readable`` for every numbered PNG
-    under ``root``."""
-    im = read_images(spark, root)
+    under ``root`` (only the file names matching ``glob`` when given)."""
+    im = read_images(spark, root, glob=glob)
     im = im.filter(F.col("path").rlike(FRAME_PATTERN))
     return im.select(
         F.regexp_extract("path", FRAME_PATTERN, 1).alias("item_id"),
@@ -56,3 +61,33 @@ def frame_counts(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Frames per directory (``item_id, n``) from the listing: the counts the uniform sample
     (W2) needs, without decoding the images a second time."""
     return list_frames(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_informative_frames(spark: SparkSession, root: str | list[str],
+                             threshold: float | None = None, chunk: int = 8,
+                             strict: bool = False) -> DataFrame:
+    """S3 + A1 + W1 with early termination, as the reference's loop stops at the first
+    informative frame: decode only frames ``0 … chunk−1`` of every video first (a file-name glob,
+    so no other file is opened) and decide every video whose answer lies in that window. A
+    video is undecided only when frames ``0 … chunk−1`` all exist and none is informative; if
+    any is (one small count job on the checkpointed per-video result), all frames are read and
+    those videos take the full answer. Output as
+    :func:`labelflow.operators.frames.first_informative`."""
+    from labelflow.constants import VARIANCE_THRESHOLD
+    from labelflow.operators.frames import first_informative
+    from labelflow.operators.ordering import checkpointed
+    thr = VARIANCE_THRESHOLD if threshold is None else threshold
+    names = ",".join(str(i) for i in range(chunk))
+    head = read_frames(spark, root, glob=f"{{{names}}}.png")
+    first = checkpointed(first_informative(head, threshold=thr, details=True))
+    open_ = (F.col("run_end") == chunk - 1) & F.col("first_hit").isNull()
+    undecided = first.filter(open_).select("item_id")
+    out = first.filter(~open_).select("item_id", "frame_idx", "status")
+    if not undecided.isEmpty():
+        full = first_informative(read_frames(spark, root), threshold=thr)
+        out = out.unionByName(full.join(undecided, "item_id", "left_semi"))
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("Image could not be loaded: "), F.col("item_id")))
+        out = out.withColumn("status", F.when(F.col("status") != "ok", bad.cast("string"))
+                             .otherwise(F.col("status")))
+    return out

@@ -102,3 +102,27 @@ def test_uniform_sample_with_listing_counts(spark, tmp_path):
                .collect())
     assert a == b
     assert [x[1] for x in a if x[0].endswith("v20")] == [0, 1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 18]
+
+
+def test_first_informative_early_termination(spark, tmp_path):
+    from labelflow.sources.frames import first_informative_frames
+    root = str(tmp_path)
+    for i in range(12):      # only no. 11 informative: needs the second pass
+        write_png(f"{root}/late/{i}.png", noisy(i) if i == 11 else flat(3 * i))
+    for i in range(10):      # informative at 2: decided by the first chunk
+        write_png(f"{root}/early/{i}.png", noisy(i) if i == 2 else flat(1))
+    for i in (0, 1, 2, 4, 5):    # gap at 3: run ends at 2
+        write_png(f"{root}/gap/{i}.png", flat(i) if i != 4 else noisy(4))
+    for i in range(1, 4):    # no frame 0
+        write_png(f"{root}/nozero/{i}.png", noisy(i))
+    want = {r.item_id: (r.frame_idx, r.status) for r in first_informative(read_frames(spark, root)).collect()}
+    for chunk in (2, 4, 8, 16):
+        got = {r.item_id: (r.frame_idx, r.status)
+               for r in first_informative_frames(spark, root, chunk=chunk).collect()}
+        assert got == want, chunk
+    assert {k.split("/")[-1]: v for k, v in want.items()} == {
+        "late": (11, "ok"), "early": (2, "ok"), "gap": (2, "ok"), "nozero": (None, "frame 0 missing")}
+    # all decided in the first chunk: no second pass needed, same answer
+    sub = f"{root}/early"
+    got = {r.item_id: r.frame_idx for r in first_informative_frames(spark, sub, chunk=4).collect()}
+    assert list(got.values()) == [2]
