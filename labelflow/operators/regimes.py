@@ -83,18 +83,20 @@ def regime_counts(items: DataFrame, regimes=REGIMES) -> DataFrame:
     return tr.agg(*aggs).select(F.explode(F.array(*out)).alias("r")).select("r.*")
 
 
-def regime_memberships(items: DataFrame, regimes=REGIMES, text: str = "text") -> DataFrame:
-    """Training rows with their regime and that regime's label: ``(regime, label, text)``, one
-    row per (row, regime) it trains. One pass: an ``explode`` of the row's memberships."""
+def regime_memberships(items: DataFrame, regimes=REGIMES, carry=("text",)) -> DataFrame:
+    """Training rows with their regime and that regime's label: ``(regime, label, *carry)``,
+    one row per (row, regime) it trains. One pass: an ``explode`` of the row's memberships;
+    ``carry`` columns (computed once per row) ride along."""
     tr = train_split(items)
+    carry = list(carry)
     members = [F.when((F.col("domain") == d) & F.col(c).isNotNull(),
                       F.struct(F.lit(r).alias("regime"), F.col(c).cast("int").alias("label")))
                for r in regimes for d, c in REGIME_PARTS[r]]
     if not members:
         return tr.select(F.lit(None).cast("string").alias("regime"),
-                         F.lit(None).cast("int").alias("label"), text).filter(F.lit(False))
-    m = tr.select(F.col(text).alias("text"), F.explode(F.array(*members)).alias("_m"))
-    return m.filter(F.col("_m").isNotNull()).select("_m.regime", "_m.label", "text")
+                         F.lit(None).cast("int").alias("label"), *carry).filter(F.lit(False))
+    m = tr.select(*carry, F.explode(F.array(*members)).alias("_m"))
+    return m.filter(F.col("_m").isNotNull()).select("_m.regime", "_m.label", *carry)
 
 
 def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
@@ -114,9 +116,9 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
     parts = []
     if trained:
         # the training features feed three aggregates of the fit: compute them once
-        mem = regime_memberships(items, trained)
-        mem = checkpointed(mem.select("regime", "label",
-                                      word_features("text", num_features).alias("x")))
+        # features once per row (a row may train two or three regimes), then its memberships
+        featurized = items.withColumn("x", word_features("text", num_features))
+        mem = checkpointed(regime_memberships(featurized, trained, carry=("x",)))
         model = fit_naive_bayes(mem, group="regime", features="x", num_features=num_features)
         scored = score_naive_bayes(target.select("label", "text"), model, trained,
                                    group="regime")
