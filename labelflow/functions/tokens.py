@@ -42,6 +42,12 @@ def attention_mask(ids, pad: int = PAD_ID) -> Column:
     return F.transform(_c(ids), lambda i: F.when(i == pad, F.lit(0)).otherwise(F.lit(1)))
 
 
+def attended(ids, pad: int = PAD_ID) -> Column:
+    """Number of attended positions (the sum of :func:`attention_mask`) without a lambda:
+    ``size(array_remove(ids, pad))`` runs inside generated code."""
+    return F.size(F.array_remove(_c(ids), F.lit(pad).cast("bigint"))).cast("bigint")
+
+
 def mask_labels(ids, pad: int = PAD_ID, media_ids=(MEDIA_ID,)) -> Column:
     """training labels = the ids with pad and media ids replaced by the ignore index.
     Prompt tokens are not masked (the reference's loss covers the whole text)."""

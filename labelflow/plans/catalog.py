@@ -344,13 +344,11 @@ FROM p"""
 def token_rows_df(df: DataFrame, key: str, n: int) -> DataFrame:
     ids = df.select(key, TK.token_ids("text").alias("ids"))
     rows = ids.select(key, "ids", TK.pad_truncate("ids", n).alias("input_ids"))
-    rows = rows.select(key, "ids", "input_ids", TK.mask_labels("input_ids").alias("labels"),
-                       TK.attention_mask("input_ids").alias("attention_mask"))
+    rows = rows.select(key, "ids", "input_ids", TK.mask_labels("input_ids").alias("labels"))
     return rows.select(key, F.size("ids").cast("bigint").alias("n_tokens"),
                        F.md5(F.array_join("input_ids", " ")).alias("input_ids_md5"),
                        F.md5(F.array_join("labels", " ")).alias("labels_md5"),
-                       F.aggregate("attention_mask", F.lit(0).cast("bigint"),
-                                   lambda a, x: a + x).alias("n_attended"))
+                       TK.attended("input_ids").alias("n_attended"))
 
 
 @query("token_rows", _token_rows_sql("benchmark", "item_id", 64))

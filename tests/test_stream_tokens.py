@@ -71,3 +71,13 @@ def test_text_predictor(spark):
     df = spark.createDataFrame([("bad one",), ("fine",)], "prompt string")
     got = [r.response for r in P.text_predictor(make)(df).collect()]
     assert got == ["hateful", "non-hateful"]
+
+
+def test_attended_equals_mask_sum(spark):
+    from pyspark.sql import functions as F
+    from labelflow.functions.tokens import attended, attention_mask, pad_truncate
+    df = spark.createDataFrame([([5, 6, 7],), ([],), ([9] * 20,)], "ids array<bigint>") \
+        .select(pad_truncate("ids", 8).alias("p"))
+    got = df.select(attended("p").alias("a"),
+                    F.aggregate(attention_mask("p"), F.lit(0), lambda s, x: s + x).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(3, 3), (0, 0), (8, 8)]
