@@ -5,7 +5,6 @@ import math
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelflow.operators.bayes import fit_naive_bayes, score_naive_bayes, word_features
 from labelflow.operators.regimes import regime_memberships

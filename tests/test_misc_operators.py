@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from labelflow.operators import classifier as CL
 from labelflow.operators import rows as R
