@@ -115,8 +115,8 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
     target = labelled(test_split(items.filter(F.col("domain") == target_domain)))
     parts = []
     if trained:
-        # the training features feed three aggregates of the fit: compute them once
-        # features once per row (a row may train two or three regimes), then its memberships
+        # features once per row (a row may train two or three regimes), then its memberships;
+        # checkpointed since the fit's aggregates read them several times
         featurized = items.withColumn("x", word_features("text", num_features))
         mem = checkpointed(regime_memberships(featurized, trained, carry=("x",)))
         model = fit_naive_bayes(mem, group="regime", features="x", num_features=num_features)
