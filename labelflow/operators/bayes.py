@@ -115,8 +115,11 @@ def score_naive_bayes(df: DataFrame, model: NaiveBayesModel, groups: list[str],
     scored once: its features are exploded, hash-joined with the broadcast feature table and
     summed per ``(text, group)`` (a partial aggregate); features that miss add
     ``unseen × (features − hits)``. The margins are then joined back to the rows."""
-    keyed = df.withColumn("_k", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    uniq = keyed.groupBy("_k").agg(F.min(text).alias("_t"))
+    body = F.coalesce(F.col(text), F.lit(""))   # NULL text scores as the empty text
+    keyed = df.withColumn("_k", F.md5(body))
+    # distinct on (key, text): the text is a grouping key, not an aggregate buffer, so this is
+    # a hash aggregate (a string min/first would need a sort-based one)
+    uniq = keyed.select("_k", body.alias("_t")).distinct()
     feats = uniq.select("_k", word_features("_t", model.num_features).alias("_x"))
     occ = feats.select("_k", F.explode("_x").alias("_f"))
     hits = occ.join(F.broadcast(model.features), "_f", "inner")   # ≤ groups × D rows
