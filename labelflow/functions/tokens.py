@@ -14,6 +14,9 @@ from labelflow.constants import IGNORE_INDEX, MAX_LENGTH, MEDIA_ID, PAD_ID
 
 SPLIT_PATTERN = "[ \t\n\r]+"
 DEFAULT_VOCAB = 32000
+# the rendered media parts (see chat.render_part): each is one token, the media id
+MEDIA_PATTERN = r"<\|(image|video)\|>"
+MEDIA_TOKENS = ("<|image|>", "<|video|>")
 
 
 def _c(x) -> Column:
@@ -21,12 +24,16 @@ def _c(x) -> Column:
 
 
 def words(text) -> Column:
-    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), SPLIT_PATTERN), lambda w: w != "")
+    """Whitespace tokens; a media marker is a token of its own even when glued to text."""
+    spaced = F.regexp_replace(F.coalesce(_c(text), F.lit("")), MEDIA_PATTERN, " <|$1|> ")
+    return F.filter(F.split(spaced, SPLIT_PATTERN), lambda w: w != "")
 
 
 def token_ids(text, vocab: int = DEFAULT_VOCAB) -> Column:
-    """F8: text → ``array<bigint>`` of stand-in ids over the whole text."""
-    return F.transform(words(text), lambda w: (
+    """F8: text → ``array<bigint>`` of stand-in ids over the whole text; a media marker maps
+    to the media id (which :func:`mask_labels` masks, as the reference masks image tokens)."""
+    return F.transform(words(text), lambda w: F.when(
+        w.isin(*MEDIA_TOKENS), F.lit(MEDIA_ID).cast("bigint")).otherwise(
         F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % F.lit(vocab) + F.lit(2)))
 
 

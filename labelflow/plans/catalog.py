@@ -326,8 +326,10 @@ def chat_render(spark, sf):
 # ---------------------------------------------------------------- tokens
 
 def _ids_sql(text: str) -> str:
-    return (f"list_transform(list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \\t\\n\\r]+'), "
-            f"lambda w: w <> ''), lambda w: ((('0x' || substr(md5(w), 1, 7))::BIGINT % 32000) + 2))")
+    spaced = f"regexp_replace(coalesce({text}, ''), '<\\|(image|video)\\|>', ' <|\\1|> ', 'g')"
+    return (f"list_transform(list_filter(regexp_split_to_array({spaced}, '[ \\t\\n\\r]+'), "
+            f"lambda w: w <> ''), lambda w: CASE WHEN w IN ('<|image|>', '<|video|>') THEN 1 "
+            f"ELSE ((('0x' || substr(md5(w), 1, 7))::BIGINT % 32000) + 2) END)")
 
 
 def _token_rows_sql(table: str, key: str, n: int) -> str:

@@ -81,3 +81,13 @@ def test_attended_equals_mask_sum(spark):
     got = df.select(attended("p").alias("a"),
                     F.aggregate(attention_mask("p"), F.lit(0), lambda s, x: s + x).alias("b")).collect()
     assert [(r.a, r.b) for r in got] == [(3, 3), (0, 0), (8, 8)]
+
+
+def test_media_marker_is_media_token_and_masked(spark):
+    from labelflow.constants import IGNORE_INDEX, MEDIA_ID
+    from labelflow.functions.tokens import mask_labels, token_ids
+    df = spark.createDataFrame([("<|user|>\n<|image|>Text: 'hi' <|video|> end",)], "t string")
+    r = df.select(token_ids("t").alias("ids")).select("ids", mask_labels("ids").alias("lab")).first()
+    assert len(r.ids) == 6 and r.ids[1] == MEDIA_ID and r.ids[4] == MEDIA_ID
+    assert r.lab[1] == IGNORE_INDEX and r.lab[4] == IGNORE_INDEX
+    assert [i for i in r.ids if i != MEDIA_ID] == [i for i in r.lab if i != IGNORE_INDEX]
