@@ -114,8 +114,13 @@ def vector_variance(vec) -> Column:
     v = F.col(vec) if isinstance(vec, str) else vec
     n = F.size(v).cast("double")
     mean = F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")) / n
-    ss = F.aggregate(v, F.lit(0.0).cast("double"),
-                     lambda a, x: a + (x.cast("double") - mean) * (x.cast("double") - mean))
+    # the mean rides in the accumulator's start value, so it is computed once per array (as a
+    # free expression inside the lambda it would be recomputed for every element)
+    start = F.struct(mean.alias("m"), F.lit(0.0).cast("double").alias("s"))
+    ss = F.aggregate(v, start, lambda a, x: F.struct(
+        a["m"].alias("m"),
+        (a["s"] + (x.cast("double") - a["m"]) * (x.cast("double") - a["m"])).alias("s")),
+        lambda a: a["s"])
     return F.when(F.size(v) > 0, ss / n)
 
 
