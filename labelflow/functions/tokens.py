@@ -25,7 +25,9 @@ def _c(x) -> Column:
 
 def words(text) -> Column:
     """Whitespace tokens; a media marker is a token of its own even when glued to text."""
-    spaced = F.regexp_replace(F.coalesce(_c(text), F.lit("")), MEDIA_PATTERN, " <|$1|> ")
+    t = F.coalesce(_c(text), F.lit(""))
+    # the regex runs only on texts that can hold a marker
+    spaced = F.when(t.contains("<|"), F.regexp_replace(t, MEDIA_PATTERN, " <|$1|> ")).otherwise(t)
     return F.filter(F.split(spaced, SPLIT_PATTERN), lambda w: w != "")
 
 
