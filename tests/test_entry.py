@@ -31,3 +31,14 @@ def test_partition_independence(spark, name):
     b = sorted(map(tuple, fn(spark, SF001).collect()), key=repr)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "SortAggregate")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plan_has_no_slow_path(spark, name):
+    """No registered query plans a cross product, a nested-loop join, a row-at-a-time Python
+    UDF or a sort-based aggregate."""
+    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in FORBIDDEN if k in plan]
