@@ -173,8 +173,8 @@ picks AS (SELECT s.item_id, s.frame_idx, min(j) AS sample_pos
 SELECT item_id, frame_idx, CAST(sample_pos AS INTEGER) AS sample_pos FROM picks
 """.replace("\n, sized", ", sized", 1)))
 def uniform_frames(spark, sf):
-    return FR.uniform_sample(T.frames(spark, sf), k=16).select("item_id", "frame_idx",
-                                                                "sample_pos")
+    return FR.uniform_sample(T.frames(spark, sf), k=16, counts=T.frame_counts(spark, sf)) \
+        .select("item_id", "frame_idx", "sample_pos")
 
 
 @query("vector_gate", """

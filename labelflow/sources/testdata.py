@@ -81,6 +81,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames per item straight from ``events`` (one frame per event): the counts the uniform
+    sample needs, without going through the frame numbering (the stand-in for
+    :func:`labelflow.sources.frames.frame_counts` on image files)."""
+    ev = table(spark, sf_dir, "events").select("user_id")
+    return ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(
+        F.concat(F.lit("frames/"), F.col("user_id").cast("string")).alias("item_id"), "n")
+
+
 FRAMES_SQL = """
 SELECT 'frames/' || CAST(user_id AS VARCHAR) AS item_id,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_idx,
