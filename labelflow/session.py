@@ -58,11 +58,20 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
 _SHIPPED: set[int] = set()
 
 
+def _context(spark):
+    """The ``SparkContext`` of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 — Connect sessions have no SparkContext
+        return None
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``labelflow`` importable in the Python workers (pandas UDFs, ``mapInPandas``): zip
-    the package once per driver process and ``addPyFile`` it, as ``--py-files`` would."""
-    sc = spark.sparkContext
-    key = id(sc._jsc)
+    the package once per driver process and ``addPyFile`` it, as ``--py-files`` would (a
+    Spark Connect session gets it with ``addArtifacts``)."""
+    sc = _context(spark)
+    key = id(sc._jsc) if sc is not None else id(spark)
     if key in _SHIPPED:
         return
     import zipfile
@@ -74,14 +83,19 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local runs)
     point it at a fresh local folder."""
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
