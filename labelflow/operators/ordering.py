@@ -145,16 +145,18 @@ def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
     # bucket sizes and offsets: over the key only, never over rows
     fine = keyed.groupBy("_b2").agg(F.count(F.lit(1)).alias("_n")) \
                 .withColumn("_b1", F.substring("_b2", 1, coarse_len))
-    coarse = fine.groupBy("_b1").agg(F.sum("_n").alias("_nc"))        # ≤ 16**coarse_len rows
+    # one window pass per coarse bucket: each fine bucket's offset and the coarse bucket's size
+    fine_off = fine.select("_b1", "_b2", "_n",
+                           _running_total("_n", ["_b1"], ["_b2"]).alias("_offf"),
+                           F.sum("_n").over(Window.partitionBy("_b1")).alias("_nc"))
+    coarse = fine_off.groupBy("_b1").agg(F.max("_nc").alias("_nc"))  # ≤ 16**coarse_len rows
     total = F.sum("_nc").over(Window.partitionBy())
     coarse_off = coarse.select(
         "_b1", _running_total("_nc", [], ["_b1"]).alias("_offc"),
         F.greatest(F.lit(float(hot_min_rows)), total / F.lit(float(max_hot))).alias("_limit"))
-    offsets = fine.select("_b1", "_b2", "_n", _running_total("_n", ["_b1"], ["_b2"])
-                          .alias("_offf")) \
-                  .join(F.broadcast(coarse_off), "_b1", "inner") \
-                  .select("_b2", (F.col("_offc") + F.col("_offf")).alias("_off"),
-                          (F.col("_n") > F.col("_limit")).alias("_hot"))
+    offsets = fine_off.join(F.broadcast(coarse_off), "_b1", "inner") \
+                      .select("_b2", (F.col("_offc") + F.col("_offf")).alias("_off"),
+                              (F.col("_n") > F.col("_limit")).alias("_hot"))
     # the table feeds the hot tags, the cold offsets and the hot offsets: compute it once
     # (a reliable checkpoint in the shared folder, not a recomputation per branch)
     offsets = checkpointed(offsets)
