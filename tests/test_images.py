@@ -126,3 +126,17 @@ def test_first_informative_early_termination(spark, tmp_path):
     sub = f"{root}/early"
     got = {r.item_id: r.frame_idx for r in first_informative_frames(spark, sub, chunk=4).collect()}
     assert list(got.values()) == [2]
+
+
+def test_first_informative_early_termination_strict(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+    from labelflow.sources.frames import first_informative_frames
+    root = str(tmp_path)
+    for i in range(1, 3):    # frame 0 missing: the reference raises
+        write_png(f"{root}/nozero/{i}.png", noisy(i))
+    write_png(f"{root}/fine/0.png", noisy(0))
+    with pytest.raises((PySparkException, Exception)):
+        first_informative_frames(spark, root, strict=True).collect()
+    ok = first_informative_frames(spark, f"{root}/fine", strict=True).collect()
+    assert [(r.frame_idx, r.status) for r in ok] == [(0, "ok")]
