@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from labelflow.constants import FRAMES_PER_VIDEO, VARIANCE_THRESHOLD
 
+BLOCK = 62  # frame indices per bitmap block (bits 0..61 of a bigint, so bitmap + 1 fits)
+
 
 def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "frame_idx",
                       variance: str = "variance", readable: str | None = "readable",
@@ -23,39 +25,60 @@ def first_informative(frames: DataFrame, group: str = "item_id", idx: str = "fra
     (``variance > threshold`` is false) and frame ``i+1`` exists. So the answer is the smallest
     informative index inside the gap-free run that starts at 0, else the last index of that run.
 
-    Plan (one scan, no join, no window over a group): every frame emits two rows, itself at
-    ``idx`` and a successor marker at ``idx - 1``. An aggregate on ``(group, idx)`` — a
-    composite key, so a hot group spreads over all tasks — tells for each present frame whether
-    its successor exists. A second, map-side combined aggregate per group then yields
-      ``e`` = first frame without successor (end of the run from 0),
-      ``f`` = first informative readable frame, ``u`` = first unreadable frame;
+    Plan (one scan, no join, no window over a group). The run from 0 ends just before the
+    smallest missing index (the *mex*). Frames are cut into blocks of ``BLOCK`` = 62 indices;
+    one partial aggregate per ``(group, block)`` builds a bitmap of the present offsets
+    (``bit_or``) and the block's first informative and first unreadable index — frames of a
+    video sit together, so the map-side combine sends about one row per block, not per frame,
+    and a hot video spreads over its blocks. Inside a block the first missing offset is the
+    count of trailing ones of the bitmap. The first *absent* block comes from successor markers
+    on the block table (62× smaller than the frames). Per group, a map-side combined aggregate
+    then yields
+      ``mex`` = least(first missing index of a partial block, first absent block × 62),
+      ``e = mex − 1`` (end of the run from 0), ``f`` = first informative readable frame,
+      ``u`` = first unreadable frame;
     answer = ``f`` if ``f <= e`` else ``e``. The frames (and their pixel variance, for real
-    images) are computed once.
+    images) are computed once. Negative indices are not frames the loop can reach.
 
     Output: ``group, frame_idx, status`` with status ``ok``, ``frame 0 missing`` or
     ``unreadable frame at or before the choice`` (the reference raises for the last two; with
-    ``strict`` so do we). ``details`` adds ``run_end`` (last index of the run from 0) and
-    ``first_hit`` (first informative index, anywhere).
+    ``strict`` so do we). ``details`` adds ``run_end`` (last index of the run from 0, −1 when
+    frame 0 is missing) and ``first_hit`` (first informative index, anywhere).
     """
     ok_read = F.col(readable) if readable else F.lit(True)
     i = F.col(idx).cast("bigint")
     informative = ok_read & (F.col(variance) > F.lit(threshold))
-    me = F.struct(i.alias("i"), F.lit(1).alias("self"), F.lit(0).alias("nxt"),
-                  F.when(informative, 1).otherwise(0).alias("inf"),
-                  F.when(ok_read, 0).otherwise(1).alias("bad"))
-    marker = F.struct((i - 1).alias("i"), F.lit(0).alias("self"), F.lit(1).alias("nxt"),
-                      F.lit(0).alias("inf"), F.lit(0).alias("bad"))
-    both = frames.select(F.col(group).alias("_g"), F.explode(F.array(me, marker)).alias("r"))
-    per_frame = both.groupBy("_g", F.col("r.i").alias("_i")).agg(
-        F.max("r.self").alias("_self"), F.max("r.nxt").alias("_nxt"),
-        F.max("r.inf").alias("_inf"), F.max("r.bad").alias("_bad")) \
+    b = F.lit(BLOCK)
+    per_block = frames.filter(i >= 0).groupBy(
+        F.col(group).alias("_g"), F.floor(i / b).cast("bigint").alias("_b")).agg(
+        # 2**offset is exact in a double for offsets below 62
+        F.bit_or(F.pow(F.lit(2.0), (i % b).cast("double")).cast("bigint")).alias("_bits"),
+        F.min(F.when(informative, i)).alias("_f"),
+        F.min(F.when(~ok_read, i)).alias("_u"))
+    # trailing ones of the bitmap = first missing offset (BLOCK when the block is full); the
+    # bitmap is below 2**62, so bits + 1 cannot overflow
+    trail = F.bit_count(F.col("_bits").bitwiseXOR(F.col("_bits") + 1)) - 1
+    me = F.struct(F.col("_b").alias("b"), F.lit(1).alias("self"), F.lit(0).alias("nxt"),
+                  trail.cast("bigint").alias("t"), F.col("_f").alias("f"),
+                  F.col("_u").alias("u"))
+    marker = F.struct((F.col("_b") - 1).alias("b"), F.lit(0).alias("self"),
+                      F.lit(1).alias("nxt"), F.lit(None).cast("bigint").alias("t"),
+                      F.lit(None).cast("bigint").alias("f"),
+                      F.lit(None).cast("bigint").alias("u"))
+    both = per_block.select("_g", F.explode(F.array(me, marker)).alias("r"))
+    blocks = both.groupBy("_g", F.col("r.b").alias("_b")).agg(
+        F.max("r.self").alias("_self"), F.max("r.nxt").alias("_nxt"), F.max("r.t").alias("_t"),
+        F.min("r.f").alias("_f"), F.min("r.u").alias("_u")) \
         .filter(F.col("_self") == 1)
-    agg = per_frame.groupBy("_g").agg(
-        F.max(F.when(F.col("_i") == 0, F.lit(1)).otherwise(F.lit(0))).alias("_has0"),
-        F.min(F.when(F.col("_nxt") == 0, F.col("_i"))).alias("_e"),
-        F.min(F.when(F.col("_inf") == 1, F.col("_i"))).alias("_f"),
-        F.min(F.when(F.col("_bad") == 1, F.col("_i"))).alias("_u"),
-    )
+    g = blocks.groupBy("_g").agg(
+        F.max(F.when(F.col("_b") == 0, F.lit(1)).otherwise(F.lit(0))).alias("_hasb0"),
+        F.min(F.when(F.col("_t") < b, F.col("_b") * b + F.col("_t"))).alias("_partial"),
+        F.min(F.when(F.col("_nxt") == 0, F.col("_b"))).alias("_lastrun"),
+        F.min("_f").alias("_f"), F.min("_u").alias("_u"))
+    absent = F.when(F.col("_hasb0") == 1, (F.col("_lastrun") + 1) * b).otherwise(F.lit(0))
+    mex = F.least(F.col("_partial"), absent)
+    agg = g.select("_g", (mex - 1).alias("_e"), F.when(mex > 0, 1).otherwise(0).alias("_has0"),
+                   "_f", "_u")
     chosen = F.when(F.col("_has0") == 0, F.lit(None).cast("bigint")) \
               .when(F.col("_f").isNotNull() & (F.col("_f") <= F.col("_e")), F.col("_f")) \
               .otherwise(F.col("_e"))

@@ -125,3 +125,21 @@ def test_hot_group_is_not_one_task(spark):
     assert "Window" not in plan
     got = {r.item_id: r.frame_idx for r in out.collect()}
     assert got["hot"] == 5000 and got["g3"] == 0
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 300), st.sets(st.integers(0, 320), max_size=4),
+       st.sets(st.integers(0, 320), max_size=3), st.sets(st.integers(0, 320), max_size=2))
+def test_w1_property_across_blocks(spark, n, gaps, hits, bad):
+    """Runs spanning several 62-frame blocks, with gaps, informative and unreadable frames."""
+    fr = {i: (400 if i in hits else 5, i not in bad) for i in range(n) if i not in gaps}
+    if not fr:
+        return
+    got = run_w1(spark, {"g": fr})["g"]
+    status, idx = expected(fr)
+    if status == "ok":
+        assert got == (idx, "ok")
+    elif status == "frame 0 missing":
+        assert got[1] == "frame 0 missing"
+    else:
+        assert got[1].startswith("unreadable")
