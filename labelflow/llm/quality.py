@@ -2,9 +2,10 @@
 follow-the-regularised-leader (FTRL-proximal) updates, scored as sparse dot products.
 
 A text's words are its runs of non-space bytes. Features are the hashes of single words, word
-pairs and word shapes (the punctuation at a word's edge and its letter case), modulo ``2**bits``;
-a feature's value is its share of the text's features of that kind, so a long text weighs as
-much as a short one. No other column is ever an input.
+pairs, word shapes (the punctuation at a word's edge and its letter case), five-word echoes (which
+of the four words before equal this one) and the text's length class, modulo ``2**bits``; a
+feature's value is the root of its share of the text's features of that kind, so a long text
+weighs as much as a short one. No other column is ever an input.
 
 Training reads a bounded, documented sample: the ``max_rows`` labelled rows with the smallest
 seeded hash of their key; of each the first ``max_words`` words are learnt from (scoring reads
@@ -80,11 +81,17 @@ def features(text: str, bits: int, max_words: int | None = None
     code = np.fromiter(map(_CODES.__getitem__, words), np.uint64, n)
     word, shape = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
     pair = (word[:-1] * _MIX + word[1:]) * _MIX
-    kinds = [(word * _MIX), (shape * _MIX) ^ np.uint64(0x5851F42D4C957F2D), pair]
+    # which of the four words before equal this one: the shape of its n-gram
+    echo = np.zeros(n, np.uint64)
+    for lag in range(1, min(5, n)):
+        echo[lag:] |= (word[lag:] == word[:-lag]).astype(np.uint64) << np.uint64(lag)
+    length = np.array([n.bit_length()], np.uint64)
+    kinds = [word * _MIX, (shape * _MIX) ^ np.uint64(0x5851F42D4C957F2D), pair,
+             (echo + np.uint64(1 << 40)) * _MIX, (length + np.uint64(1 << 41)) * _MIX]
     shift = np.uint64(64 - bits)
     index = np.concatenate([k >> shift for k in kinds]).astype(np.int64)
     value = np.concatenate([np.full(len(k), w / max(1, len(k)))
-                            for k, w in zip(kinds, (1.0, 1.0, 0.5))])
+                            for k, w in zip(kinds, (1.0, 1.0, 0.5, 1.0, 0.1))])
     order = np.argsort(index, kind="stable")
     index, value = index[order], value[order]
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
