@@ -41,18 +41,73 @@ def merged(symbols: list, join) -> list:
     return [s for s in alive if s is not None]
 
 
-class Pairs(dict):
-    """(a, b) → whether the tokens a and b are compatible; ``split`` merges a string."""
+class Pieces(dict):
+    """(a, b) → whether two pieces, given as strings, are compatible, for a vocabulary in which any
+    two neighbours may join whose concatenation is a piece. ``rank``: piece → rank.
 
-    def __init__(self, split):
+    As in :class:`Neighbours` the merges at the border are undone from the youngest on. That
+    needs pieces that are made in the order of their ranks; for a pair with any other piece the
+    two are merged outright."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, rank):
         super().__init__()
-        self.split = split
+        self.rank = rank
+        self.known: dict = {}
+        seen: dict = {}
+        for p, r in rank.items():
+            seen.setdefault(r, []).append(p)
+        self.shared = {p for ps in seen.values() if len(ps) > 1 for p in ps if len(p) > 1}
+
+    def split(self, text: str) -> list[str]:
+        rank = self.rank
+        return merged(list(text), lambda a, b: (r, a + b)
+                      if (r := rank.get(a + b)) is not None else None)
+
+    def made(self, piece: str):
+        """(rank, left, right) of the merge that makes the piece; None for a single character,
+        False where ranks do not tell the order."""
+        if len(piece) == 1:
+            return None
+        got = self.known.get(piece)
+        if got is None:
+            rank, parts = self.rank, []
+            whole = merged(list(piece), lambda a, b: (r, (parts.append((a + b, a, b)), a + b)[1])
+                           if (r := rank.get(a + b)) is not None else None)
+            got = False
+            if whole == [piece] and piece not in self.shared:
+                mine = rank[piece]
+                _, left, right = next(x for x in parts if x[0] == piece)
+                below = [self.made(x) for x in (left, right)]
+                if all(m is None or m and m[0] < mine for m in below) \
+                        and sum(x[0] == piece for x in parts) == 1:
+                    got = (mine, left, right)
+            self.known[piece] = got
+        return got
 
     def __missing__(self, pair):
-        a, b = pair
-        self[pair] = ok = self.split(a + b) == [a, b]
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[pair] = ok = self._stand(*pair)
         return ok
 
+    def _stand(self, a: str, b: str) -> bool:
+        whole, rank, due = (a, b), self.rank, float("inf")
+        while True:
+            across = rank.get(a + b)
+            if across is not None and across < due:
+                return False
+            in_a, in_b = self.made(a), self.made(b)
+            if in_a is False or in_b is False:
+                return self.split(whole[0] + whole[1]) == list(whole)
+            if in_a is None and in_b is None:
+                return True
+            if in_b is None or in_a is not None and in_a[0] > in_b[0]:
+                due, a = in_a[0], in_a[2]
+            else:
+                due, b = in_b[0] + 1, in_b[1]
+
 
 class Neighbours(dict):
     """(a, b) → whether two tokens are compatible, for a merge table in which every token has one

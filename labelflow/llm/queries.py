@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import quality, sharding, simhash, token_counts
+from labelflow.llm import quality, sentencepiece_codec, sharding, simhash, token_counts
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -53,6 +53,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text under the SentencePiece model, and whether decoding them gives
+    the text back (a word mark in a text stands for a space)."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.translate(text_or_empty(), sentencepiece_codec.MARK, " ").alias("as_read"),
+        "text")
+    got = sentencepiece_codec.add_ids(docs, tokenizer_path("piece_bpe_32k.model"),
+                                      decoded="decoded")
+    return got.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+                      (F.col("decoded") == F.col("as_read")).alias("decoded_equal"), "token_ids")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every whole text, learnt from rows that are not held out."""
     prepare(spark)
@@ -65,5 +78,6 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op6_sentencepiece,
+                                   op7_quality)}
 ORACLE: dict[str, str] = {}
