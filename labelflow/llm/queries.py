@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import quality, sentencepiece_codec, sharding, simhash, token_counts
+from labelflow.llm import mixing, quality, sentencepiece_codec, sharding, simhash, token_counts
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -78,6 +78,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    per_doc, _, _ = mixing.mix(docs, [3, 1, 2], share=1.5)
+    return per_doc.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op6_sentencepiece,
-                                   op7_quality)}
+                                   op7_quality, op9_mixing)}
 ORACLE: dict[str, str] = {}
