@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,12 @@ def persisted(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared ``spark.checkpoint.dir``: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` written as a Parquet table under the shared ``spark.checkpoint.dir`` and read back:
+    like :func:`persisted`, but compressed and read column by column."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import mixing, quality, sentencepiece_codec, sharding, simhash, token_counts
+from labelflow.llm import (fingerprints, mixing, quality, sentencepiece_codec, sharding, simhash,
+                           token_counts)
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -86,6 +87,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_doc.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and its edited text, and what peeling says they share."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.compare_versions(docs).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op6_sentencepiece,
-                                   op7_quality, op9_mixing)}
+                                   op7_quality, op9_mixing, op10_fingerprints)}
 ORACLE: dict[str, str] = {}
