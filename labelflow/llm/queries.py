@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.llm import (fingerprints, mixing, quality, sentencepiece_codec, sharding, simhash,
-                           token_counts)
+                           token_counts, topk)
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -79,6 +79,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest quantised inner product for every 20th vector."""
+    prepare(spark)
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))) \
+        .select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
     prepare(spark)
@@ -97,5 +105,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op6_sentencepiece,
-                                   op7_quality, op9_mixing, op10_fingerprints)}
-ORACLE: dict[str, str] = {}
+                                   op7_quality, op8_topk, op9_mixing, op10_fingerprints)}
+ORACLE: dict[str, str] = {
+    "op8_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id,
+                          CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+                   FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+                   FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
