@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.llm import (fingerprints, mixing, quality, sentencepiece_codec, sharding, simhash,
-                           token_counts, topk)
+                           token_counts, topk, wrappers)
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -54,6 +54,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    prepare(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrappers.extract(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text under the SentencePiece model, and whether decoding them gives
     the text back (a word mark in a text stands for a space)."""
@@ -104,7 +112,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op6_sentencepiece,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op5_html_text, op6_sentencepiece,
                                    op7_quality, op8_topk, op9_mixing, op10_fingerprints)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
