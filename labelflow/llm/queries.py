@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.llm import (fingerprints, mixing, quality, sentencepiece_codec, sharding, simhash,
-                           token_counts, topk, wrappers)
+                           suffix_dedup, token_counts, topk, wrappers)
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -45,6 +45,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50-byte strings that documents share, removed from all but the smallest doc_id."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, length=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and groups at two or fewer differing bits."""
     prepare(spark)
@@ -112,7 +120,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op4_simhash, op5_html_text, op6_sentencepiece,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_suffix_dedup, op4_simhash, op5_html_text, op6_sentencepiece,
                                    op7_quality, op8_topk, op9_mixing, op10_fingerprints)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
