@@ -315,10 +315,11 @@ def _read(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text",
-                   length: int = 50, group_bytes: int = 16 << 20, frequent: int = 20_000
-                   ) -> DataFrame:
+                   length: int = 50, group_bytes: int = 16 << 20, frequent: int = 20_000,
+                   as_text: bool = False) -> DataFrame:
     """``df`` without ``text_col``, plus ``kept`` (binary: the remaining bytes), ``n_bytes``,
-    ``n_removed`` and ``n_spans`` (maximal removed runs).
+    ``n_removed`` and ``n_spans`` (maximal removed runs). With ``as_text`` ``kept`` is a string,
+    without the characters of which only some bytes remain.
 
     Texts are whole UTF-8 byte strings; null texts are empty. Matches never cross documents and
     are judged on the input. Rows under one key do not remove from each other; a null key counts
@@ -439,7 +440,8 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
 
     judged = contexts.groupBy("bucket").applyInArrow(judged_rows, "g int, bucket int, data binary")
 
-    schema = T.StructType([*[df.schema[c] for c in names], T.StructField("kept", T.BinaryType()),
+    kept_type = T.StringType() if as_text else T.BinaryType()
+    schema = T.StructType([*[df.schema[c] for c in names], T.StructField("kept", kept_type),
                            *[T.StructField(c, T.LongType())
                              for c in ("n_bytes", "n_removed", "n_spans")]])
 
@@ -478,8 +480,10 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
             kept.append(body[s:s + n][~mark].tobytes() if lost else body[s:s + n].tobytes())
             removed.append(lost)
             spans.append(int((mark[1:] & ~mark[:-1]).sum() + mark[0]) if lost else 0)
+        if as_text:
+            kept = [k.decode("utf-8", "ignore") for k in kept]
         out = docs.select(names)
-        for c, v, kind in (("kept", kept, pa.binary()), ("n_bytes", own.size, pa.int64()),
+        for c, v, kind in (("kept", kept, pa.string() if as_text else pa.binary()), ("n_bytes", own.size, pa.int64()),
                            ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64())):
             out = out.append_column(c, pa.array(v, kind))
         return out
