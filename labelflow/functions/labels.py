@@ -19,8 +19,16 @@ def _c(x) -> Column:
 def label_int(label) -> Column:
     """``int(label)`` that accepts ``"1"``, ``"1.0"`` and numbers; NULL stays NULL.
 
-    ANSI ``cast('1.0' as int)`` raises, so go through double first."""
-    return _c(label).cast("string").try_cast("double").cast("int")
+    ANSI ``cast('1.0' as int)`` raises, so go through double first. Text that is no whole
+    number gives NULL; :func:`malformed_label` tells it from an absent label."""
+    return _c(label).cast("string").try_cast("double").try_cast("int")
+
+
+def malformed_label(label) -> Column:
+    """True where a label is given but is no number (``abc``, ``NaN``): such a row belongs into
+    quarantine, it is not an unlabelled one."""
+    return _c(label).isNotNull() & (F.trim(_c(label).cast("string")) != "") \
+        & label_int(label).isNull()
 
 
 def positive_name(dataset) -> Column:

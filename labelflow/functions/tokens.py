@@ -34,7 +34,13 @@ def words(text) -> Column:
 def token_ids(text, vocab: int = DEFAULT_VOCAB) -> Column:
     """F8: text → ``array<bigint>`` of stand-in ids over the whole text; a media marker maps
     to the media id (which :func:`mask_labels` masks, as the reference masks image tokens)."""
-    return F.transform(words(text), lambda w: F.when(
+    return word_ids(words(text), vocab)
+
+
+def word_ids(word_list, vocab: int = DEFAULT_VOCAB) -> Column:
+    """F8 on the words of a text (:func:`words`): where only the first ids are kept, the words
+    are cut first and the rest is never hashed."""
+    return F.transform(_c(word_list), lambda w: F.when(
         w.isin(*MEDIA_TOKENS), F.lit(MEDIA_ID).cast("bigint")).otherwise(
         F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % F.lit(vocab) + F.lit(2)))
 

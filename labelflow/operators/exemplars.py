@@ -8,7 +8,7 @@ bound — and broadcast-joined on ``dataset`` to the scored rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelflow.constants import DEMO_CLOSING, EXEMPLAR_IDS, LABEL_NAMES
@@ -26,31 +26,52 @@ def exemplar_id_table(spark: SparkSession, lists: dict[str, list[str]] | None =
 
 def top_k_per_dataset(df: DataFrame, order: list[Column], k: int,
                       datasets=tuple(LABEL_NAMES)) -> DataFrame:
-    """O2: first ``k`` rows per dataset in an explicit order. The dataset set is fixed (the
-    class-name table), so this is one top-k per dataset: every task keeps ``k`` candidates and
-    the merge sees ``k × tasks`` rows, whatever the skew. ``pos`` numbers the result from 0."""
-    out = None
-    for d in datasets:
-        part = df.filter(F.col("dataset") == d).orderBy(*order).limit(k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """O2: first ``k`` rows per dataset in an explicit order, from one scan: a rank filter, of
+    which Spark keeps ``k`` rows per dataset and task before the shuffle (group limit), so the
+    merge sees ``k × tasks`` rows whatever the skew. The dataset set is fixed (the class-name
+    table)."""
+    w = Window.partitionBy("dataset").orderBy(*order)
+    return df.filter(F.col("dataset").isin(list(datasets))) \
+        .withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def number_in_order(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
     """Positions inside each dataset of an already bounded frame (≤ k rows per dataset)."""
-    from pyspark.sql import Window
     w = Window.partitionBy("dataset").orderBy(*order)
     return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
 
 
+def check_k(k: int, lists: dict[str, list[str]] | None = None) -> int:
+    """``k`` itself, if every exemplar list has that many ids."""
+    short = {d: len(ids) for d, ids in (lists or EXEMPLAR_IDS).items() if len(ids) < k}
+    if short or k < 0:
+        raise ValueError(f"k = {k} exemplars asked for; the lists have {short or 'no negative k'}")
+    return k
+
+
+def exemplar_overlap(scored: DataFrame, lists: dict[str, list[str]] | None = None) -> DataFrame:
+    """Scored rows that are exemplars themselves, counted per dataset: ``dataset, n_overlap``."""
+    hit = F.lit(False)
+    for d, ids in (lists or EXEMPLAR_IDS).items():
+        hit = hit | ((F.col("dataset") == d) & F.col("id").isin(ids))
+    return scored.groupBy("dataset").agg(
+        F.sum(F.when(hit, 1).otherwise(0)).cast("bigint").alias("n_overlap"))
+
+
 def ordered_exemplars(ids: DataFrame, pool: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """Look up the first ``k`` ids of each list (``pos < k``) in ``pool`` (keyed by
     ``dataset, id``), keeping list order; returns ``dataset, pos, id`` + pool columns. A
-    missing id raises, like the reference's KeyError.
+    missing id raises, and so does a list with fewer than ``k`` ids (:func:`check_k`).
 
     The id list is tiny, so it is broadcast into the scan of ``pool``; the few matches are
     then outer-joined back to the list to find holes."""
     want = ids.filter(F.col("pos") < k).select("dataset", "pos", "id")
+    if strict:
+        have = F.count(F.lit(1)).over(Window.partitionBy("dataset"))
+        want = want.withColumn("_have", have).filter(
+            F.when(F.col("_have") < k, F.raise_error(F.concat(
+                F.lit(f"fewer than {k} exemplar ids in the list of "), F.col("dataset"))))
+            .otherwise(F.lit(1)) == 1).drop("_have")
     pool_cols = [c for c in pool.columns if c not in ("dataset", "id", "pos")]
     marked = pool.select("dataset", "id", *pool_cols, F.lit(1).alias("_hit"))
     matched = marked.join(F.broadcast(want.select("dataset", "id")), ["dataset", "id"], "inner")

@@ -35,15 +35,24 @@ def _running_total(col: str, part: list, order: list) -> Column:
     return F.coalesce(F.sum(col).over(w), F.lit(0)).cast("bigint")
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL; the keys come from ``left``."""
+    named = right.select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c)
+                           for c in right.columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(named, cond, "inner").drop(*[f"_r{k}" for k in keys])
+
+
 def index_within_group(df: DataFrame, order, bucket: Column, group=None, out: str = "idx",
-                       base: int = 0, bucket_bound: int | None = None,
-                       fine: Column | None = None) -> DataFrame:
+                       base: int = 0, fine: Column | None = None) -> DataFrame:
     """Dense position of each row in ``order`` (a total order) within ``group`` (or the whole
     table when ``group`` is None), starting at ``base``.
 
-    ``bucket`` must be non-decreasing along ``order`` inside a group. ``bucket_bound`` is a
-    proven upper bound on the number of distinct ``(group, bucket)`` pairs; when given and at
-    most 1M the offset table is broadcast, otherwise AQE chooses the join from runtime sizes.
+    ``bucket`` must be non-decreasing along ``order`` inside a group. A NULL group is a group of
+    its own; a NULL bucket is one that comes first, as NULLs do in ``order``.
 
     ``fine`` (optional) refines ``bucket`` and is also non-decreasing along ``order`` (an hour
     and its second, say). Rows are then ranked per ``(group, bucket, fine)``; the fine counts
@@ -68,14 +77,12 @@ def index_within_group(df: DataFrame, order, bucket: Column, group=None, out: st
                               F.sum("_n").over(Window.partitionBy(*keys)).alias("_nc"))
         ccounts = foff.groupBy(*keys).agg(F.max("_nc").alias("_nc"))
         coff = ccounts.select(*keys, _running_total("_nc", gnames, ["_bk"]).alias("_offc"))
-        offsets = foff.join(coff, keys, "inner") \
+        offsets = _join_null_safe(foff, coff, keys) \
             .select(*keys, "_fb", (F.col("_offc") + F.col("_offf")).alias("_off"))
         keys = keys + ["_fb"]
-    if bucket_bound is not None and bucket_bound <= 1_000_000:
-        offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*keys).orderBy(*_cols(order))
     ranked = b.withColumn("_r", F.row_number().over(inner))
-    res = ranked.join(offsets, keys, "inner")
+    res = _join_null_safe(ranked, offsets, keys)
     return res.withColumn(out, (F.col("_off") + F.col("_r") - 1 + F.lit(base)).cast("bigint")) \
               .drop(*keys, "_n", "_off", "_r")
 
@@ -88,9 +95,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shuffle_key(id_col="id", seed: int = SHUFFLE_SEED) -> Column:
-    """md5 of ``seed:id``: a seeded, partitioning-independent permutation key."""
+    """md5 of ``seed:id``: a seeded, partitioning-independent permutation key; a NULL id has the
+    key of ``seed#``, which no id text can have."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), c.cast("string")), F.lit(f"{seed}#")))
+
+
+def content_hash(cols: list[str], schema: T.StructType) -> Column:
+    """md5 over the texts of ``cols`` in order, separated by U+001F, NULL as U+001E (maps as
+    JSON)."""
+    text = [F.to_json(F.col(f"`{c}`")) if _has_map(schema[c].dataType)
+            else F.col(f"`{c}`").cast("string") for c in cols]
+    return F.md5(F.concat_ws("\u001f", *[F.coalesce(t, F.lit("\u001e")) for t in text]))
 
 
 def _has_map(dt: T.DataType) -> bool:
@@ -108,9 +124,11 @@ def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
                    hot_min_rows: int = 1_000_000, max_hot: int = 100_000,
                    chunk: int = 1 << 16) -> DataFrame:
     """O1 + O4: give every row its position in a seeded permutation, ordered by
-    ``md5(seed:id)``, then ``id``, then the row's content (so rows sharing an id get a fixed
-    order too). Not ``rand(seed)``: that depends on the partitioning. Every step is
-    deterministic, so a task recomputed after an executor loss yields the same positions.
+    ``md5(seed:id)``, then by the row's :func:`content_hash` (so rows sharing an id get a fixed
+    order too; rows equal in both are copies). A NULL id is an id like any other. Not
+    ``rand(seed)``: that depends on the partitioning. Every step is deterministic, so a task
+    recomputed after an executor loss yields the same positions, and the order is the same on
+    both sides of the size limit below.
 
     Buckets are prefixes of the key: *fine* ones (``fine_len`` hex digits, ~4·10⁹) inside
     *coarse* ones (``coarse_len`` digits, 65,536). Fine bucket sizes are a partial aggregate
@@ -129,16 +147,12 @@ def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
     * hot buckets: identical rows are interchangeable, so they are counted first
       (``groupBy`` on the whole row: partial aggregation before the shuffle, so a row copied
       a billion times costs one row per map task). Distinct rows sharing an id are spread
-      over ``16**3`` sub-buckets by the first digits of a content hash, and ordered by that
-      hash inside the id; sub-bucket sizes give offsets; each distinct row then expands to
-      its copies' positions — in chunks of ``chunk`` rows that are repartitioned before the
-      final expansion, so a hot copy group is written by many tasks.
+      over ``16**3`` sub-buckets by the first digits of the content hash; sub-bucket sizes give
+      offsets; each distinct row then expands to its copies' positions — in chunks of
+      ``chunk`` rows that are repartitioned before the final expansion, so a hot copy group is
+      written by many tasks.
     """
     cols = df.columns
-    content = [c for c in cols if c != id_col]
-    # rows sharing an id are ordered by their content; maps are not orderable, so their JSON
-    tie = [F.to_json(F.col(c)) if _has_map(df.schema[c].dataType) else F.col(c)
-           for c in content]
     keyed = df.withColumn("_sk", shuffle_key(id_col, seed)) \
               .withColumn("_b2", F.substring("_sk", 1, fine_len))
 
@@ -161,12 +175,13 @@ def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
     # (a reliable checkpoint in the shared folder, not a recomputation per branch)
     offsets = checkpointed(offsets)
     hot_list = F.broadcast(offsets.filter(F.col("_hot")).select("_b2", "_off"))  # ≤ max_hot
-    tagged = keyed.join(hot_list.select("_b2", F.lit(True).alias("_is_hot")), "_b2", "left")
+    tagged = keyed.withColumn("_tb", content_hash(cols, df.schema)) \
+        .join(hot_list.select("_b2", F.lit(True).alias("_is_hot")), "_b2", "left")
 
     # cold buckets: join the offset on the fine key, one window per fine bucket
     cold = tagged.filter(F.col("_is_hot").isNull()) \
         .join(offsets.filter(~F.col("_hot")).select("_b2", "_off"), "_b2", "inner")
-    w = Window.partitionBy("_b2").orderBy("_sk", F.col(id_col), *tie)
+    w = Window.partitionBy("_b2").orderBy("_sk", "_tb")
     cold_pos = cold.select(*cols, (F.col("_off") + F.row_number().over(w) - 1)
                            .cast("bigint").alias(out))
 
@@ -175,19 +190,14 @@ def seeded_shuffle(df: DataFrame, id_col: str = "id", seed: int = SHUFFLE_SEED,
     maps = [c for c in cols if _has_map(df.schema[c].dataType)]
     group_cols = [F.to_json(F.col(c)).alias(f"_j_{c}") if c in maps else F.col(c) for c in cols]
     keep_maps = [F.any_value(c).alias(c) for c in maps]
-    grouped = hot.groupBy(*group_cols, "_sk", "_b2").agg(F.count(F.lit(1)).alias("_c"),
-                                                         *keep_maps) \
-        .join(hot_list, "_b2", "inner")
-    grouped = grouped.withColumn(
-        "_tb", F.md5(F.to_json(F.struct(*[F.col(c) for c in cols]))))
+    grouped = hot.groupBy(*group_cols, "_sk", "_b2", "_tb").agg(
+        F.count(F.lit(1)).alias("_c"), *keep_maps).join(hot_list, "_b2", "inner")
     grouped = grouped.withColumn("_f", F.substring("_tb", 1, 3))
-    sub = ["_b2", "_sk", id_col, "_f"]
+    sub = ["_b2", "_sk", "_f"]
     subs = grouped.groupBy(*sub).agg(F.sum("_c").alias("_ns"))
-    sub_off = subs.select(*sub, _running_total("_ns", ["_b2"], ["_sk", id_col, "_f"])
-                          .alias("_offs"))
+    sub_off = subs.select(*sub, _running_total("_ns", ["_b2"], ["_sk", "_f"]).alias("_offs"))
     starts = grouped.join(sub_off, sub, "inner").withColumn(
-        "_s", F.col("_off") + F.col("_offs")
-        + _running_total("_c", sub, [F.col("_tb"), *tie]))
+        "_s", F.col("_off") + F.col("_offs") + _running_total("_c", sub, [F.col("_tb")]))
     last = F.col("_s") + F.col("_c") - 1
     small = starts.filter(F.col("_c") <= chunk) \
         .select(*cols, F.explode(F.sequence(F.col("_s"), last)).alias(out))

@@ -7,21 +7,32 @@ linear model, anything that maps a NumPy batch to a NumPy batch.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system it names (the cluster's, not the driver's
+    disk)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def choose_model(model_path: str | None, load_fn: Callable[[str], Callable],
-                 base_fn: Callable[[], Callable]) -> Callable[[], Callable]:
+                 base_fn: Callable[[], Callable], spark: SparkSession | None = None
+                 ) -> Callable[[], Callable]:
     """M2: a ``make_fn`` that loads the tuned model when ``model_path`` exists, else builds the
-    base model (and says so), as the reference does with its checkpoint path."""
-    if model_path and os.path.exists(model_path):
+    base model (and says so when a path was given)."""
+    if model_path is None:
+        return base_fn
+    session = spark or SparkSession.active()
+    if path_exists(session, model_path):
         return lambda: load_fn(model_path)
     print(f"{model_path} not exist.")
     return base_fn

@@ -17,7 +17,7 @@ from labelflow.operators import frames as FR
 from labelflow.operators import metrics as M
 from labelflow.operators import rows as R
 from labelflow.operators import votes as V
-from labelflow.operators.ordering import seeded_shuffle
+from labelflow.operators.ordering import index_within_group, seeded_shuffle
 from labelflow.plans import sqlgen as S
 from labelflow.sources import testdata as T
 
@@ -36,12 +36,19 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- splits
 
-def _split_stats(df: DataFrame, split: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-                  F.count("label").cast("bigint").alias("n_labelled"),
-                  F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("bigint")
-                  .alias("n_positive")) \
-             .select(F.lit(split).alias("split"), "n_rows", "n_labelled", "n_positive")
+def _split_stats(df: DataFrame) -> DataFrame:
+    """The three lines of counts from conditional sums over one pass."""
+    test = F.col("type").eqNullSafe("test")
+    splits = {"train": ~test, "test": test, "train_labelled": ~test & F.col("label").isNotNull()}
+    measures = {"n_rows": F.lit(True), "n_labelled": F.col("label").isNotNull(),
+                "n_positive": F.coalesce(F.col("label") == 1, F.lit(False))}
+    sums = df.agg(*[F.coalesce(F.sum(F.when(of & what, 1).otherwise(0)), F.lit(0)).cast("bigint")
+                    .alias(f"{split}.{name}")
+                    for split, of in splits.items() for name, what in measures.items()])
+    lines = F.array(*[F.struct(F.lit(split).alias("split"),
+                               *[F.col(f"`{split}.{name}`").alias(name) for name in measures])
+                      for split in splits])
+    return sums.select(F.inline(lines))
 
 
 @query("split_counts", T.with_items("""
@@ -58,10 +65,7 @@ SELECT 'train_labelled', CAST(count(*) AS BIGINT), CAST(count(label) AS BIGINT),
 FROM items WHERE type IS DISTINCT FROM 'test' AND label IS NOT NULL
 """))
 def split_counts(spark, sf):
-    it = T.items(spark, sf)
-    return _split_stats(R.train_split(it), "train") \
-        .unionByName(_split_stats(R.test_split(it), "test")) \
-        .unionByName(_split_stats(R.labelled(R.train_split(it)), "train_labelled"))
+    return _split_stats(T.items(spark, sf))
 
 
 # ---------------------------------------------------------------- class names
@@ -201,6 +205,39 @@ def seeded_shuffle_q(spark, sf):
     return seeded_shuffle(d, "id").select("id", "pos")
 
 
+@query("shuffle_shared_ids", """
+WITH e AS (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS id,
+                  event_id, event_type, props FROM events),
+k AS (SELECT *, md5(CASE WHEN id IS NULL THEN '42#' ELSE '42:' || id END) AS sk,
+             md5(coalesce(id, chr(30)) || chr(31) || coalesce(CAST(event_id AS VARCHAR), chr(30))
+                 || chr(31) || coalesce(event_type, chr(30)) || chr(31)
+                 || coalesce(props, chr(30))) AS rh FROM e)
+SELECT id, event_id, CAST(row_number() OVER (ORDER BY sk, rh) - 1 AS BIGINT) AS pos FROM k
+""")
+def shuffle_shared_ids(spark, sf):
+    """Seeded shuffle where many rows share an id and every seventh has none."""
+    e = T.table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).alias("id"),
+        "event_id", "event_type", "props")
+    return seeded_shuffle(e, "id").select("id", "event_id", "pos")
+
+
+@query("null_groups", """
+WITH e AS (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS user_id,
+                  CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS ts, event_id FROM events)
+SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) - 1
+                      AS BIGINT) AS idx FROM e
+""")
+def null_groups(spark, sf):
+    """Numbering within groups where group and order column hold NULLs."""
+    e = T.table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("ts"), "event_id")
+    return index_within_group(e, order=["ts", "event_id"], bucket=F.date_trunc("hour", F.col("ts")),
+                              fine=F.date_trunc("second", F.col("ts")), group="user_id") \
+        .select("event_id", "idx")
+
+
 # ---------------------------------------------------------------- exemplars
 
 from labelflow.functions import chat as C  # noqa: E402
@@ -344,12 +381,13 @@ FROM p"""
 
 
 def token_rows_df(df: DataFrame, key: str, n: int) -> DataFrame:
-    ids = df.select(key, TK.token_ids("text").alias("ids"))
-    rows = ids.select(key, "ids", TK.pad_truncate("ids", n).alias("input_ids"))
-    rows = rows.select(key, "ids", "input_ids", TK.mask_labels("input_ids").alias("labels"))
-    return rows.select(key, F.size("ids").cast("bigint").alias("n_tokens"),
+    split = df.select(key, TK.words("text").alias("words"))
+    rows = split.select(key, F.size("words").cast("bigint").alias("n_tokens"),
+                        TK.pad_truncate(TK.word_ids(F.slice("words", 1, n)), n)
+                        .alias("input_ids"))
+    return rows.select(key, "n_tokens",
                        F.md5(F.array_join("input_ids", " ")).alias("input_ids_md5"),
-                       F.md5(F.array_join("labels", " ")).alias("labels_md5"),
+                       F.md5(F.array_join(TK.mask_labels("input_ids"), " ")).alias("labels_md5"),
                        TK.attended("input_ids").alias("n_attended"))
 
 
@@ -699,16 +737,22 @@ from labelflow.sources.sinks import prediction_rows  # noqa: E402
 
 
 def training_rows_df(it: DataFrame, max_length: int = 512) -> DataFrame:
-    """The fine-tuning collate path: labelled training items → user(image, prompt) +
-    assistant(class name) messages → rendered text (no generation suffix) → token ids over the
-    whole text → truncate/pad to ``max_length`` → masked labels → seeded batch and step ids."""
-    tr = class_name(R.labelled(R.train_split(it)), out="answer")
-    msgs = tr.select("id", C.messages_col(F.col("image"), prompt_col("text", "dataset", "image"),
-                                          F.col("answer"), "image").alias("messages"))
-    ids = msgs.select("id", TK.token_ids(C.render_chat("messages")).alias("ids"))
-    rows = ids.select("id", F.size("ids").cast("bigint").alias("n_tokens"),
-                      TK.pad_truncate("ids", max_length).alias("input_ids"))
-    rows = B.assign_batches(rows)
+    """The fine-tuning collate path: labelled training items, numbered by the seeded shuffle
+    while they are still narrow rows → user(image, prompt) + assistant(class name) messages →
+    rendered text (no generation suffix) → token ids → truncate/pad to ``max_length`` → masked
+    labels, with batch and step ids. Words beyond ``max_length`` are counted, not hashed."""
+    tr = class_name(R.labelled(R.train_split(it)), out="answer") \
+        .select("id", "text", "dataset", "image", "answer")
+    msgs = B.assign_batches(tr).select(
+        "id", "batch_id", "step_id",
+        C.messages_col(F.col("image"), prompt_col("text", "dataset", "image"),
+                       F.col("answer"), "image").alias("messages"))
+    split = msgs.select("id", "batch_id", "step_id",
+                        TK.words(C.render_chat("messages")).alias("words"))
+    rows = split.select("id", "batch_id", "step_id",
+                        F.size("words").cast("bigint").alias("n_tokens"),
+                        TK.pad_truncate(TK.word_ids(F.slice("words", 1, max_length)), max_length)
+                        .alias("input_ids"))
     return rows.select("id", "batch_id", "step_id", "n_tokens",
                        F.md5(F.array_join("input_ids", " ")).alias("input_ids_md5"),
                        F.md5(F.array_join(TK.mask_labels("input_ids"), " ")).alias("labels_md5"))

@@ -90,9 +90,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def needs_shared_folder(master: str) -> bool:
+    """True unless driver and executors are one process on one machine (``local`` masters)."""
+    return not (master == "local" or master.startswith("local["))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local runs)
-    point it at a fresh local folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local session without one gets a fresh
+    local folder; on a cluster each machine would write its own, so that is an error."""
     sc = _context(spark)
     if sc is None:  # Spark Connect: the server's spark.checkpoint.dir applies
         return spark.conf.get("spark.checkpoint.dir", None) or ""
@@ -101,6 +106,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if needs_shared_folder(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; "
+                               f"master {sc.master} has no common local disk")
         conf_dir = tempfile.mkdtemp(prefix="labelflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir

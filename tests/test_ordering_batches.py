@@ -96,6 +96,40 @@ def test_seeded_shuffle_hot_path_equals_cold_on_unique_ids(spark):
     assert cold == hot == {(k, p) for k, p in brute(300).items()}
 
 
+def _shared_ids(spark, parts=3):
+    rows = [("a", f"t{i % 7}") for i in range(20)] + [("b", None), (None, "x"), (None, None),
+                                                      (None, "x"), ("c", "y"), ("d", "")]
+    return rows, spark.createDataFrame(rows, "id string, text string").repartition(parts)
+
+
+@pytest.mark.parametrize("opts", [dict(), dict(hot_min_rows=0, max_hot=10 ** 9),
+                                  dict(hot_min_rows=5), dict(hot_min_rows=0, max_hot=3, chunk=2)])
+def test_seeded_shuffle_one_order_for_shared_and_null_ids(spark, opts):
+    """Hot, cold and mixed paths: every row stays, in the documented order."""
+    import hashlib
+    rows, df = _shared_ids(spark)
+
+    def key(r):
+        sk = f"42:{r[0]}" if r[0] is not None else "42#"
+        content = "\u001f".join("\u001e" if v is None else v for v in r)
+        return hashlib.md5(sk.encode()).hexdigest(), hashlib.md5(content.encode()).hexdigest()
+
+    want = sorted(rows, key=key)
+    got = [(r.id, r.text) for r in sorted(seeded_shuffle(df, "id", **opts).collect(),
+                                          key=lambda r: r.pos)]
+    assert got == want
+
+
+def test_index_within_group_keeps_null_groups_and_buckets(spark):
+    rows = [("g", None), ("g", 5), ("g", 15), (None, 7), (None, None)]
+    df = spark.createDataFrame(rows, "g string, t int")
+    for fine in (None, F.floor(F.col("t") / 2)):
+        out = index_within_group(df, order=["t"], bucket=F.floor(F.col("t") / 10), group="g",
+                                 fine=fine, out="idx").collect()
+        assert sorted(map(tuple, out), key=repr) == sorted(
+            [("g", None, 0), ("g", 5, 1), ("g", 15, 2), (None, None, 0), (None, 7, 1)], key=repr)
+
+
 def test_seeded_shuffle_map_column(spark):
     df = spark.createDataFrame([("a", {"k": 1})] * 5 + [("b", {"k": 2})],
                                "id string, m map<string,int>")
