@@ -87,24 +87,37 @@ def _resize_bilinear(img: np.ndarray, h: int, w: int) -> np.ndarray:
     return top * (1 - wy) + bot * wy
 
 
-def _rotate(img: np.ndarray, deg: float) -> np.ndarray:
+def _moved(img: np.ndarray, deg: float, dy: float = 0.0, dx: float = 0.0) -> np.ndarray:
+    """Rotation about the centre, then a shift by (dy, dx) pixels; what comes in is black."""
     H, W = img.shape[:2]
     t = np.deg2rad(deg)
     cy, cx = (H - 1) / 2, (W - 1) / 2
-    yy, xx = np.mgrid[0:H, 0:W]
-    sy = np.cos(t) * (yy - cy) - np.sin(t) * (xx - cx) + cy
-    sx = np.sin(t) * (yy - cy) + np.cos(t) * (xx - cx) + cx
-    yi, xi = np.rint(sy).astype(int), np.rint(sx).astype(int)
+    yy, xx = np.mgrid[0:H, 0:W].astype(np.float64)
+    yy, xx = yy - dy - cy, xx - dx - cx
+    yi = np.rint(np.cos(t) * yy - np.sin(t) * xx + cy).astype(int)
+    xi = np.rint(np.sin(t) * yy + np.cos(t) * xx + cx).astype(int)
     ok = (yi >= 0) & (yi < H) & (xi >= 0) & (xi < W)
     out = np.zeros_like(img)
     out[ok] = img[yi[ok], xi[ok]]
     return out
 
 
+# FIXED VALUES: the NTSC luma-chroma matrix; a turn of the chroma plane turns the hue
+_TO_YIQ = np.array([[0.299, 0.587, 0.114], [0.596, -0.274, -0.322], [0.211, -0.523, 0.312]])
+_FROM_YIQ = np.linalg.inv(_TO_YIQ)
+
+
+def _hue(f: np.ndarray, turn: float) -> np.ndarray:
+    """Turn the hue by ``turn`` (a share of the full circle)."""
+    c, s = np.cos(2 * np.pi * turn), np.sin(2 * np.pi * turn)
+    turned = _FROM_YIQ @ np.array([[1, 0, 0], [0, c, -s], [0, s, c]]) @ _TO_YIQ
+    return f @ turned.T
+
+
 def render(img: np.ndarray, p: dict) -> np.ndarray:
     """Apply one plan row to an ``H×W×3`` uint8 RGB image; returns uint8 of the same size."""
     H, W = img.shape[:2]
-    a = _rotate(img, p["rotation"])
+    a = _moved(img, p["rotation"])
     if p["flip"]:
         a = a[:, ::-1]
     f = a.astype(np.float64)
@@ -113,7 +126,7 @@ def render(img: np.ndarray, p: dict) -> np.ndarray:
     f = (f - gray.mean()) * p["contrast"] + gray.mean()
     g2 = (0.299 * f[..., 0] + 0.587 * f[..., 1] + 0.114 * f[..., 2])[..., None]
     f = (f - g2) * p["saturation"] + g2
-    f = np.roll(f, int(round(p["hue"] * 3)) % 3, axis=2) if abs(p["hue"]) > 0.05 else f
+    f = _hue(f, p["hue"]) if p["hue"] else f
     area = p["crop_scale"] * H * W
     ratio = float(np.exp(p["crop_log_ratio"]))
     ch = int(min(H, max(1, round(np.sqrt(area / ratio)))))
@@ -121,26 +134,53 @@ def render(img: np.ndarray, p: dict) -> np.ndarray:
     y = int(p["crop_y"] * (H - ch + 1)) if H > ch else 0
     x = int(p["crop_x"] * (W - cw + 1)) if W > cw else 0
     f = _resize_bilinear(f[y:y + ch, x:x + cw], H, W)
-    f = _rotate(np.clip(f, 0, 255).astype(np.uint8), p["affine_deg"]).astype(np.float64)
-    f = np.roll(f, (int(round(p["shift_y"] * H)), int(round(p["shift_x"] * W))), axis=(0, 1))
+    f = _moved(f, p["affine_deg"], round(p["shift_y"] * H), round(p["shift_x"] * W))
     return np.clip(np.rint(f), 0, 255).astype(np.uint8)
 
 
 def apply_augmentation(plan: DataFrame, height: str = "height", width: str = "width",
-                       data: str = "data") -> DataFrame:
+                       data: str = "data", aug: str = "aug_k") -> DataFrame:
     """Render every plan row: input columns ``height, width, data`` (RGB bytes, row-major) plus
-    the plan; output adds ``aug_data`` (binary, same size)."""
+    the plan; output adds ``aug_data`` (binary, same size). Used on a plan that was exploded and
+    joined by the caller; :func:`pseudo_video` draws and renders in one step, where a picture
+    crosses to Python once for all its copies."""
     names = ["flip", *PARAMS]
+    fields = [F.col(n).cast("double").alias(n) for n in names]
+    out = _render_udf()(F.col(height), F.col(width), F.col(data), F.array(F.struct(*fields)))
+    return plan.withColumn("aug_data", out[0])
+
+
+def _render_udf():
     from pyspark.sql import types as T
-    # a new StructType: .add() would mutate the plan's cached schema
-    schema = T.StructType(list(plan.schema.fields) + [T.StructField("aug_data", T.BinaryType())])
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                img = np.frombuffer(r[data], dtype=np.uint8).reshape(int(r[height]), int(r[width]), 3)
-                out.append(render(img, {n: r[n] for n in names}).tobytes())
-            yield pdf.assign(aug_data=pd.Series(out, dtype="object"))
-
-    return plan.mapInPandas(run, schema)
+    names = ["flip", *PARAMS]
+
+    @F.pandas_udf(T.ArrayType(T.BinaryType()))
+    def rendered(h: pd.Series, w: pd.Series, d: pd.Series, plans: pd.Series) -> pd.Series:
+        out = []
+        for hh, ww, raw, rows in zip(h, w, d, plans):
+            if raw is None:
+                out.append(None)
+                continue
+            img = np.frombuffer(raw, dtype=np.uint8).reshape(int(hh), int(ww), 3)
+            out.append([render(img, {n: r[n] for n in names}).tobytes() for r in rows])
+        return pd.Series(out, dtype="object")
+
+    return rendered
+
+
+def pseudo_video(df: DataFrame, id_col: str = "id", height: str = "height", width: str = "width",
+                 data: str = "data", k: int = FRAMES_PER_VIDEO, seed: int = SHUFFLE_SEED
+                 ) -> DataFrame:
+    """F14 in one step: ``k`` augmented copies of every picture as rows ``aug_k, aug_data``. The
+    parameters are drawn as an array beside the picture, so the picture's bytes cross Arrow once
+    and the copies are exploded behind the rendering."""
+    def drawn(i: Column) -> Column:
+        flip = F.when(uniform(F.col(id_col), i, "flip", seed) < 0.5, 1.0).otherwise(0.0)
+        rest = [(F.lit(lo) + F.lit(hi - lo) * uniform(F.col(id_col), i, n, seed)).alias(n)
+                for n, (lo, hi) in PARAMS.items()]
+        return F.struct(flip.alias("flip"), *rest)
+
+    plans = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), drawn)
+    made = _render_udf()(F.col(height), F.col(width), F.col(data), plans)
+    return df.withColumn("_aug", made).select(
+        *[c for c in df.columns if c != data], F.posexplode("_aug").alias("aug_k", "aug_data"))

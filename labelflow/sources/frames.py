@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from labelflow.functions.pixels import pixel_variance, readable
 
-FRAME_PATTERN = r"^(.*)/(\d+)\.png$"
+# frame numbers as the reference writes them: no leading zeros, at most nine digits
+FRAME_PATTERN = r"^(.*)/(0|[1-9]\d{0,8})\.png$"
+# up to this many undecided directories are read by path, beyond it by file-name pattern
+BY_PATH = 1000
 
 
 def _strip_scheme(c):
@@ -63,29 +66,52 @@ def frame_counts(spark: SparkSession, root: str | list[str]) -> DataFrame:
     return list_frames(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _window_glob(lo: int, hi: int) -> str:
+    """A file-name pattern for frames ``lo`` to ``hi - 1``."""
+    return f"{{{','.join(str(i) for i in range(lo, hi))}}}.png"
+
+
 def first_informative_frames(spark: SparkSession, root: str | list[str],
                              threshold: float | None = None, chunk: int = 8,
-                             strict: bool = False) -> DataFrame:
+                             strict: bool = False, max_window: int = 1024) -> DataFrame:
     """S3 + A1 + W1 with early termination, as the reference's loop stops at the first
-    informative frame: decode only frames ``0 … chunk−1`` of every video first (a file-name glob,
-    so no other file is opened) and decide every video whose answer lies in that window. A
-    video is undecided only when frames ``0 … chunk−1`` all exist and none is informative; if
-    any is (one small count job on the checkpointed per-video result), all frames are read and
-    those videos take the full answer. Output as
+    informative frame. Frames ``0 … chunk-1`` of every video are decoded first (a file-name glob:
+    no other file is opened) and decide every video whose answer lies there. A video is undecided
+    only when all frames so far exist and none is informative; its next window, twice as long, is
+    decoded then (by directory when few are undecided, else by file name), and so on; a window
+    beyond ``max_window`` takes all the rest. The set of videos comes from the listing, so one
+    without any of the first names is reported as ``frame 0 missing``. A round ends in one small
+    count on a checkpointed per-video table. Output as
     :func:`labelflow.operators.frames.first_informative`."""
     from labelflow.constants import VARIANCE_THRESHOLD
     from labelflow.operators.frames import first_informative
     from labelflow.operators.ordering import checkpointed
     thr = VARIANCE_THRESHOLD if threshold is None else threshold
-    names = ",".join(str(i) for i in range(chunk))
-    head = read_frames(spark, root, glob=f"{{{names}}}.png")
-    first = checkpointed(first_informative(head, threshold=thr, details=True))
-    open_ = (F.col("run_end") == chunk - 1) & F.col("first_hit").isNull()
-    undecided = first.filter(open_).select("item_id")
-    out = first.filter(~open_).select("item_id", "frame_idx", "status")
-    if not undecided.isEmpty():
-        full = first_informative(read_frames(spark, root), threshold=thr)
-        out = out.unionByName(full.join(undecided, "item_id", "left_semi"))
+    videos = list_frames(spark, root).select("item_id").distinct()
+    lo, hi, where, seen, out = 0, chunk, root, None, None
+    while True:
+        last = hi > max_window
+        part = read_frames(spark, where, glob=None if last else _window_glob(lo, hi))
+        if seen is not None:  # earlier windows of the undecided videos are kept, not read again
+            part = seen.unionByName(part.filter(F.col("frame_idx") >= lo)
+                                    .join(videos, "item_id", "left_semi"))
+        seen = checkpointed(part)
+        first = checkpointed(first_informative(seen, threshold=thr, details=True))
+        named = videos.join(first, "item_id", "left")
+        open_ = F.lit(False) if last else F.coalesce(
+            (F.col("run_end") == hi - 1) & F.col("first_hit").isNull(), F.lit(False))
+        done = named.filter(~open_).select(
+            "item_id", "frame_idx",
+            F.coalesce("status", F.lit("frame 0 missing")).alias("status"))
+        out = done if out is None else out.unionByName(done)
+        undecided = checkpointed(named.filter(open_).select("item_id"))
+        some = [r[0] for r in undecided.limit(BY_PATH + 1).collect()]
+        if not some:
+            break
+        where = some if len(some) <= BY_PATH else root
+        videos = undecided
+        seen = seen.join(undecided, "item_id", "left_semi")
+        lo, hi = hi, 2 * hi
     if strict:
         bad = F.raise_error(F.concat(F.lit("Image could not be loaded: "), F.col("item_id")))
         out = out.withColumn("status", F.when(F.col("status") != "ok", bad.cast("string"))

@@ -85,6 +85,52 @@ def test_augmentation_plan_and_render(spark, tmp_path):
     assert all(len(r.aug_data) == 8 * 8 * 3 for r in out)
 
 
+NEUTRAL = {"flip": 0, "rotation": 0.0, "brightness": 1.0, "contrast": 1.0, "saturation": 1.0,
+           "hue": 0.0, "crop_scale": 1.0, "crop_log_ratio": 0.0, "crop_x": 0.0, "crop_y": 0.0,
+           "affine_deg": 0.0, "shift_x": 0.0, "shift_y": 0.0}
+
+
+def test_each_augmentation_parameter_alone():
+    from labelflow.functions.augment import _TO_YIQ, render
+    img = np.random.default_rng(3).integers(30, 200, (16, 16, 3), dtype=np.uint8)
+    assert (render(img, NEUTRAL) == img).all()
+
+    def one(**kw):
+        return render(img, {**NEUTRAL, **kw}).astype(int)
+
+    assert (one(flip=1) == img[:, ::-1]).all()
+    assert abs(one(brightness=1.2) - np.rint(img * 1.2)).max() <= 1
+    gray = img @ np.array([0.299, 0.587, 0.114])
+    assert abs(one(contrast=0.8) - ((img - gray.mean()) * 0.8 + gray.mean())).max() <= 1
+    assert abs(one(saturation=0.8) - ((img - gray[..., None]) * 0.8 + gray[..., None])).max() <= 1
+    for turn in (-0.1, -0.08, 0.06, 0.1):  # the hue turns, the luma stays
+        got = one(hue=turn)
+        assert (got != img).any()
+        a, b = (x.astype(float) @ _TO_YIQ.T for x in (img, got))
+        inside = ((got > 0) & (got < 255)).all(axis=2)
+        assert abs(a[..., 0] - b[..., 0])[inside].max() < 1.5
+        angle = np.angle((b[..., 1] + 1j * b[..., 2]) / (a[..., 1] + 1j * a[..., 2]))
+        strong = inside & (np.hypot(a[..., 1], a[..., 2]) > 40)
+        assert abs(angle[strong] - 2 * np.pi * turn).max() < 0.06
+    right = one(shift_x=0.125)  # two columns, black comes in
+    assert (right[:, :2] == 0).all() and (right[:, 2:] == img[:, :-2]).all()
+    down = one(shift_y=-0.125)
+    assert (down[-2:] == 0).all() and (down[:-2] == img[2:]).all()
+    assert (one(rotation=90.0) == np.rot90(img, -1)).all() or (one(rotation=90.0) == np.rot90(img)).all()
+    assert (one(crop_scale=0.8) != img).any() and (one(affine_deg=10.0) != img).any()
+
+
+def test_pseudo_video_equals_plan_then_render(spark, tmp_path):
+    from labelflow.functions.augment import pseudo_video
+    rows = [(f"p{i}", 6, 5, bytes(np.random.default_rng(i).integers(0, 256, 90, dtype=np.uint8)))
+            for i in range(3)] + [("none", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, height int, width int, data binary")
+    a = {(r.id, r.aug_k): bytes(r.aug_data) for r in pseudo_video(df).collect()}
+    b = {(r.id, r.aug_k): bytes(r.aug_data) for r in
+         apply_augmentation(augmentation_plan(df.filter("data IS NOT NULL"), "id")).collect()}
+    assert a == b and len(a) == 48
+
+
 def test_uniform_sample_with_listing_counts(spark, tmp_path):
     from labelflow.operators.frames import uniform_sample
     from labelflow.sources.frames import frame_counts, list_frames
@@ -122,6 +168,20 @@ def test_first_informative_early_termination(spark, tmp_path):
         assert got == want, chunk
     assert {k.split("/")[-1]: v for k, v in want.items()} == {
         "late": (11, "ok"), "early": (2, "ok"), "gap": (2, "ok"), "nozero": (None, "frame 0 missing")}
+    # directories without any of the first names, padded and long numeric names
+    for name in ("8", "9"):
+        write_png(f"{root}/vb/{name}.png", noisy(1))
+    for name in ("00", "01", "20240101123456"):
+        write_png(f"{root}/vc/{name}.png", noisy(1))
+    write_png(f"{root}/vd/0.png", noisy(1))
+    write_png(f"{root}/vd/00.png", flat(1))
+    want = {r.item_id: (r.frame_idx, r.status) for r in first_informative(read_frames(spark, root)).collect()}
+    for chunk in (1, 4, 8):
+        got = {r.item_id: (r.frame_idx, r.status)
+               for r in first_informative_frames(spark, root, chunk=chunk).collect()}
+        assert got == want, chunk
+    assert {k.split("/")[-1]: v for k, v in want.items() if "/v" in k} == {
+        "vb": (None, "frame 0 missing"), "vd": (0, "ok")}
     # all decided in the first chunk: no second pass needed, same answer
     sub = f"{root}/early"
     got = {r.item_id: r.frame_idx for r in first_informative_frames(spark, sub, chunk=4).collect()}

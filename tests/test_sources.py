@@ -91,3 +91,66 @@ def test_prediction_round_trip(spark, tmp_path):
     back = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(out)
     got = sorted((r.id, r.response, r.label) for r in back.collect())
     assert got == [("1", 'He said "hateful", then left.\nok', "hateful"), ("2", None, "non-hateful")]
+
+
+def test_items_of_different_headers(spark, tmp_path):
+    write(os.path.join(tmp_path, "a_hatemm.csv"), "id,text,label,type,image\n1,hello,1.0,test,i1\n"
+          "2,\"two\nlines\",,train,i2\n")
+    write(os.path.join(tmp_path, "b_hatemm.csv"), "id,label,text,type,frames,video\n"
+          "3,0,swapped,test,f3,v3.mp4\n")
+    write(os.path.join(tmp_path, "c_hatemm.csv"), "video,id\nonly.mp4,4\n")
+    write(os.path.join(tmp_path, "d_hatemm.csv"), "")
+    got = {r.id: r.asDict() for r in read_items(spark, str(tmp_path), positions=True).collect()}
+    assert (got["1"]["text"], got["1"]["label"], got["1"]["image"], got["1"]["frames"]) == \
+        ("hello", 1, "i1", None)
+    assert got["2"]["text"] == "two\nlines" and got["2"]["label"] is None
+    assert (got["3"]["text"], got["3"]["label"], got["3"]["frames"], got["3"]["video"]) == \
+        ("swapped", 0, "f3", "v3.mp4")
+    assert got["4"]["video"] == "only.mp4" and got["4"]["dataset"] == "hatemm"
+    assert sorted(got, key=lambda i: got[i]["file_pos"]) == ["1", "2", "3", "4"]
+
+
+def test_malformed_labels(spark, tmp_path):
+    from labelflow.functions.labels import label_int
+    from labelflow.sources.items import split_malformed
+    write(os.path.join(tmp_path, "x_mhc.csv"), "id,label\n1,1\n2,abc\n3,NaN\n4,\n5,1.0\n")
+    with pytest.raises(PySparkException):
+        read_items(spark, str(tmp_path)).collect()
+    raw = spark.read.option("header", True).csv(str(tmp_path))
+    good, bad = split_malformed(raw)
+    assert {r.id: r.l for r in good.select("id", label_int("label").alias("l")).collect()} == \
+        {"1": 1, "4": None, "5": 1}
+    assert sorted((r.id, r.reason) for r in bad.collect()) == [
+        ("2", "label is no number: abc"), ("3", "label is no number: NaN")]
+
+
+def test_stream_fails_on_another_header(spark, tmp_path):
+    from labelflow.sources.items import items_stream
+    os.mkdir(os.path.join(tmp_path, "in"))
+    write(os.path.join(tmp_path, "in", "mhc.csv"), "id,label,text\n1,0,t\n")
+    df = items_stream(spark, os.path.join(tmp_path, "in"), "mhc", columns=["id", "text", "label"])
+    with pytest.raises(Exception, match="CSV|header|Header"):
+        df.writeStream.format("memory").queryName("items_header").trigger(availableNow=True) \
+            .option("checkpointLocation", os.path.join(tmp_path, "cp")).start().awaitTermination()
+
+
+def test_checkpoint_folder_is_required_on_clusters():
+    from labelflow.session import needs_shared_folder
+    assert not needs_shared_folder("local") and not needs_shared_folder("local[8]")
+    assert not needs_shared_folder("local[*]")
+    for master in ("yarn", "spark://h:7077", "k8s://x", "local-cluster[3,2,1024]"):
+        assert needs_shared_folder(master)
+
+
+def test_exemplar_lists_shorter_than_k(spark):
+    assert X.check_k(8) == 8
+    with pytest.raises(ValueError):
+        X.check_k(9)
+    ids = X.exemplar_id_table(spark, {"hatemm": ["a"]})
+    pool = spark.createDataFrame([("hatemm", "a", "x")], "dataset string, id string, text string")
+    assert X.ordered_exemplars(ids, pool, 1).count() == 1
+    with pytest.raises(PySparkException):
+        X.ordered_exemplars(ids, pool, 2).collect()
+    got = X.exemplar_overlap(spark.createDataFrame([("mhc", "pQbEa24u-HM"), ("mhc", "z"),
+                                                    ("hatemm", "q")], "dataset string, id string"))
+    assert sorted(map(tuple, got.collect())) == [("hatemm", 0), ("mhc", 1)]
