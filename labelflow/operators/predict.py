@@ -73,6 +73,41 @@ def text_predictor(make_fn: Callable[[], Callable[[list[str]], list[str]]],
     return apply
 
 
+def strip_prompt_text(generated: Column, prompt: Column) -> Column:
+    """F9 on texts: what a model appended to its prompt."""
+    return F.substring(generated, F.char_length(prompt) + 1, F.char_length(generated))
+
+
+def prompt_rule():
+    """A ``make_fn`` for a text model that stands in for a language model: it reads the class
+    names off the prompt's last question, picks an answer from the prompt's md5 digest and
+    returns prompt and answer, as a generating model does."""
+    import hashlib
+    import re
+
+    from labelflow import constants as K
+    ask = re.compile(re.escape(K.PROMPT_RESPOND) + "([^']*)" + re.escape(K.PROMPT_OR) + "([^']*)'")
+
+    def answer(prompt: str) -> str:
+        positive, negative = ask.findall(prompt)[-1]
+        digit = hashlib.md5(prompt.encode()).hexdigest()[0]
+        for digits, text in (("012345", positive), ("6789a", negative), ("b", f" {negative}"),
+                             ("c", positive.capitalize() + "."), ("d", f"I think {positive}")):
+            if digit in digits:
+                return prompt + text
+        return prompt
+
+    return lambda prompts: [answer(p) for p in prompts]
+
+
+PROMPT_RULE_SQL = """CASE WHEN substr(md5({t}), 1, 1) IN ('0','1','2','3','4','5') THEN {pos}
+     WHEN substr(md5({t}), 1, 1) IN ('6','7','8','9','a') THEN {neg}
+     WHEN substr(md5({t}), 1, 1) = 'b' THEN ' ' || {neg}
+     WHEN substr(md5({t}), 1, 1) = 'c' THEN upper(substr({pos}, 1, 1)) || substr({pos}, 2) || '.'
+     WHEN substr(md5({t}), 1, 1) = 'd' THEN 'I think ' || {pos}
+     ELSE '' END"""
+
+
 def linear_rule(weights, bias: float = 0.0):
     """A ``make_fn`` for a fixed linear scorer over vectors (stand-in for a model)."""
     def make():

@@ -102,6 +102,20 @@ def label_transitions(original: DataFrame, final: DataFrame) -> DataFrame:
     return j.groupBy("orig_label", "final_label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+def agreement(a: Column, b: Column) -> Column:
+    """Aggregate: share of rows on which two votes agree, over the rows that have both."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.avg(F.when(both, F.when(a == b, 1.0).otherwise(0.0)))
+
+
+def agreement_rates(reannotated: DataFrame) -> DataFrame:
+    """One row of agreement rates between the sources and the final label of
+    :func:`reannotate`'s output (NULL where no row has both)."""
+    pairs = [("original", "model"), ("original", "human"), ("model", "human"),
+             ("original", "final_label")]
+    return reannotated.agg(*[agreement(F.col(x), F.col(y)).alias(f"{x}_{y}") for x, y in pairs])
+
+
 def rule_response(text="text", dataset="dataset") -> Column:
     """A deterministic stand-in predictor (no model here): a response chosen from the first hex
     digit of ``md5(text)``, covering exact answers, capitalised answers with punctuation, a
@@ -128,17 +142,25 @@ RULE_RESPONSE_SQL = """CASE WHEN substr(md5(coalesce({t}, '')), 1, 1) IN ('0','1
 
 
 def reannotate(memes: DataFrame, predictor, human: DataFrame | None = None,
-               tie: str = "null", mode: str = "image") -> DataFrame:
+               tie: str = "null", mode: str = "image", block: DataFrame | None = None
+               ) -> DataFrame:
     """M5: re-annotation end to end. Each meme gets an unlabelled scoring prompt and message
     list (F2, F4); ``predictor`` (DataFrame → DataFrame adding ``response``; a model via
     :func:`labelflow.operators.predict.predict` or any rule) answers; the answer is parsed (M6)
-    and voted (J6, A2) with the original label and the human annotation (``id, vote``).
+    and voted (J6, A2) with the original label and the human annotation (``id, vote``). With
+    ``block`` (``dataset, demo``: one few-shot block per dataset, a fixed tiny set) the prompts
+    start with their dataset's exemplars (A3, J2), as few-shot re-annotation does.
 
     Output per id: ``original, model, human, n_votes, n_positive, final_label, needs_review``.
     """
     from labelflow.functions.chat import messages_col
     from labelflow.functions.prompts import prompt_col
-    asked = memes.withColumn("prompt", prompt_col("text", "dataset", mode)) \
+    prompt = prompt_col("text", "dataset", mode)
+    if block is not None:
+        from labelflow.operators.exemplars import attach_block
+        memes = attach_block(memes, block)
+        prompt = F.concat(F.coalesce(F.col("demo"), F.lit("")), prompt)
+    asked = memes.withColumn("prompt", prompt) \
                  .withColumn("messages", messages_col(F.col("image"), F.col("prompt"), None, mode))
     answered = parse_response(predictor(asked), "response", "dataset", "pred")
     votes = votes_from_columns(answered, {"original": "label", "model": "pred"})

@@ -787,3 +787,141 @@ FROM items WHERE type = 'test' AND label IS NOT NULL"""))
 def predictions(spark, sf):
     scored = rule_predictor(class_name(R.labelled(R.test_split(T.items(spark, sf)))))
     return prediction_rows(scored)
+
+
+# ---------------------------------------------------------------- scoring path
+
+_TURN = "'<|user|>' || chr(10) || '<|image|>' || {p} || '<|end|>' || chr(10)"
+_SCORED_SQL = f"""ex AS (
+  SELECT i.*, CAST(row_number() OVER (PARTITION BY i.dataset ORDER BY CAST(i.id AS BIGINT)) - 1 AS INTEGER) AS pos
+  FROM items i WHERE i.id IN (SELECT id FROM ex_ids)
+  QUALIFY row_number() OVER (PARTITION BY i.dataset ORDER BY CAST(i.id AS BIGINT)) <= {FEW_K}
+), hist AS (
+  SELECT dataset, string_agg({_TURN.format(p=S.prompt_sql('text', 'dataset', "'image'"))}
+           || '<|assistant|>' || chr(10) || {S.class_name_sql()} || '<|end|>' || chr(10), '' ORDER BY pos) AS h
+  FROM ex GROUP BY dataset
+), asked AS (
+  SELECT t.id, t.dataset, t.label, coalesce(h.h, '')
+           || {_TURN.format(p=S.prompt_sql('t.text', 't.dataset', "'image'"))}
+           || '<|assistant|>' || chr(10) AS prompt
+  FROM items t LEFT JOIN hist h ON h.dataset = t.dataset
+  WHERE t.type = 'test' AND t.label IS NOT NULL
+), answered AS (
+  SELECT *, {P.PROMPT_RULE_SQL.format(t='prompt', pos=S.pos_sql(), neg=S.neg_sql())} AS response FROM asked
+)"""
+
+
+def scoring_rows_df(it: DataFrame) -> DataFrame:
+    """The scoring path end to end: few-shot history and the row's own turn as messages,
+    rendered with the generation suffix, answered by a text model on Arrow batches; the prompt
+    is dropped from what it generated, the answer parsed, the row written as a prediction."""
+    scored = class_name(R.labelled(R.test_split(it))).select("id", "dataset", "label_name")
+    prompts = fewshot_messages_df(it).select(
+        "id", C.render_chat("messages", generation_prompt=True).alias("prompt"))
+    asked = scored.join(prompts, "id")
+    generated = P.text_predictor(P.prompt_rule)(asked, "prompt", "generated")
+    answered = generated.withColumn(
+        "response", P.strip_prompt_text(F.col("generated"), F.col("prompt")))
+    parsed = V.parse_response(answered, "response", "dataset", "pred")
+    return parsed.select(F.col("id").cast("string").alias("id"), "response",
+                         F.col("label_name").alias("label"), "pred")
+
+
+@query("scoring_rows", T.with_items(f""", {_EX_IDS_SQL}, {_SCORED_SQL}
+SELECT id, response, {S.class_name_sql()} AS label, {S.parse_sql('response')} AS pred FROM answered"""))
+def scoring_rows(spark, sf):
+    return scoring_rows_df(T.items(spark, sf))
+
+
+_MEME_ANSWER_SQL = P.PROMPT_RULE_SQL.format(t="prompt", pos=S.pos_sql(), neg=S.neg_sql())
+
+
+@query("reannotate_fewshot", T.with_items(f""", {_EX_IDS_SQL}, {_BLOCK_SQL}, asked AS (
+  SELECT t.id, t.dataset, t.label, coalesce(b.demo, '') || {S.prompt_sql('t.text', 't.dataset', "'image'")} AS prompt
+  FROM items t LEFT JOIN block b ON b.dataset = t.dataset WHERE t.domain = 'meme'
+), answered AS (SELECT *, {_MEME_ANSWER_SQL} AS response FROM asked),
+votes AS (
+  SELECT id, 'original' AS source, label AS vote FROM asked
+  UNION ALL SELECT id, 'model', {S.parse_sql('response')} FROM answered
+  UNION ALL SELECT CAST(l.doc_id AS VARCHAR), 'human', 1 - l.quality FROM labels l
+    WHERE CAST(l.doc_id AS VARCHAR) IN (SELECT id FROM asked)
+), g AS (
+  SELECT id, count(vote) AS n, coalesce(sum(vote), 0) AS p,
+         max(vote) FILTER (WHERE source = 'original') AS original,
+         max(vote) FILTER (WHERE source = 'model') AS model,
+         max(vote) FILTER (WHERE source = 'human') AS human
+  FROM votes GROUP BY id
+), final AS (
+  SELECT *, CASE WHEN n = 0 THEN NULL WHEN 2 * p > n THEN 1 WHEN 2 * p < n THEN 0 END AS final_label FROM g
+)
+SELECT id, original, model, human, CAST(n AS BIGINT) AS n_votes, CAST(p AS BIGINT) AS n_positive, final_label,
+       CASE WHEN final_label IS NULL THEN 1 ELSE 0 END AS needs_review FROM final"""))
+def reannotate_fewshot(spark, sf):
+    """Memes re-annotated with the exemplar block in front of every prompt; the predictor reads
+    the prompt."""
+    it = T.items(spark, sf)
+
+    def answer(asked):
+        out = P.text_predictor(P.prompt_rule)(asked, "prompt", "generated")
+        return out.withColumn("response", P.strip_prompt_text(F.col("generated"), F.col("prompt")))
+
+    return V.reannotate(it.filter(F.col("domain") == "meme"), answer, human_votes(spark, sf),
+                        block=exemplar_block_df(it))
+
+
+# ---------------------------------------------------------------- pixels
+
+from labelflow.constants import VARIANCE_THRESHOLD  # noqa: E402
+from labelflow.functions import pixels as PX  # noqa: E402
+
+IMAGE_SIDE = 8  # a vector of 64 components is a picture of 8 x 8 pixels
+
+
+def vector_images(spark, sf) -> DataFrame:
+    """Every embedding as an 8 x 8 picture in the image source's struct: the byte of component x is
+    128 + floor(128 x), clipped; pixel i has the components i, i + 1 and i + 2 (modulo 64) as its
+    blue, green and red."""
+    e = T.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    raw = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(
+        F.lit(128) + F.floor(x.cast("double") * 128), F.lit(0)), F.lit(255)).cast("bigint")), 2, "0"))
+    n = IMAGE_SIDE * IMAGE_SIDE
+    data = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(
+        *[F.get(F.col("raw"), (i + c) % n) for c in range(3)]))
+    return e.select("vec_id", raw.alias("raw")).select("vec_id", F.struct(
+        F.lit("").alias("origin"), F.lit(IMAGE_SIDE).alias("height"),
+        F.lit(IMAGE_SIDE).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"),
+        F.unhex(F.array_join(data, "")).alias("data")).alias("image"))
+
+
+_BYTES_SQL = """px AS (
+  SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, 128 + CAST(floor(CAST(x AS DOUBLE) * 128) AS BIGINT)))) AS c
+  FROM embeddings
+)"""
+
+
+@query("image_gate", f"""
+WITH {_BYTES_SQL}, g AS (
+  SELECT vec_id, list_transform(range(64), lambda i: round_even(
+    (0.299::DOUBLE * c[(i + 2) % 64 + 1] + 0.587::DOUBLE * c[(i + 1) % 64 + 1]) + 0.114::DOUBLE * c[i + 1], 0)) AS gray
+  FROM px
+), v AS (SELECT vec_id, list_var_pop(gray) AS variance FROM g)
+SELECT vec_id, round(variance, 6) AS variance, variance > {float(VARIANCE_THRESHOLD)} AS informative FROM v""")
+def image_gate(spark, sf):
+    """Grayscale variance and the content gate on pictures."""
+    im = vector_images(spark, sf).select("vec_id", PX.pixel_variance("image").alias("variance"))
+    return im.select("vec_id", F.round("variance", 6).alias("variance"),
+                     (F.col("variance") > VARIANCE_THRESHOLD).alias("informative"))
+
+
+@query("prepare_images", f"""
+WITH {_BYTES_SQL}
+SELECT vec_id, array_to_string(list_transform(range(48), lambda k: format('{{:02X}}', CAST(round_even((
+    c[((k // 12) * 16 + (k // 3 % 4) * 2 + 2 - k % 3) % 64 + 1]
+  + c[((k // 12) * 16 + (k // 3 % 4) * 2 + 1 + 2 - k % 3) % 64 + 1]
+  + c[((k // 12) * 16 + 8 + (k // 3 % 4) * 2 + 2 - k % 3) % 64 + 1]
+  + c[((k // 12) * 16 + 8 + (k // 3 % 4) * 2 + 1 + 2 - k % 3) % 64 + 1]) / 4.0, 0) AS BIGINT))), '') AS pixels
+FROM px""")
+def prepare_images(spark, sf):
+    """Pictures resized to half their side: every pixel is the mean of a 2 x 2 block."""
+    im = PX.prepare_images(vector_images(spark, sf), side=IMAGE_SIDE // 2)
+    return im.select("vec_id", F.hex("pixels").alias("pixels"))
