@@ -76,10 +76,33 @@ def fit_naive_bayes(rows: DataFrame, group: str = "group", label: str = "label",
     stats = occ.unionByName(dist).groupBy("_g", "_f").agg(
         F.sum("_c1").alias("_c1"), F.sum("_c0").alias("_c0"), F.sum("_d").alias("_df"))
 
+    sizes = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_p"))
+    return fit_from_counts(stats, sizes, num_features, alpha)
+
+
+def feature_cells(rows: DataFrame, by: list[str], features: str = "features") -> DataFrame:
+    """``(*by, _f, _n, _d)``: occurrences and row counts of every feature per combination of the
+    ``by`` columns, from one pass (a row's features, its distinct features and one marker are
+    exploded together, with partial sums before the shuffle). ``_f = -1`` is the marker: its
+    ``_n`` is the number of rows. With few combinations the table is small whatever the input."""
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col(features).alias("fs")),
+                    F.struct(F.lit(1).alias("kind"), F.array_distinct(features).alias("fs")),
+                    F.struct(F.lit(0).alias("kind"),
+                             F.array(F.lit(-1).cast("bigint")).alias("fs")))
+    each = rows.select(*by, F.explode(kinds).alias("_k")) \
+        .select(*by, F.col("_k.kind").alias("_kind"), F.explode("_k.fs").alias("_f"))
+    return each.groupBy(*by, "_f").agg(
+        F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).cast("bigint").alias("_n"),
+        F.sum("_kind").cast("bigint").alias("_d"))
+
+
+def fit_from_counts(stats: DataFrame, sizes: DataFrame, num_features: int = NUM_FEATURES,
+                    alpha: float = ALPHA) -> NaiveBayesModel:
+    """The models of all groups from their counts: ``stats (_g, _f, _c1, _c0, _df)`` per group and
+    feature, ``sizes (_g, _m, _p)`` rows and positive rows per group."""
     m, p = F.col("_m"), F.col("_p")
-    sizes = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_p")) \
-        .select("_g", "_m", "_p", (m / (2.0 * F.greatest(p, F.lit(1)))).alias("_w1"),
-                (m / (2.0 * F.greatest(m - p, F.lit(1)))).alias("_w0"))
+    sizes = sizes.select("_g", "_m", "_p", (m / (2.0 * F.greatest(p, F.lit(1)))).alias("_w1"),
+                         (m / (2.0 * F.greatest(m - p, F.lit(1)))).alias("_w0"))
     idf = F.log((m + 1.0) / (F.col("_df") + 1.0))
     from labelflow.operators.ordering import checkpointed
     # ≤ groups × D rows; both model tables derive from it, so it is computed (and written) once

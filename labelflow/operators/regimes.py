@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.operators import metrics as M
-from labelflow.operators.bayes import (NUM_FEATURES, fit_naive_bayes, score_naive_bayes,
-                                        word_features)
+from labelflow.operators.bayes import (NUM_FEATURES, feature_cells, fit_from_counts,
+                                        score_naive_bayes, word_features)
 from labelflow.operators.classifier import classify, featurize, fit_on_features
 from labelflow.session import ensure_checkpoint_dir
 from labelflow.operators.ordering import checkpointed
@@ -107,19 +107,31 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
     per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if None, predicts
     the negative class.
 
-    All regimes train in one pass (regime memberships exploded, one partial aggregate on
-    ``(regime, feature)``) and score in one pass (each distinct target text against the
-    broadcast feature table of all regimes); the metrics are one aggregate by regime. No
-    driver loop over fits, no iteration."""
+    All regimes train in one pass: features are counted per cell of (domain, label, re-annotated
+    label), a handful of cells with ``num_features`` features each, whatever the input; only this
+    table is checkpointed, and cells add up to regimes. Scoring is one pass too (each distinct
+    target text against the broadcast feature table of all regimes); the metrics are one
+    aggregate by regime. No driver loop over fits, no iteration."""
     trained = [r for r in regimes if r != "no_ft"]
     target = labelled(test_split(items.filter(F.col("domain") == target_domain)))
     parts = []
     if trained:
-        # features once per row (a row may train two or three regimes), then its memberships;
-        # checkpointed since the fit's aggregates read them several times
-        featurized = items.withColumn("x", word_features("text", num_features))
-        mem = checkpointed(regime_memberships(featurized, trained, carry=("x",)))
-        model = fit_naive_bayes(mem, group="regime", features="x", num_features=num_features)
+        by = ["domain", "label", "rm_label"]
+        if "rm_label" not in items.columns:
+            items = items.withColumn("rm_label", F.lit(None).cast("int"))
+        rows = train_split(items).filter(F.col("label").isNotNull() | F.col("rm_label").isNotNull())
+        cells = checkpointed(feature_cells(
+            rows.select(*by, word_features("text", num_features).alias("x")), by, "x"))
+        counts = regime_memberships(cells.withColumn("type", F.lit(None).cast("string")), trained,
+                                    carry=("_f", "_n", "_d")) \
+            .groupBy(F.col("regime").alias("_g"), "_f").agg(
+                F.sum(F.when(F.col("label") == 1, F.col("_n")).otherwise(0)).alias("_c1"),
+                F.sum(F.when(F.col("label") == 0, F.col("_n")).otherwise(0)).alias("_c0"),
+                F.sum("_d").alias("_df"))
+        counts = checkpointed(counts)  # at most regimes x (num_features + 1) rows
+        sizes = counts.filter(F.col("_f") == -1).select(
+            "_g", (F.col("_c1") + F.col("_c0")).alias("_m"), F.col("_c1").alias("_p"))
+        model = fit_from_counts(counts.filter(F.col("_f") >= 0), sizes, num_features)
         scored = score_naive_bayes(target.select("label", "text"), model, trained,
                                    group="regime")
         parts.append(scored.select("regime", "label", "pred"))
