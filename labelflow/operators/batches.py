@@ -36,3 +36,11 @@ def collate(batched: DataFrame, cols: list[str]) -> DataFrame:
 
 def _field(name: str):
     return lambda r: r[name]
+
+
+def collate_with(batched: DataFrame, collator, schema) -> DataFrame:
+    """M7: a caller's collator per batch: ``collator(pandas frame of one batch in slot order) →
+    pandas frame`` of ``schema``. A batch holds at most ``batch_size`` rows."""
+    def run(pdf):
+        return collator(pdf.sort_values("slot", ignore_index=True))
+    return batched.groupBy("batch_id").applyInPandas(run, schema)

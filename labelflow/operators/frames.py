@@ -151,3 +151,12 @@ def is_informative(variance, threshold: float = VARIANCE_THRESHOLD) -> Column:
     """A1 gate: strictly greater than the threshold."""
     v = F.col(variance) if isinstance(variance, str) else variance
     return v > F.lit(threshold)
+
+
+def videos_without_frames(items: DataFrame, counts: DataFrame, frames_col: str = "frames"
+                          ) -> DataFrame:
+    """W2's empty case: items whose frames directory has no frame at all (``counts``: ``item_id,
+    n``), with the ``reason`` for the quarantine. A uniform sample has no row for them."""
+    some = counts.filter(F.col("n") > 0).select(F.col("item_id").alias(frames_col))
+    return items.filter(F.col(frames_col).isNotNull()).join(some, frames_col, "left_anti") \
+        .withColumn("reason", F.lit("video without frames"))

@@ -89,6 +89,13 @@ def resolve_media(items: DataFrame, chosen: DataFrame | None = None,
     return out.withColumn("video", F.coalesce(F.col("video"), F.col("image")))
 
 
+def tagged(df: DataFrame, reason: Column, out: str = "reason") -> DataFrame:
+    """P9 as one frame: ``out`` is NULL on good rows. Both outputs can be written from it (persist
+    it, or write it partitioned by ``out IS NULL``) while the pipeline before it is planned and
+    run once."""
+    return df.withColumn(out, reason)
+
+
 def quarantine(df: DataFrame, reason: Column, strict: bool = False):
     """Split rows into ``(good, bad)``; ``bad`` carries the ``reason``.
 

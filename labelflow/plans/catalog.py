@@ -601,9 +601,7 @@ def quarantine_q(spark, sf):
     reason = F.when(F.col("status") != "ok", F.col("status")) \
               .when(F.substring(F.md5(F.concat(F.lit("img:"), "id")), 1, 1) == "f",
                     F.lit("unreadable image"))
-    good, bad = R.quarantine(r, reason)
-    return good.select("id", F.lit("good").alias("outcome")) \
-        .unionByName(bad.select("id", F.col("reason").alias("outcome")))
+    return R.tagged(r, reason).select("id", F.coalesce("reason", F.lit("good")).alias("outcome"))
 
 
 # ---------------------------------------------------------------- augmentation plan
@@ -925,3 +923,47 @@ def prepare_images(spark, sf):
     """Pictures resized to half their side: every pixel is the mean of a 2 x 2 block."""
     im = PX.prepare_images(vector_images(spark, sf), side=IMAGE_SIDE // 2)
     return im.select("vec_id", F.hex("pixels").alias("pixels"))
+
+
+# ---------------------------------------------------------------- media modes
+
+_KIND = "(CASE WHEN right(media, 3) = 'mp4' THEN 'video' ELSE 'image' END)"
+
+
+@query("media_modes", T.with_items(f"""
+, m AS (
+  SELECT id, text, dataset, label,
+         coalesce(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'media/' || id || '.mp4' END, image) AS media
+  FROM items WHERE type IS DISTINCT FROM 'test' AND label IS NOT NULL
+)
+SELECT id, media, {_KIND} AS kind,
+       md5('<|user|>' || chr(10) || '<|' || {_KIND} || '|>' || {S.prompt_sql('text', 'dataset', _KIND)}
+           || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) || {S.class_name_sql()}
+           || '<|end|>' || chr(10)) AS rendered_md5
+FROM m"""))
+def media_modes(spark, sf):
+    """Training rows whose media type is the row's own: an mp4 is a video turn, else an image
+    turn; a row without a video falls back to its image."""
+    it = class_name(R.labelled(R.train_split(T.items(spark, sf))), out="answer")
+    mp4 = F.when(F.col("id").cast("bigint") % 3 == 0,
+                 F.concat(F.lit("media/"), "id", F.lit(".mp4")))
+    rows = it.withColumn("video", mp4).withColumn("media", R.media_col("video"))
+    rows = R.media_kind(rows, "media", "kind")
+
+    def turns(mode):
+        return C.messages_col(F.col("media"), prompt_col("text", "dataset", mode),
+                              F.col("answer"), mode)
+    rendered = F.when(F.col("kind") == "video", C.render_chat(turns("video"))) \
+        .otherwise(C.render_chat(turns("image")))
+    return rows.select("id", "media", "kind", F.md5(rendered).alias("rendered_md5"))
+
+
+@query("agreement", T.with_items(f", {_VOTES_SQL.format(where='TRUE')}" + """
+SELECT avg(CASE WHEN original IS NOT NULL AND model IS NOT NULL THEN CAST(original = model AS DOUBLE) END) AS original_model,
+       avg(CASE WHEN original IS NOT NULL AND human IS NOT NULL THEN CAST(original = human AS DOUBLE) END) AS original_human,
+       avg(CASE WHEN model IS NOT NULL AND human IS NOT NULL THEN CAST(model = human AS DOUBLE) END) AS model_human,
+       avg(CASE WHEN original IS NOT NULL AND final_label IS NOT NULL THEN CAST(original = final_label AS DOUBLE) END) AS original_final_label
+FROM final"""))
+def agreement(spark, sf):
+    """Agreement rates between the vote sources and the final label."""
+    return V.agreement_rates(reannotated(spark, sf))

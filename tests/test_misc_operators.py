@@ -5,6 +5,8 @@ import os
 
 from labelflow.operators import classifier as CL
 from labelflow.operators import rows as R
+from pyspark.sql import functions as F
+
 from labelflow.operators.ordering import first_k, list_positions
 from labelflow.sources.items import read_items
 from labelflow.sources.sinks import observe_size
@@ -74,3 +76,44 @@ def test_compare_regimes_ml_runs(spark):
     rows = RG.compare_regimes_ml(C.regime_items(spark, SF001)).collect()
     assert sorted(r.regime for r in rows) == sorted(RG.REGIMES)
     assert all(0.0 <= r.accuracy <= 1.0 and r.n == rows[0].n for r in rows)
+
+
+def test_videos_without_frames(spark):
+    from labelflow.operators.frames import videos_without_frames
+    items = spark.createDataFrame([("a", "f/a"), ("b", "f/b"), ("c", None), ("d", "f/d")],
+                                  "id string, frames string")
+    counts = spark.createDataFrame([("f/a", 3), ("f/d", 0)], "item_id string, n bigint")
+    got = videos_without_frames(items, counts).collect()
+    assert sorted((r.id, r.reason) for r in got) == [
+        ("b", "video without frames"), ("d", "video without frames")]
+
+
+def test_user_collator_sees_batches_in_slot_order(spark):
+    import pandas as pd
+
+    from labelflow.operators.batches import assign_batches, collate, collate_with
+    rows = assign_batches(spark.range(11).select(F.col("id").cast("string").alias("id")))
+
+    def join(pdf):
+        return pd.DataFrame({"batch_id": pdf.batch_id[:1], "ids": [" ".join(pdf.id)]})
+
+    got = {r.batch_id: r.ids for r in
+           collate_with(rows, join, "batch_id bigint, ids string").collect()}
+    want = {r.batch_id: " ".join(r.id) for r in collate(rows, ["id"]).collect()}
+    assert got == want and len(got) == 3
+
+
+def test_model_path_and_prompt_rule(spark, tmp_path):
+    from labelflow.operators import predict as P
+    from labelflow.functions.prompts import prompt_col
+    there = tmp_path / "model"
+    there.mkdir()
+    assert P.choose_model(str(there), lambda p: p, lambda: "base", spark)() == str(there)
+    assert P.choose_model(str(tmp_path / "none"), lambda p: p, lambda: "base", spark)() == "base"
+    assert P.choose_model(None, lambda p: p, lambda: "base")() == "base"
+    df = spark.createDataFrame([(f"t{i}", "mhc") for i in range(60)], "text string, dataset string") \
+        .withColumn("prompt", prompt_col("text", "dataset", "image"))
+    out = P.text_predictor(P.prompt_rule)(df, "prompt", "generated").withColumn(
+        "response", P.strip_prompt_text(F.col("generated"), F.col("prompt"))).collect()
+    seen = {r.response for r in out}
+    assert {"offensive", "non-offensive"} <= seen and all("Analyze" not in x for x in seen)
