@@ -967,3 +967,42 @@ FROM final"""))
 def agreement(spark, sf):
     """Agreement rates between the vote sources and the final label."""
     return V.agreement_rates(reannotated(spark, sf))
+
+
+# ---------------------------------------------------------------- CSV files
+
+import uuid  # noqa: E402
+
+from labelflow.session import ensure_checkpoint_dir  # noqa: E402
+from labelflow.sources import sinks  # noqa: E402
+from labelflow.sources.items import read_items  # noqa: E402
+
+
+@query("item_files", T.with_items("""
+SELECT id, text, label, type, dataset,
+       CASE WHEN domain = 'meme' THEN image END AS image,
+       CASE WHEN domain = 'video' THEN frames END AS frames,
+       CASE WHEN domain = 'video' THEN 'media/' || id || '.mp4' END AS video
+FROM items"""))
+def item_files(spark, sf):
+    """All items written as CSV files of two layouts (other columns, other order, labels as
+    ``1.0``) into folders named by dataset in the shared checkpoint folder, and read back by
+    their headers, the dataset from the path."""
+    it = T.items(spark, sf).withColumn("video", F.concat(F.lit("media/"), "id", F.lit(".mp4"))) \
+        .withColumn("label", F.col("label").cast("double").cast("string"))
+    root = f"{ensure_checkpoint_dir(spark)}/items-{uuid.uuid4().hex}"
+    sinks.write_csv(it.filter(F.col("domain") == "meme")
+                    .select("id", "text", "label", "type", "image"), f"{root}/hatemm")
+    sinks.write_csv(it.filter(F.col("domain") == "video")
+                    .select("id", "label", "text", "type", "frames", "video"), f"{root}/mhc")
+    return read_items(spark, [f"{root}/hatemm", f"{root}/mhc"])
+
+
+@query("prediction_files", T.with_items(f"""
+SELECT id, {_RESP_SQL} AS response, {S.class_name_sql()} AS label
+FROM items WHERE type = 'test' AND label IS NOT NULL"""))
+def prediction_files(spark, sf):
+    """The predictions written as CSV and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    sinks.write_predictions(predictions(spark, sf), path)
+    return sinks.read_predictions(spark, path)
