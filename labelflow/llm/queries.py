@@ -120,9 +120,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_suffix_dedup, op4_simhash, op5_html_text, op6_sentencepiece,
-                                   op7_quality, op8_topk, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_token_counts, op3_suffix_dedup, op4_simhash, op5_html_text,
+    op6_sentencepiece, op7_quality, op8_topk, op9_mixing, op10_fingerprints)}
+#: DuckDB twins where SQL can express the result; the others are tested against brute force.
 ORACLE: dict[str, str] = {
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, k, substr(h, CAST(1000 * k + 1 AS BIGINT), 1098) AS piece
+              FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS k FROM d)),
+        w AS (SELECT doc_id, 500 * k + i AS s, substr(piece, CAST(2 * i + 1 AS BIGINT), 100) AS g
+              FROM (SELECT doc_id, k, piece, unnest(range(0, least(500, length(piece) // 2 - 49))) AS i FROM c)),
+        f AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+        dup AS (SELECT w.doc_id, w.s FROM w JOIN f ON f.g = w.g WHERE f.low < w.doc_id),
+        edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM dup),
+        isle AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edge),
+        run AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM isle GROUP BY doc_id, k),
+        gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM run),
+        cut AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                       string_agg(substr(d.h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS kept
+                FROM gap g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes,
+               CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+        FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id""",
     "op8_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
                    FROM embeddings
