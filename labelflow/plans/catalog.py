@@ -629,6 +629,18 @@ def regime_items(spark, sf) -> DataFrame:
     return RG.with_reannotated(it, reannotated(spark, sf, F.col("domain") == "meme"))
 
 
+@query("augment_union_voted", T.with_items(f", {_VOTES_SQL.format(where=chr(39) + 'meme' + chr(39) + ' = domain')}" + """
+SELECT i.id, i.domain, CAST(CASE WHEN i.domain = 'meme' THEN f.final_label ELSE i.label END AS INTEGER) AS label
+FROM items i LEFT JOIN final f ON f.id = i.id WHERE i.type IS DISTINCT FROM 'test'"""))
+def augment_union_voted(spark, sf):
+    """Video rows united with re-annotated memes: the memes carry their voted labels."""
+    it = regime_items(spark, sf)
+    memes = it.filter(F.col("domain") == "meme").withColumn("label", F.col("rm_label"))
+    u = RG.augment(it.filter(F.col("domain") == "video").drop("domain", "rm_label"),
+                   memes.drop("domain", "rm_label"))
+    return u.select("id", "domain", F.col("label").cast("int").alias("label"))
+
+
 @query("regime_counts", T.with_items(f", {_VOTES_SQL.format(where=chr(39) + 'meme' + chr(39) + ' = domain')}" + """,
 r AS (SELECT i.*, f.final_label AS rm_label FROM items i LEFT JOIN final f ON f.id = i.id
       WHERE i.type IS DISTINCT FROM 'test')
