@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.llm.common import free_name, text_or_empty, written
+from labelflow.llm.common import text_or_empty, written
 
 PIECE_WORDS = 24
 TABLES = 3
@@ -65,10 +65,12 @@ def _differences(pairs: DataFrame, width: int) -> DataFrame:
     signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("x"), F.lit(1).alias("s"))),
                       F.transform("b", lambda d: F.struct(d.alias("x"), F.lit(-1).alias("s"))))
     x = F.col("u.x")
+    # a pair without any digest keeps one row: nothing recovered, nothing left
     put = pairs.select("pair", "kind", F.explode_outer(signed).alias("u")).select(
-        "pair", "kind", F.col("u.s").cast("bigint").alias("n"), x.alias("x"),
-        _check(x).alias("h"),
-        F.explode(F.array(*[_cell(x, t, width) for t in range(TABLES)])).alias("cell"))
+        "pair", "kind", F.coalesce("u.s", F.lit(0)).cast("bigint").alias("n"),
+        F.coalesce(x, F.lit(0)).alias("x"), F.when(x.isNull(), 0).otherwise(_check(x)).alias("h"),
+        F.explode(F.when(x.isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(
+            F.array(*[_cell(x, t, width) for t in range(TABLES)]))).alias("cell"))
 
     def added(rows: DataFrame) -> DataFrame:
         return rows.groupBy("pair", "kind", "cell").agg(
@@ -97,50 +99,56 @@ def _differences(pairs: DataFrame, width: int) -> DataFrame:
         .select("pair", "kind", F.when(~F.col("left"), F.col("diff")).alias("diff"))
 
 
-def likeness(pairs: DataFrame) -> DataFrame:
-    """``(pair, kind, likeness)`` of ``pairs (pair, kind, a, b)``, digests in two arrays: sketches
-    are subtracted and peeled, four times larger for the pairs that failed until none does."""
-    sizes = F.size("a") + F.size("b")
-    width, todo, solved = WIDTH, pairs.repartition("pair"), None
-    for _ in range(40):
+def _pairs(versions: DataFrame) -> DataFrame:
+    """``(pair, kind, a, b)``: every row's ``own`` digests against each of its ``others``."""
+    return versions.select("pair", F.col("own").alias("a"), F.posexplode("others")
+                           .alias("kind", "b"))
+
+
+def differences(versions: DataFrame) -> DataFrame:
+    """``(pair, kind, diff)`` (digests that differ) for ``versions (pair, own, others)``: ``own`` digests against the
+    k-th of ``others`` for every k. The sketches are subtracted and peeled, four times larger for
+    the pairs that failed, until none does."""
+    width, todo, solved = WIDTH, _pairs(versions.repartition("pair")), None
+    for _ in range(20):
         got = written(_differences(todo, width), "peeled")
         done = got.where("diff IS NOT NULL")
         solved = done if solved is None else solved.unionByName(done)
         failed = got.where("diff IS NULL").select("pair", "kind")
         if failed.isEmpty():
             break
-        todo = pairs.join(failed.hint("merge"), ["pair", "kind"]).repartition("pair")
+        # the digests are dealt by pair for the join, and stay so for the group-bys
+        kinds = failed.groupBy("pair").agg(F.collect_set("kind").alias("kinds"))
+        todo = _pairs(versions.join(kinds.hint("merge"), "pair").withColumn(
+            "others", F.transform("others", lambda o, k: F.when(
+                F.array_contains("kinds", k), o)))).where("b IS NOT NULL")
         width *= GROWTH
     else:
         raise RuntimeError("peeling failed at every size")
-    return pairs.select("pair", "kind", sizes.alias("n")).join(solved, ["pair", "kind"]).select(
-        "pair", "kind", F.when(F.col("n") == 0, F.lit(1.0))
-        .otherwise((F.col("n") - F.col("diff")) / F.col("n")).alias("likeness"))
-
-
-def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, th, n, next_key, next_th)`` for every distinct (key, text): the text's hash and
-    length, and its successor by ascending key (nulls first; within a key by text hash), the
-    first one after the last. Rows are ranged over partitions; a partition's last row needs only
-    the next partition's first one."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"),
-                      F.char_length(text).alias("n")) \
-        .groupBy("key", "th").agg(F.max("n").alias("n"))
-    ranged = written(ids.repartitionByRange(parts, "key", "th")
+    return solved
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """``(k, kh, th, n, next_kh, next_th)`` for every distinct (key, text) of ``rows (_k, _kh, _th,
+    _text)``: key, hashes of key and text, the text's length, and the hashes of its successor by
+    ascending key (nulls first; within a key by text hash), the first one after the last. Rows are
+    ranged over partitions; a partition's last row needs only the next partition's first one."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = rows.groupBy(F.col("_k").alias("k"), F.col("_kh").alias("kh"), F.col("_th").alias("th")) \
+        .agg(F.max(F.char_length("_text")).alias("n"))
+    ranged = written(ids.repartitionByRange(parts, "k", "th")
                      .withColumn("pid", F.spark_partition_id()), "ranged")
-    at = F.struct("key", "th")
+    at = F.struct("k", "th", "kh")
     firsts = ranged.groupBy("pid").agg(F.min(at).alias("low"))  # one row per partition
     over = Window.orderBy("pid")
     after = firsts.select("pid", F.coalesce(
         F.lead("low").over(over),
         F.first("low").over(over.rowsBetween(Window.unboundedPreceding,
                                              Window.unboundedFollowing))).alias("after"))
-    inside = F.lead(at).over(Window.partitionBy("pid").orderBy("key", "th"))
+    inside = F.lead(at).over(Window.partitionBy("pid").orderBy("k", "th"))
     return ranged.withColumn("inside", inside).join(F.broadcast(after), "pid") \
         .withColumn("nxt", F.coalesce("inside", "after")) \
-        .select("key", "th", "n", F.col("nxt.key").alias("next_key"),
+        .select("k", "kh", "th", "n", F.col("nxt.kh").alias("next_kh"),
                 F.col("nxt.th").alias("next_th"))
 
 
@@ -156,38 +164,49 @@ def compare_versions(docs: DataFrame, key_col: str = "doc_id", text_col: str = "
     names = [c for c in docs.columns if c not in (
         text_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         "near_edited", "near_next")]
-    text, th = (free_name(docs, x) for x in ("_text", "_th"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty(text_col).alias(text)) \
-        .withColumn(th, F.xxhash64(text))
-    keyed = rows.select(F.col(f"`{key_col}`").alias("k"), F.col(th).alias("t"),
-                        F.col(text).alias("body"), F.struct(
-                            *[F.col(f"`{c}`") for c in names]).alias("row"))
-    order = with_next(rows, key_col, text).select(
-        "key", F.col("th").alias("own"), F.floor(F.col("n") / 4).cast("int").alias("cut"),
-        "next_key", "next_th")
-    # texts are dealt by (key, hash) once, for both joins
-    heads = order.join(keyed, order.next_key.eqNullSafe(keyed.k)
-                       & (order.next_th == keyed.t)) \
-        .select("key", "own", "cut", F.substring("body", F.lit(1), F.col("cut")).alias("head"),
-                paragraph_digests(F.col("body")).alias("next_digests")) \
-        .groupBy("key", "own").agg(*[F.first(c).alias(c) for c in ("cut", "head", "next_digests")])
-    both = keyed.join(heads, keyed.k.eqNullSafe(heads["key"]) & (keyed.t == heads["own"]))
-    n = F.char_length("body")
-    edited = F.concat(F.substring("body", F.lit(1), n - F.col("cut")), F.col("head"))
-    made = both.select("row", n.cast("bigint").alias("n_chars"), edited.alias("edited"),
-                       paragraph_digests(F.col("body")).alias("own_digests"), "next_digests") \
-        .select("row", "n_chars", F.sha2(F.col("edited").cast("binary"), 256)
-                .alias("edited_sha256"), "own_digests",
-                paragraph_digests(F.col("edited")).alias("edited_digests"), "next_digests",
-                F.monotonically_increasing_id().alias("pair"))
+    # own names only from here on: further columns travel in one struct
+    extras = [c for c in names if c != key_col]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in extras]).alias("_row")] if extras else []
+    key = F.col(f"`{key_col}`")
+    rows = docs.select(key.alias("_k"), *packed, text_or_empty(text_col).alias("_text")) \
+        .withColumn("_kh", F.xxhash64("_k", F.col("_k").isNull())) \
+        .withColumn("_th", F.xxhash64("_text"))
+    order = with_next(rows).select(
+        F.col("k").alias("_of"), F.col("kh").alias("_of_kh"), F.col("th").alias("_of_th"),
+        F.floor(F.col("n") / 4).cast("int").alias("_cut"),
+        F.col("next_kh").alias("_next_kh"), F.col("next_th").alias("_next_th"))
+    # the texts are dealt by the two hashes; without further columns (the key comes with the
+    # order) both joins read the same three columns, and one exchange serves both
+    heads = rows.select("_text", "_kh", "_th") \
+        .join(order, (F.col("_next_kh") == F.col("_kh")) & (F.col("_next_th") == F.col("_th"))) \
+        .select("_of", "_of_kh", "_of_th", "_cut",
+                F.substring("_text", F.lit(1), F.col("_cut")).alias("_head"),
+                paragraph_digests(F.col("_text")).alias("_next_digests")) \
+        .groupBy("_of_kh", "_of_th").agg(*[F.first(c).alias(c) for c in (
+            "_of", "_cut", "_head", "_next_digests")])
+    both = rows.select("_text", "_kh", "_th", *(["_row"] if extras else [])).join(
+        heads, (F.col("_kh") == F.col("_of_kh")) & (F.col("_th") == F.col("_of_th"))) \
+        .withColumnRenamed("_of", "_k")
+    n = F.char_length("_text")
+    edited = F.concat(F.substring("_text", F.lit(1), n - F.col("_cut")), F.col("_head"))
+    carried = ["_k", *(["_row"] if extras else [])]
+    made = both.select(*carried, n.cast("bigint").alias("n_chars"), edited.alias("edited"),
+                       paragraph_digests(F.col("_text")).alias("own"), "_next_digests") \
+        .select(*carried, "n_chars",
+                F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own",
+                F.array(paragraph_digests(F.col("edited")), F.col("_next_digests"))
+                .alias("others"), F.monotonically_increasing_id().alias("pair"))
     made = written(made, "versions")  # also fixes the row numbers
-    pairs = made.select("pair", F.col("own_digests").alias("a"), F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("edited_digests").alias("b")),
-        F.struct(F.lit(1).alias("kind"), F.col("next_digests").alias("b")))).alias("v")) \
-        .select("pair", "v.kind", "a", "v.b")
-    near = likeness(pairs).groupBy("pair").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("likeness"))).alias("near_edited"),
-        F.max(F.when(F.col("kind") == 1, F.col("likeness"))).alias("near_next"))
-    return made.join(near, "pair").select(
-        "row.*", "n_chars", "edited_sha256", sketch(F.col("own_digests")).alias("fingerprint"),
-        sketch(F.col("edited_digests")).alias("edited_fingerprint"), "near_edited", "near_next")
+    diffs = differences(made.select("pair", "own", "others")).groupBy("pair").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("diff"))).alias("edited_diff"),
+        F.max(F.when(F.col("kind") == 1, F.col("diff"))).alias("next_diff"))
+
+    def near(k: int, diff: str) -> Column:
+        both = F.size("own") + F.size(F.col("others")[k])
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(diff)) / both)
+
+    return made.join(diffs, "pair").select(
+        *[F.col("_k").alias(c) if c == key_col else F.col(f"_row.`{c}`").alias(c) for c in names],
+        "n_chars", "edited_sha256", sketch(F.col("own")).alias("fingerprint"),
+        sketch(F.col("others")[0]).alias("edited_fingerprint"),
+        near(0, "edited_diff").alias("near_edited"), near(1, "next_diff").alias("near_next"))
