@@ -18,7 +18,7 @@ together with those they can be equal to:
 
 Documents are dealt into groups of bounded size by a hash of key and text; a group's task finds
 its anchors, then its contexts, and at last marks the bytes. What travels between the steps is
-packed: one row per pair of group and bucket. Anchors that very many groups share go by a longer
+packed: one row per pair of group and bucket. Anchors that very many documents share go by a longer
 key (the anchor with the bytes before or behind it), so no frequent phrase fills one task.
 """
 
@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from labelflow.llm.common import free_name, persisted, text_or_empty
 
 GRAM = 20
+#: The lowest bits of an anchor's hash carry a count or a sign on the way.
+_LOW = np.uint64(15)
 _SLICE = 1 << 20
 _NO_KEY = np.iinfo(np.int64).max  # a null key: no document is smaller because of it
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -118,7 +120,7 @@ class Group:
         A frequent anchor's context becomes two, each with half its windows."""
         length, wide = self.length, self.length - GRAM + 1
         pos, h = self.anchors()
-        h &= ~np.uint64(1)
+        h &= ~_LOW
         keep = _member(h, shared)
         pos, h = pos[keep], h[keep]
         n = len(pos)
@@ -315,7 +317,7 @@ def _read(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text",
-                   length: int = 50, group_bytes: int = 16 << 20, frequent: int = 20_000,
+                   length: int = 50, group_bytes: int = 8 << 20, frequent: int = 5_000,
                    as_text: bool = False) -> DataFrame:
     """``df`` without ``text_col``, plus ``kept`` (binary: the remaining bytes), ``n_bytes``,
     ``n_removed`` and ``n_spans`` (maximal removed runs). With ``as_text`` ``kept`` is a string,
@@ -324,10 +326,10 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     Texts are whole UTF-8 byte strings; null texts are empty. Matches never cross documents and
     are judged on the input. Rows under one key do not remove from each other; a null key counts
     as larger than all others, and null keys do not remove from each other. Repeated rows stay;
-    an empty table gives no rows. An anchor found in more than ``frequent`` groups is dealt by
-    its longer keys."""
-    if not GRAM + 1 <= length <= GRAM + 32:
-        raise ValueError(f"length must lie in {GRAM + 1} to {GRAM + 32}")
+    an empty table gives no rows. An anchor found in more than about ``frequent`` documents is
+    dealt by its longer keys."""
+    if not GRAM + 1 <= length <= GRAM + 31:
+        raise ValueError(f"length must lie in {GRAM + 1} to {GRAM + 31}")
     wide, span = length - GRAM + 1, 2 * length - GRAM
     names = [c for c in df.columns
              if c not in (text_col, "kept", "n_bytes", "n_removed", "n_spans")]
@@ -344,14 +346,18 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
 
     def anchor_rows(t: pa.Table) -> pa.Table:
         pos, h = (own := group_of(t)).anchors()
-        h, doc = h & ~np.uint64(1), own.doc_of(pos)
+        h, doc = h & ~_LOW, own.doc_of(pos)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
-        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
-        # the lowest bit says that two documents of this group have the anchor
-        several = (np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)) \
-            if len(h) else np.zeros(0, bool)
-        h = h[begins] | several
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h = h[fresh]
+        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) \
+            else np.zeros(0, np.int64)
+        # the lowest bits say how many documents of this group have the anchor, as a power of two
+        count = np.diff(np.append(begins, len(h)))
+        h = h[begins] | np.minimum(15, np.log2(np.maximum(count, 1)).astype(np.int64) + 1) \
+            .astype(np.uint64)
         got = list(_packed(_bucket(h, groups), {"h": h}))
         return pa.table({"bucket": pa.array([b for b, _, _ in got], pa.int32()),
                          "g": pa.array([t.column(g)[0].as_py()] * len(got), pa.int32()),
@@ -365,13 +371,13 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         owner = np.repeat(t.column("g").to_numpy(), list(map(len, parts)))
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        bare = h & ~np.uint64(1)
+        bare = h & ~_LOW
         begins = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
-        count = np.diff(np.append(begins, len(h)))
-        several = np.maximum.reduceat(h & np.uint64(1), begins) > 0
-        # shared ones; the lowest bit now says that very many groups have it
-        keep = np.repeat((count > 1) | several, count)
-        sign = bare | np.repeat(count > frequent, count)
+        entries = np.diff(np.append(begins, len(h)))
+        docs = np.add.reduceat(np.uint64(1) << ((h & _LOW) - np.uint64(1)), begins)
+        # shared ones; the lowest bit now says that very many documents have it
+        keep = np.repeat(docs > 1, entries)
+        sign = bare | np.repeat(docs > frequent, entries).astype(np.uint64)
         got = list(_packed(owner[keep].astype(np.int64), {"h": sign[keep]}))
         return pa.table({"g": pa.array([b for b, _, _ in got], pa.int32()),
                          "bucket": pa.array([-1] * len(got), pa.int32()),
@@ -384,8 +390,8 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         own = group_of(docs)
         known = np.sort(_read(notes.filter(pa.compute.equal(notes.column("bucket"), -1))
                               .column("data"), np.uint64))
-        often = known[known & np.uint64(1) == 1] & ~np.uint64(1)
-        found = own.contexts(known & ~np.uint64(1), often)
+        often = known[(known & np.uint64(1)) == 1] & ~_LOW
+        found = own.contexts(known & ~_LOW, often)
         return own, found
 
     def context_rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
