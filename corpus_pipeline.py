@@ -58,8 +58,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: one row per document and pass with the words taken."""
     prepare(spark)
-    _, pieces, _ = mixing.mix(docs.select(*DOCUMENT_COLUMNS), [3, 1, 2], share=1.5)
-    return mixing.mixed_documents(pieces).select(*DOCUMENT_COLUMNS)
+    _, pieces, texts, _ = mixing.mix(docs.select(*DOCUMENT_COLUMNS), [3, 1, 2], share=1.5)
+    return mixing.mixed_documents(pieces, texts).select(*DOCUMENT_COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ class Pieces(dict):
     needs pieces that are made in the order of their ranks; for a pair with any other piece the
     two are merged outright."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, rank):
         super().__init__()
@@ -117,7 +117,7 @@ class Neighbours(dict):
     ``rank``: (a, b) → rank of their merge. ``made``: token → (rank, left part, right part) of
     the merge that makes it; base tokens are absent."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, rank, made):
         super().__init__()

@@ -110,13 +110,15 @@ def _ranked(docs: DataFrame, source: str, size: Column, seed: int, names: dict)
 
 def mix(docs: DataFrame, weights: list[float], share: float, cap: float = 2.0,
         source_col: str = "source", text_col: str = "text", block: int = 128,
-        shard_slots: int = 16384, seed: int = 5) -> tuple[DataFrame, DataFrame, list[Source]]:
-    """Mix ``docs``. Gives three things:
+        shard_slots: int = 16384, seed: int = 5
+        ) -> tuple[DataFrame, DataFrame, DataFrame, list[Source]]:
+    """Mix ``docs``. Gives four things:
 
     * one row per document: its columns but the text, ``size`` (words), ``source_size``,
       ``target`` and ``taken`` (words the mix takes of it, repeats counted);
-    * the mixed pieces: ``shard``, ``slot`` (number among the source's slots), ``pass``, the
-      document's columns with its text, ``first`` and ``n`` (the words taken, from 0);
+    * the mixed pieces: ``shard``, ``slot`` (number among the source's slots), ``pass``, ``row``
+      (the document), ``size`` (its words), ``first`` and ``n`` (the words taken, from 0);
+    * the documents themselves: ``row`` and their columns, text included;
     * the sources.
 
     Null texts have no words and are never taken; a null source is a source of its own; repeated
@@ -171,16 +173,16 @@ def mix(docs: DataFrame, weights: list[float], share: float, cap: float = 2.0,
     per_doc = met.groupBy("c.i", b, rn, *[F.col(f"`{c}`") for c in plain], "size", "source_size",
                           "target").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("taken")) \
         .drop("i", b, rn)
-    taken = met.where("n > 0").select(
-        F.col(f"c.`{source_col}`").alias(src), F.col(b).alias("_pb"), F.col(rn).alias("_prn"),
-        "shard", "slot", "pass", "size",
+    pieces = met.where("n > 0").select(
+        F.struct(F.col(f"c.`{source_col}`").alias("source"), F.col(b).alias("bucket"),
+                 F.col(rn).alias("number")).alias("row"),
+        "size", "shard", "slot", "pass",
         (F.col("lo") + F.col("c.block") * block - F.col(st)).alias("first"), "n")
-    pieces = taken.join(ranked, F.col(src).eqNullSafe(F.col(f"`{source_col}`"))
-                        & (F.col("_pb") == F.col(b)) & (F.col("_prn") == F.col(rn))) \
-        .select(F.struct(F.col(src), F.col(b), F.col(rn)).alias("row"),
-                *[F.col(f"`{c}`") for c in docs.columns],
-                "size", "shard", "slot", "pass", "first", "n")
-    return per_doc, pieces, plan
+    texts = ranked.select(
+        F.struct(F.col(f"`{source_col}`").alias("source"), F.col(b).alias("bucket"),
+                 F.col(rn).alias("number")).alias("row"),
+        *[F.col(f"`{c}`") for c in docs.columns if c != "row"])
+    return per_doc, pieces, texts, plan
 
 
 def _slots(spark, plan: list[Source], small: DataFrame, shard_slots: int, block: int,
@@ -223,23 +225,36 @@ def _slots(spark, plan: list[Source], small: DataFrame, shard_slots: int, block:
         F.least(F.lit(block).cast("bigint"), rest_words).alias("take"))
 
 
-def mixed_documents(pieces: DataFrame, text_col: str = "text", size_col: str = "n_chars"
-                    ) -> DataFrame:
+def mixed_documents(pieces: DataFrame, texts: DataFrame, text_col: str = "text",
+                    size_col: str = "n_chars") -> DataFrame:
     """The mixed corpus in the documents' own columns: per document and pass one row with the
     words taken, in order (the text itself where all of it is taken), and ``size_col``, if
-    there is one, set to the new length."""
-    columns = [c for c in pieces.columns
-               if c not in ("row", "size", "shard", "slot", "pass", "first", "n")]
-    firsts = [F.first(f"`{c}`").alias(c) for c in columns]
-    got = pieces.groupBy("row", "pass", "size").agg(
-        F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"), *firsts)
-    whole = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["n"]) == F.col("size")
-    words = words_of(F.col(text_col))
+    there is one, set to the new length. A document's pieces are gathered before they meet its
+    text, which is moved once whatever their number."""
+    columns = [c for c in texts.columns if c != "row"]
+    key = [F.col("row.source").alias("_s"), F.col("row.bucket").alias("_b"),
+           F.col("row.number").alias("_n")]
+    spans = pieces.select(*key, "size", F.struct("pass", "first", "n").alias("span")) \
+        .groupBy("_s", "_b", "_n", "size").agg(
+            F.sort_array(F.collect_list("span")).alias("_spans")) \
+        .withColumnRenamed("size", "_size")
+    # the documents' own columns travel in one struct: they may have any names
+    body = texts.select(F.col("row.source").alias("_st"), F.col("row.bucket").alias("_bt"),
+                        F.col("row.number").alias("_nt"),
+                        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    met = spans.join(body, F.col("_s").eqNullSafe(F.col("_st")) & (F.col("_b") == F.col("_bt"))
+                     & (F.col("_n") == F.col("_nt")))
+    text = F.col(f"_doc.`{text_col}`")
+    got = met.withColumn("_pass", F.explode(F.array_distinct(F.col("_spans")["pass"]))) \
+        .withColumn("_own", F.filter("_spans", lambda s: s["pass"] == F.col("_pass")))
+    whole = F.aggregate("_own", F.lit(0).cast("bigint"), lambda a, s: a + s["n"]) == F.col("_size")
+    got = got.withColumn("_whole", whole) \
+        .withColumn("_words", F.when(~F.col("_whole"), words_of(text)))
     cut = F.array_join(F.flatten(F.transform(
-        "spans", lambda s: F.slice(F.col("_words"), (s["first"] + 1).cast("int"),
-                                   s["n"].cast("int")))), " ")
-    got = got.withColumn("_whole", whole).withColumn("_words", F.when(~F.col("_whole"), words)) \
-        .withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(cut))
+        "_own", lambda s: F.slice(F.col("_words"), (s["first"] + 1).cast("int"),
+                                  s["n"].cast("int")))), " ")
+    out = got.withColumn("_made", F.when(F.col("_whole"), text).otherwise(cut))
+    new = {text_col: F.col("_made")}
     if size_col in columns:
-        got = got.withColumn(size_col, F.length(text_col).cast(pieces.schema[size_col].dataType))
-    return got.select(*[F.col(f"`{c}`") for c in columns])
+        new[size_col] = F.char_length("_made").cast(texts.schema[size_col].dataType)
+    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns])

@@ -48,7 +48,7 @@ class _WordCodes(dict):
     """Word → (word hash, shape hash) packed in one integer; words repeat, so hashes are kept
     (up to a bound, then the table starts afresh)."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

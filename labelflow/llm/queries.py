@@ -107,7 +107,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    per_doc, _, _ = mixing.mix(docs, [3, 1, 2], share=1.5)
+    per_doc, *_ = mixing.mix(docs, [3, 1, 2], share=1.5)
     return per_doc.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -41,7 +41,7 @@ class _Words(dict):
     """Stretch between two places that no piece crosses → ids; kept up to a bound. With ``mark``
     the stretch is given without its one word mark in front."""
 
-    LIMIT, LONGEST = 500_000, 64
+    LIMIT, LONGEST = 350_000, 64
 
     def __init__(self, codec, mark: str):
         super().__init__()

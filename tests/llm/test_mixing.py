@@ -38,7 +38,7 @@ def test_targets(sizes):
 
 @pytest.mark.parametrize("block", [1, 7, 128])
 def test_every_source_gives_its_target_to_the_word(spark, block):
-    per, pieces, plan = mixing.mix(frame(spark), [3, 1, 2], 1.5, block=block, shard_slots=50)
+    per, pieces, _, plan = mixing.mix(frame(spark), [3, 1, 2], 1.5, block=block, shard_slots=50)
     rows, want = per.collect(), awkward_rows()
     assert Counter((r["doc_id"], r["source"], r["size"]) for r in rows) == \
         Counter((r[0], r[3], len(words(r[1]))) for r in want)
@@ -59,17 +59,20 @@ def test_every_source_gives_its_target_to_the_word(spark, block):
 
 
 def test_pieces_name_real_words_and_documents_rebuild(spark):
-    per, pieces, _ = mixing.mix(frame(spark), [3, 1, 2], 1.5, block=5, shard_slots=50)
+    per, pieces, texts, _ = mixing.mix(frame(spark), [3, 1, 2], 1.5, block=5, shard_slots=50)
     slots = defaultdict(set)
     by_pass = Counter()
+    of_row = {r["row"]: r for r in texts.collect()}
+    assert len(of_row) == len(awkward_rows())
     for r in pieces.collect():
-        text = words(r["text"])
+        text = words(of_row[r["row"]]["text"])
+        assert r["size"] == len(text)
         assert 0 <= r["first"] and r["first"] + r["n"] <= len(text) and r["n"] > 0
-        slots[r["source"]].add(r["slot"])
+        slots[r["row"]["source"]].add(r["slot"])
         for k in range(r["first"], r["first"] + r["n"]):
             by_pass[r["row"], r["pass"], k] += 1
     assert set(by_pass.values()) == {1}  # a pass takes no word twice
-    docs = mixing.mixed_documents(pieces).collect()
+    docs = mixing.mixed_documents(pieces, texts).collect()
     got, want = Counter(), Counter()
     for r in docs:
         got[r["doc_id"]] += len(words(r["text"]))
@@ -83,8 +86,8 @@ def test_pieces_name_real_words_and_documents_rebuild(spark):
 
 def test_shards_hold_multinomial_counts(spark):
     rows = [(i, "w " * 64, "en", f"s{i % 2}", 0) for i in range(400)]
-    _, pieces, _ = mixing.mix(frame(spark, rows), [1, 1], 1.0, block=64, shard_slots=100)
-    counts = Counter((r["shard"], r["source"]) for r in pieces.collect())
+    _, pieces, *_ = mixing.mix(frame(spark, rows), [1, 1], 1.0, block=64, shard_slots=100)
+    counts = Counter((r["shard"], r["row"]["source"]) for r in pieces.collect())
     full = [counts[k, "s0"] for k in range(4)]
     assert len(set(full)) > 1 and all(20 < c < 80 for c in full)
 
@@ -104,7 +107,9 @@ def test_multipliers_permute(n):
 
 
 def test_empty_table_and_clashing_names(spark):
-    per, pieces, plan = mixing.mix(frame(spark, []), [3, 1, 2], 1.5)
+    per, pieces, texts, plan = mixing.mix(frame(spark, []), [3, 1, 2], 1.5)
     assert per.collect() == [] and pieces.collect() == [] and plan == []
-    per, pieces, _ = mixing.mix(with_clashes(frame(spark)), [3, 1, 2], 1.5)
+    assert mixing.mixed_documents(pieces, texts).collect() == []
+    per, pieces, texts, _ = mixing.mix(with_clashes(frame(spark)), [3, 1, 2], 1.5)
     assert per.count() == len(awkward_rows()) and pieces.count() > 0
+    assert mixing.mixed_documents(pieces, texts).where("lang IS NULL").count() == 0
