@@ -18,8 +18,10 @@ together with those they can be equal to:
 
 Documents are dealt into groups of bounded size by a hash of key and text; a group's task finds
 its anchors, then its contexts, and at last marks the bytes. What travels between the steps is
-packed: one row per pair of group and bucket. Anchors that very many documents share go by a longer
-key (the anchor with the bytes before or behind it), so no frequent phrase fills one task.
+packed: one row per pair of group and bucket. Anchors that very many documents share go by longer
+keys (the anchor with the bytes before or behind it), whose contexts hold only the bytes of their
+own windows. Longer keys that are still frequent go by whole windows: one row per window and group,
+with its smallest key, dealt by all its bytes, so no frequent phrase or passage fills one task.
 """
 
 from __future__ import annotations
@@ -36,9 +38,12 @@ from pyspark.sql import types as T
 from labelflow.llm.common import free_name, persisted, text_or_empty
 
 GRAM = 20
-#: The lowest bits of an anchor's hash carry a count or a sign on the way.
+#: The lowest bits of a key's hash carry a count on the way.
 _LOW = np.uint64(15)
 _SLICE = 1 << 20
+#: What a group is told, in the place of a bucket: its shared and frequent anchors, its shared and
+#: frequent longer keys.
+_SHARED, _FREQUENT, _LONGER, _FREQUENT_LONGER = -1, -2, -3, -4
 _NO_KEY = np.iinfo(np.int64).max  # a null key: no document is smaller because of it
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -113,48 +118,65 @@ class Group:
         pos, first = np.unique(pos, return_index=True)  # slices overlap
         return pos, h[first]
 
-    def contexts(self, shared: np.ndarray, frequent: np.ndarray):
-        """Contexts of the shared anchors, equal ones once. Gives ``(rows, low, first, last, key,
-        of, pos)``: context bytes, the smallest document key, the windows [first, last) that are
-        real, the key hash they are dealt by, and for every occurrence its context and place.
-        A frequent anchor's context becomes two, each with half its windows."""
+    def _around(self, wanted: np.ndarray):
+        """Places, hashes and documents of the wanted anchors, and the windows [first, last)
+        around each that are real."""
         length, wide = self.length, self.length - GRAM + 1
         pos, h = self.anchors()
         h &= ~_LOW
-        keep = _member(h, shared)
+        keep = _member(h, wanted)
         pos, h = pos[keep], h[keep]
-        n = len(pos)
-        span = wide - 1 + length
-        view = np.lib.stride_tricks.sliding_window_view(self.bytes, span)
-        rows = view[pos + self.pad - (wide - 1)].copy() if n else np.zeros((0, span), np.uint8)
         doc = self.doc_of(pos)
         begin, end = self.start[doc], self.start[doc] + self.size[doc]
         first = np.maximum(begin - (pos - (wide - 1)), 0)
         last = np.minimum(end - length - (pos - (wide - 1)) + 1, wide)
-        # bytes of other documents are blanked: equal surroundings are then equal rows
+        return pos, h, doc, first, last
+
+    def _halved(self, pos, h, doc, first, last):
+        """The same anchors with half their windows each, under longer keys: windows [0, half)
+        hold the bytes before the anchor, the others those behind it."""
+        length, wide = self.length, self.length - GRAM + 1
+        half, n = wide // 2, len(pos)
+        longer = []
+        for which, lo, hi in ((1, half - 1, wide - 1), (2, wide - 1 + GRAM, half + length)):
+            view = np.lib.stride_tricks.sliding_window_view(self.bytes, hi - lo)
+            near = _row_hash(view[pos + self.pad - (wide - 1) + lo]) if n \
+                else np.zeros(0, np.uint64)
+            longer.append(((h ^ near ^ np.uint64(which)) * _M2) & ~_LOW)
+        out = (np.tile(pos, 2), np.concatenate(longer), np.tile(doc, 2),
+               np.concatenate([first, np.maximum(first, half)]),
+               np.concatenate([np.minimum(last, half), last]))
+        real = out[3] < out[4]
+        return tuple(x[real] for x in out)
+
+    def longer_keys(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longer keys of the frequent anchors and their documents."""
+        _, h, doc, *_ = self._halved(*self._around(frequent))
+        return h, doc
+
+    def contexts(self, shared: np.ndarray, frequent: np.ndarray, shared_longer: np.ndarray,
+                 frequent_longer: np.ndarray):
+        """Contexts of the shared anchors, equal ones once. Gives ``(rows, low, first, last, key,
+        of, pos, doc)``: context bytes, the smallest document key, the windows [first, last) that
+        are real, the key hash they are dealt by, and for every occurrence its context and place;
+        and what :meth:`windows` gives for the windows under frequent longer keys. A frequent
+        anchor's context becomes two, each with half its windows."""
+        length, wide = self.length, self.length - GRAM + 1
+        found = self._around(np.union1d(shared, frequent))
+        often = _member(found[1], frequent)
+        halves = self._halved(*(x[often] for x in found))
+        alone = _member(halves[1], frequent_longer)
+        some = _member(halves[1], shared_longer) & ~alone
+        pos, h, doc, first, last = (np.concatenate([x[~often], y[some]])
+                                    for x, y in zip(found, halves))
+        n, span = len(pos), wide - 1 + length
+        view = np.lib.stride_tricks.sliding_window_view(self.bytes, span)
+        rows = view[pos + self.pad - (wide - 1)].copy() if n else np.zeros((0, span), np.uint8)
+        # bytes outside the own windows are blanked: equal surroundings are then equal rows
         column = np.arange(span)
         cut = np.flatnonzero((first > 0) | (last < wide))
         rows[cut] = np.where((column >= first[cut, None])
                              & (column < (last + length - 1)[cut, None]), rows[cut], 0)
-        often = _member(h, frequent)
-        if often.any():
-            half = wide // 2
-            some = np.flatnonzero(often)
-            both = np.concatenate([np.flatnonzero(~often), some, some])
-            left = np.concatenate([np.zeros(n - len(some), np.int8), np.ones(len(some), np.int8),
-                                   np.full(len(some), 2, np.int8)])
-            pos, h, rows, first, last = pos[both], h[both], rows[both], first[both], last[both]
-            doc = doc[both]
-            # windows [0, half) hold the bytes before the anchor, the others those behind it
-            last = np.where(left == 1, np.minimum(last, half), last)
-            first = np.where(left == 2, np.maximum(first, half), first)
-            near = np.zeros_like(h)
-            for which, lo, hi in ((1, half - 1, wide - 1), (2, wide - 1 + GRAM, half + length)):
-                m = left == which
-                near[m] = _row_hash(rows[m][:, lo:hi]) ^ np.uint64(which)
-            h = np.where(left > 0, (h ^ near) * _M2, h)
-            real = first < last
-            pos, h, rows, first, last, doc = (x[real] for x in (pos, h, rows, first, last, doc))
         key = self.keys[doc]
         mixed = _row_hash(rows) ^ (first.astype(np.uint64) << np.uint64(8)) \
             ^ (last.astype(np.uint64) * _M1) ^ h
@@ -164,12 +186,43 @@ class Group:
             a, b = order[1:], order[:-1]
             same[1:] = (mixed[a] == mixed[b]) & (first[a] == first[b]) & (last[a] == last[b]) \
                 & (h[a] == h[b]) & (rows[a] == rows[b]).all(axis=1)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(~same) - 1
-        begins = np.flatnonzero(~same)
-        one = order[begins]
-        low = np.minimum.reduceat(key[order], begins) if len(begins) else np.zeros(0, np.int64)
-        return rows[one], low, first[one], last[one], h[one], of, pos, doc
+        of, one, low = _classes(order, same, key)
+        return (rows[one], low, first[one], last[one], h[one], of, pos, doc), \
+            self.windows(halves[0][alone], halves[3][alone], halves[4][alone])
+
+    def windows(self, pos: np.ndarray, first: np.ndarray, last: np.ndarray):
+        """The windows [first, last) around the places, equal ones once: ``(rows, low, key, of,
+        at, doc)``; ``key`` is a hash of the whole window, ``at`` where an occurrence starts."""
+        length, wide = self.length, self.length - GRAM + 1
+        edge = np.zeros(self.total + 1, np.int32)
+        np.add.at(edge, pos - (wide - 1) + first, 1)
+        np.add.at(edge, pos - (wide - 1) + last, -1)
+        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        doc = self.doc_of(at)
+        view = np.lib.stride_tricks.sliding_window_view(self.bytes, length)
+        h = np.zeros(len(at), np.uint64)
+        for lo in range(0, len(at), 1 << 17):
+            h[lo:lo + (1 << 17)] = _row_hash(view[at[lo:lo + (1 << 17)] + self.pad])
+        order = np.argsort(h, kind="stable")
+        same = np.zeros(len(order), bool)
+        same[1:] = h[order[1:]] == h[order[:-1]]
+        maybe = np.flatnonzero(same)
+        for lo in range(0, len(maybe), 1 << 17):
+            m = maybe[lo:lo + (1 << 17)]
+            same[m] = (view[at[order[m]] + self.pad]
+                       == view[at[order[m - 1]] + self.pad]).all(axis=1)
+        of, one, low = _classes(order, same, self.keys[doc])
+        return view[at[one] + self.pad], low, h[one], of, at, doc
+
+
+def _classes(order: np.ndarray, same: np.ndarray, key: np.ndarray):
+    """Classes of an order where ``same`` tells equal neighbours: each member's class, one member
+    of each class, the smallest key of each class."""
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(~same) - 1
+    begins = np.flatnonzero(~same)
+    low = np.minimum.reduceat(key[order], begins) if len(begins) else np.zeros(0, np.int64)
+    return of, order[begins], low
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -327,7 +380,7 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     are judged on the input. Rows under one key do not remove from each other; a null key counts
     as larger than all others, and null keys do not remove from each other. Repeated rows stay;
     an empty table gives no rows. An anchor found in more than about ``frequent`` documents is
-    dealt by its longer keys."""
+    dealt by its longer keys, and one of these by its windows."""
     if not GRAM + 1 <= length <= GRAM + 31:
         raise ValueError(f"length must lie in {GRAM + 1} to {GRAM + 31}")
     wide, span = length - GRAM + 1, 2 * length - GRAM
@@ -344,9 +397,8 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     def group_of(t: pa.Table) -> Group:
         return Group(t.column(text).to_pylist(), t.column(key).to_numpy(), length)
 
-    def anchor_rows(t: pa.Table) -> pa.Table:
-        pos, h = (own := group_of(t)).anchors()
-        h, doc = h & ~_LOW, own.doc_of(pos)
+    def counted(h: np.ndarray, doc: np.ndarray, own_g) -> pa.Table:
+        h = h & ~_LOW
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         fresh = np.ones(len(h), bool)
@@ -354,70 +406,110 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         h = h[fresh]
         begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) \
             else np.zeros(0, np.int64)
-        # the lowest bits say how many documents of this group have the anchor, as a power of two
+        # the lowest bits say how many documents of this group have the key, as a power of two
         count = np.diff(np.append(begins, len(h)))
         h = h[begins] | np.minimum(15, np.log2(np.maximum(count, 1)).astype(np.int64) + 1) \
             .astype(np.uint64)
         got = list(_packed(_bucket(h, groups), {"h": h}))
         return pa.table({"bucket": pa.array([b for b, _, _ in got], pa.int32()),
-                         "g": pa.array([t.column(g)[0].as_py()] * len(got), pa.int32()),
+                         "g": pa.array([own_g] * len(got), pa.int32()),
                          "h": pa.array([x["h"] for _, _, x in got], pa.binary())})
 
-    anchors = dealt.groupBy(g).applyInArrow(anchor_rows, "bucket int, g int, h binary")
-
-    def shared_rows(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
-        h = np.concatenate(parts)
-        owner = np.repeat(t.column("g").to_numpy(), list(map(len, parts)))
-        order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
-        bare = h & ~_LOW
-        begins = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
-        entries = np.diff(np.append(begins, len(h)))
-        docs = np.add.reduceat(np.uint64(1) << ((h & _LOW) - np.uint64(1)), begins)
-        # shared ones; the lowest bit now says that very many documents have it
-        keep = np.repeat(docs > 1, entries)
-        sign = bare | np.repeat(docs > frequent, entries).astype(np.uint64)
-        got = list(_packed(owner[keep].astype(np.int64), {"h": sign[keep]}))
-        return pa.table({"g": pa.array([b for b, _, _ in got], pa.int32()),
-                         "bucket": pa.array([-1] * len(got), pa.int32()),
-                         "data": pa.array([x["h"] for _, _, x in got], pa.binary())})
-
-    shared = anchors.groupBy("bucket").applyInArrow(shared_rows,
-                                                    "g int, bucket int, data binary")
+    def anchor_rows(t: pa.Table) -> pa.Table:
+        pos, h = (own := group_of(t)).anchors()
+        return counted(h, own.doc_of(pos), t.column(g)[0].as_py())
+
+    def told(some: int, many: int):
+        def rows(t: pa.Table) -> pa.Table:
+            parts = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+            h = np.concatenate(parts)
+            owner = np.repeat(t.column("g").to_numpy(), list(map(len, parts)))
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            bare = h & ~_LOW
+            begins = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+            entries = np.diff(np.append(begins, len(h)))
+            docs = np.add.reduceat(np.uint64(1) << ((h & _LOW) - np.uint64(1)), begins)
+            kind, out = np.repeat(docs > frequent, entries), []
+            for code, keep in ((some, np.repeat(docs > 1, entries) & ~kind),
+                               (many, np.repeat(docs > 1, entries) & kind)):
+                out += [(b, code, x["h"]) for b, _, x in
+                        _packed(owner[keep].astype(np.int64), {"h": bare[keep]})]
+            return pa.table({"g": pa.array([x[0] for x in out], pa.int32()),
+                             "bucket": pa.array([x[1] for x in out], pa.int32()),
+                             "data": pa.array([x[2] for x in out], pa.binary())})
+        return rows
+
+    counts, notes_type = "bucket int, g int, h binary", "g int, bucket int, data binary"
+    shared = dealt.groupBy(g).applyInArrow(anchor_rows, counts) \
+        .groupBy("bucket").applyInArrow(told(_SHARED, _FREQUENT), notes_type)
+
+    def known(notes: pa.Table, code: int) -> np.ndarray:
+        return np.sort(_read(notes.filter(pa.compute.equal(notes.column("bucket"), code))
+                             .column("data"), np.uint64))
+
+    def longer_rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        if not docs.num_rows or not notes.num_rows:
+            return counted(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+        return counted(*group_of(docs).longer_keys(known(notes, _FREQUENT)),
+                       docs.column(g)[0].as_py())
+
+    longer = dealt.groupBy(g) \
+        .cogroup(shared.where(F.col("bucket") == _FREQUENT).groupBy("g")) \
+        .applyInArrow(longer_rows, counts) \
+        .groupBy("bucket").applyInArrow(told(_LONGER, _FREQUENT_LONGER), notes_type)
+    asked = shared.unionByName(longer)
 
     def contexts_of(docs: pa.Table, notes: pa.Table):
         own = group_of(docs)
-        known = np.sort(_read(notes.filter(pa.compute.equal(notes.column("bucket"), -1))
-                              .column("data"), np.uint64))
-        often = known[(known & np.uint64(1)) == 1] & ~_LOW
-        found = own.contexts(known & ~_LOW, often)
-        return own, found
+        return own, *own.contexts(*(known(notes, code) for code in
+                                    (_SHARED, _FREQUENT, _LONGER, _FREQUENT_LONGER)))
 
     def context_rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
         names_ = ("bucket", "g", "rows", "low", "first", "last")
         out: dict = {c: [] for c in names_}
         if docs.num_rows and notes.num_rows:
-            _, (rows, low, first, last, h, *_) = contexts_of(docs, notes)
-            for b, _, x in _packed(_bucket(h, groups), {
-                    "rows": rows, "low": low, "first": first.astype(np.uint8),
-                    "last": last.astype(np.uint8)}):
-                out["bucket"].append(b)
-                out["g"].append(docs.column(g)[0].as_py())
-                out["rows"].append(zlib.compress(x["rows"], 1))
-                for c in ("low", "first", "last"):
-                    out[c].append(x[c])
+            _, (rows, low, first, last, h, *_), (wrows, wlow, wh, *_) = contexts_of(docs, notes)
+            for base, at, columns in (
+                    (0, h, {"rows": rows, "low": low, "first": first.astype(np.uint8),
+                            "last": last.astype(np.uint8)}),
+                    # buckets from ``groups`` on hold windows
+                    (groups, wh, {"rows": wrows, "low": wlow})):
+                for b, _, x in _packed(_bucket(at, groups), columns):
+                    out["bucket"].append(base + b)
+                    out["g"].append(docs.column(g)[0].as_py())
+                    out["rows"].append(zlib.compress(x["rows"], 1))
+                    for c in ("low", "first", "last"):
+                        out[c].append(x.get(c, b""))
         kinds = dict.fromkeys(names_, pa.binary()) | {"bucket": pa.int32(), "g": pa.int32()}
         return pa.table({c: pa.array(out[c], kinds[c]) for c in names_})
 
-    contexts = dealt.groupBy(g).cogroup(shared.groupBy("g")).applyInArrow(
+    contexts = dealt.groupBy(g).cogroup(asked.groupBy("g")).applyInArrow(
         context_rows, "bucket int, g int, rows binary, low binary, first binary, last binary")
 
     def judged_rows(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(-1, span)
+        whole = t.column("bucket")[0].as_py() >= groups
+        parts = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(-1, length if whole else span)
                  for x in t.column("rows").to_pylist()]
         rows = np.concatenate(parts)
         low = _read(t.column("low"), np.int64)
+        ends = np.cumsum(list(map(len, parts)))
+
+        def replies(data: np.ndarray) -> pa.Table:
+            return pa.table({
+                "g": t.column("g").cast(pa.int32()), "bucket": t.column("bucket").cast(pa.int32()),
+                "data": pa.array([data[e - len(p):e].tobytes() for e, p in zip(ends, parts)],
+                                 pa.binary())})
+
+        if whole:  # sorted by all their bytes
+            full = np.zeros((len(rows), -(-length // 8) * 8), np.uint8)
+            full[:, :length] = rows
+            words = full.view("<u8").T
+            order = np.lexsort(words)
+            same = np.zeros(len(order), bool)
+            same[1:] = (words[:, order[1:]] == words[:, order[:-1]]).all(axis=0)
+            of, _, least = _classes(order, same, low)
+            return replies((least[of] < low).astype(np.uint8))
         first, last = (_read(t.column(c), np.uint8) for c in ("first", "last"))
         # equal contexts of different groups are one suffix set, with the smallest key
         mixed = _row_hash(rows) ^ (first.astype(np.uint64) << np.uint64(8)) \
@@ -437,14 +529,9 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         for lo in range(0, len(rows), 1 << 16):  # removed also from the group's smallest document
             hi = lo + (1 << 16)
             bits[lo:hi, :wide] = least[of[lo:hi]] < low[lo:hi, None]
-        packed = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
-        ends = np.cumsum(list(map(len, parts)))
-        return pa.table({
-            "g": t.column("g").cast(pa.int32()), "bucket": t.column("bucket").cast(pa.int32()),
-            "data": pa.array([packed[e - len(p):e].tobytes() for e, p in zip(ends, parts)],
-                             pa.binary())})
+        return replies(np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel())
 
-    judged = contexts.groupBy("bucket").applyInArrow(judged_rows, "g int, bucket int, data binary")
+    judged = contexts.groupBy("bucket").applyInArrow(judged_rows, notes_type)
 
     kept_type = T.StringType() if as_text else T.BinaryType()
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("kept", kept_type),
@@ -457,13 +544,18 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         own = group_of(docs)
         gone = np.zeros(own.total, bool)
         if notes.num_rows:
-            own, (rows, low, first, last, h, of, pos, doc) = contexts_of(docs, notes)
+            own, (rows, low, first, last, h, of, pos, doc), \
+                (wrows, wlow, wh, wof, at, wdoc) = contexts_of(docs, notes)
             verdict = np.zeros(len(rows), np.uint32)
             replies = {b: d for b, d in zip(notes.column("bucket").to_pylist(),
                                             notes.column("data").to_pylist()) if b >= 0}
             for b, some, _ in _packed(_bucket(h, groups), {}):
                 verdict[some] = np.frombuffer(replies[b], np.uint32)
+            alone = np.zeros(len(wrows), bool)
+            for b, some, _ in _packed(_bucket(wh, groups), {}):
+                alone[some] = np.frombuffer(replies[groups + b], np.uint8)
             starts = np.zeros(own.total + 1, bool)
+            starts[at] = alone[wof] | (own.keys[wdoc] > wlow[wof])
             for lo in range(0, len(of), 1 << 17):
                 o = of[lo:lo + (1 << 17)]
                 bits = np.unpackbits(verdict[o].view(np.uint8).reshape(-1, 4), axis=1,
@@ -494,5 +586,5 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
             out = out.append_column(c, pa.array(v, kind))
         return out
 
-    notes = shared.unionByName(judged)
+    notes = asked.unionByName(judged)
     return dealt.groupBy(g).cogroup(notes.groupBy("g")).applyInArrow(finish, schema)

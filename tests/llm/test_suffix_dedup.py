@@ -85,3 +85,39 @@ def test_empty_table_and_clashing_names(spark):
 
 def test_partitioning_does_not_matter(spark):
     same(spark, lambda df: sd.remove_repeats(df).select("doc_id", "n_removed", "n_spans"))
+
+
+def _hot_passage():
+    """One passage in a third of the documents, behind random text."""
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    rows = []
+    for i in range(240):
+        own = "".join(rng.choice("klmnopqrst ") for _ in range(60))
+        rows.append((i, own + passage if i % 3 == 0 else own, "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("frequent", [5, 20])
+def test_hot_passage_behind_random_text(spark, frequent):
+    rows = _hot_passage()
+    assert _result(frame(spark, rows), group_bytes=1000, frequent=frequent) == plain(rows)
+
+
+def test_hot_passage_fills_no_key():
+    rows = _hot_passage()
+    own = sd.Group([r[1] for r in rows], np.array([r[0] for r in rows]), 50)
+
+    def counted(h, doc):
+        h, n = np.unique(np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)[0],
+                         return_counts=True)
+        return h[n > 1], h[n > 20]
+
+    pos, h = own.anchors()
+    shared, often = counted(h & ~np.uint64(15), own.doc_of(pos))
+    assert len(often)
+    longer, often_longer = counted(*own.longer_keys(often))
+    contexts, windows = own.contexts(shared, often, longer, often_longer)
+    for key in (contexts[4], windows[2]):  # distinct rows that meet under one key
+        assert not len(key) or np.unique(key, return_counts=True)[1].max() <= 20
+    assert len(windows[0]) > 80
