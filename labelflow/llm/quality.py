@@ -8,9 +8,9 @@ feature's value is the root of its share of the text's features of that kind, so
 weighs as much as a short one. No other column is ever an input.
 
 Training reads a bounded, documented sample: the ``max_rows`` labelled rows with the smallest
-seeded hash of their key; of each the first ``max_words`` words are learnt from (scoring reads
-whole texts). The model is ``2**bits`` doubles, a size that does not grow with the data, and is sent
-to the tasks as a broadcast variable.
+seeded hash of their key. Whole texts are learnt from, as they are scored: their features are made
+in many tasks, and only the sparse vectors go to the fitting task. The model is ``2**bits``
+doubles, a size that does not grow with the data, and is sent to the tasks as a broadcast variable.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """Fit settings. ``max_rows`` bounds the training sample, ``max_words`` a row's share of it."""
+    """Fit settings. ``max_rows`` bounds the training sample."""
     bits: int = 18
     alpha: float = 0.3
     beta: float = 1.0
@@ -40,7 +40,6 @@ class FtrlParams:
     l2: float = 0.01
     epochs: int = 4
     max_rows: int = 8000
-    max_words: int = 2000
     seed: int = 11
 
 
@@ -69,12 +68,9 @@ class _WordCodes(dict):
 _CODES = _WordCodes()
 
 
-def features(text: str, bits: int, max_words: int | None = None
-             ) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sparse vector of a text: (sorted feature indices, values). An empty text has none."""
     words = text.encode("utf-8", "surrogatepass").split()
-    if max_words is not None:
-        words = words[:max_words]
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0)
@@ -147,19 +143,33 @@ def fit(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
     texts = docs.select(F.col(key_col).alias("k"), text_or_empty(text_col).alias("t"))
     sample = texts.join(keys, "k").groupBy("k", "h", "y").agg(F.min("t").alias("t"))
 
+    bits = params.bits
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, k, t, y in zip(*(b[c].to_pylist() for c in ("h", "k", "t", "y"))):
+                i, x = features(t, bits)
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array([h], pa.int64()), "k": pa.array([k], pa.string()),
+                    "y": pa.array([y], pa.int32()),
+                    "i": pa.array([i.astype("<i4").tobytes()], pa.binary()),
+                    "x": pa.array([x.tobytes()], pa.binary())})
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = []
         for b in batches:
-            for h, t, y in zip(b["h"].to_pylist(), b["t"].to_pylist(), b["y"].to_pylist()):
-                data.append((h, *features(t, params.bits, params.max_words), y))
-        data.sort(key=lambda r: r[0])  # the same model whatever the order of arrival
-        w = ftrl_fit([r[1:] for r in data], params) if data else np.zeros(dim)
+            for h, k, y, i, x in zip(*(b[c].to_pylist() for c in ("h", "k", "y", "i", "x"))):
+                data.append((h, k, np.frombuffer(i, "<i4"), np.frombuffer(x), y))
+        data.sort(key=lambda r: r[:2])  # the same model whatever the order of arrival
+        w = ftrl_fit([r[2:] for r in data], params) if data else np.zeros(dim)
         keep = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"i": pa.array(keep, pa.int32()),
                                           "w": pa.array(w[keep], pa.float64())})
 
-    # one task holds at most max_rows cut texts; the result is at most 2**bits + 1 rows
-    fitted = sample.coalesce(1).mapInArrow(train, "i int, w double").toPandas()
+    sparse = sample.select("h", F.col("k").cast("string").alias("k"), "t", "y") \
+        .mapInArrow(vectors, "h bigint, k string, y int, i binary, x binary")
+    # one task holds at most max_rows vectors; the result is at most 2**bits + 1 rows
+    fitted = sparse.repartition(1).mapInArrow(train, "i int, w double").toPandas()
     w = np.zeros(dim)
     w[fitted["i"].to_numpy()] = fitted["w"].to_numpy()
     return w

@@ -85,3 +85,15 @@ def test_awkward_rows(spark):
     assert all(0 <= r[1] <= 1 for r in rows)
     assert q.score(frame(spark, []), w, SMALL).collect() == []
     assert q.score(with_clashes(frame(spark)), w, SMALL).columns.count("score") == 1
+
+
+def test_what_only_the_end_of_a_long_text_tells_is_learnt(spark):
+    same_start = " ".join(prose(random.Random(4), 2100).split()[:2050])
+    rows = [(i, same_start + (" fine" if i % 2 else " poor") * 60, "en", "s", 0)
+            for i in range(40)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, label int")
+    w = q.fit(frame(spark, rows), lab, SMALL)
+    index, _ = q.features(rows[0][1], SMALL.bits)
+    assert (w[index] != 0).any()
+    for r in q.score(frame(spark, rows), w, SMALL).collect():
+        assert (r["score"] >= 0.5) == bool(r["doc_id"] % 2)
