@@ -15,8 +15,10 @@ doubles, a size that does not grow with the data, and is sent to the tasks as a
 
 from __future__ import annotations
 
+import os
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from labelflow.llm.common import free_name, text_or_empty
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Entries of a vector that travel in one row, so that no Arrow batch grows with a text.
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -94,7 +98,49 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return index[first], np.sqrt(np.add.reduceat(value, first))
 
 
-def ftrl_fit(rows: list[tuple[np.ndarray, np.ndarray, int]], p: FtrlParams) -> np.ndarray:
+class VectorFile(Sequence):
+    """Sparse vectors kept in an unnamed temporary file; only their places are held in memory."""
+
+    def __init__(self):
+        self.file, self.end = tempfile.TemporaryFile(), 0
+        self.pieces: list[tuple] = []  # (hash, key, part, label, place, entries)
+        self.starts: list[int] = []
+
+    def add(self, h: int, k: str, part: int, y: int, i: bytes, x: bytes) -> None:
+        self.file.write(i)
+        self.file.write(x)
+        self.pieces.append((h, k, part, y, self.end, len(x) // 8))
+        self.end += len(i) + len(x)
+
+    def sort(self) -> None:
+        """The same order whatever the order of arrival."""
+        self.file.flush()
+        self.pieces.sort(key=lambda r: r[:3])
+        self.starts = [n for n, r in enumerate(self.pieces) if r[2] == 0] + [len(self.pieces)]
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, r: int) -> tuple[np.ndarray, np.ndarray, int]:
+        some = self.pieces[self.starts[r]:self.starts[r + 1]]
+        raw = [os.pread(self.file.fileno(), 12 * n, at) for *_, at, n in some]
+        return (np.concatenate([np.frombuffer(b, "<i4", p[5]) for b, p in zip(raw, some)]),
+                np.concatenate([np.frombuffer(b, "<f8", p[5], 4 * p[5])
+                                for b, p in zip(raw, some)]), some[0][3])
+
+
+def vector_rows(h: int, k: str, y: int, i: np.ndarray, x: np.ndarray
+                ) -> Iterator[pa.RecordBatch]:
+    """A vector in pieces of at most ``PIECE`` entries, one row each (an empty one is one row)."""
+    for part, lo in enumerate(range(0, max(1, len(i)), PIECE)):
+        yield pa.RecordBatch.from_pydict({
+            "h": pa.array([h], pa.int64()), "k": pa.array([k], pa.string()),
+            "part": pa.array([part], pa.int32()), "y": pa.array([y], pa.int32()),
+            "i": pa.array([i[lo:lo + PIECE].astype("<i4").tobytes()], pa.binary()),
+            "x": pa.array([x[lo:lo + PIECE].astype("<f8").tobytes()], pa.binary())})
+
+
+def ftrl_fit(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], p: FtrlParams) -> np.ndarray:
     """Weights (last entry: bias) after ``p.epochs`` passes in a seeded order."""
     dim = (1 << p.bits) + 1
     z, n = np.zeros(dim), np.zeros(dim)
@@ -147,28 +193,24 @@ def fit(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, k, t, y in zip(*(b[c].to_pylist() for c in ("h", "k", "t", "y"))):
-                i, x = features(t, bits)
-                yield pa.RecordBatch.from_pydict({
-                    "h": pa.array([h], pa.int64()), "k": pa.array([k], pa.string()),
-                    "y": pa.array([y], pa.int32()),
-                    "i": pa.array([i.astype("<i4").tobytes()], pa.binary()),
-                    "x": pa.array([x.tobytes()], pa.binary())})
+            for h, k, t, y in zip(*(b[c] for c in ("h", "k", "t", "y"))):
+                yield from vector_rows(h.as_py(), k.as_py(), y.as_py(),
+                                       *features(t.as_py(), bits))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = []
+        data = VectorFile()
         for b in batches:
-            for h, k, y, i, x in zip(*(b[c].to_pylist() for c in ("h", "k", "y", "i", "x"))):
-                data.append((h, k, np.frombuffer(i, "<i4"), np.frombuffer(x), y))
-        data.sort(key=lambda r: r[:2])  # the same model whatever the order of arrival
-        w = ftrl_fit([r[2:] for r in data], params) if data else np.zeros(dim)
+            for row in zip(*(b[c].to_pylist() for c in ("h", "k", "part", "y", "i", "x"))):
+                data.add(*row)
+        data.sort()
+        w = ftrl_fit(data, params) if len(data) else np.zeros(dim)
         keep = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"i": pa.array(keep, pa.int32()),
                                           "w": pa.array(w[keep], pa.float64())})
 
     sparse = sample.select("h", F.col("k").cast("string").alias("k"), "t", "y") \
-        .mapInArrow(vectors, "h bigint, k string, y int, i binary, x binary")
-    # one task holds at most max_rows vectors; the result is at most 2**bits + 1 rows
+        .mapInArrow(vectors, "h bigint, k string, part int, y int, i binary, x binary")
+    # one task: places of at most max_rows vectors, one vector and 2**bits weights in memory
     fitted = sparse.repartition(1).mapInArrow(train, "i int, w double").toPandas()
     w = np.zeros(dim)
     w[fitted["i"].to_numpy()] = fitted["w"].to_numpy()

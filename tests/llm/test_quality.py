@@ -97,3 +97,24 @@ def test_what_only_the_end_of_a_long_text_tells_is_learnt(spark):
     assert (w[index] != 0).any()
     for r in q.score(frame(spark, rows), w, SMALL).collect():
         assert (r["score"] >= 0.5) == bool(r["doc_id"] % 2)
+
+
+def test_vectors_travel_in_small_rows_and_wait_in_a_file():
+    rng = np.random.default_rng(2)
+    want, rows = [], []
+    for h, n in enumerate((0, 1, q.PIECE, 3 * q.PIECE + 5)):
+        i, x = np.sort(rng.choice(1 << 18, n, replace=False)), rng.random(n)
+        want.append((i, x, h % 2))
+        rows += [r for b in q.vector_rows(h, str(h), h % 2, i, x) for r in b.to_pylist()]
+    assert max(len(r["x"]) for r in rows) == 8 * q.PIECE
+    kept = q.VectorFile()
+    for r in rows[::-1]:
+        kept.add(*(r[c] for c in ("h", "k", "part", "y", "i", "x")))
+    kept.sort()
+    assert len(kept) == len(want)
+    for got, (i, x, y) in zip(kept, want):
+        assert (got[0] == i).all() and (got[1] == x).all() and got[2] == y
+    assert (q.ftrl_fit(kept, SMALL_FIT) == q.ftrl_fit(want, SMALL_FIT)).all()
+
+
+SMALL_FIT = q.FtrlParams(bits=18, epochs=2)
