@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.llm import (fingerprints, mixing, quality, sentencepiece_codec, sharding, simhash,
-                           suffix_dedup, token_counts, topk, wrappers)
+                           suffix_dedup, token_counts, topk, vector_codes, wrappers)
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -120,9 +120,52 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector as eight codebook indexes, with the squared error of its code."""
+    prepare(spark)
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))) \
+        .select("vec_id", "label", topk.quantised(F.col("embedding"), 4096.0).alias("vector"))
+    coded, books = vector_codes.compress(vectors, parts=8, entries=16, rounds=6)
+    return coded.select("vec_id", vector_codes.hex_code().alias("code"), "error", "label_error",
+                        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_token_counts, op3_suffix_dedup, op4_simhash, op5_html_text,
-    op6_sentencepiece, op7_quality, op8_topk, op9_mixing, op10_fingerprints)}
+    op6_sentencepiece, op7_quality, op8_topk, op9_mixing, op10_fingerprints, op12_vector_codes)}
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Assignment and averaging written out round by round; every entry is measured."""
+    nearest = """
+        a{r} AS MATERIALIZED (SELECT vec_id, label, p, min((d, e)) AS best
+              FROM (SELECT x.vec_id, x.label, x.p, c.e, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS d
+                    FROM x JOIN c{r} c ON c.p = x.p AND c.j = x.j GROUP BY ALL) GROUP BY ALL)"""
+    mean = """
+        c{s} AS MATERIALIZED (SELECT c.p, c.e, c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN
+              (SELECT p, e, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v
+               FROM (SELECT x.p, a.best[2] AS e, x.j, sum(x.v) AS s, count(*) AS n
+                     FROM x JOIN a{r} a ON a.vec_id = x.vec_id AND a.p = x.p GROUP BY ALL)) m
+              ON m.p = c.p AND m.e = c.e AND m.j = c.j)"""
+    steps = ",".join(nearest.format(r=r) + "," + mean.format(r=r, s=r + 1) for r in range(rounds))
+    return f"""
+        WITH k AS MATERIALIZED (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, label, (i - 1) // (len(embedding) // {parts}) AS p,
+                (i - 1) % (len(embedding) // {parts}) AS j,
+                CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v
+              FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM k)),
+        f AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS e FROM k
+              ORDER BY vec_id LIMIT {entries}),
+        c0 AS MATERIALIZED (SELECT x.p, f.e, x.j, x.v FROM x JOIN f ON f.vec_id = x.vec_id),
+        {steps},{nearest.format(r=rounds)},
+        g AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code,
+                     CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL),
+        h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) AS digest FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               digest AS codebooks_sha256 FROM g, h"""
+
+
 #: DuckDB twins where SQL can express the result; the others are tested against brute force.
 ORACLE: dict[str, str] = {
     "op3_suffix_dedup": """
@@ -155,4 +198,5 @@ ORACLE: dict[str, str] = {
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
                    FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_vector_codes": _codes_sql(parts=8, entries=16, rounds=6),
 }
