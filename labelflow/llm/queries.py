@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import (fingerprints, mixing, quality, sentencepiece_codec, sharding, simhash,
+from labelflow.llm import (fingerprints, lexical_search, mixing, quality, sentencepiece_codec, sharding, simhash,
                            suffix_dedup, token_counts, topk, vector_codes, wrappers)
 from labelflow.llm.common import prepare, table, text_or_empty
 
@@ -120,6 +120,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item, from all documents."""
+    prepare(spark)
+    return lexical_search.rank(table(spark, sf_dir, "benchmark").select("item_id", "text"),
+                               table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector as eight codebook indexes, with the squared error of its code."""
     prepare(spark)
@@ -132,7 +139,8 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_token_counts, op3_suffix_dedup, op4_simhash, op5_html_text,
-    op6_sentencepiece, op7_quality, op8_topk, op9_mixing, op10_fingerprints, op12_vector_codes)}
+    op6_sentencepiece, op7_quality, op8_topk, op9_mixing, op10_fingerprints, op11_lexical_search,
+    op12_vector_codes)}
 
 
 def _codes_sql(parts: int, entries: int, rounds: int) -> str:
@@ -198,5 +206,22 @@ ORACLE: dict[str, str] = {
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
                    FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_lexical_search": """
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+        l AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+        c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM l),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+              FROM tf, c GROUP BY term),
+        s AS (SELECT i.item_id, tf.doc_id,
+                     CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * l.n * c.n_docs) // c.n_terms)))) AS BIGINT) AS score
+              FROM i JOIN tf ON tf.term = i.term JOIN w ON w.term = i.term JOIN l ON l.doc_id = tf.doc_id, c
+              GROUP BY i.item_id, tf.doc_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+              FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
     "op12_vector_codes": _codes_sql(parts=8, entries=16, rounds=6),
 }
