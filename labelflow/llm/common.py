@@ -51,3 +51,18 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than one in so many rows is hot: there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def join_counted(df: DataFrame, side: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """Inner join on equal ``key`` (no nulls) with a table that holds, for every key, how many of
+    the ``rows`` rows of ``df`` have it (``n``). Keys of more than a thousandth of the rows are at
+    most a thousand and joined by broadcast, so a key with a third of all rows stays where it is;
+    any other key's rows meet theirs by an exchange. ``side`` may hold a few rows a key."""
+    hot = side.where(F.col(n) * HOT_SHARE > rows)
+    rest = side.where(F.col(n) * HOT_SHARE <= rows)
+    far = df.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return df.join(F.broadcast(hot), key).unionByName(far.join(rest, key))

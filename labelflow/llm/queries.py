@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.llm import (fingerprints, lexical_search, mixing, quality, sentencepiece_codec, sharding, simhash,
-                           suffix_dedup, token_counts, topk, vector_codes, wrappers)
+from labelflow.llm import (fingerprints, lexical_search, mixing, quality, robust_rules,
+                           sentencepiece_codec, sharding, simhash, suffix_dedup,
+                           token_counts, topk, vector_codes, wrappers)
 from labelflow.llm.common import prepare, table, text_or_empty
 
 #: Folder of public tokenizer files; the same path on every worker.
@@ -137,10 +138,19 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether it is ordinary for its language and source."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return robust_rules.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_token_counts, op3_suffix_dedup, op4_simhash, op5_html_text,
     op6_sentencepiece, op7_quality, op8_topk, op9_mixing, op10_fingerprints, op11_lexical_search,
-    op12_vector_codes)}
+    op12_vector_codes, op13_quality_rules)}
 
 
 def _codes_sql(parts: int, entries: int, rounds: int) -> str:
