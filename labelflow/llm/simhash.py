@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelflow.llm.common import free_name, persisted, text_or_empty
+from labelflow.llm.common import free_name, join_counted, persisted, text_or_empty, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = 64
@@ -129,23 +129,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     are ever gathered: a step needs only their minimum."""
     cur = persisted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .where("u <> v").distinct())
-    before = None
+    before, n = None, cur.count()
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")) \
-            .select("u", F.least("u", "m").alias("m"))
+        # a node's number of neighbours tells a large component's root, whose edges stay in place
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")) \
+            .select("u", F.least("u", "m").alias("m"), "n")
         # large star: neighbours above u go to u's smallest neighbour (or u itself)
-        large = both.where("v > u").join(low, "u") \
+        large = join_counted(both.where("v > u"), low, "u", "n", n) \
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below u, and u, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_counted(large, least, "u", "n", n) \
+            .select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         cur = persisted(small)
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, n = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -161,16 +163,18 @@ def near_duplicate_groups(df: DataFrame, key_col: str = "doc_id", text_col: str
     linked; so are all empty and null texts, whose fingerprint is zero. An empty table gives no
     rows; repeated rows stay."""
     rows = persisted(fingerprints(df, text_col, shingle, seed))
-    fps = rows.groupBy("fp").agg(F.min(key_col).alias("low"))
+    fps = rows.groupBy("fp").agg(F.min(key_col).alias("low"), F.count(F.lit(1)).alias("n"))
     found = components(links(fps.select("fp"), radius, neighbour_limit))
     # a class's smallest key: partial minima over its fingerprints, then back to each of them
     joined = found.join(fps, found["node"] == fps["fp"]).select("node", "root", "low")
     roots = joined.groupBy("root").agg(F.min("low").alias("c"))
     member = joined.join(roots, "root").select(F.col("node").alias("fp"), "c")
-    of = fps.join(member, "fp", "left").select("fp", F.coalesce("c", "low").alias("component_id"))
-    # dealt anew, so that both sides of the next join are plain exchanges on fp and a fingerprint
-    # shared by very many rows can be split by the adaptive skew join
-    of = of.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of = written(fps.join(member, "fp", "left")
+                 .select("fp", F.coalesce("c", "low").alias("component_id"), "n"), "groups")
+    total = of.agg(F.sum("n")).first()[0] or 0
     names = [c for c in rows.columns if c not in ("fp", "component_id")]
-    return rows.select("fp", *[F.col(f"`{c}`") for c in names]).join(of, "fp", "inner") \
-        .select(*[F.col(f"`{c}`") for c in names], "fp", "component_id")
+    # rows under a fingerprint that very many share stay where they are
+    packed = rows.select("fp", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names])
+                         .alias("row"))
+    return join_counted(packed, of, "fp", "n", total) \
+        .select(*[F.col("row").getField(c).alias(c) for c in names], "fp", "component_id")
