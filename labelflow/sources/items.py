@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelflow.functions.labels import label_int, malformed_label, resolve_profile
+from labelflow.sources.csv_ranges import read_csv
 
 # Raw columns of an item file, in order; all optional except id.
 ITEM_COLUMNS = ["id", "text", "label", "type", "image", "frames", "video"]
@@ -71,67 +72,23 @@ def split_malformed(raw: DataFrame, label: str = "label") -> tuple[DataFrame, Da
         "reason", F.concat(F.lit("label is no number: "), F.col(label).cast("string")))
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The data files under ``path``, from Spark's own listing (any file system)."""
-    return sorted(spark.read.text(path).inputFiles())
-
-
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names of a CSV file: its first line, parsed as the reader will parse it."""
-    opts = dict(CSV_OPTIONS, header="false", multiLine="false")
-    row = spark.read.options(**opts).csv(file).first()
-    return tuple(row) if row is not None else ()
-
-
 def read_items(spark: SparkSession, path: str | list[str], dataset: str | None = None,
                multi_line: bool = True, positions: bool = False) -> DataFrame:
-    """Header CSV(s) → item schema. ``dataset`` defaults to the profile named in each
-    file's path (S6).
-
-    Files may differ in their columns and in their order: the headers are read first (one line a
-    file), files of equal header are scanned together by their own names, and the scans are
-    united by name; absent optional columns are NULL. Item files are few and moderate in number:
-    their names and headers are the only thing the driver holds.
-
-    ``positions`` adds ``file_pos``: the row's place in the order of files (by path) and rows, a
-    number that grows along it (not dense), for "first k in file order" (O2). A file is then one
-    task.
-
-    ``multi_line`` keeps newlines inside quoted fields right, but a multi-line CSV file cannot
-    be split, so each file is read by one task: keep item files many and moderate in size.
-    Files known to have no newline inside a field read splittably with ``multi_line=False``
-    (one task per ``spark.sql.files.maxPartitionBytes`` block)."""
-    opts = dict(CSV_OPTIONS, multiLine=str(bool(multi_line or positions)).lower())
-    groups: dict[tuple[str, ...], list[str]] = {}
-    files = _files(spark, path)
-    for file in files:
-        groups.setdefault(_header(spark, file), []).append(file)
-    out = None
-    for header, some in groups.items():
-        if not header:
-            continue
-        raw = spark.read.options(**opts).csv(some)
-        part = conform_items(raw, dataset)
-        if positions:
-            # rows of a file keep their order inside its one task: the file's rank comes first,
-            # then the running number of the row in its task
-            rank = F.lit(0)
-            for i, f in enumerate(files):
-                if f in some:
-                    rank = F.when(F.input_file_name() == f, F.lit(i)).otherwise(rank)
-            part = conform_items(
-                raw.withColumn("_rank", rank).withColumn("_run", F.monotonically_increasing_id()),
-                dataset, keep=["_rank", "_run"])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], ITEM_SCHEMA)
-        return out.withColumn("file_pos", F.lit(None).cast("bigint")) if positions else out
-    if positions:
-        # running numbers of one file all lie in one partition: their low 33 bits count rows
-        row = F.col("_run").bitwiseAND(F.lit((1 << 33) - 1))
-        out = out.withColumn("file_pos", F.shiftleft(F.col("_rank").cast("bigint"), 33) + row) \
-            .drop("_rank", "_run")
-    return out
+    """Header CSV(s) → item schema. ``dataset`` defaults to the file's own column, then to the
+    profile named in each file's path (S6).
+
+    Files may differ in their columns and in their order: each is read by its own header;
+    absent optional columns are NULL. Files of any size are read in parallel byte ranges, also
+    with newlines inside quotes (:mod:`labelflow.sources.csv_ranges`; rows are those of Python's
+    ``csv`` module). ``multi_line=False`` takes every newline as the end of a row.
+
+    ``positions`` adds ``file_pos``: the row's place ``(file, start, n)`` in the order of files (by
+    path) and rows, for "first k in file order" (O2)."""
+    raw, found = read_csv(spark, path, [*ITEM_COLUMNS, "dataset"], multi_line)
+    named = resolve_profile(F.col("file"))
+    raw = raw.withColumn("dataset", F.coalesce("dataset", named) if "dataset" in found else named) \
+        if dataset is None else raw
+    return conform_items(raw, dataset, keep=["file_pos"] if positions else None)
 
 
 def items_stream(spark: SparkSession, path: str, dataset: str | None = None,
