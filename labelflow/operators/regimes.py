@@ -102,9 +102,15 @@ def regime_memberships(items: DataFrame, regimes=REGIMES, carry=("text",)) -> Da
 def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
                     target_domain: str = "video",
                     num_features: int = NUM_FEATURES) -> DataFrame:
-    """M4: per regime, a naive Bayes text classifier (:mod:`labelflow.operators.bayes`) trained
-    on the regime's rows; all are scored on the target's labelled test rows; one metrics row
-    per regime. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if None, predicts
+    """M4: one metrics row per regime, from the rows that :func:`score_regimes` gives."""
+    return M.classification_report(score_regimes(items, base_predictor, regimes, target_domain,
+                                                 num_features), by="regime")
+
+
+def score_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
+                  target_domain: str = "video", num_features: int = NUM_FEATURES) -> DataFrame:
+    """M4: ``(regime, id, label, pred)``: per regime, a naive Bayes text classifier (:mod:`labelflow.operators.bayes`) trained
+    on the regime's rows; all are scored on the target's labelled test rows. ``no_ft`` uses ``base_predictor`` (DataFrame → ``pred``) or, if None, predicts
     the negative class.
 
     All regimes train in one pass: features are counted per cell of (domain, label, re-annotated
@@ -132,13 +138,13 @@ def compare_regimes(items: DataFrame, base_predictor=None, regimes=REGIMES,
         sizes = counts.filter(F.col("_f") == -1).select(
             "_g", (F.col("_c1") + F.col("_c0")).alias("_m"), F.col("_c1").alias("_p"))
         model = fit_from_counts(counts.filter(F.col("_f") >= 0), sizes, num_features)
-        scored = score_naive_bayes(target.select("label", "text"), model, trained,
+        scored = score_naive_bayes(target.select("id", "label", "text"), model, trained,
                                    group="regime")
-        parts.append(scored.select("regime", "label", "pred"))
+        parts.append(scored.select("regime", "id", "label", "pred"))
     if "no_ft" in regimes:
         base = base_predictor(target) if base_predictor else target.withColumn("pred", F.lit(0))
-        parts.append(base.select(F.lit("no_ft").alias("regime"), "label", "pred"))
-    return M.classification_report(reduce(DataFrame.unionByName, parts), by="regime")
+        parts.append(base.select(F.lit("no_ft").alias("regime"), "id", "label", "pred"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compare_regimes_ml(items: DataFrame, base_predictor=None, regimes=REGIMES,

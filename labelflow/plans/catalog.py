@@ -6,6 +6,7 @@ except where a limit is the feature. Column names are aliased identically on bot
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -655,12 +656,15 @@ def regime_counts(spark, sf):
     return RG.regime_counts(regime_items(spark, sf))
 
 
+from labelflow.operators import bootstrap as BS  # noqa: E402
+
+
 def _features_sql(text: str, d: int) -> str:
     return (f"list_transform(list_filter(regexp_split_to_array(coalesce({text}, ''), '\\W+'), "
             f"lambda w: w <> ''), lambda w: (('0x' || substr(md5(lower(w)), 1, 7))::BIGINT % {d}))")
 
 
-def _compare_regimes_sql() -> str:
+def _scored_regimes_sql() -> str:
     from labelflow.operators.bayes import NUM_FEATURES as D
     trained = [r for r in RG.REGIMES if r != "no_ft"]
     mem = "\n  UNION ALL ".join(
@@ -697,7 +701,7 @@ model AS (
          ln(CAST(z.m AS DOUBLE) + 1.0::DOUBLE) * (ln(coalesce(tt.t0, {float(D)}::DOUBLE)) - ln(coalesce(tt.t1, {float(D)}::DOUBLE))) AS unseen
   FROM sizes z LEFT JOIN totals tt ON tt.g = z.g
 ), target AS (
-  SELECT label, text, dataset, md5(coalesce(text, '')) AS k FROM r
+  SELECT id, label, text, dataset, md5(coalesce(text, '')) AS k FROM r
   WHERE domain = 'video' AND type = 'test' AND label IS NOT NULL
 ), uniq AS (SELECT k, min(text) AS t FROM target GROUP BY k),
 feats AS (SELECT k, {_features_sql('t', D)} AS x FROM uniq),
@@ -711,18 +715,26 @@ margins AS (
            + coalesce(grp.unseen, 0.0::DOUBLE) * (per.nt - coalesce(s.nh, 0)) AS margin
   FROM per LEFT JOIN sums s ON s.k = per.k AND s.g = per.g LEFT JOIN grp ON grp.g = per.g
 ), preds AS (
-  SELECT m.g AS regime, tg.label, CASE WHEN m.margin > 0 THEN 1 ELSE 0 END AS pred
+  SELECT m.g AS regime, tg.id, tg.label, CASE WHEN m.margin > 0 THEN 1 ELSE 0 END AS pred
   FROM target tg JOIN margins m ON m.k = tg.k
   UNION ALL
-  SELECT 'no_ft', label, {S.parse_sql('(' + _RESP_SQL + ')')} FROM target
-)""" + M.report_sql("preds", by="regime"))
+  SELECT 'no_ft', id, label, {S.parse_sql('(' + _RESP_SQL + ')')} FROM target
+)""")
+
 
+def _base_answers(df: DataFrame) -> DataFrame:
+    return V.parse_response(rule_predictor(df), "response", "dataset", "pred")
 
-@query("compare_regimes", _compare_regimes_sql())
+
+@query("compare_regimes", _scored_regimes_sql() + M.report_sql("preds", by="regime"))
 def compare_regimes(spark, sf):
-    def base(df):
-        return V.parse_response(rule_predictor(df), "response", "dataset", "pred")
-    return RG.compare_regimes(regime_items(spark, sf), base_predictor=base)
+    return RG.compare_regimes(regime_items(spark, sf), base_predictor=_base_answers)
+
+
+@query("regime_significance", _scored_regimes_sql() + BS.compare_sql("preds"))
+def regime_significance(spark, sf):
+    """Differences in accuracy between the regimes, with bootstrap intervals."""
+    return BS.compare(RG.score_regimes(regime_items(spark, sf), base_predictor=_base_answers))
 
 
 # ---------------------------------------------------------------- prediction (M1 M2)
@@ -883,6 +895,10 @@ def reannotate_fewshot(spark, sf):
 
 from labelflow.constants import VARIANCE_THRESHOLD  # noqa: E402
 from labelflow.functions import pixels as PX  # noqa: E402
+from labelflow.functions import resample as RS  # noqa: E402
+from labelflow.functions.png import encoded  # noqa: E402
+from labelflow.session import ensure_checkpoint_dir  # noqa: E402
+from labelflow.sources import frame_store as FS  # noqa: E402
 
 IMAGE_SIDE = 8  # a vector of 64 components is a picture of 8 x 8 pixels
 
@@ -937,6 +953,86 @@ def prepare_images(spark, sf):
     return im.select("vec_id", F.hex("pixels").alias("pixels"))
 
 
+def _shrink_sql(size: int, out: int) -> str:
+    """Both passes written out: the table's weights, rounded to a byte behind each pass."""
+    k = RS.coefficients(size, out).tolist()
+
+    def rounded(terms: str) -> str:
+        return f"greatest(0, least(255, ({1 << RS.BITS - 1} + {terms}) >> {RS.BITS}))"
+    rows = rounded(f"list_sum(list_transform(range({size}), lambda j: k[t // 3 % {out} + 1][j + 1] "
+                   f"* c[((t // {3 * out}) * {size} + j + 2 - t % 3) % {size * size} + 1]))::BIGINT")
+    cols = rounded(f"list_sum(list_transform(range({size}), lambda i: k[t // {3 * out} + 1][i + 1] "
+                   f"* h[i * {3 * out} + t % {3 * out} + 1]))::BIGINT")
+    return f"""
+WITH {_BYTES_SQL}, w AS (SELECT vec_id, c, {k} AS k FROM px),
+r AS (SELECT vec_id, k, list_transform(range({size * out * 3}), lambda t: {rows}) AS h FROM w)
+SELECT vec_id, array_to_string(list_transform(range({out * out * 3}),
+         lambda t: format('{{:02X}}', {cols})), '') AS pixels FROM r"""
+
+
+@query("shrink_images", _shrink_sql(IMAGE_SIDE, 3))
+def shrink_images(spark, sf):
+    """Pictures of 8 x 8 shrunk to 3 x 3, smoothed."""
+    im = RS.shrink_images(vector_images(spark, sf), side=3)
+    return im.select("vec_id", F.hex("pixels").alias("pixels"))
+
+
+@query("image_moments", f"""
+WITH {_BYTES_SQL}, g AS (
+  SELECT vec_id, unnest(list_transform(range(64), lambda i:
+    ({RS.GRAY[0]} * c[(i + 2) % 64 + 1] + {RS.GRAY[1]} * c[(i + 1) % 64 + 1] + {RS.GRAY[2]} * c[i + 1] + {1 << RS.GRAY_BITS - 1}) >> {RS.GRAY_BITS})) AS v
+  FROM px
+)
+SELECT vec_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS s1, CAST(sum(v * v) AS BIGINT) AS s2,
+       count(*) * sum(v * v) - sum(v) * sum(v) > {int(VARIANCE_THRESHOLD)} * count(*) * count(*) AS informative
+FROM g GROUP BY vec_id""")
+def image_moments(spark, sf):
+    """Exact grayscale moments, added up over bands of two rows, and the content gate on them."""
+    m = RS.image_moments(vector_images(spark, sf), "vec_id", band_bytes=2 * 3 * IMAGE_SIDE)
+    return m.select("vec_id", "n", "s1", "s2", RS.above_threshold(
+        F.col("n"), F.col("s1"), F.col("s2")).alias("informative"))
+
+
+@query("frame_store", f"""
+WITH {_BYTES_SQL}, f AS (
+  SELECT vec_id, c, vec_id % 7 AS item, vec_id // 7 AS idx, count(*) OVER (PARTITION BY vec_id % 7) AS n FROM px
+), s AS (SELECT *, (16 * idx + n - 1) // n AS pos FROM f)
+SELECT CAST(item AS VARCHAR) AS item_id, CAST(idx AS INTEGER) AS frame_idx, CAST(pos AS INTEGER) AS sample_pos,
+       array_to_string(list_transform(range(192), lambda k: format('{{:02X}}', c[(k // 3 + k % 3) % 64 + 1])), '') AS pixels
+FROM s WHERE pos < 16 AND (pos * n) // 16 = idx""")
+def frame_store(spark, sf):
+    """Every embedding as a frame of one of seven videos, written as a store; the uniform sample is
+    read back, and it alone is decoded."""
+    im = vector_images(spark, sf)
+    frames = im.select((F.col("vec_id") % 7).cast("string").alias("item_id"),
+                       F.expr("vec_id div 7").cast("int").alias("frame_idx"),
+                       encoded("image").alias("content"))
+    path = f"{ensure_checkpoint_dir(spark)}/frames-{uuid.uuid4().hex}"
+    FS.write_store(frames, path)
+    got = FS.fetch_sample(spark, path)
+    return got.select("item_id", "frame_idx", "sample_pos", F.hex("image.data").alias("pixels"))
+
+
+@query("store_informative", f"""
+WITH {_BYTES_SQL}, g AS (
+  SELECT vec_id, list_transform(range(64), lambda i: round_even(
+    (0.299::DOUBLE * c[(i + 2) % 64 + 1] + 0.587::DOUBLE * c[(i + 1) % 64 + 1]) + 0.114::DOUBLE * c[i + 1], 0)) AS gray
+  FROM px
+), v AS (SELECT vec_id % 7 AS item, vec_id // 7 AS idx, list_var_pop(gray) AS var FROM g),
+e AS (SELECT item, max(idx) AS last, min(CASE WHEN var > 350 THEN idx END) AS hit FROM v GROUP BY item)
+SELECT CAST(item AS VARCHAR) AS item_id, CAST(coalesce(hit, last) AS INTEGER) AS frame_idx, 'ok' AS status FROM e""")
+def store_informative(spark, sf):
+    """The first informative frame of each of those videos, by an ordered scan of the store that
+    decodes no further (threshold 350: some videos have it late)."""
+    im = vector_images(spark, sf)
+    frames = im.select((F.col("vec_id") % 7).cast("string").alias("item_id"),
+                       F.expr("vec_id div 7").cast("int").alias("frame_idx"),
+                       encoded("image").alias("content"))
+    path = f"{ensure_checkpoint_dir(spark)}/frames-{uuid.uuid4().hex}"
+    FS.write_store(frames, path)
+    return FS.first_informative_in_store(spark, path, threshold=350.0)
+
+
 # ---------------------------------------------------------------- media modes
 
 _KIND = "(CASE WHEN right(media, 3) = 'mp4' THEN 'video' ELSE 'image' END)"
@@ -983,9 +1079,6 @@ def agreement(spark, sf):
 
 # ---------------------------------------------------------------- CSV files
 
-import uuid  # noqa: E402
-
-from labelflow.session import ensure_checkpoint_dir  # noqa: E402
 from labelflow.sources import sinks  # noqa: E402
 from labelflow.sources.items import read_items  # noqa: E402
 
@@ -1018,3 +1111,104 @@ def prediction_files(spark, sf):
     path = f"{ensure_checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
     sinks.write_predictions(predictions(spark, sf), path)
     return sinks.read_predictions(spark, path)
+
+
+@query("item_file_order", T.with_items("""
+, r AS (
+  SELECT dataset, id, text, label, row_number() OVER (PARTITION BY dataset, label ORDER BY CAST(id AS BIGINT) DESC) AS place
+  FROM items WHERE label IS NOT NULL
+)
+SELECT dataset, label, id, text, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8"""))
+def item_file_order(spark, sf):
+    """The first eight rows per dataset and label in file order: the items are written as CSV files
+    whose rows go from the largest id down (texts with newlines in quotes), and read back in
+    byte ranges with their places."""
+    from pyspark.sql import Window
+    it = T.items(spark, sf).withColumn("label", F.col("label").cast("double").cast("string"))
+    root = f"{ensure_checkpoint_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    for dataset in ("hatemm", "mhc"):
+        sinks.write_csv(it.filter(F.col("dataset") == dataset)
+                        .orderBy(F.col("id").cast("bigint").desc())
+                        .select("id", "text", "label", "type", "image"), f"{root}/{dataset}")
+    rows = R.labelled(read_items(spark, [f"{root}/hatemm", f"{root}/mhc"], positions=True))
+    w = Window.partitionBy("dataset", "label").orderBy("file_pos")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= 8) \
+        .select("dataset", "label", "id", "text", "place")
+
+
+# ---------------------------------------------------------------- models in folders (M1 M2)
+
+from labelflow.operators import model_store as MS  # noqa: E402
+
+
+def _whole_linear(arrays: dict):
+    """A predictor over integer vectors from a stored model's ``weights``."""
+    import numpy as np
+    w = np.asarray(arrays["weights"], np.float64)
+    return lambda x: np.asarray(x, np.float64) @ w
+
+
+@query("tuned_or_base", """
+WITH q AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+), e AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM q),
+w AS (SELECT list(s ORDER BY i) AS w FROM (SELECT i, CAST(sum(CASE WHEN label >= 5 THEN x ELSE -x END) AS BIGINT) AS s FROM e GROUP BY i))
+SELECT vec_id, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w.w[i])) AS DOUBLE) AS tuned,
+       CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i % 2 = 1 THEN v[i] ELSE -v[i] END)) AS DOUBLE) AS base
+FROM q, w""")
+def tuned_or_base(spark, sf):
+    """A linear model fitted on the embeddings (sums by class), saved to the shared folder, shipped
+    to the workers and scored with; and the base model where the folder holds none."""
+    e = T.table(spark, sf, "embeddings").select("vec_id", "label", F.transform(
+        "embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("v"))
+    sign = F.when(F.col("label") >= 5, 1).otherwise(-1)
+    sums = e.select(sign.alias("s"), F.posexplode("v")).groupBy("pos") \
+        .agg(F.sum(F.col("s") * F.col("col")).alias("w")).orderBy("pos").collect()  # one a dimension
+    root = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    MS.save_model(spark, f"{root}/tuned", {"weights": [r["w"] for r in sums]})
+    base = P.linear_rule(P.alternating_weights(len(sums)))
+    x = e.select("vec_id", F.transform("v", lambda x: x.cast("double")).alias("x"))
+    for name in ("tuned", "base"):
+        fn = MS.tuned_or_base(spark, f"{root}/tuned" if name == "tuned" else f"{root}/absent",
+                              _whole_linear, base)
+        x = P.predict(x, fn, "x", out=name, input_tensor_shapes=[[len(sums)]])
+    return x.select("vec_id", "tuned", "base")
+
+
+# ---------------------------------------------------------------- scoring that resumes (K1)
+
+from labelflow.sources.resume import score_resumable  # noqa: E402
+
+
+@query("resumed_predictions", T.with_items(f"""
+SELECT id, {_RESP_SQL} AS response, {S.class_name_sql()} AS label
+FROM items WHERE type = 'test' AND label IS NOT NULL"""))
+def resumed_predictions(spark, sf):
+    """The predictions scored in four parts, stopped after two, then gone on with."""
+    rows = class_name(R.labelled(R.test_split(T.items(spark, sf))))
+    path = f"{ensure_checkpoint_dir(spark)}/resumed-{uuid.uuid4().hex}"
+
+    def score(part):
+        return prediction_rows(rule_predictor(part))
+    score_resumable(rows, score, path, parts=4, at_most=2)
+    return score_resumable(rows, score, path, parts=4)
+
+
+# ---------------------------------------------------------------- training in steps (M3 A5)
+
+from labelflow.operators import steps as ST  # noqa: E402
+from labelflow.operators.bayes import word_features  # noqa: E402
+
+
+@query("step_training")
+def step_training(spark, sf):
+    """A text classifier trained for five epochs of 32-row steps on the labelled training rows;
+    its answers on the labelled test rows."""
+    it = R.labelled(T.items(spark, sf))
+    params = ST.StepParams()
+    feats = word_features("text", params.features).alias("features")
+    weights, bias = ST.train_in_steps(R.train_split(it).select("id", "label", feats), "id", params)
+    scored = ST.margins(R.test_split(it).select("id", "label", feats), weights, bias)
+    return scored.select("id", "label", F.round("margin", 9).alias("margin"),
+                         (F.col("margin") > 0).cast("int").alias("pred"))
