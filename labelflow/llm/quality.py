@@ -9,16 +9,17 @@ weighs as much as a short one. No other column is ever an input.
 
 Training reads a bounded, documented sample: the ``max_rows`` labelled rows with the smallest
 seeded hash of their key. Whole texts are learnt from, as they are scored: their features are made
-in many tasks, and only the sparse vectors go to the fitting task. The model is ``2**bits``
-doubles, a size that does not grow with the data, and is sent to the tasks as a broadcast variable.
+in many tasks and written, as sparse vectors, to the shared folder. An epoch is a job of one task
+that reads them in the epoch's own seeded order and holds one vector and the sums of its
+``2**bits`` weights at a time; the sums go from epoch to epoch through the driver. The model is
+``2**bits`` doubles, a size that does not grow with the data, and is sent to the tasks as a broadcast
+variable.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelflow.llm.common import free_name, text_or_empty
+from labelflow.llm.common import free_name, text_or_empty, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a vector that travel in one row, so that no Arrow batch grows with a text.
@@ -98,37 +99,6 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return index[first], np.sqrt(np.add.reduceat(value, first))
 
 
-class VectorFile(Sequence):
-    """Sparse vectors kept in an unnamed temporary file; only their places are held in memory."""
-
-    def __init__(self):
-        self.file, self.end = tempfile.TemporaryFile(), 0
-        self.pieces: list[tuple] = []  # (hash, key, part, label, place, entries)
-        self.starts: list[int] = []
-
-    def add(self, h: int, k: str, part: int, y: int, i: bytes, x: bytes) -> None:
-        self.file.write(i)
-        self.file.write(x)
-        self.pieces.append((h, k, part, y, self.end, len(x) // 8))
-        self.end += len(i) + len(x)
-
-    def sort(self) -> None:
-        """The same order whatever the order of arrival."""
-        self.file.flush()
-        self.pieces.sort(key=lambda r: r[:3])
-        self.starts = [n for n, r in enumerate(self.pieces) if r[2] == 0] + [len(self.pieces)]
-
-    def __len__(self) -> int:
-        return len(self.starts) - 1
-
-    def __getitem__(self, r: int) -> tuple[np.ndarray, np.ndarray, int]:
-        some = self.pieces[self.starts[r]:self.starts[r + 1]]
-        raw = [os.pread(self.file.fileno(), 12 * n, at) for *_, at, n in some]
-        return (np.concatenate([np.frombuffer(b, "<i4", p[5]) for b, p in zip(raw, some)]),
-                np.concatenate([np.frombuffer(b, "<f8", p[5], 4 * p[5])
-                                for b, p in zip(raw, some)]), some[0][3])
-
-
 def vector_rows(h: int, k: str, y: int, i: np.ndarray, x: np.ndarray
                 ) -> Iterator[pa.RecordBatch]:
     """A vector in pieces of at most ``PIECE`` entries, one row each (an empty one is one row)."""
@@ -140,27 +110,47 @@ def vector_rows(h: int, k: str, y: int, i: np.ndarray, x: np.ndarray
             "x": pa.array([x[lo:lo + PIECE].astype("<f8").tobytes()], pa.binary())})
 
 
-def ftrl_fit(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], p: FtrlParams) -> np.ndarray:
-    """Weights (last entry: bias) after ``p.epochs`` passes in a seeded order."""
-    dim = (1 << p.bits) + 1
-    z, n = np.zeros(dim), np.zeros(dim)
-    rng = np.random.default_rng(p.seed)
+class Ftrl:
+    """FTRL-proximal sums of a logistic regression; the last weight is the bias."""
 
-    def weights(i):
-        zi, ni = z[i], n[i]
+    def __init__(self, p: FtrlParams, z: np.ndarray | None = None, n: np.ndarray | None = None):
+        dim = (1 << p.bits) + 1
+        self.p = p
+        self.z = np.zeros(dim) if z is None else z.copy()
+        self.n = np.zeros(dim) if n is None else n.copy()
+
+    def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        p, zi, ni = self.p, self.z[i], self.n[i]
         w = -(zi - np.sign(zi) * p.l1) / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2)
         return np.where(np.abs(zi) <= p.l1, 0.0, w)
 
-    for _ in range(p.epochs):
-        for r in rng.permutation(len(rows)):
-            i, x, y = rows[r]
-            i, x = np.append(i, dim - 1), np.append(x, 1.0)
-            w = weights(i)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / p.alpha
-            z[i] += g - sigma * w
-            n[i] += g * g
-    return weights(np.arange(dim))
+    def learn(self, i: np.ndarray, x: np.ndarray, y: int) -> None:
+        """One update with a sparse vector and its label."""
+        i, x = np.append(i, len(self.z) - 1), np.append(x, 1.0)
+        w = self.weights(i)
+        g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
+        grown = self.n[i] + g * g
+        self.z[i] += g - (np.sqrt(grown) - np.sqrt(self.n[i])) / self.p.alpha * w
+        self.n[i] = grown
+
+
+def joined_vectors(rows: Iterable[tuple[int, str, int, bytes, bytes]]
+                   ) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Vectors from rows ``(h, k, y, i, x)`` in which a vector's pieces follow one another."""
+    own, key, label = [], None, 0
+
+    def vector():
+        return (np.concatenate([np.frombuffer(i, "<i4") for i, _ in own]),
+                np.concatenate([np.frombuffer(x, "<f8") for _, x in own]), label)
+
+    for h, k, y, i, x in rows:
+        if key is not None and (h, k) != key:
+            yield vector()
+            own = []
+        key, label = (h, k), y
+        own.append((i, x))
+    if key is not None:
+        yield vector()
 
 
 def sample_keys(labels: DataFrame, params: FtrlParams, key_col: str = "doc_id",
@@ -184,7 +174,6 @@ def fit(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
     """Train on a bounded sample of the labelled documents (see the module docstring). A null
     text is an empty one; of several texts under one key the smallest is learnt from. Without
     labelled rows all weights are zero and every score is 0.5."""
-    dim = (1 << params.bits) + 1
     keys = F.broadcast(sample_keys(labels, params, key_col, label_col))  # at most max_rows rows
     texts = docs.select(F.col(key_col).alias("k"), text_or_empty(text_col).alias("t"))
     sample = texts.join(keys, "k").groupBy("k", "h", "y").agg(F.min("t").alias("t"))
@@ -197,24 +186,26 @@ def fit(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
                 yield from vector_rows(h.as_py(), k.as_py(), y.as_py(),
                                        *features(t.as_py(), bits))
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = VectorFile()
-        for b in batches:
-            for row in zip(*(b[c].to_pylist() for c in ("h", "k", "part", "y", "i", "x"))):
-                data.add(*row)
-        data.sort()
-        w = ftrl_fit(data, params) if len(data) else np.zeros(dim)
-        keep = np.flatnonzero(w)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(keep, pa.int32()),
-                                          "w": pa.array(w[keep], pa.float64())})
-
-    sparse = sample.select("h", F.col("k").cast("string").alias("k"), "t", "y") \
-        .mapInArrow(vectors, "h bigint, k string, part int, y int, i binary, x binary")
-    # one task: places of at most max_rows vectors, one vector and 2**bits weights in memory
-    fitted = sparse.repartition(1).mapInArrow(train, "i int, w double").toPandas()
-    w = np.zeros(dim)
-    w[fitted["i"].to_numpy()] = fitted["w"].to_numpy()
-    return w
+    sparse = written(
+        sample.select("h", F.col("k").cast("string").alias("k"), "t", "y")
+        .mapInArrow(vectors, "h bigint, k string, part int, y int, i binary, x binary"), "vectors")
+    model = Ftrl(params)
+    for epoch in range(params.epochs):
+        def train(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            rows = (r for b in batches for r in zip(*(b[c].to_pylist()
+                                                      for c in ("h", "k", "y", "i", "x"))))
+            for i, x, y in joined_vectors(rows):
+                model.learn(i, x, y)
+            yield pa.RecordBatch.from_pydict({"z": pa.array([model.z.tobytes()], pa.binary()),
+                                              "n": pa.array([model.n.tobytes()], pa.binary())})
+
+        # one task, at most max_rows vectors: read and sorted where they are read
+        order = F.xxhash64(F.lit(params.seed + epoch), "h", "k")
+        got = sparse.coalesce(1).sortWithinPartitions(order, "h", "k", "part") \
+            .mapInArrow(train, "z binary, n binary").collect()
+        if got:
+            model = Ftrl(params, *(np.frombuffer(got[0][c], np.float64) for c in ("z", "n")))
+    return model.weights()
 
 
 def score(df: DataFrame, weights: np.ndarray, params: FtrlParams = FtrlParams(),

@@ -55,7 +55,9 @@ def test_scores_are_sparse_dot_products(spark):
 def test_ftrl_follows_its_formula():
     """One feature, one row: the closed form of the first updates."""
     p = q.FtrlParams(bits=1, alpha=0.5, beta=1.0, l1=0.0, l2=0.0, epochs=1)
-    w = q.ftrl_fit([(np.array([0]), np.array([1.0]), 1)], p)
+    model = q.Ftrl(p)
+    model.learn(np.array([0]), np.array([1.0]), 1)
+    w = model.weights()
     g = 0.5 - 1
     want = -g / ((1.0 + abs(g)) / 0.5)
     assert abs(w[0] - want) < 1e-12 and abs(w[-1] - want) < 1e-12
@@ -99,7 +101,7 @@ def test_what_only_the_end_of_a_long_text_tells_is_learnt(spark):
         assert (r["score"] >= 0.5) == bool(r["doc_id"] % 2)
 
 
-def test_vectors_travel_in_small_rows_and_wait_in_a_file():
+def test_vectors_travel_in_small_rows():
     rng = np.random.default_rng(2)
     want, rows = [], []
     for h, n in enumerate((0, 1, q.PIECE, 3 * q.PIECE + 5)):
@@ -107,14 +109,20 @@ def test_vectors_travel_in_small_rows_and_wait_in_a_file():
         want.append((i, x, h % 2))
         rows += [r for b in q.vector_rows(h, str(h), h % 2, i, x) for r in b.to_pylist()]
     assert max(len(r["x"]) for r in rows) == 8 * q.PIECE
-    kept = q.VectorFile()
-    for r in rows[::-1]:
-        kept.add(*(r[c] for c in ("h", "k", "part", "y", "i", "x")))
-    kept.sort()
-    assert len(kept) == len(want)
-    for got, (i, x, y) in zip(kept, want):
-        assert (got[0] == i).all() and (got[1] == x).all() and got[2] == y
-    assert (q.ftrl_fit(kept, SMALL_FIT) == q.ftrl_fit(want, SMALL_FIT)).all()
-
-
-SMALL_FIT = q.FtrlParams(bits=18, epochs=2)
+    got = list(q.joined_vectors(tuple(r[c] for c in ("h", "k", "y", "i", "x")) for r in rows))
+    assert len(got) == len(want)
+    for g, (i, x, y) in zip(got, want):
+        assert (g[0] == i).all() and (g[1] == x).all() and g[2] == y
+    assert list(q.joined_vectors([])) == []
+
+
+def test_epochs_as_jobs_equal_a_loop_in_their_order(spark):
+    rows, labels = _corpus(60)
+    got = q.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, label int"), SMALL)
+    keyed = spark.createDataFrame([(i, str(i)) for i, _ in labels], "d bigint, k string") \
+        .withColumn("h", F.xxhash64(F.lit(SMALL.seed), "d"))
+    model, text, label = q.Ftrl(SMALL), {r[0]: r[1] for r in rows}, dict(labels)
+    for epoch in range(SMALL.epochs):
+        for r in keyed.orderBy(F.xxhash64(F.lit(SMALL.seed + epoch), "h", "k"), "h", "k").collect():
+            model.learn(*q.features(text[r["d"]], SMALL.bits), label[r["d"]])
+    assert (got == model.weights()).all()
