@@ -25,6 +25,8 @@ from labelflow.llm.common import free_name, persisted
 
 #: Buckets whose counts are summed within one window; the sums of these groups form the next.
 _GROUP = 4096
+#: Copies of a repeated record in one row of the deal.
+COPIES = 65_536
 
 
 def _record_hash(df: DataFrame, seed: int):
@@ -59,7 +61,7 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, size_col: str | None = No
     ``size_col`` names a column with a record's bytes (default: the length of its JSON); their
     sum over ``bucket_bytes`` gives the number of buckets, at least ``min_buckets``. Records that
     are equal in every column have one hash; when over ``hot_rows`` of them exist, they are
-    dealt over all buckets by a running number instead (they are interchangeable). Null columns
+    counted and dealt over all buckets by their copy's number (they are interchangeable). Null columns
     hash like a value of their own; an empty table gives no rows; columns named ``shard`` or
     ``slot`` are replaced."""
     names = [c for c in df.columns if c not in ("shard", "slot")]
@@ -77,14 +79,26 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, size_col: str | None = No
     hot = [r[0] for r in stats.where(F.col("n") > max(hot_rows, rows // 1000))
            .select(h).collect()]  # at most 1000 hashes
     deal = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(h)), F.lit(buckets))
-    if hot:
-        # a repeated record's copies are numbered in the order of arrival: equal in every
-        # column, it makes no difference which of them gets which number
-        deal = F.when(F.col(h).isin(hot),
-                      F.pmod(F.monotonically_increasing_id(), F.lit(buckets))).otherwise(deal)
     dealt = keyed.withColumn(b, deal)
-    counted = dealt.groupBy(b).count() if hot else \
-        stats.withColumn(b, deal).groupBy(b).agg(F.sum("n").alias("count"))
+    counted = stats.withColumn(b, deal).groupBy(b).agg(F.sum("n").alias("count"))
+    if hot:
+        # a repeated record is counted, and its copies, numbered from 0, are dealt by number:
+        # the same deal in every job, and no task ever holds them all
+        cold = dealt.where(~F.col(h).isin(hot))
+        copies = keyed.where(F.col(h).isin(hot)) \
+            .withColumn(off, _record_hash(df, seed + 99)).groupBy(h, off) \
+            .agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in names])).alias(size),
+                 F.count(F.lit(1)).alias(b))
+        blocks = copies.select(h, size, b, F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.floor((F.col(b) - 1) / COPIES))).alias(off)) \
+            .repartition(h, off)
+        number = F.explode(F.sequence(F.col(off) * COPIES, F.least(
+            (F.col(off) + 1) * COPIES, F.col(b)) - 1))
+        spread = blocks.select(h, size, number.alias(off)).select(
+            *[F.col(size).getField(c).alias(c) for c in names], h,
+            F.pmod(F.xxhash64(F.lit(seed + 1), F.col(h), F.col(off)), F.lit(buckets)).alias(b))
+        dealt = cold.unionByName(spread)
+        counted = dealt.groupBy(b).count()
     offsets = _offsets(counted.select(F.col(b).alias("b"), F.col("count").alias("n")))
 
     out = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()),
