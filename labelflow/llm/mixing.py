@@ -100,7 +100,9 @@ def _ranked(docs: DataFrame, source: str, size: Column, seed: int, names: dict)
     keyed = docs.withColumn(sz, size).withColumn(
         h, F.xxhash64(F.lit(seed), *[F.to_json(F.struct(F.col(f"`{f.name}`")))
                                      if "map" in f.dataType.simpleString()
-                                     else F.col(f"`{f.name}`") for f in docs.schema.fields])) \
+                                     else F.col(f"`{f.name}`") for f in docs.schema.fields],
+                      # which columns are null counts: else rows that differ in that alone tie
+                      *[F.col(f"`{f.name}`").isNull() for f in docs.schema.fields])) \
         .withColumn(b, F.pmod(F.col(h), F.lit(BUCKETS)).cast("int"))
     src = F.col(f"`{source}`")
     w = Window.partitionBy(src, b).orderBy(h, sz)
