@@ -133,13 +133,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a node's number of neighbours tells a large component's root, whose edges stay in place
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")) \
-            .select("u", F.least("u", "m").alias("m"), "n")
+        low = persisted(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+                        .select("u", F.least("u", "m").alias("m"), "n"))
         # large star: neighbours above u go to u's smallest neighbour (or u itself)
-        large = join_counted(both.where("v > u"), low, "u", "n", n) \
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = persisted(join_counted(both.where("v > u"), low, "u", "n", n)
+                          .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+                          .distinct())
         # small star: neighbours below u, and u, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = persisted(large.groupBy("u").agg(F.min("v").alias("m"),
+                                                 F.count(F.lit(1)).alias("n")))
         small = join_counted(large, least, "u", "n", n) \
             .select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -166,9 +168,11 @@ def near_duplicate_groups(df: DataFrame, key_col: str = "doc_id", text_col: str
     fps = rows.groupBy("fp").agg(F.min(key_col).alias("low"), F.count(F.lit(1)).alias("n"))
     found = components(links(fps.select("fp"), radius, neighbour_limit))
     # a class's smallest key: partial minima over its fingerprints, then back to each of them
-    joined = found.join(fps, found["node"] == fps["fp"]).select("node", "root", "low")
-    roots = joined.groupBy("root").agg(F.min("low").alias("c"))
-    member = joined.join(roots, "root").select(F.col("node").alias("fp"), "c")
+    joined = persisted(found.join(fps, found["node"] == fps["fp"]).select("node", "root", "low"))
+    roots = persisted(joined.groupBy("root").agg(F.min("low").alias("c"),
+                                                 F.count(F.lit(1)).alias("n")))
+    member = join_counted(joined, roots, "root", "n", joined.count()) \
+        .select(F.col("node").alias("fp"), "c")
     of = written(fps.join(member, "fp", "left")
                  .select("fp", F.coalesce("c", "low").alias("component_id"), "n"), "groups")
     total = of.agg(F.sum("n")).first()[0] or 0
