@@ -103,8 +103,13 @@ def sample_predicate(idx: Column, n: Column, k: int = FRAMES_PER_VIDEO) -> Colum
 
     The smallest ``j`` with ``j * n / k >= idx`` is ``ceil(k * idx / n)``; the index is taken
     iff that ``j < k`` and ``floor(j * n / k) == idx``. Integer arithmetic only."""
-    j = F.floor((F.lit(k) * idx + n - F.lit(1)) / n).cast("bigint")
-    return (n > 0) & (j < F.lit(k)) & (F.floor((j * n) / F.lit(k)).cast("bigint") == idx)
+    some = F.greatest(n, F.lit(1))  # a count of 0 takes no frame and divides nothing
+    j = _div(F.lit(k) * idx + some - F.lit(1), some)
+    return (n > 0) & (j < F.lit(k)) & (_div(j * some, F.lit(k)) == idx)
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def uniform_sample(frames: DataFrame, group: str = "item_id", idx: str = "frame_idx",
@@ -126,7 +131,7 @@ def uniform_sample(frames: DataFrame, group: str = "item_id", idx: str = "frame_
     i = F.col(idx).cast("bigint")
     kept = j.filter(sample_predicate(i, F.col("_n"), k))
     if out_pos:
-        kept = kept.withColumn(out_pos, F.floor((F.lit(k) * i + F.col("_n") - 1) / F.col("_n"))
+        kept = kept.withColumn(out_pos, _div(F.lit(k) * i + F.col("_n") - 1, F.col("_n"))
                                .cast("int"))
     return kept.drop("_g", "_n")
 

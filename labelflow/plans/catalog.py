@@ -1212,3 +1212,80 @@ def step_training(spark, sf):
     scored = ST.margins(R.test_split(it).select("id", "label", feats), weights, bias)
     return scored.select("id", "label", F.round("margin", 9).alias("margin"),
                          (F.col("margin") > 0).cast("int").alias("pred"))
+
+
+# ---------------------------------------------------------------- short videos
+
+from labelflow.operators import media as MD  # noqa: E402
+
+
+@query("short_videos", f"""
+WITH {_BYTES_SQL}, f AS (
+  SELECT vec_id, c, vec_id % 7 AS item, vec_id // 7 AS idx, count(*) OVER (PARTITION BY vec_id % 7) AS n FROM px
+), s AS (SELECT *, (16 * idx + n - 1) // n AS pos FROM f)
+SELECT 'v' || CAST(item AS VARCHAR) AS id, 'frame' AS source, CAST(pos AS INTEGER) AS pos, 192 AS n_bytes,
+       md5(array_to_string(list_transform(range(192), lambda k: format('{{:02X}}', c[(k // 3 + 2 - k % 3) % 64 + 1])), '')) AS pixels
+FROM s WHERE pos < 16 AND (pos * n) // 16 = idx
+UNION ALL
+SELECT 'p' || CAST(vec_id AS VARCHAR), 'copy', CAST(k AS INTEGER), 192, NULL FROM px, range(16) r(k)""")
+def short_videos(spark, sf):
+    """Seven videos (their sampled frames) and every embedding's picture (16 augmented copies) as
+    one relation; the frames' pixels are compared, the copies' in the tests."""
+    im = vector_images(spark, sf)
+    video, idx = (F.col("vec_id") % 7).cast("string"), F.expr("vec_id div 7").cast("int")
+    path = f"{ensure_checkpoint_dir(spark)}/frames-{uuid.uuid4().hex}"
+    FS.write_store(im.select(video.alias("item_id"), idx.alias("frame_idx"),
+                             encoded("image").alias("content")), path)
+    pid = F.concat(F.lit("p"), F.col("vec_id").cast("string"))
+    stills = im.select(pid.alias("id"), F.concat(pid, F.lit(".png")).alias("media"),
+                       F.lit(None).cast("string").alias("frames"))
+    videos = spark.range(7).select(F.concat(F.lit("v"), "id").alias("id"),
+                                   F.concat(F.lit("v"), "id", F.lit(".mp4")).alias("media"),
+                                   F.col("id").cast("string").alias("frames"))
+    got = MD.short_videos(stills.unionByName(videos), FS.fetch_sample(spark, path),
+                          im.select(pid.alias("id"), "image"))
+    return got.select("id", "source", "pos", F.octet_length("data").alias("n_bytes"),
+                      F.when(F.col("source") == "frame", F.md5(F.hex("data"))).alias("pixels"))
+
+
+# ---------------------------------------------------------------- description files, size, strict mode
+
+from labelflow.sources.descriptions import read_descriptions  # noqa: E402
+
+
+@query("description_files", T.with_items(f"""
+SELECT dataset, id, {S.class_name_sql()} AS label, 'frames of "item" ' || id AS description, text FROM items"""))
+def description_files(spark, sf):
+    """Descriptions with quotes and newlines written as CSV files, a folder a dataset, and read
+    back by the profile in their path; of repeated ids the last row counts."""
+    pool = T.items(spark, sf).select(
+        "dataset", "id", class_name_col("dataset", "label").alias("label"),
+        F.concat(F.lit('frames of "item" '), F.col("id")).alias("description"), "text")
+    root = f"{ensure_checkpoint_dir(spark)}/descriptions-{uuid.uuid4().hex}"
+    for dataset in ("hatemm", "mhc"):
+        own = pool.filter(F.col("dataset") == dataset).drop("dataset")
+        older = own.withColumn("description", F.lit("an older, longer one,\nwith a newline"))
+        sinks.write_csv(older.unionByName(own).coalesce(1), f"{root}/{dataset}")
+    got = read_descriptions(spark, [f"{root}/hatemm", f"{root}/mhc"])
+    # an unlabelled item's label is an absent field, which Python's reader gives as an empty text
+    return got.withColumn("label", F.when(F.col("label") != "", F.col("label")))
+
+
+@query("training_size", T.with_items("""
+SELECT CAST(count(*) AS BIGINT) AS n_rows FROM items WHERE type IS DISTINCT FROM 'test' AND label IS NOT NULL"""))
+def training_size(spark, sf):
+    """K2: the training set's size, observed while its rows are written."""
+    rows, seen = sinks.observe_size(R.labelled(R.train_split(T.items(spark, sf))))
+    path = f"{ensure_checkpoint_dir(spark)}/training-{uuid.uuid4().hex}"
+    rows.select("id", "label").write.parquet(path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")) \
+        .where(F.col("n_rows") == seen.get["rows"])
+
+
+@query("strict_media", T.with_items("""
+SELECT id, image FROM items WHERE frames IS NULL"""))
+def strict_media(spark, sf):
+    """P10: strict mode over items that need no frame: no row is bad, so none raises and all stay."""
+    r = R.resolve_media(T.items(spark, sf).filter(F.col("frames").isNull()))
+    good, _ = R.quarantine(r, F.when(F.col("status") != "ok", F.col("status")), strict=True)
+    return good.select("id", "image")

@@ -131,3 +131,30 @@ def test_encoded_images(spark, tmp_path):
     for r in im.collect():
         px = decode_png(None if r.png is None else bytes(r.png))
         assert px is None if r.image.height < 0 else px.tobytes() == bytes(r.image.data)
+
+
+def test_short_videos_are_frames_or_rendered_copies(spark, store):
+    from labelflow.functions.augment import PARAMS, augmentation_plan, render
+    from labelflow.operators.media import short_videos
+    root, path = store
+    rng = np.random.default_rng(9)
+    pics = {f"i{k}": rng.integers(0, 256, (8, 8, 3), dtype=np.uint8) for k in range(3)}
+    rows = [(i, (8, 8, 3, bytearray(p[..., ::-1].tobytes()))) for i, p in pics.items()]
+    rows.append(("broken", (-1, -1, -1, bytearray())))
+    pictures = spark.createDataFrame(
+        rows, "id string, image struct<height:int,width:int,nChannels:int,data:binary>")
+    items = [(i, f"{i}.png", None) for i in (*pics, "broken", "nowhere")] \
+        + [("va", "clip.mp4", f"{root}/a"), ("vc", "cmp4", f"{root}/c"), ("i1", None, None),
+           ("no", "x.mp4", f"{root}/none")]
+    items = spark.createDataFrame(items, "id string, media string, frames string")
+    got = short_videos(items, FS.fetch_sample(spark, path), pictures).collect()
+    frames = {(r.id, r.pos): bytes(r.data) for r in got if r.source == "frame"}
+    assert sorted({i for i, _ in frames}) == ["va", "vc"]
+    assert len([1 for i, _ in frames if i == "va"]) == 16
+    assert len([1 for i, _ in frames if i == "vc"]) == 4  # one of its five is broken
+    copies = [r for r in got if r.source == "copy"]
+    assert len(copies) == 16 * 4  # i1 stands twice
+    plan = augmentation_plan(spark.createDataFrame([(i,) for i in pics], "id string")).collect()
+    want = {(p.id, p.aug_k): render(pics[p.id], {n: p[n] for n in ("flip", *PARAMS)}).tobytes()
+            for p in plan}
+    assert {(r.id, r.pos): bytes(r.data) for r in copies} == want
