@@ -8,7 +8,7 @@ from labelflow.plans import catalog
 
 from .conftest import SF001
 
-NON_SQL: set[str] = set()  # of the library's own queries
+NON_SQL = {"step_training"}  # of the library's own queries: its steps are serial
 
 
 def test_entry_runs(spark):
@@ -44,3 +44,18 @@ def test_plan_has_no_slow_path(spark, name):
     UDF or a sort-based aggregate."""
     plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert not [k for k in FORBIDDEN if k in plan]
+
+
+def test_entry_without_what_the_training_data_part_needs(monkeypatch, capsys):
+    """A package that the subpackage needs is absent: the other queries are all there."""
+    import sys
+    for name in [m for m in sys.modules if m.startswith("labelflow.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    import labelflow
+    monkeypatch.delattr(labelflow, "llm", raising=False)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    monkeypatch.setitem(sys.modules, "sentencepiece", None)
+    found = E.queries()
+    assert set(catalog.QUERIES) <= set(found)
+    if "op4_simhash" not in found:
+        assert "left out" in capsys.readouterr().err
