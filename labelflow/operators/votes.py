@@ -62,6 +62,9 @@ def majority_vote(votes: DataFrame, tie: str = "null", tie_source: str = "origin
                   sources: tuple[str, ...] = (), require_source: str | None = None) -> DataFrame:
     """A2: per id, 1 if more than half of the non-NULL votes are 1, 0 if fewer, else a tie.
 
+    An id is one meme: rows that share an id are one vote list, however many sources they have, and
+    rows without an id (NULL) are one more. Give memes ids of their own before they are voted on.
+
     ``tie='null'`` leaves ties NULL with ``needs_review = 1``; ``tie='original'`` takes the vote
     of ``tie_source``. ``groupBy(id)`` with count/sum is partially aggregated before the
     shuffle, so an id with a third of all votes costs one row per task. ``sources`` adds one
