@@ -12,7 +12,7 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelflow.functions.labels import resolve_profile
@@ -44,6 +44,6 @@ def read_descriptions(spark: SparkSession, path: str | list[str],
     rows = read_description_rows(spark, path)
     ds = F.lit(dataset) if dataset else resolve_profile(F.col("file"))
     rows = rows.withColumn("dataset", ds)
-    last = rows.groupBy("dataset", "id").agg(
-        F.max_by(F.struct("label", "description", "text"), F.struct("file", "pos")).alias("r"))
-    return last.select("dataset", "id", "r.label", "r.description", "r.text")
+    w = Window.partitionBy("dataset", "id").orderBy(F.col("file").desc(), F.col("pos").desc())
+    last = rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1)
+    return last.select("dataset", "id", "label", "description", "text")
