@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,14 @@ def join_counted(df: DataFrame, side: DataFrame, key: str, n: str, rows: int) ->
     rest = side.where(F.col(n) * HOT_SHARE <= rows)
     far = df.join(F.broadcast(hot.select(key)), key, "left_anti")
     return df.join(F.broadcast(hot), key).unionByName(far.join(rest, key))
+
+
+def released(result):
+    """``result``, after the memory that its making left behind went back to the system: a worker
+    that waits for its next task then holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    return result

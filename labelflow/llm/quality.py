@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelflow.llm.common import free_name, text_or_empty, written
+from labelflow.llm.common import free_name, released, text_or_empty, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a vector that travel in one row, so that no Arrow batch grows with a text.
@@ -229,6 +229,7 @@ def score(df: DataFrame, weights: np.ndarray, params: FtrlParams = FtrlParams(),
             got = 1.0 / (1.0 + np.exp(-np.clip(got, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array(got)],
                                              names=[*names, out])
+        released(None)
 
     return sent.mapInArrow(run, schema)
 

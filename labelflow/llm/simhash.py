@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelflow.llm.common import free_name, join_counted, persisted, text_or_empty, written
+from labelflow.llm.common import (free_name, join_counted, persisted, released, text_or_empty,
+                                  written)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS = 64
@@ -80,6 +81,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, seed:
             fp = _fingerprints(b.column(len(names)).to_pylist(), shingle, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array(fp)],
                                              names=[*names, out])
+        released(None)
 
     return sent.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelflow.llm.common import free_name, persisted, text_or_empty
+from labelflow.llm.common import free_name, persisted, released, text_or_empty
 
 GRAM = 20
 #: The lowest bits of a key's hash carry a count on the way.
@@ -441,7 +441,7 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         return rows
 
     counts, notes_type = "bucket int, g int, h binary", "g int, bucket int, data binary"
-    shared = dealt.groupBy(g).applyInArrow(anchor_rows, counts) \
+    shared = dealt.groupBy(g).applyInArrow(lambda t: released(anchor_rows(t)), counts) \
         .groupBy("bucket").applyInArrow(told(_SHARED, _FREQUENT), notes_type)
 
     def known(notes: pa.Table, code: int) -> np.ndarray:
@@ -485,7 +485,8 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         return pa.table({c: pa.array(out[c], kinds[c]) for c in names_})
 
     contexts = dealt.groupBy(g).cogroup(asked.groupBy("g")).applyInArrow(
-        context_rows, "bucket int, g int, rows binary, low binary, first binary, last binary")
+        lambda docs, own: released(context_rows(docs, own)),
+        "bucket int, g int, rows binary, low binary, first binary, last binary")
 
     def judged_rows(t: pa.Table) -> pa.Table:
         whole = t.column("bucket")[0].as_py() >= groups
@@ -531,7 +532,8 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
             bits[lo:hi, :wide] = least[of[lo:hi]] < low[lo:hi, None]
         return replies(np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel())
 
-    judged = contexts.groupBy("bucket").applyInArrow(judged_rows, notes_type)
+    judged = contexts.groupBy("bucket") \
+        .applyInArrow(lambda t: released(judged_rows(t)), notes_type)
 
     kept_type = T.StringType() if as_text else T.BinaryType()
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("kept", kept_type),
@@ -587,4 +589,5 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         return out
 
     notes = asked.unionByName(judged)
-    return dealt.groupBy(g).cogroup(notes.groupBy("g")).applyInArrow(finish, schema)
+    return dealt.groupBy(g).cogroup(notes.groupBy("g")) \
+        .applyInArrow(lambda docs, own: released(finish(docs, own)), schema)
