@@ -39,8 +39,6 @@ MAX_RANGES = 4_000_000
 MAX_LAYOUTS = 10_000
 #: The number of a record that a range leaves open: behind all others of the range.
 LAST = 1 << 40
-#: Up to so many files with records that cross ranges are named in the scan for these.
-BY_NAME = 1000
 
 PLACE = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()),
                       T.StructField("n", T.LongType())])
@@ -71,9 +69,10 @@ def _inside_after(line: str, inside: bool) -> bool:
         at = nxt + 1
 
 
-def _parse(records: Iterable[list[str]]) -> Iterator[list]:
-    """Field lists of records, each given as its lines; absent (unquoted empty) fields are None,
-    blank lines give nothing. A carriage return outside quotes ends a record, too."""
+def _parse(records: Iterable[list[str]], absent_null: bool = True) -> Iterator[list]:
+    """Field lists of records, each given as its lines; absent (unquoted empty) fields are None
+    with ``absent_null``, else empty texts; blank lines give nothing. A carriage return outside
+    quotes ends a record, too."""
     csv.field_size_limit(sys.maxsize)
 
     def lines():
@@ -84,7 +83,8 @@ def _parse(records: Iterable[list[str]]) -> Iterator[list]:
                 else:
                     yield line
 
-    return (row for row in csv.reader(lines(), quoting=csv.QUOTE_NOTNULL) if row)
+    quoting = csv.QUOTE_NOTNULL if absent_null else csv.QUOTE_MINIMAL
+    return (row for row in csv.reader(lines(), quoting=quoting) if row)
 
 
 class _Cutter:
@@ -194,7 +194,7 @@ def _places(headers: list[list[str]], columns: list[str]) -> list[list[int]]:
 
 
 def _records(lines: DataFrame, columns: list[str], states, layouts, fragments: bool = False,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = True, absent_null: bool = True) -> DataFrame:
     """Rows ``(file, h, start, n, kind, values, text)``: records (kind 0), or fragments: the
     open end of a range (1), and the head (2) or the whole (3) of one that begins inside quotes.
     The header is number -1."""
@@ -243,8 +243,9 @@ def _records(lines: DataFrame, columns: list[str], states, layouts, fragments: b
                 n += sum(1 for r in cutter.feed(some) if len(r) > 1 or r[0].strip("\r\n"))
             else:
                 # without newlines in fields every line is parsed on its own
-                for row in _parse(cutter.feed(some)) if multi_line else \
-                        (r for line in some for r in _parse([[line.removesuffix("\n")]])):
+                for row in _parse(cutter.feed(some), absent_null) if multi_line else \
+                        (r for line in some
+                         for r in _parse([[line.removesuffix("\n")]], absent_null)):
                     if n >= 0:
                         out.append((*now, n, 0, _fields(row, place), None))
                     n += 1
@@ -258,7 +259,8 @@ def _records(lines: DataFrame, columns: list[str], states, layouts, fragments: b
     return lines.select("value", "file", "h", "start").mapInArrow(run, schema)
 
 
-def _crossing(fragments: DataFrame, columns: list[str], layouts) -> DataFrame:
+def _crossing(fragments: DataFrame, columns: list[str], layouts, absent_null: bool = True
+              ) -> DataFrame:
     """Records that cross ranges: fragments from one open end to the next, joined in order."""
     file_h, file_layout, headers = layouts
     places = _places(headers, columns)
@@ -277,7 +279,7 @@ def _crossing(fragments: DataFrame, columns: list[str], layouts) -> DataFrame:
             out = []
             for file, h, start, n, text in zip(*[c.to_pylist() for c in b.columns]):
                 place = places[file_layout[int(np.searchsorted(file_h, h))]]
-                for k, row in enumerate(_parse([[text]])):
+                for k, row in enumerate(_parse([[text]], absent_null)):
                     if n + k >= 0:
                         out.append((file, start, n + k, _fields(row, place)))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
@@ -289,13 +291,14 @@ def _crossing(fragments: DataFrame, columns: list[str], layouts) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], columns: list[str],
-             multi_line: bool = True) -> tuple[DataFrame, set[str]]:
+             multi_line: bool = True, absent_null: bool = True) -> tuple[DataFrame, set[str]]:
     """``(rows, found)``: the files' records by their own headers as string columns ``columns``
     (absent ones NULL), plus ``file`` and ``file_pos`` (:data:`PLACE`, growing with file and
     row); and which of the columns some header has. With ``multi_line=False`` a newline always ends
     a record, quoted or not.
 
-    A field is NULL where nothing stands between the commas, an empty text where quotes do.
+    A field is NULL where nothing stands between the commas, an empty text where quotes do; with
+    ``absent_null=False`` both are empty texts, and NULL is only what a short row lacks.
     A header lies within the first range. Short rows end in NULLs, further fields are dropped, of equal column names the last counts;
     blank lines and empty files have no rows; a byte order mark before the header goes.
     ``path`` is what Spark's readers take: files, folders, patterns."""
@@ -323,16 +326,18 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str],
     of = headed.join(F.broadcast(numbered), "header").select("h", "layout").orderBy("h").toArrow()
     layouts = (of.column(0).to_numpy(), of.column(1).to_numpy(), headers)
 
-    both = _records(lines, columns, at, layouts, multi_line=multi_line).select("file", "start", "n", "values")
+    both = _records(lines, columns, at, layouts, multi_line=multi_line, absent_null=absent_null) \
+        .select("file", "start", "n", "values")
     if multi_line:
-        # files with a record that a range leaves open; the others are not read again
+        # files with a record that a range leaves open; lines of the others go no further. A filter
+        # on their names would reach the listing of files, and fewer files are cut into other ranges
         left = maps.join(states, ["h", "start"]).where(
             F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out")))
-        crossed = [r[0] for r in left.select("file").distinct().limit(BY_NAME + 1).collect()]
-        if crossed:
-            some = lines.where(F.col("file").isin(crossed)) if len(crossed) <= BY_NAME else lines
-            both = both.unionByName(_crossing(_records(some, columns, at, layouts, fragments=True),
-                                              columns, layouts))
+        crossed = checkpointed(left.select("h").distinct())
+        if crossed.first() is not None:
+            some = lines.join(F.broadcast(crossed), "h", "left_semi")
+            pieces = _records(some, columns, at, layouts, fragments=True)
+            both = both.unionByName(_crossing(pieces, columns, layouts, absent_null))
     rows = both.select(*[F.col("values")[k].alias(c) for k, c in enumerate(columns)],
                        "file", F.struct("file", "start", "n").alias("file_pos"))
     return rows, {c for hd in headers for c in hd} & set(columns)

@@ -154,3 +154,36 @@ def test_exemplar_lists_shorter_than_k(spark):
     got = X.exemplar_overlap(spark.createDataFrame([("mhc", "pQbEa24u-HM"), ("mhc", "z"),
                                                     ("hatemm", "q")], "dataset string, id string"))
     assert sorted(map(tuple, got.collect())) == [("hatemm", 0), ("mhc", 1)]
+
+
+def test_description_rows_in_ranges_equal_python_csv(spark, tmp_path):
+    """Files of several ranges, of which some have records over two: rows, places and texts are
+    those of Python's reader, and no file is held whole."""
+    want = {}
+    for name, n, text in (("a", 4000, "two\nlines, " * 9), ("b", 2500, "one line"), ("c", 0, "")):
+        rows = [f'{i % (n - 10)},hateful,"d{i} ""q"", {text}",{"" if i % 3 else f"t{i}"}\n'
+                for i in range(n)]
+        write(os.path.join(tmp_path, f"{name}_hatemm.csv"), "id,label,description,text\n\n"
+              + "".join(rows) + ("9999,short\n" if n else ""))
+        want[name] = python_rows("id,label,description,text\n" + "".join(rows)
+                                 + ("9999,short\n" if n else ""))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], str(1 << 20))
+        spark.conf.set(names[1], "1000")  # ranges depend on the bytes of all files
+        rows = read_description_rows(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 3
+        got = rows.collect()
+        last = read_descriptions(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, own in want.items():
+        mine = sorted((r for r in got if f"/{name}_hatemm" in r.file), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(own)))
+        assert [(r.id, r.label, r.description, r.text) for r in mine] == \
+            [(r["id"], r["label"], r["description"], r["text"]) for r in own]
+    newest = {r["id"]: r for name in "ab" for r in want[name]}
+    assert {r.id: (r.description, r.text) for r in last} == \
+        {i: (r["description"], r["text"]) for i, r in newest.items()}
