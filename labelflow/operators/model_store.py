@@ -1,10 +1,11 @@
 """M1 / M2: fitted models in a shared folder, shipped to the workers, loaded once by each.
 
 A model is a few named arrays. :func:`save_model` writes them, in chunks, as a Parquet folder on
-any file system that Spark reaches. :func:`load_model_fn` ships that folder as an artifact (each
-executor fetches it once) and gives a loader that a Python worker runs once: it puts the arrays
-together and checks them against the digest that was read with the folder, so a worker never
-scores with a half-written or exchanged model. A path without a model means the base model.
+any file system that Spark reaches. :func:`load_model_fn` reads that folder with Spark, checks it
+against the digest in it, broadcasts its bytes (each executor fetches them once, from whatever file
+system and on any master) and gives a loader that a Python worker runs once: it checks the bytes
+again and makes the arrays, so a worker never scores with a half-written or exchanged model. A path
+without a model means the base model.
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ import hashlib
 import io
 import os
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from labelflow.operators.predict import path_exists
 
@@ -60,34 +59,39 @@ def has_model(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/_SUCCESS")
 
 
-@lru_cache(4)
-def _arrays(folder: str, digest: str) -> dict[str, np.ndarray]:
-    """A worker's own copy, put together once."""
-    import pyarrow.parquet as pq
-    from pyspark import SparkFiles
-    parts: dict[str, list] = {}
-    root = SparkFiles.get(folder)
-    for f in sorted(x for x in os.listdir(root) if x.endswith(".parquet")):
-        for r in pq.ParquetFile(os.path.join(root, f)).read().to_pylist():
-            parts.setdefault(r["name"], []).append((r["part"], r["data"]))
-    packed = {n: b"".join(d for _, d in sorted(p)) for n, p in parts.items()}
-    told = packed.pop(DIGEST, b"").decode()
-    if _digest(packed) != digest or told != digest:
-        raise RuntimeError(f"the model in {folder} is not the one that was shipped")
-    return {n: np.load(io.BytesIO(d), allow_pickle=False) for n, d in packed.items()}
+#: A worker's own models, made once: the last few.
+_MADE: dict[tuple[str, str], dict[str, np.ndarray]] = {}
+
+
+def _arrays(folder: str, digest: str, shipped=None) -> dict[str, np.ndarray]:
+    """A model's arrays from its broadcast bytes, made once in a worker."""
+    if (folder, digest) not in _MADE:
+        packed = shipped.value if shipped is not None else {}
+        if _digest(packed) != digest:
+            raise RuntimeError(f"the model in {folder} is not the one that was shipped")
+        while len(_MADE) >= 4:
+            del _MADE[next(iter(_MADE))]
+        _MADE[folder, digest] = {n: np.load(io.BytesIO(d), allow_pickle=False)
+                                 for n, d in packed.items()}
+    return _MADE[folder, digest]
 
 
 def load_model_fn(spark: SparkSession, path: str, build: Callable[[dict], Callable]
                   ) -> Callable[[], Callable]:
     """A ``make_fn`` (see :mod:`labelflow.operators.predict`) for the model in ``path``: the folder
-    is shipped now; ``build(arrays)`` makes the predictor on each worker."""
-    row = spark.read.parquet(path).where(F.col("name") == DIGEST).first()
-    if row is None:
+    is read and shipped now; ``build(arrays)`` makes the predictor on each worker."""
+    parts: dict[str, list] = {}
+    for r in spark.read.parquet(path).toLocalIterator():
+        parts.setdefault(r["name"], []).append((r["part"], bytes(r["data"])))
+    packed = {n: b"".join(d for _, d in sorted(p)) for n, p in parts.items()}
+    digest = packed.pop(DIGEST, b"").decode()
+    if not digest:
         raise ValueError(f"no model in {path}")
-    digest = bytes(row["data"]).decode()
-    spark.sparkContext.addFile(path, recursive=True)
     folder = os.path.basename(path.rstrip("/"))
-    return lambda: build(_arrays(folder, digest))
+    if _digest(packed) != digest:
+        raise RuntimeError(f"the model in {folder} is not the one that was saved")
+    shipped = spark.sparkContext.broadcast(packed)
+    return lambda: build(_arrays(folder, digest, shipped))
 
 
 def tuned_or_base(spark: SparkSession, path: str | None, build: Callable[[dict], Callable],

@@ -121,3 +121,33 @@ def test_scoring_resumes_without_scoring_twice(spark, tmp_path):
     more = rows.unionByName(spark.createDataFrame([("new", 5)], rows.schema))
     assert RS.score_resumable(more, score, path).count() == 103 and calls.value == 103
     assert RS.read_scored(spark, f"{tmp_path}/nothing", schema).collect() == []
+
+
+CLUSTER = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import numpy as np
+from pyspark.sql import functions as F
+from labelflow.operators import model_store as MS, predict as P
+from labelflow.session import get_spark
+spark = get_spark(master="local-cluster[2,1,1024]", shuffle_partitions=2, extra={
+    "spark.checkpoint.dir": f"file://{sys.argv[2]}/kept", "spark.driver.host": "127.0.0.1",
+    "spark.local.dir": f"{sys.argv[2]}/local"})
+MS.save_model(spark, f"file://{sys.argv[2]}/tuned", {"w": np.arange(5.0)})
+fn = MS.load_model_fn(spark, f"file://{sys.argv[2]}/tuned",
+                      lambda a: lambda x: np.asarray(x)[:, 0] + a["w"].sum())
+df = spark.range(20).select(F.array(F.col("id").cast("double")).alias("x")).repartition(4)
+got = sorted(r.prediction for r in P.predict(df, fn, "x", input_tensor_shapes=[[1]]).collect())
+assert got == [i + 10.0 for i in range(20)], got
+print("scored on two executors")
+"""
+
+
+def test_a_model_in_a_folder_reaches_the_executors_of_a_cluster(tmp_path):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", CLUSTER, root, str(tmp_path)], text=True,
+                         capture_output=True, timeout=240)
+    assert "scored on two executors" in got.stdout, got.stderr[-2000:]
