@@ -26,16 +26,21 @@ def _tail(level: float) -> int:
     return (TAILS - round(TAILS * level)) // 2
 
 
-def draws(id_col: Column, block: Column, seed: int = SHUFFLE_SEED) -> Column:
-    """Eight counts for a row's replicates ``8 * block`` to ``8 * block + 7``."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string"), block.cast("string")))
+def digest(id_col: Column, block: Column, seed: int = SHUFFLE_SEED) -> Column:
+    """The digest of a row's replicates ``8 * block`` to ``8 * block + 7``."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string"), block.cast("string")))
 
-    def count(k: int) -> Column:
-        u = F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("int")
-        return sum(((u >= t).cast("bigint") for t in POISSON_STEPS[1:]),
-                   (u >= POISSON_STEPS[0]).cast("bigint"))
 
-    return F.array(*[count(k) for k in range(DRAWS)])
+def places(digest: Column) -> Column:
+    """The eight numbers below 65536 in a digest."""
+    return F.array(*[F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("int")
+                     for k in range(DRAWS)])
+
+
+def count_at(u: Column) -> Column:
+    """How often a row is drawn that has the number ``u``."""
+    return sum(((u >= t).cast("bigint") for t in POISSON_STEPS[1:]),
+               (u >= POISSON_STEPS[0]).cast("bigint"))
 
 
 def replicates(scored: DataFrame, by: str = "regime", id_col: str = "id", label: str = "label",
@@ -43,16 +48,21 @@ def replicates(scored: DataFrame, by: str = "regime", id_col: str = "id", label:
     """``(<by>, replicate, rows, right)``: drawn rows and right answers; replicate -1 counts every
     row once. A NULL prediction is wrong, as in the report; NULL ids share their draws."""
     right = F.coalesce((F.col(pred) == F.col(label)).cast("bigint"), F.lit(0))
-    block = F.explode(F.sequence(F.lit(0), F.lit(-(-n // DRAWS) - 1)))
     each = scored.select(F.col(by), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"),
                          right.alias("_r"))
-    drawn = each.withColumn("_b", block) \
-        .select(by, "_r", "_b", F.posexplode(draws(F.col("_i"), F.col("_b"), seed))) \
-        .select(by, "_r", (F.col("_b") * DRAWS + F.col("pos")).cast("int").alias("replicate"),
-                F.col("col").alias("_w")) \
-        .where((F.col("replicate") < n) & (F.col("_w") > 0))
-    whole = each.select(by, "_r", F.lit(-1).alias("replicate"), F.lit(1).cast("bigint").alias("_w"))
-    return whole.unionByName(drawn).groupBy(by, "replicate").agg(
+    # one pass over the scored rows, block -1 for the row as it is; a digest is a column of its own
+    # below the generator, which would work out its input anew for each of the eight numbers
+    blocks = each.select(by, "_i", "_r", F.explode(
+        F.sequence(F.lit(-1), F.lit(-(-n // DRAWS) - 1))).alias("_b"))
+    numbers = blocks.select(by, "_r", "_b", digest(F.col("_i"), F.col("_b"), seed).alias("_d")) \
+        .select(by, "_r", "_b", F.posexplode(places(F.col("_d"))).alias("_k", "_u"))
+    whole = F.col("_b") == -1
+    drawn = numbers.select(
+        by, "_r",
+        F.when(whole, -1).otherwise(F.col("_b") * DRAWS + F.col("_k")).cast("int").alias("replicate"),
+        F.when(whole, F.when(F.col("_k") == 0, 1).otherwise(0)).otherwise(count_at(F.col("_u")))
+         .cast("bigint").alias("_w")).where((F.col("replicate") < n) & (F.col("_w") > 0))
+    return drawn.groupBy(by, "replicate").agg(
         F.sum("_w").alias("rows"), F.sum(F.col("_w") * F.col("_r")).alias("right"))
 
 

@@ -92,3 +92,11 @@ def test_intervals_equal_plain_python(spark):
     assert got["a", "b"].significant and not got["b", "c"].significant
     mean = np.mean([_draws(i, 80) for i in range(400)])
     assert abs(mean - 1) < 0.02
+
+
+def test_replicates_read_the_scored_rows_once_and_digest_a_block_once(spark):
+    df = spark.createDataFrame([("a", "1", 1, 1), ("b", "1", 1, 0)],
+                               "regime string, id string, label int, pred int")
+    plan = BS.replicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("md5(") == 1
+    assert not any("md5(" in line for line in plan.splitlines() if "posexplode" in line)
