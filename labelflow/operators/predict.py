@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.session import bounded_batches
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the file system it names (the cluster's, not the driver's
@@ -57,7 +59,7 @@ def predict(df: DataFrame, make_fn: Callable[[], Callable], input_col: str,
 def text_predictor(make_fn: Callable[[], Callable[[list[str]], list[str]]],
                    batch_size: int = 64):
     """M1 for text in, text out (prompts → responses): an iterator ``pandas_udf`` that builds
-    the model once per task and answers one Arrow batch at a time."""
+    the model once per task and answers one Arrow batch at a time, of bounded bytes."""
     @F.pandas_udf(T.StringType())
     def _answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make_fn()
@@ -68,6 +70,7 @@ def text_predictor(make_fn: Callable[[], Callable[[list[str]], list[str]]],
             yield pd.Series(out, dtype="object")
 
     def apply(df: DataFrame, input_col: str = "prompt", out: str = "response") -> DataFrame:
+        bounded_batches(df.sparkSession)
         return df.withColumn(out, _answer(F.col(input_col)))
 
     return apply

@@ -123,6 +123,14 @@ def test_scoring_resumes_without_scoring_twice(spark, tmp_path):
     assert RS.read_scored(spark, f"{tmp_path}/nothing", schema).collect() == []
 
 
+def test_arrow_batches_of_a_text_model_are_bounded_in_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("x"), 50_000).alias("prompt"))
+    answer = P.text_predictor(lambda: lambda texts: [str(len(texts))] * len(texts), 10_000)
+    got = [int(r.response) for r in answer(df).select("response").collect()]
+    assert len(got) == 600 and max(got) * 50_000 < 8 << 20
+
+
 CLUSTER = """
 import sys
 sys.path.insert(0, sys.argv[1])
