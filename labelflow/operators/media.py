@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from labelflow.constants import FRAMES_PER_VIDEO, SHUFFLE_SEED
 from labelflow.functions.augment import pseudo_video
 from labelflow.operators.rows import is_mp4
+from labelflow.session import bounded_batches
 
 
 def short_videos(items: DataFrame, sampled: DataFrame, pictures: DataFrame,
@@ -25,6 +26,7 @@ def short_videos(items: DataFrame, sampled: DataFrame, pictures: DataFrame,
     image)`` is what :func:`labelflow.sources.frame_store.fetch_sample` gives (BGR), met by the
     item's ``frames`` directory; ``pictures (id, image)`` are decoded pictures (BGR structs). An item
     without a readable picture or any frame has no rows; NULL media is no mp4."""
+    bounded_batches(items.sparkSession)
     videos = items.where(is_mp4("media")).select("id", "frames")
     frames = videos.join(sampled, videos["frames"] == sampled["item_id"]) \
         .where(F.col("image.height") > 0) \

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from labelflow.constants import FRAMES_PER_VIDEO, VARIANCE_THRESHOLD
 from labelflow.functions.png import decoder, variance_of
 from labelflow.operators.frames import first_informative, sample_predicate
+from labelflow.session import bounded_batches
 from labelflow.sources.frames import FRAME_PATTERN, _strip_scheme
 
 KEYS = ["item_id", "frame_idx", "n", "sample_pos"]
@@ -49,6 +50,7 @@ def write_store(frames: DataFrame, path: str, k: int = FRAMES_PER_VIDEO,
     of ``k``. Frames are counted from their key columns (``counts (item_id, n)`` where they are
     known, as from a listing). ``files``: ranges of (video, frame) written, by default one a
     shuffle partition; a video longer than a range goes on in the next."""
+    bounded_batches(frames.sparkSession)
     n = counts if counts is not None else \
         frames.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     i = F.col("frame_idx").cast("bigint")
@@ -72,6 +74,7 @@ def store_keys(spark: SparkSession, path: str) -> DataFrame:
 def fetch_sample(spark: SparkSession, path: str, counter=None) -> DataFrame:
     """W2 / J5 over pictures: the uniform sample with decoded pixels (``image``). The filter on the
     stored place reaches the scan; only sampled frames are decoded."""
+    bounded_batches(spark)
     chosen = spark.read.parquet(path).where(F.col("sample_pos").isNotNull())
     return chosen.select(*KEYS, decoder(counter)("content").alias("image"))
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelflow.functions.png import decode_png, encode_png, encoded
 from labelflow.operators.frames import first_informative, uniform_sample
@@ -158,3 +159,28 @@ def test_short_videos_are_frames_or_rendered_copies(spark, store):
     want = {(p.id, p.aug_k): render(pics[p.id], {n: p[n] for n in ("flip", *PARAMS)}).tobytes()
             for p in plan}
     assert {(r.id, r.pos): bytes(r.data) for r in copies} == want
+
+
+def test_batches_of_pictures_are_bounded_in_bytes(spark, tmp_path):
+    """Copies of pictures are rendered from Arrow batches of bounded bytes, not of 10,000 rows."""
+    from labelflow.functions.augment import pseudo_video
+    from labelflow.session import BATCH_BYTES
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @F.pandas_udf("int")
+    def rows_at_once(d):
+        return d.map(lambda _: len(d))
+
+    side = 32
+    df = spark.range(0, 3000, 1, 1).select(
+        F.col("id").cast("string").alias("id"), F.lit(side).alias("height"),
+        F.lit(side).alias("width"), F.unhex(F.repeat(F.lit("7f"), side * side * 3)).alias("data"))
+    spark.conf.unset(name)
+    made = pseudo_video(df.limit(3), "id", k=2)
+    assert int(spark.conf.get(name)) <= BATCH_BYTES and made.count() == 6
+    most = df.select(rows_at_once("data").alias("n")).agg(F.max("n")).first()[0]
+    assert most * side * side * 3 < 2 * BATCH_BYTES
+    spark.conf.unset(name)
+    FS.write_store(spark.createDataFrame([("v", 0, b"x")], "item_id string, frame_idx int, "
+                                         "content binary"), f"{tmp_path}/bounded")
+    assert int(spark.conf.get(name)) <= BATCH_BYTES
