@@ -123,6 +123,12 @@ def test_scoring_resumes_without_scoring_twice(spark, tmp_path):
     assert RS.read_scored(spark, f"{tmp_path}/nothing", schema).collect() == []
 
 
+def test_segments_of_steps_equal_one(spark):
+    df = spark.createDataFrame(_rows(400), "id string, label int, features array<bigint>")
+    (w, b), (w2, b2) = (ST.train_in_steps(df, params=PARAMS, segment=n) for n in (3, 1000))
+    assert (w == w2).all() and b == b2 and w.any()
+
+
 def test_arrow_batches_of_a_text_model_are_bounded_in_bytes(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     df = spark.range(0, 600, 1, 1).select("id", F.repeat(F.lit("x"), 50_000).alias("prompt"))
