@@ -16,8 +16,8 @@ counts (cards of a repeated group beside a longer text mark none). Elements whos
 menu, header, footer, sidebar, notice, advert, form or comment are left out besides.
 
 A page is parsed in one pass without recursion, places and texts go by 64-bit digests, and only
-digests are grouped, by place. Then every page meets its host's template places and is parsed
-again: that costs less than writing and moving all text.
+digests are grouped, by place. Then every page meets its host's wrapper (``wrappers``), is parsed
+again, which costs less than writing and moving all text, and matched against it (``Wrapper.match``).
 """
 
 from __future__ import annotations
@@ -298,49 +298,59 @@ def host_of(url) -> F.Column:
                                                r"([^/:?#]*)", 1)), F.lit(""))
 
 
-#: Template places of the hosts that are joined by broadcast (eight bytes each).
+#: Numbers of the wrappers that are joined by broadcast (eight bytes each).
 MAX_BROADCAST = 4_000_000
-
-
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, n, template)``: every host's pages and the places whose text is its wrapper's own.
-    A batch's places are summed up where they are parsed, then by (place, content), then by
-    place: extremes and counts, so no order of pages matters."""
-    sent = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"),
-                        F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    names = ["host", "place", "content", "low", "high", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict = {}
-            for host, html_ in zip(b.column(0).to_pylist(), b.column(1)):
-                page = parse(html_.as_py(), host)
-                content = page.content()
-                # a row without a place counts the host's page
-                seen.setdefault((host, None, None), [None, None, 0])[2] += 1
-                for block in page.blocks:
-                    own = seen.setdefault((host, block.place, content), [block.key, block.key, 0])
-                    own[0], own[1] = min(own[0], block.key), max(own[1], block.key)
-            rows = [(*k, *v) for k, v in seen.items()]
-            kinds = [pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t)
-                                              for k, t in enumerate(kinds)], names=names)
-
-    told = sent.mapInArrow(run, "host string, place bigint, content bigint, low bigint, "
-                                "high bigint, n bigint")
-    ends = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")]
-    places = told.groupBy("host", "place", "content").agg(*ends) \
-        .groupBy("host", "place").agg(*ends, F.count("content").alias("contents"))
-    own = (F.col("low") == F.col("high")) & (F.col("contents") >= ENOUGH)
-    return places.where(F.col("place").isNull() | own).groupBy("host").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(own, F.col("place"))).alias("template"))
+#: What a wrapper says of a place, as bits.
+OPTIONAL, REPEATED, TEMPLATE = 1, 2, 4
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(host, n, nodes)``: every host's number of pages and its wrapper (:func:`infer`) for
+    matching: ``place, parent, bits`` of each place, one after the other. Places that fewer than
+    ``ENOUGH`` pages have are left out: they are optional, their text lies in slots."""
+    found = infer(pages, url_col, html_col)
+    bits = sum((F.when(F.col(c), bit).otherwise(0) for c, bit in
+                (("repeated", REPEATED), ("template", TEMPLATE))),
+               F.when(F.col("optional"), OPTIONAL).otherwise(0))
+    node = F.when(F.col("pages") >= ENOUGH, F.array("place", "parent", bits.cast("bigint")))
+    return found.groupBy("host").agg(
+        F.max(F.when(F.col("parent") == 0, F.col("pages"))).alias("n"),
+        F.flatten(F.collect_list(node)).alias("nodes"))
+
+
+class Wrapper:
+    """A host's wrapper from its ``nodes`` (see :func:`wrappers`)."""
+
+    def __init__(self, nodes: list[int]):
+        self.known = {p: (above, bits) for p, above, bits in zip(*[iter(nodes)] * 3)}
+        self.needed: dict[int, list[int]] = {}
+        for p, (above, bits) in self.known.items():
+            if not bits & OPTIONAL:
+                self.needed.setdefault(above, []).append(p)
+
+    def match(self, page: Page) -> frozenset | None:
+        """The page's places whose text the wrapper holds itself; its other texts are what lies
+        in slots. None where the page does not match: it has a place twice that the wrapper
+        has once, or lacks one that is not optional. What the wrapper does not know is an optional
+        group of slots."""
+        own = []
+        for place, got in page.places.items():
+            above, bits = self.known.get(place, (got.parent, REPEATED))
+            if above != got.parent or got.count > 1 and not bits & REPEATED:
+                return None
+            if any(p not in page.places for p in self.needed.get(place, ())):
+                return None
+            if bits & TEMPLATE:
+                own.append(place)
+        return frozenset(own)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text"
             ) -> DataFrame:
     """``pages`` without ``html_col``, plus ``out``: the main text of every whole page, blocks in
     page order joined by one newline, white space inside a block as one space, character
-    references decoded; empty if there is none (null and empty pages too). Pages without a host
+    references decoded; empty if there is none (null and empty pages too). Every page is matched
+    against its host's wrapper, and its text is what lies in the wrapper's slots. Pages without a host
     share one wrapper; repeated pages stay, and count as one content; other columns pass through, one
     named like the result is replaced; no rows give no rows. Ties cannot arise: a text is template
     or not by a count, whatever the order of rows and partitions."""
@@ -348,27 +358,28 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names])
     sent = pages.select(row.alias("row"), host_of(F.col(f"`{url_col}`")).alias("host"),
                         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    known = written(templates(pages, url_col, html_col), "templates")
+    known = written(wrappers(pages, url_col, html_col), "wrappers")
     total = known.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * HOT_SHARE > total
-    few, cold = known.agg(F.sum(F.when(hot, F.size("template"))), F.count(F.when(~hot, 1))).first()
+    few, cold = known.agg(F.sum(F.when(hot, F.size("nodes"))), F.count(F.when(~hot, 1))).first()
     if (few or 0) > MAX_BROADCAST:  # too much to broadcast: the adaptive join splits hot hosts
         joined = sent.join(known, "host")
     elif cold:
         joined = join_counted(sent, known, "host", "n", total)
     else:
         joined = sent.join(F.broadcast(known), "host")
-    joined = joined.select("row", "host", "html", "template")
+    joined = joined.select("row", "host", "html", "nodes")
     schema = T.StructType([joined.schema["row"], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, sets = [], {}
-            for host, html_, template in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if host not in sets:
-                    sets[host] = frozenset(template.as_py())
+            got, made = [], {}
+            for host, html_, nodes in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if host not in made:
+                    made[host] = Wrapper(nodes.as_py())
                 page = parse(html_.as_py(), host)
-                got.append(main_text(page.blocks, page.articles, sets[host]))
+                got.append(main_text(page.blocks, page.articles,
+                                     made[host].match(page) or frozenset()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())],
                                              names=["row", out])
 
@@ -381,35 +392,51 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The wrappers, a row for every place of a host: ``host, place, parent, shape, seen`` (latest
-    order on a page), ``optional`` (some page of the host that has the parent lacks it),
-    ``repeated`` (some page has it twice or more), ``slot`` (its texts differ), ``text`` (it has
-    text). Sums and extremes over pages, so no order of pages matters."""
+    order on a page), ``pages`` that have it, ``optional`` (some page of the host that has the parent
+    lacks it), ``repeated`` (some page has it twice or more), ``slot`` (its texts differ), ``text``
+    (it has text), ``template`` (its text is always the same, beside at least ``ENOUGH`` main
+    contents). A batch's places are summed up where they are parsed, then by (place, content),
+    then by place: sums and extremes, so no order of pages matters."""
     sent = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"),
                         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    schema = ("host string, place bigint, parent bigint, shape string, seen bigint, count bigint, "
-              "low bigint, high bigint")
+    schema = ("host string, place bigint, content bigint, parent bigint, shape string, seen bigint, "
+              "most bigint, low bigint, high bigint, pages bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "place", "parent", "shape", "seen", "count", "low", "high"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.string() if c in ("host", "shape") else pa.int64() for c in names]
         for b in batches:
-            rows = [(host, k, p.parent, p.shape, p.order, p.count, min(p.texts, default=None),
-                     max(p.texts, default=None))
-                    for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for k, p in parse(page, host).places.items()]
+            found: dict = {}
+            for host, html_ in zip(b.column(0).to_pylist(), b.column(1)):
+                page = parse(html_.as_py(), host)
+                content = page.content()
+                for k, p in page.places.items():
+                    low, high = (min(p.texts), max(p.texts)) if p.texts else (None, None)
+                    # contents are counted where there is text
+                    own = found.setdefault((host, k, content if p.texts else None),
+                                           [p.parent, p.shape, p.order, p.count, low, high, 0])
+                    own[1], own[2] = min(own[1], p.shape), max(own[2], p.order)
+                    own[3], own[6] = max(own[3], p.count), own[6] + 1
+                    if low is not None:
+                        own[4], own[5] = min(own[4], low), max(own[5], high)
+            rows = [(*k, *v) for k, v in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t)
                                               for k, t in enumerate(kinds)], names=names)
 
-    found = sent.mapInArrow(run, schema).groupBy("host", "place").agg(
-        F.min("parent").alias("parent"), F.min("shape").alias("shape"), F.max("seen").alias("seen"),
-        F.count(F.lit(1)).alias("pages"), F.max("count").alias("most"), F.min("low").alias("low"),
-        F.max("high").alias("high"))
+    ends = [F.min("parent").alias("parent"), F.min("shape").alias("shape"),
+            F.max("seen").alias("seen"), F.max("most").alias("most"), F.min("low").alias("low"),
+            F.max("high").alias("high"), F.sum("pages").alias("pages")]
+    found = written(sent.mapInArrow(run, schema).groupBy("host", "place", "content").agg(*ends)
+                    .groupBy("host", "place").agg(*ends, F.count("content").alias("contents")),
+                    "places")
     above = found.select(F.col("place").alias("parent"), F.col("pages").alias("above"))
     return found.join(above, "parent", "left").select(
-        "host", "place", "parent", "shape", "seen",
+        "host", "place", "parent", "shape", "seen", "pages",
         (F.col("pages") < F.coalesce("above", "pages")).alias("optional"),
         (F.col("most") > 1).alias("repeated"), (F.col("low") != F.col("high")).alias("slot"),
-        F.col("low").isNotNull().alias("text"))
+        F.col("low").isNotNull().alias("text"),
+        F.coalesce((F.col("low") == F.col("high")) & (F.col("contents") >= ENOUGH), F.lit(False))
+         .alias("template"))
 
 
 def expression(rows: list) -> str:

@@ -218,3 +218,29 @@ def test_teaser_cards_do_not_mark_the_main_text(spark):
              + "".join(f"<article>{c}</article>" for c in cards[i]) + "</section></body>")
             for i, b in enumerate(body)]
     assert _texts(spark, rows) == {i: "\n".join([b, *cards[i]]) for i, b in enumerate(body)}
+
+
+def test_pages_are_matched_against_their_hosts_wrapper(spark):
+    """The wrapper that extraction uses has optional and repeated groups, slots and template texts;
+    a page of another build does not match it."""
+    rows = [(k, "http://m.example/", f"<body><h3>Site</h3><div class='item'>text of page {k}</div>"
+             + (f"<div class='item'>more of page {k}</div>" if k % 2 else "")
+             + ("<section>Often the same</section>" if k % 3 else "")
+             + (f"<p class='rare'>only {k}</p>" if k == 4 else "") + "</body>") for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = [w.wrappers(df.repartition(p)).collect() for p in (1, 5)]
+    assert [len(g) for g in got] == [1, 1] and {g[0].n for g in got} == {12}
+    made = [w.Wrapper(g[0].nodes) for g in got]
+    assert made[0].known == made[1].known
+    pages = [w.parse(r[2], "m.example") for r in rows]
+    shapes = {k: p.shape for page in pages for k, p in page.places.items()}
+    told = {shapes[k]: bits for k, (_, bits) in made[0].known.items()}
+    assert told == {"": 0, "body.": 0, "h3.": w.TEMPLATE, "div.item": w.REPEATED,
+                    "section.": w.OPTIONAL | w.TEMPLATE}  # the rare one is unknown
+    for page in pages:
+        assert {shapes[k] for k in made[0].match(page)} <= {"h3.", "section."}
+    for other in ("<body><div class='item'>no head</div></body>",
+                  "<body><h3>Site</h3><h3>Site</h3><div class='item'>x</div></body>"):
+        assert made[0].match(w.parse(other, "m.example")) is None
+    texts = {r.page_id: r.text for r in w.extract(df).collect()}
+    assert texts[4] == "text of page 4\nonly 4" and texts[1] == "text of page 1\nmore of page 1"
