@@ -7,14 +7,15 @@ together with those they can be equal to:
 * *Anchors.* Among the ``length - GRAM + 1`` GRAM-byte strings inside a window of ``length`` bytes
   the one with the smallest hash is the window's anchor. Equal windows have equal anchors, so only
   anchors that occur in more than one document matter.
-* *Contexts.* Around such an anchor lie at most ``length - GRAM + 1`` windows; the bytes they span
-  are its context. Equal contexts are reduced to one, with the smallest key, before they are
-  moved; contexts with the same anchor meet in one task.
+* *Contexts.* Around such an anchor lie at most ``length - GRAM + 1`` windows whose smallest hash
+  it holds; the bytes they span are its context. Equal contexts are reduced to one, with the
+  smallest key, before they are moved; contexts with the same anchor meet in one task.
 * *Suffix array.* A task's contexts are one string (with ends between them). Two-stage sorting:
   suffixes smaller than their successors are sorted directly, the others are induced from them by
   scanning the buckets of the first byte in ascending order. Neighbours in the array whose common
   prefix reaches ``length`` are equal windows; the smallest key of such a run is compared with
-  each member's own.
+  each member's own. Equal windows have their anchor at the same place, so a window is sorted only
+  if another context has the same bytes from the anchor to half a window before or behind it.
 
 Documents are dealt into groups of bounded size by a hash of key and text; a group's task finds
 its anchors, then its contexts, and at last marks the bytes. What travels between the steps is
@@ -40,7 +41,7 @@ from labelflow.llm.common import free_name, persisted, released, text_or_empty
 GRAM = 20
 #: The lowest bits of a key's hash carry a count on the way.
 _LOW = np.uint64(15)
-_SLICE = 1 << 20
+_SLICE = 1 << 16
 #: What a group is told, in the place of a bucket: its shared and frequent anchors, its shared and
 #: frequent longer keys.
 _SHARED, _FREQUENT, _LONGER, _FREQUENT_LONGER = -1, -2, -3, -4
@@ -84,10 +85,11 @@ class Group:
         """Documents of positions (ascending input is not needed); empty ones hold none."""
         return np.searchsorted(self.start + self.size, pos, side="right")
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of all anchors."""
+    def _slices(self):
+        """For slices of the bytes, where they begin, the anchors' places in them, the GRAM-byte
+        strings' hashes, the hashes' order and, from ``wide - 1`` windows before the slice, every
+        real window's smallest (0: none). Slices overlap."""
         n, wide = self.total, self.length - GRAM + 1
-        at, hashes = [], []
         for lo in range(0, n, _SLICE):
             windows = self.window[lo:lo + _SLICE]
             if not windows.any():
@@ -105,32 +107,44 @@ class Group:
             h *= _M1
             h ^= h >> np.uint64(31)
             order = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            low = _slide(order, wide, np.minimum)
-            low[~windows] = 0
-            ends = np.zeros(wide - 1, np.uint32)
-            high = _slide(np.concatenate([ends, low, ends]), wide, np.maximum)
-            found = np.flatnonzero(high == order)
+            low = np.zeros(grams + wide - 1, np.uint32)
+            low[wide - 1:grams] = np.where(windows, _slide(order, wide, np.minimum), 0)
+            yield lo, np.flatnonzero(_slide(low, wide, np.maximum) == order), h, order, low
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of all anchors."""
+        at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo, found, h, _, _ in self._slices():
             at.append(found + lo)
             hashes.append(h[found])
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         pos, h = np.concatenate(at), np.concatenate(hashes)
-        pos, first = np.unique(pos, return_index=True)  # slices overlap
+        pos, first = np.unique(pos, return_index=True)
         return pos, h[first]
 
     def _around(self, wanted: np.ndarray):
         """Places, hashes and documents of the wanted anchors, and the windows [first, last)
-        around each that are real."""
-        length, wide = self.length, self.length - GRAM + 1
-        pos, h = self.anchors()
-        h &= ~_LOW
-        keep = _member(h, wanted)
-        pos, h = pos[keep], h[keep]
-        doc = self.doc_of(pos)
-        begin, end = self.start[doc], self.start[doc] + self.size[doc]
-        first = np.maximum(begin - (pos - (wide - 1)), 0)
-        last = np.minimum(end - length - (pos - (wide - 1)) + 1, wide)
-        return pos, h, doc, first, last
+        around each that are real and have no smaller hash: in those that have one, another anchor
+        stands for it."""
+        wide = self.length - GRAM + 1
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64))]
+        for lo, found, h, order, low in self._slices():
+            h = h[found] & ~_LOW
+            keep = _member(h, wanted)
+            found = found[keep]
+            own = np.lib.stride_tricks.sliding_window_view(low, wide)[found] \
+                == order[found][:, None]
+            got.append((found + lo, h[keep], own.argmax(axis=1),
+                        wide - own[:, ::-1].argmax(axis=1)))
+        pos, h, first, last = map(np.concatenate, zip(*got))
+        order = np.argsort(pos, kind="stable")
+        pos = pos[order]
+        begins = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]])) if len(pos) \
+            else np.zeros(0, np.int64)
+        if len(begins):
+            first = np.minimum.reduceat(first[order], begins)
+            last = np.maximum.reduceat(last[order], begins)
+        pos = pos[begins]
+        return pos, h[order[begins]], self.doc_of(pos), first, last
 
     def _halved(self, pos, h, doc, first, last):
         """The same anchors with half their windows each, under longer keys: windows [0, half)
@@ -162,7 +176,7 @@ class Group:
         and what :meth:`windows` gives for the windows under frequent longer keys. A frequent
         anchor's context becomes two, each with half its windows."""
         length, wide = self.length, self.length - GRAM + 1
-        found = self._around(np.union1d(shared, frequent))
+        found = self._around(np.sort(np.concatenate([shared, frequent])))
         often = _member(found[1], frequent)
         halves = self._halved(*(x[often] for x in found))
         alone = _member(halves[1], frequent_longer)
@@ -180,12 +194,12 @@ class Group:
         key = self.keys[doc]
         mixed = _row_hash(rows) ^ (first.astype(np.uint64) << np.uint64(8)) \
             ^ (last.astype(np.uint64) * _M1) ^ h
-        order = np.lexsort((pos, mixed))
+        order = np.argsort(mixed, kind="stable")
         same = np.zeros(len(order), bool)
-        if len(order):
-            a, b = order[1:], order[:-1]
-            same[1:] = (mixed[a] == mixed[b]) & (first[a] == first[b]) & (last[a] == last[b]) \
-                & (h[a] == h[b]) & (rows[a] == rows[b]).all(axis=1)
+        maybe = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
+        a, b = order[maybe + 1], order[maybe]
+        same[maybe + 1] = (first[a] == first[b]) & (last[a] == last[b]) & (h[a] == h[b]) \
+            & (rows[a] == rows[b]).all(axis=1)
         of, one, low = _classes(order, same, key)
         return (rows[one], low, first[one], last[one], h[one], of, pos, doc), \
             self.windows(halves[0][alone], halves[3][alone], halves[4][alone])
@@ -194,10 +208,9 @@ class Group:
         """The windows [first, last) around the places, equal ones once: ``(rows, low, key, of,
         at, doc)``; ``key`` is a hash of the whole window, ``at`` where an occurrence starts."""
         length, wide = self.length, self.length - GRAM + 1
-        edge = np.zeros(self.total + 1, np.int32)
-        np.add.at(edge, pos - (wide - 1) + first, 1)
-        np.add.at(edge, pos - (wide - 1) + last, -1)
-        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        many = last - first
+        at = np.unique(np.repeat(pos - (wide - 1) + last - np.cumsum(many), many)
+                       + np.arange(many.sum()))
         doc = self.doc_of(at)
         view = np.lib.stride_tricks.sliding_window_view(self.bytes, length)
         h = np.zeros(len(at), np.uint64)
@@ -246,45 +259,69 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
 # -- suffix array ----------------------------------------------------------------------------------
 
 
-def two_stage_order(rows: np.ndarray, depth: int, upto: int) -> np.ndarray:
+def _by_words(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """An order of the places ``at`` by the first ``depth`` bytes there: by the first eight, then
+    only those that are still equal to a neighbour by the bytes that follow."""
+    order = np.argsort(words[at].byteswap())
+    key = words[at[order]]
+    done, here = 8, np.arange(len(at))
+    while len(key) > 1 and done < depth:
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        tied = same[1:] | same[:-1]
+        here, run = here[tied], np.cumsum(~same[:-1])[tied]
+        if not len(here):
+            break
+        # a run's number and as many bytes as it leaves room for
+        run = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
+        room = (64 - int(run[-1]).bit_length()) // 8
+        some = order[here]
+        key = words[at[some] + done].byteswap() >> np.uint64(64 - 8 * room)
+        if room < 8:
+            key |= run.astype(np.uint64) << np.uint64(8 * room)
+        again = np.argsort(key)
+        order[here], key = some[again], key[again]
+        done += room
+    return order
+
+
+def two_stage_order(rows: np.ndarray, depth: int, upto: int, first: np.ndarray | None = None,
+                    last: np.ndarray | None = None) -> np.ndarray:
     """Suffixes (row * (width + 1) + column) of the rows, each row ended by a symbol below all
-    bytes, that start at columns up to ``upto``, in lexicographic order of their first ``depth``
-    bytes."""
+    bytes, that start at columns up to ``upto`` (if given, at a row's columns [first, last) of
+    these), in lexicographic order of their first ``depth`` bytes."""
     n, width = rows.shape
     stride = width + 1
     symbol = np.zeros((n, stride), np.uint16)
     symbol[:, :width] = rows
     symbol[:, :width] += 1
-    # smaller than its successor?
-    smaller = np.zeros((n, stride), bool)
-    for c in range(width - 1, -1, -1):
-        smaller[:, c] = (symbol[:, c] < symbol[:, c + 1]) \
-            | ((symbol[:, c] == symbol[:, c + 1]) & smaller[:, c + 1])
-    # beyond ``upto`` only what larger suffixes there are induced from
+    flat = symbol.ravel()
+    # smaller than its successor? As the first neighbours from there on that differ
+    differ = np.flatnonzero(flat[1:] != flat[:-1])
+    smaller = np.zeros(len(flat), bool)
+    if len(differ):
+        smaller[:differ[-1] + 1] = np.repeat(flat[differ] < flat[differ + 1],
+                                             np.diff(differ, prepend=-1))
+    smaller[width::stride] = False
+    column = np.arange(stride)
     wanted = np.zeros((n, stride), bool)
-    wanted[:, :upto + 1] = True
-    for c in range(upto + 1, stride):
-        wanted[:, c] = wanted[:, c - 1] & ~smaller[:, c - 1]
-        if not wanted[:, c].any():
-            break
-    flat, want = symbol.ravel(), wanted.ravel()
+    wanted[:] = column <= upto
+    if first is not None:
+        wanted &= (column >= first[:, None]) & (column < last[:, None])
+    want = wanted.ravel()
+    asked = want.copy()
+    # behind these only what larger suffixes among them are induced from
+    more = np.flatnonzero(want & ~smaller)
+    while len(more):
+        more = more[more % stride < width] + 1
+        more = more[~want[more]]
+        want[more] = True
+        more = more[~smaller[more]]
     # stage one: sort the smaller ones directly, by 8-byte words
-    direct = np.flatnonzero((smaller & wanted).ravel())
-    at = direct - direct // stride  # position without the end symbols
-    padded = np.concatenate([rows.ravel(), np.zeros(depth + 16, np.uint8)])
-    words = _words_at(padded)
-    room = width - direct % stride  # bytes left in the row
-    keys = []
-    for o in range(0, depth, 8):
-        k = words[at + o].byteswap()
-        short = np.clip(room - o, 0, 8)
-        k = np.where(short >= 8, k, np.where(short > 0, k & ~(
-            (np.uint64(1) << (np.uint64(64) - np.uint64(8) * np.maximum(short, 1).astype(np.uint64)))
-            - np.uint64(1)), np.uint64(0)))
-        keys.append(k)
-    direct = direct[np.lexsort(keys[::-1])]
-    first = flat[direct]
-    bounds = np.searchsorted(first, np.arange(258))
+    direct = np.flatnonzero(smaller & want)
+    words = _words_at(np.concatenate([rows.ravel(), np.zeros(depth + 16, np.uint8)]))
+    # position without the end symbols
+    direct = direct[_by_words(words, direct - direct // stride, depth)]
+    bounds = np.searchsorted(flat[direct], np.arange(258))
     # stage two: scan the buckets in ascending order; a suffix's predecessor with a larger (or,
     # in a run, equal) first symbol takes the next place of its bucket
     pending: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -317,7 +354,7 @@ def two_stage_order(rows: np.ndarray, depth: int, upto: int) -> np.ndarray:
             for a, b in zip(cuts, [*cuts[1:], len(sym)]):
                 pending[sym[a]].append(before[a:b])
     order = np.concatenate(out) if out else np.zeros(0, np.int64)
-    return order[order % stride <= upto]
+    return order[asked[order]]
 
 
 def smallest_keys(rows: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray,
@@ -327,10 +364,7 @@ def smallest_keys(rows: np.ndarray, first: np.ndarray, last: np.ndarray, low: np
     n, width = rows.shape
     wide, stride = width - length + 1, width + 1
     out = np.full((n, wide), _NO_KEY, np.int64)
-    suffixes = two_stage_order(rows, length, wide - 1)
-    row, col = np.divmod(suffixes, stride)
-    real = (col >= first[row]) & (col < last[row])
-    row, col = row[real], col[real]
+    row, col = np.divmod(two_stage_order(rows, length, wide - 1, first, last), stride)
     if not len(row):
         return out
     at = row * width + col
@@ -346,6 +380,27 @@ def smallest_keys(rows: np.ndarray, first: np.ndarray, last: np.ndarray, low: np
     return out
 
 
+def with_partners(rows: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    """The windows [first, last) of each context without those that no other context can hold
+    around its anchor: a window before the middle covers the bytes from there to the anchor's end,
+    any other those from the anchor's start to the middle one's end."""
+    wide = rows.shape[1] - length + 1
+    half = wide // 2
+    first, last = first.astype(np.int64), last.astype(np.int64)
+    alone = []
+    for lo, hi, some in ((half - 1, length, first < half),
+                         (wide - 1, half + length, last > half)):
+        h = _row_hash(rows[:, lo:hi])
+        order = np.flatnonzero(some)
+        order = order[np.argsort(h[order])]
+        same = np.concatenate([[False], h[order[1:]] == h[order[:-1]], [False]])
+        one = np.zeros(len(rows), bool)
+        one[order] = ~(same[1:] | same[:-1])[:len(order)]
+        alone.append(one)
+    return np.where(alone[0], np.maximum(first, half), first), \
+        np.where(alone[1], np.minimum(last, half), last)
+
+
 # -- Spark -----------------------------------------------------------------------------------------
 
 
@@ -399,7 +454,7 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
 
     def counted(h: np.ndarray, doc: np.ndarray, own_g) -> pa.Table:
         h = h & ~_LOW
-        order = np.lexsort((doc, h))
+        order = np.argsort(h, kind="stable")  # a key's documents come in ascending order
         h, doc = h[order], doc[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -516,16 +571,17 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
         mixed = _row_hash(rows) ^ (first.astype(np.uint64) << np.uint64(8)) \
             ^ (last.astype(np.uint64) * _M1)
         order = np.argsort(mixed, kind="stable")
-        a, b = order[1:], order[:-1]
-        new = np.concatenate([[True], ~((mixed[a] == mixed[b]) & (first[a] == first[b])
-                                        & (last[a] == last[b])
-                                        & (rows[a] == rows[b]).all(axis=1))])
-        begins = np.flatnonzero(new)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        one = order[begins]
-        least = smallest_keys(rows[one], first[one], last[one],
-                              np.minimum.reduceat(low[order], begins), length)
+        same = np.zeros(len(order), bool)
+        maybe = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
+        a, b = order[maybe + 1], order[maybe]
+        same[maybe + 1] = (first[a] == first[b]) & (last[a] == last[b]) \
+            & (rows[a] == rows[b]).all(axis=1)
+        of, one, own = _classes(order, same, low)
+        begin, end = with_partners(rows[one], first[one], last[one], length)
+        some = np.flatnonzero(begin < end)
+        least = np.repeat(own[:, None], wide, axis=1)
+        least[some] = np.minimum(least[some], smallest_keys(
+            rows[one[some]], begin[some], end[some], own[some], length))
         bits = np.zeros((len(rows), 32), bool)
         for lo in range(0, len(rows), 1 << 16):  # removed also from the group's smallest document
             hi = lo + (1 << 16)
@@ -569,9 +625,8 @@ def remove_repeats(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
                 bits &= (column >= first[o][:, None]) & (column < last[o][:, None])
                 r, c = np.nonzero(bits)
                 starts[pos[lo:lo + (1 << 17)][r] - (wide - 1) + c] = True
-            upto = np.cumsum(starts[:own.total], dtype=np.int64)
-            upto[length:] -= upto[:-length].copy() if own.total > length else 0
-            gone = upto > 0
+            gone = _slide(np.concatenate([np.zeros(length - 1, bool), starts[:own.total]]),
+                          length, np.logical_or)
         body = own.bytes[own.pad:own.pad + own.total]
         kept, removed, spans = [], [], []
         for s, n in zip(own.start.tolist(), own.size.tolist()):

@@ -121,3 +121,71 @@ def test_hot_passage_fills_no_key():
     for key in (contexts[4], windows[2]):  # distinct rows that meet under one key
         assert not len(key) or np.unique(key, return_counts=True)[1].max() <= 20
     assert len(windows[0]) > 80
+
+
+def _group(texts):
+    return sd.Group(texts, np.arange(len(texts)), 50)
+
+
+def _all_anchors(own):
+    return np.unique(own.anchors()[1] & ~np.uint64(15))
+
+
+def test_a_window_is_in_one_context():
+    rng = random.Random(4)
+    own = _group(["".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (400, 49, 50, 0, 90)])
+    none = np.zeros(0, np.uint64)
+    (_, _, first, last, _, of, pos, _), _ = own.contexts(_all_anchors(own), none, none, none)
+    held = np.concatenate([np.arange(p - 30 + first[c], p - 30 + last[c])
+                           for p, c in zip(pos.tolist(), of.tolist())])
+    assert sorted(held.tolist()) == np.flatnonzero(own.window).tolist()
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij "])
+def test_slices_do_not_matter(letters, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for _ in range(9)]
+    own = _group([*texts, "a" * 200, "ab" * 80])
+    want = own._around(_all_anchors(own))
+    monkeypatch.setattr(sd, "_SLICE", 64)
+    for x, y in zip(own._around(_all_anchors(own)), want):
+        assert x.tolist() == y.tolist()
+
+
+def test_suffix_order_of_some_columns():
+    rng = random.Random(8)
+    for _ in range(150):
+        n, width = rng.randint(1, 12), rng.randint(21, 60)
+        depth = rng.randint(1, width)
+        wide = width - depth + 1
+        rows = np.array([[rng.choice([0, 1, 255]) for _ in range(width)] for _ in range(n)],
+                        np.uint8)
+        first = np.array([rng.randint(0, wide) for _ in range(n)])
+        last = np.array([rng.randint(0, wide) for _ in range(n)])
+        order = sd.two_stage_order(rows, depth, wide - 1, first, last).tolist()
+        keys = [rows[p // (width + 1), p % (width + 1):][:depth].tobytes() for p in order]
+        assert keys == sorted(keys)
+        assert sorted(order) == [r * (width + 1) + c for r in range(n)
+                                 for c in range(first[r], last[r])]
+
+
+def test_shared_phrases_shorter_than_a_window_are_not_sorted():
+    rng = random.Random(9)
+    phrase, letters = "a phrase that is no window", "klmnopqrst"
+    texts = ["".join(rng.choice(letters) for _ in range(80)) + phrase
+             + "".join(rng.choice(letters) for _ in range(80)) for _ in range(200)]
+    passage = "".join(rng.choice(letters) for _ in range(60))
+    own = _group([*texts, "1" * 30 + passage + "2" * 30, "3" * 30 + passage + "4" * 30])
+    h, n = np.unique(own.anchors()[1] & ~np.uint64(15), return_counts=True)
+    none = np.zeros(0, np.uint64)
+    (rows, low, first, last, *_), _ = own.contexts(h[n > 1], none, none, none)
+    assert len(rows) >= 50
+    begin, end = sd.with_partners(rows, first, last, 50)
+    kept = [{rows[i, c:c + 50].tobytes() for c in range(a, b)}
+            for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist()))]
+    windows = [{rows[i, c:c + 50].tobytes() for c in range(a, b)}
+               for i, (a, b) in enumerate(zip(first.tolist(), last.tolist()))]
+    assert sum(map(bool, kept)) < 10  # of 50 and more
+    for i, w in enumerate(windows):  # what another context holds is kept
+        assert all(x in kept[i] for x in w if any(x in v for j, v in enumerate(windows) if j != i))
+    assert {passage[i:i + 50].encode() for i in range(11)} <= set().union(*kept)
